@@ -228,5 +228,185 @@ ORDER BY position
 """
 
 
+# --- record forms (batch: every key, key column carried) -------------------
+
+QUERIES["rec_patient_header"] = """
+SELECT p.patient_no, p.patient_name, p.date_of_birth, p.date_admitted, p.care_unit_no, p.bed_no,
+       cu.ward_name, w.specialty_name
+FROM patient p
+JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
+JOIN ward w ON cu.ward_name = w.ward_name
+ORDER BY p.patient_no
+"""
+
+QUERIES["rec_patient_history"] = """
+SELECT ptr.patient_no, ptr.complaint_code, c.description AS complaint, ptr.treatment_code,
+       t.description AS treatment, d.staff_no AS doctor_no, d.name AS doctor_name,
+       CASE WHEN con.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant,
+       ptr.date_started, ptr.date_ended
+FROM ptr
+JOIN complaint c ON ptr.complaint_code = c.complaint_code
+JOIN treatment t ON ptr.treatment_code = t.treatment_code
+JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
+LEFT JOIN consultant con ON d.staff_no = con.staff_no
+ORDER BY ptr.patient_no, ptr.date_started
+"""
+
+QUERIES["rec_ward_header"] = """
+SELECT ward_name, specialty_name, number_of_care_units FROM ward ORDER BY ward_name
+"""
+
+_NURSE_ROLE = """
+SELECT n.ward_name, n.staff_no, n.name, n.care_unit_no,
+       CASE WHEN ds.staff_no IS NOT NULL THEN 'Day Sister'
+            WHEN ns.staff_no IS NOT NULL THEN 'Night Sister'
+            WHEN sn.staff_no IS NOT NULL THEN 'Staff Nurse'
+            WHEN nr.staff_no IS NOT NULL THEN 'Non-Reg Nurse'
+            ELSE '{fallback}' END AS role
+FROM nurse n
+LEFT JOIN day_sister ds ON n.staff_no = ds.staff_no
+LEFT JOIN night_sister ns ON n.staff_no = ns.staff_no
+LEFT JOIN staff_nurse sn ON n.staff_no = sn.staff_no
+LEFT JOIN non_reg_nurse nr ON n.staff_no = nr.staff_no
+ORDER BY n.ward_name, role, n.name
+"""
+QUERIES["rec_ward_nurses"] = _NURSE_ROLE.format(fallback="Nurse")
+
+QUERIES["rec_ward_patients"] = """
+SELECT cu.ward_name, p.patient_no, p.patient_name, p.care_unit_no, p.bed_no, p.date_admitted,
+       d.name AS consultant_name
+FROM patient p
+JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
+LEFT JOIN ptr ON p.patient_no = ptr.patient_no
+LEFT JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
+ORDER BY cu.ward_name, p.patient_no
+"""
+
+QUERIES["rec_doctor_header"] = """
+SELECT d.staff_no, d.name, d.position, d.date_joined_team, d.specialty_name,
+       CASE WHEN c.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant
+FROM doctor d LEFT JOIN consultant c ON d.staff_no = c.staff_no
+ORDER BY d.staff_no
+"""
+
+QUERIES["rec_doctor_experience"] = """
+SELECT pe.staff_no, pe.exp_id, pe.from_date, pe.to_date, pe.establishment, pe.position
+FROM previous_experience pe
+WHERE EXISTS (SELECT 1 FROM doctor d WHERE d.staff_no = pe.staff_no)
+ORDER BY pe.staff_no, pe.from_date
+"""
+
+QUERIES["rec_doctor_progress"] = """
+SELECT pr.staff_no, pr.progress_id, pr.establishment, pr.position, pr.date, pr.performance_grade
+FROM progress pr
+WHERE EXISTS (SELECT 1 FROM doctor d WHERE d.staff_no = pr.staff_no)
+ORDER BY pr.staff_no, pr.date
+"""
+
+QUERIES["rec_team_latest_grade"] = """
+SELECT d.consultant_staff_no AS consultant_no, d.staff_no, d.name, d.position,
+       d.date_joined_team, d.specialty_name,
+       (SELECT pr.performance_grade FROM progress pr WHERE pr.staff_no = d.staff_no
+        ORDER BY pr.date DESC NULLS LAST, pr.progress_id DESC LIMIT 1) AS latest_grade
+FROM doctor d
+WHERE d.consultant_staff_no IN (
+        SELECT c.staff_no FROM doctor c LEFT JOIN consultant con ON c.staff_no = con.staff_no
+        WHERE con.staff_no IS NOT NULL)
+  AND d.staff_no != d.consultant_staff_no
+ORDER BY d.consultant_staff_no, d.position, d.name
+"""
+
+# --- dashboard, listings, lookups ------------------------------------------
+
+QUERIES["dash_totals"] = """
+SELECT 'Patients' AS label, COUNT(*) AS n FROM patient
+UNION ALL SELECT 'Doctors', COUNT(*) FROM doctor
+UNION ALL SELECT 'Nurses', COUNT(*) FROM nurse
+UNION ALL SELECT 'Wards', COUNT(*) FROM ward
+UNION ALL SELECT 'Beds', COUNT(*) FROM bed
+UNION ALL SELECT 'Specialties', COUNT(*) FROM specialty
+"""
+
+QUERIES["dash_recent_admissions"] = """
+SELECT patient_no, patient_name, date_admitted FROM patient
+ORDER BY date_admitted DESC NULLS LAST, patient_no LIMIT 5
+"""
+
+QUERIES["dash_specialty_overview"] = """
+SELECT s.specialty_name,
+       (SELECT COUNT(*) FROM ward w WHERE w.specialty_name = s.specialty_name) AS wards,
+       (SELECT COUNT(*) FROM doctor d WHERE d.specialty_name = s.specialty_name) AS doctors
+FROM specialty s ORDER BY s.specialty_name
+"""
+
+QUERIES["list_specialties"] = "SELECT specialty_name FROM specialty ORDER BY specialty_name"
+
+QUERIES["list_ward_units"] = """
+SELECT w.ward_name, w.specialty_name, w.number_of_care_units,
+       (SELECT COUNT(*) FROM care_unit cu WHERE cu.ward_name = w.ward_name) AS actual_care_units
+FROM ward w ORDER BY w.ward_name
+"""
+
+QUERIES["list_unit_beds"] = """
+SELECT cu.care_unit_no, cu.ward_name,
+       (SELECT COUNT(*) FROM bed b WHERE b.care_unit_no = cu.care_unit_no) AS total_beds,
+       (SELECT COUNT(*) FROM bed b WHERE b.care_unit_no = cu.care_unit_no AND b.is_occupied = 0)
+         AS available_beds
+FROM care_unit cu ORDER BY cu.care_unit_no
+"""
+
+QUERIES["list_beds"] = """
+SELECT b.bed_no, b.care_unit_no, cu.ward_name,
+       CASE WHEN b.is_occupied = 1 THEN 'Occupied' ELSE 'Available' END AS status
+FROM bed b JOIN care_unit cu ON b.care_unit_no = cu.care_unit_no
+ORDER BY b.bed_no
+"""
+
+QUERIES["list_patients"] = """
+SELECT p.patient_no, p.patient_name, p.date_of_birth, p.date_admitted, cu.ward_name,
+       p.care_unit_no, p.bed_no
+FROM patient p JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
+ORDER BY p.date_admitted DESC
+"""
+
+QUERIES["list_doctors"] = """
+SELECT d.staff_no, d.name, d.position, d.specialty_name, d.date_joined_team,
+       CASE WHEN c.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant,
+       (SELECT x.name FROM doctor x WHERE x.staff_no = d.consultant_staff_no) AS under_consultant
+FROM doctor d LEFT JOIN consultant c ON d.staff_no = c.staff_no
+ORDER BY d.name
+"""
+
+QUERIES["list_nurses"] = """
+SELECT staff_no, name, ward_name, care_unit_no, role FROM (
+""" + _NURSE_ROLE.format(fallback="Unassigned").replace("ORDER BY n.ward_name, role, n.name", "") + """
+) x ORDER BY ward_name, role, name
+"""
+
+QUERIES["lk_wards"] = "SELECT ward_name, number_of_care_units FROM ward ORDER BY ward_name"
+QUERIES["lk_consultants"] = """
+SELECT staff_no, name FROM doctor WHERE position = 'consultant' ORDER BY name
+"""
+QUERIES["lk_patients"] = "SELECT patient_no, patient_name FROM patient ORDER BY patient_no"
+QUERIES["lk_complaints"] = """
+SELECT complaint_code, description,
+       complaint_code || ' - ' || substring(description, 1, 40) || '...' AS label
+FROM complaint ORDER BY complaint_code
+"""
+QUERIES["lk_care_units"] = """
+SELECT care_unit_no, ward_name, care_unit_no || ' (' || ward_name || ')' AS label
+FROM care_unit ORDER BY care_unit_no
+"""
+QUERIES["lk_doctors"] = """
+SELECT staff_no, name, staff_no || ' - ' || name AS label FROM doctor ORDER BY name
+"""
+QUERIES["units_by_ward"] = """
+SELECT ward_name, care_unit_no FROM care_unit ORDER BY ward_name, care_unit_no
+"""
+QUERIES["free_beds_by_unit"] = """
+SELECT care_unit_no, bed_no FROM bed WHERE is_occupied = 0 ORDER BY care_unit_no, bed_no
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: MAPPING + sql for name, sql in QUERIES.items()}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.oracle import Q11_PARAMS
+from wardline.plans import listings as L
+from wardline.plans import records as C
 from wardline.plans import reports as R
 from wardline.session import tune
 from wardline.sources.catalog import Tables
@@ -30,6 +32,33 @@ JOBS: dict[str, Job] = {
     "q11_complaint_daterange": lambda t: R.q11_complaint_daterange(
         t, Q11_PARAMS["complaint_code"], Q11_PARAMS["date_from"], Q11_PARAMS["date_to"]),
     "q12_position_counts": R.q12_position_counts,
+    "rec_patient_header": C.rec_patient_header,
+    "rec_patient_history": C.rec_patient_history,
+    "rec_ward_header": C.rec_ward_header,
+    "rec_ward_nurses": C.rec_ward_nurses,
+    "rec_ward_patients": C.rec_ward_patients,
+    "rec_doctor_header": C.rec_doctor_header,
+    "rec_doctor_experience": C.rec_doctor_experience,
+    "rec_doctor_progress": C.rec_doctor_progress,
+    "rec_team_latest_grade": C.rec_team_latest_grade,
+    "dash_totals": L.dash_totals,
+    "dash_recent_admissions": L.dash_recent_admissions,
+    "dash_specialty_overview": L.dash_specialty_overview,
+    "list_specialties": L.list_specialties,
+    "list_ward_units": L.list_ward_units,
+    "list_unit_beds": L.list_unit_beds,
+    "list_beds": L.list_beds,
+    "list_patients": L.list_patients,
+    "list_doctors": L.list_doctors,
+    "list_nurses": L.list_nurses,
+    "lk_wards": L.lk_wards,
+    "lk_consultants": L.lk_consultants,
+    "lk_patients": L.lk_patients,
+    "lk_complaints": L.lk_complaints,
+    "lk_care_units": L.lk_care_units,
+    "lk_doctors": L.lk_doctors,
+    "units_by_ward": L.units_by_ward,
+    "free_beds_by_unit": L.free_beds_by_unit,
 }
 
 
