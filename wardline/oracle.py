@@ -408,5 +408,236 @@ SELECT care_unit_no, bed_no FROM bed WHERE is_occupied = 0 ORDER BY care_unit_no
 """
 
 
+# --- ingestion scenarios ----------------------------------------------------
+# Candidate batches follow wardline.sources.batches (input generation); the
+# classification is written the reference's way: one post at a time, i.e. a
+# row is a duplicate when the key is in the target or an earlier valid row
+# of the batch has it.
+
+_TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
+_BLANK = "' ' || chr(9) || ' '"
+
+
+def _tr(expr: str) -> str:
+    return f"trim({expr}, {_TRIM})"
+
+
+def _batch_sql(src: str, k: str, key: str, fields: dict[str, str], blank_field: str,
+               dup_field: str | None, where: str = "TRUE") -> str:
+    padded = f"CASE WHEN {k} % 3 = 0 THEN ' ' || {fields[key]} || chr(9) ELSE {fields[key]} END"
+
+    def rows(cond: str, seq: str, over: dict[str, str]) -> str:
+        cols = {**fields, key: padded, **over}
+        sel = ", ".join(f"{v} AS {n}" for n, v in cols.items())
+        return (f"SELECT CAST({seq} AS BIGINT) AS arrival_seq, {sel} FROM {src} "
+                f"WHERE {where} AND {k} % 10 >= 7 AND {cond}")
+
+    late = {} if dup_field is None else {dup_field: f"{fields[dup_field]} || ' II'"}
+    return " UNION ALL ".join([
+        rows("TRUE", f"{k} * 3 + 1", {}),
+        rows(f"{k} % 10 = 9", f"{k} * 3", {blank_field: _BLANK}),
+        rows(f"{k} % 10 = 8", f"{k} * 3 + 2", late),
+    ])
+
+
+def _date_text(d: str, blank_when: str, bad_when: str) -> str:
+    return (f"CASE WHEN {bad_when} THEN '1990-13-45' WHEN {blank_when} THEN '' "
+            f"ELSE strftime({d}, '%Y-%m-%d') END")
+
+
+def _opt_date(col: str) -> str:
+    return (f"CASE WHEN {col} IS NULL OR {_tr(col)} = '' THEN NULL "
+            f"ELSE CAST(try_strptime({_tr(col)}, '%Y-%m-%d') AS DATE) END")
+
+
+def _bad_date(col: str) -> str:
+    return (f"COALESCE({_tr(col)} <> '' AND try_strptime({_tr(col)}, '%Y-%m-%d') IS NULL, FALSE)")
+
+
+def _classify_sql(name: str, cleaned: str, target: str, key: str, required: list[str],
+                  bad: str, out_cols: list[str]) -> str:
+    missing = " OR ".join(f"{c} IS NULL OR {c} = ''" for c in required)
+    cols = ", ".join(f"f.{c}" for c in out_cols)
+    return f""",
+{name}_clean AS ({cleaned}),
+{name}_flag AS (SELECT *, ({missing}) AS missing, {bad} AS bad FROM {name}_clean),
+{name}_outcome AS (
+  SELECT {cols},
+    CASE WHEN f.missing THEN 'missing_required'
+         WHEN f.bad THEN 'invalid_value'
+         WHEN EXISTS (SELECT 1 FROM {target} x WHERE x.{key} = f.{key}) THEN 'duplicate_key'
+         WHEN EXISTS (SELECT 1 FROM {name}_flag g WHERE g.{key} = f.{key} AND NOT g.missing
+                      AND NOT g.bad AND g.arrival_seq < f.arrival_seq) THEN 'duplicate_key'
+         ELSE 'accepted' END AS outcome
+  FROM {name}_flag f)
+"""
+
+
+def _target_sql(table: str, key: str, prefix: str | None) -> str:
+    num = (f"TRY_CAST(regexp_extract({key}, '(\\d+)$', 1) AS INTEGER)" if prefix is None
+           else f"TRY_CAST(substring({key}, {len(prefix) + 2}, 99) AS INTEGER)")
+    return f"t_{table} AS (SELECT * FROM {table} WHERE {num} % 10 < 8)"
+
+
+_UNIT = "'CU-' || CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment"
+_POSITION = ("CASE s_suppkey % 6 WHEN 0 THEN 'consultant' WHEN 1 THEN 'registrar(r)' "
+             "WHEN 2 THEN 'assistant registrar(ar)' WHEN 3 THEN 'senior houseman(sh)' "
+             "WHEN 4 THEN 'junior houseman(jh)' ELSE 'student(s)' END")
+
+INGEST = ",\n".join([
+    "t_specialty AS (SELECT * FROM specialty WHERE specialty_name IN "
+    "(SELECT n_name FROM nation WHERE n_nationkey % 10 < 8))",
+    _target_sql("ward", "ward_name", None),
+    _target_sql("bed", "bed_no", "BED"),
+    _target_sql("patient", "patient_no", "PAT"),
+    _target_sql("doctor", "staff_no", "DOC"),
+    _target_sql("consultant", "staff_no", "DOC"),
+    _target_sql("nurse", "staff_no", "NUR"),
+    _target_sql("day_sister", "staff_no", "NUR"),
+    _target_sql("night_sister", "staff_no", "NUR"),
+    _target_sql("staff_nurse", "staff_no", "NUR"),
+    _target_sql("non_reg_nurse", "staff_no", "NUR"),
+    "c_specialty AS (" + _batch_sql("nation", "n_nationkey", "specialty_name",
+                                    {"specialty_name": "n_name"}, "specialty_name", None) + ")",
+    "c_ward AS (" + _batch_sql("nation", "n_nationkey", "ward_name", {
+        "ward_name": "'WARD_' || CAST(n_nationkey AS VARCHAR)",
+        "specialty_name": "n_name",
+        "num_care_units": "CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' 3' "
+                          "WHEN 2 THEN '4 units' ELSE 'x' END"},
+        "specialty_name", "specialty_name") + ")",
+    "c_bed AS (" + _batch_sql("customer", "c_custkey", "bed_no", {
+        "bed_no": "printf('BED-%03d', c_custkey)", "care_unit_no": _UNIT},
+        "care_unit_no", None) + ")",
+    "c_patient AS (" + _batch_sql("customer", "c_custkey", "patient_no", {
+        "patient_no": "printf('PAT-%03d', c_custkey)",
+        "patient_name": "c_name",
+        "dob": _date_text("DATE '1940-01-01' + CAST((c_custkey * 37) % 20000 AS INTEGER)",
+                          "c_custkey % 4 = 0", "c_custkey % 10 = 9 AND c_custkey % 7 = 0"),
+        "date_admitted": _date_text("DATE '2020-01-01' + CAST(c_custkey % 365 AS INTEGER)",
+                                    "c_custkey % 5 = 0", "FALSE"),
+        "care_unit_no": _UNIT,
+        "bed_no": "printf('BED-%03d', c_custkey)"}, "patient_name", "patient_name") + ")",
+    "c_doctor AS (" + _batch_sql("supplier", "s_suppkey", "staff_no", {
+        "staff_no": "printf('DOC-%03d', s_suppkey)",
+        "name": "s_name",
+        "position": f"CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE {_POSITION} END",
+        "date_joined": _date_text("DATE '2010-01-01' + CAST(7 * s_suppkey AS INTEGER)",
+                                  "s_suppkey % 4 = 0", "s_suppkey % 10 = 9 AND s_suppkey % 7 = 0"),
+        "specialty_name": "'NATION_' || CAST(s_nationkey AS VARCHAR)",
+        "consultant_staff_no": "CASE WHEN s_suppkey % 3 = 0 THEN '' "
+                               "ELSE printf('DOC-%03d', s_suppkey - s_suppkey % 6) END",
+        "is_consultant": "s_suppkey % 6 = 0"}, "name", "name") + ")",
+    "c_nurse AS (" + _batch_sql("part", "p_partkey", "staff_no", {
+        "staff_no": "printf('NUR-%03d', p_partkey)",
+        "name": "p_name",
+        "ward_name": "'WARD_' || CAST(p_partkey % 25 AS VARCHAR)",
+        "care_unit_no": "'CU-' || CAST(p_partkey % 25 AS VARCHAR) || '-' || "
+                        "(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_size]",
+        "role": "CASE p_type WHEN 'ECONOMY' THEN 'day_sister' WHEN 'LARGE' THEN 'night_sister' "
+                "WHEN 'MEDIUM' THEN 'staff_nurse' WHEN 'PROMO' THEN 'staff_nurse' "
+                "WHEN 'SMALL' THEN 'non_reg' ELSE 'matron' END"},
+        "role", "name", where="p_size <= 5") + ")",
+])
+
+_SPEC = _classify_sql(
+    "specialty", f"SELECT arrival_seq, {_tr('specialty_name')} AS specialty_name FROM c_specialty",
+    "t_specialty", "specialty_name", ["specialty_name"], "FALSE", ["arrival_seq", "specialty_name"])
+_WARD = _classify_sql(
+    "ward", f"""SELECT arrival_seq, {_tr('ward_name')} AS ward_name,
+       {_tr('specialty_name')} AS specialty_name,
+       CASE WHEN num_care_units IS NULL THEN 2
+            WHEN regexp_extract(num_care_units, '^\\s*([+-]?[0-9]+)', 1) = '' THEN 0
+            ELSE TRY_CAST(regexp_extract(num_care_units, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER)
+       END AS number_of_care_units FROM c_ward""",
+    "t_ward", "ward_name", ["ward_name", "specialty_name"], "FALSE",
+    ["arrival_seq", "ward_name", "specialty_name", "number_of_care_units"])
+_BED = _classify_sql(
+    "bed", f"SELECT arrival_seq, {_tr('bed_no')} AS bed_no, {_tr('care_unit_no')} AS care_unit_no,"
+           " 0 AS is_occupied FROM c_bed",
+    "t_bed", "bed_no", ["bed_no", "care_unit_no"], "FALSE",
+    ["arrival_seq", "bed_no", "care_unit_no", "is_occupied"])
+_PAT = _classify_sql(
+    "patient", f"""SELECT arrival_seq, {_tr('patient_no')} AS patient_no,
+       {_tr('patient_name')} AS patient_name, {_opt_date('dob')} AS date_of_birth,
+       {_opt_date('date_admitted')} AS date_admitted, {_tr('care_unit_no')} AS care_unit_no,
+       {_tr('bed_no')} AS bed_no, ({_bad_date('dob')} OR {_bad_date('date_admitted')}) AS is_bad
+       FROM c_patient""",
+    "t_patient", "patient_no", ["patient_no", "patient_name", "care_unit_no", "bed_no"], "is_bad",
+    ["arrival_seq", "patient_no", "patient_name", "date_of_birth", "date_admitted",
+     "care_unit_no", "bed_no"])
+_DOC = _classify_sql(
+    "doctor", f"""SELECT arrival_seq, {_tr('staff_no')} AS staff_no, {_tr('name')} AS name,
+       CASE WHEN is_consultant THEN 'consultant' ELSE COALESCE({_tr('position')}, '') END AS position,
+       {_opt_date('date_joined')} AS date_joined_team, {_tr('specialty_name')} AS specialty_name,
+       NULLIF({_tr('consultant_staff_no')}, '') AS consultant_staff_no,
+       COALESCE(is_consultant, FALSE) AS is_consultant, {_bad_date('date_joined')} AS is_bad
+       FROM c_doctor""",
+    "t_doctor", "staff_no", ["staff_no", "name", "specialty_name"], "is_bad",
+    ["arrival_seq", "staff_no", "name", "position", "date_joined_team", "specialty_name",
+     "consultant_staff_no", "is_consultant"])
+_NUR = _classify_sql(
+    "nurse", f"""SELECT arrival_seq, {_tr('staff_no')} AS staff_no, {_tr('name')} AS name,
+       {_tr('ward_name')} AS ward_name, {_tr('care_unit_no')} AS care_unit_no,
+       {_tr('role')} AS role,
+       CASE {_tr('role')} WHEN 'day_sister' THEN 'day_sister' WHEN 'night_sister' THEN 'night_sister'
+            WHEN 'staff_nurse' THEN 'staff_nurse' WHEN 'non_reg' THEN 'non_reg_nurse' END AS role_table
+       FROM c_nurse""",
+    "t_nurse", "staff_no", ["staff_no", "name", "ward_name", "care_unit_no", "role"], "FALSE",
+    ["arrival_seq", "staff_no", "name", "ward_name", "care_unit_no", "role", "role_table"])
+
+_INGEST_PREFIX = MAPPING + ",\n" + INGEST
+
+QUERIES["ingest_specialty"] = _INGEST_PREFIX + _SPEC + "SELECT * FROM specialty_outcome"
+QUERIES["ingest_ward"] = _INGEST_PREFIX + _WARD + "SELECT * FROM ward_outcome"
+QUERIES["ingest_bed"] = _INGEST_PREFIX + _BED + "SELECT * FROM bed_outcome"
+QUERIES["ingest_patient"] = _INGEST_PREFIX + _PAT + "SELECT * FROM patient_outcome"
+QUERIES["ingest_doctor"] = _INGEST_PREFIX + _DOC + "SELECT * FROM doctor_outcome"
+QUERIES["ingest_nurse"] = _INGEST_PREFIX + _NUR + "SELECT * FROM nurse_outcome"
+QUERIES["bed_occupancy_update"] = _INGEST_PREFIX + _PAT + """
+SELECT b.bed_no, b.care_unit_no,
+       CASE WHEN b.bed_no IN (SELECT bed_no FROM patient_outcome WHERE outcome = 'accepted')
+            THEN 1 ELSE b.is_occupied END AS is_occupied
+FROM bed b
+"""
+QUERIES["ingest_doctor_consultants"] = _INGEST_PREFIX + _DOC + """
+SELECT staff_no FROM t_consultant
+UNION ALL
+SELECT staff_no FROM doctor_outcome
+WHERE outcome = 'accepted' AND is_consultant
+  AND staff_no NOT IN (SELECT staff_no FROM t_consultant)
+"""
+QUERIES["ingest_nurse_roles"] = _INGEST_PREFIX + _NUR + " UNION ALL ".join(
+    f"""
+SELECT '{r}' AS role_table, staff_no FROM t_{r}
+UNION ALL
+SELECT '{r}' AS role_table, staff_no FROM nurse_outcome
+WHERE outcome = 'accepted' AND role_table = '{r}' AND staff_no NOT IN (SELECT staff_no FROM t_{r})
+""" for r in ("day_sister", "night_sister", "staff_nurse", "non_reg_nurse"))
+QUERIES["assign_ids"] = _INGEST_PREFIX + """
+SELECT c_custkey AS arrival_seq, c_name AS patient_name,
+       printf('PAT-%03d', (SELECT COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS INTEGER)), 0)
+                           FROM t_patient) + row_number() OVER (ORDER BY c_custkey)) AS patient_no
+FROM customer WHERE c_custkey % 10 >= 8
+"""
+QUERIES["next_ids"] = MAPPING + """
+SELECT 'PATIENT' AS table_name,
+       printf('PAT-%03d', COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS INTEGER)), 0) + 1)
+         AS next_id FROM patient
+UNION ALL
+SELECT 'DOCTOR', printf('DOC-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS INTEGER)), 0) + 1)
+FROM doctor
+UNION ALL
+SELECT 'NURSE', printf('NUR-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS INTEGER)), 0) + 1)
+FROM nurse
+UNION ALL
+SELECT 'BED', printf('BED-%03d', COALESCE(MAX(TRY_CAST(substring(bed_no, 5, 99) AS INTEGER)), 0) + 1)
+FROM bed
+"""
+
+
+_FULL = {name for name in QUERIES if name.startswith(("ingest_", "bed_occupancy", "assign_ids",
+                                                       "next_ids"))}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: MAPPING + sql for name, sql in QUERIES.items()}
+    return {name: (sql if name in _FULL else MAPPING + sql) for name, sql in QUERIES.items()}

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.oracle import Q11_PARAMS
+from pyspark.sql import functions as F
+
+from wardline.operators.ids import assign_ids, next_number
+from wardline.plans import ingest as I
 from wardline.plans import listings as L
 from wardline.plans import records as C
 from wardline.plans import reports as R
 from wardline.session import tune
 from wardline.sources.catalog import Tables
+from wardline.sources.batches import scenario
 from wardline.sources.fixtures import build_tables
 
 Job = Callable[[Tables], DataFrame]
@@ -62,6 +67,68 @@ JOBS: dict[str, Job] = {
 }
 
 
+# The four tables the reference pre-computes next IDs for.
+NEXT_ID_TABLES = (("PATIENT", "patient", "patient_no", "PAT"),
+                  ("DOCTOR", "doctor", "staff_no", "DOC"),
+                  ("NURSE", "nurse", "staff_no", "NUR"),
+                  ("BED", "bed", "bed_no", "BED"))
+
+
+def next_ids(t: Tables) -> DataFrame:
+    """(table_name, next_id) for the four numbered tables."""
+    from functools import reduce
+
+    from wardline.functions.columns import format_key
+    parts = [next_number(t[name], key, prefix).select(
+        F.lit(label).alias("table_name"), format_key(prefix, F.col("next_no")).alias("next_id"))
+        for label, name, key, prefix in NEXT_ID_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+JOBS["next_ids"] = next_ids
+
+ScenarioJob = Callable[[Tables, Tables, dict], DataFrame]
+
+
+def _nurse_roles(full: Tables, target: Tables, b: dict) -> DataFrame:
+    from functools import reduce
+    res = I.ingest_nurse(target, b["nurse"])
+    return reduce(DataFrame.unionByName, [
+        res.snapshots[r].select(F.lit(r).alias("role_table"), "staff_no")
+        for r in ("day_sister", "night_sister", "staff_nurse", "non_reg_nurse")])
+
+
+def _assign_patient_ids(full: Tables, target: Tables, b: dict) -> DataFrame:
+    arrivals = full.patient.select(
+        F.substring("patient_no", 5, 99).try_cast("long").alias("arrival_seq"),
+        "patient_name").where(F.col("arrival_seq") % 10 >= 8)
+    return assign_ids(arrivals, target.patient, "patient_no", "PAT", ["arrival_seq"])
+
+
+SCENARIO_JOBS: dict[str, ScenarioJob] = {
+    "ingest_specialty": lambda f, t, b: I.ingest_specialty(t, b["specialty"]).outcome,
+    "ingest_ward": lambda f, t, b: I.ingest_ward(t, b["ward"]).outcome,
+    "ingest_bed": lambda f, t, b: I.ingest_bed(t, b["bed"]).outcome,
+    "ingest_patient": lambda f, t, b: I.ingest_patient(t.replace(bed=f.bed), b["patient"]).outcome,
+    "ingest_doctor": lambda f, t, b: I.ingest_doctor(t, b["doctor"]).outcome,
+    "ingest_nurse": lambda f, t, b: I.ingest_nurse(t, b["nurse"]).outcome,
+    "bed_occupancy_update": lambda f, t, b: I.ingest_patient(
+        t.replace(bed=f.bed), b["patient"]).snapshots["bed"],
+    "ingest_doctor_consultants": lambda f, t, b: I.ingest_doctor(
+        t, b["doctor"]).snapshots["consultant"],
+    "ingest_nurse_roles": _nurse_roles,
+    "assign_ids": _assign_patient_ids,
+}
+
+
+def _bind_scenario(job: ScenarioJob) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        full, target, batches = scenario(tune(spark), sf_dir)
+        return job(full, target, batches)
+
+    return run
+
+
 def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return job(build_tables(tune(spark), sf_dir))
@@ -71,4 +138,6 @@ def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(job) for name, job in JOBS.items()}
+    out = {name: _bind(job) for name, job in JOBS.items()}
+    out.update({name: _bind_scenario(job) for name, job in SCENARIO_JOBS.items()})
+    return out
