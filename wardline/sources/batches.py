@@ -80,28 +80,35 @@ def _target(t: Tables, name: str, key: str, prefix: str | None) -> DataFrame:
     return df.where(num % 10 < TARGET_MOD10_BELOW)
 
 
+def target_tables(full: Tables, nation: DataFrame) -> Tables:
+    """The scenario's target: rows whose source key k has k % 10 < 8."""
+    return full.replace(
+        specialty=full.specialty.join(
+            nation.where(F.col("n_nationkey") % 10 < TARGET_MOD10_BELOW).select(
+                F.col("n_name").alias("specialty_name")), "specialty_name", "left_semi"),
+        ward=_target(full, "ward", "ward_name", None),
+        bed=_target(full, "bed", "bed_no", "BED"),
+        patient=_target(full, "patient", "patient_no", "PAT"),
+        doctor=_target(full, "doctor", "staff_no", "DOC"),
+        consultant=_target(full, "consultant", "staff_no", "DOC"),
+        nurse=_target(full, "nurse", "staff_no", "NUR"),
+        day_sister=_target(full, "day_sister", "staff_no", "NUR"),
+        night_sister=_target(full, "night_sister", "staff_no", "NUR"),
+        staff_nurse=_target(full, "staff_nurse", "staff_no", "NUR"),
+        non_reg_nurse=_target(full, "non_reg_nurse", "staff_no", "NUR"),
+    )
+
+
 def scenario(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables, dict[str, DataFrame]]:
     """(full tables, target tables, candidate batch per entity)."""
-    t = build_tables(spark, sf_dir)
+    full = build_tables(spark, sf_dir)
     src = read_sources(spark, sf_dir)
-    nation, customer, supplier, part = src["nation"], src["customer"], src["supplier"], src["part"]
+    return full, target_tables(full, src["nation"]), candidate_batches(src)
 
-    target = t.replace(
-        specialty=t.specialty.join(
-            nation.where(F.col("n_nationkey") % 10 < TARGET_MOD10_BELOW).select(
-                F.col("n_name").alias("specialty_name")), "specialty_name", "left_semi"),
-        ward=_target(t, "ward", "ward_name", None),
-        bed=_target(t, "bed", "bed_no", "BED"),
-        patient=_target(t, "patient", "patient_no", "PAT"),
-        doctor=_target(t, "doctor", "staff_no", "DOC"),
-        consultant=_target(t, "consultant", "staff_no", "DOC"),
-        nurse=_target(t, "nurse", "staff_no", "NUR"),
-        day_sister=_target(t, "day_sister", "staff_no", "NUR"),
-        night_sister=_target(t, "night_sister", "staff_no", "NUR"),
-        staff_nurse=_target(t, "staff_nurse", "staff_no", "NUR"),
-        non_reg_nurse=_target(t, "non_reg_nurse", "staff_no", "NUR"),
-    )
 
+def candidate_batches(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """One candidate batch per entity (all text fields, as form posts)."""
+    nation, customer, supplier, part = src["nation"], src["customer"], src["supplier"], src["part"]
     batches: dict[str, DataFrame] = {}
     nk = F.col("n_nationkey")
     batches["specialty"] = _batch(nation, nk, "specialty_name",
@@ -154,4 +161,4 @@ def scenario(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables, dict[str
         "ward_name": F.concat(F.lit("WARD_"), (pk % 25).cast("string")),
         "care_unit_no": F.concat(F.lit("CU-"), (pk % 25).cast("string"), F.lit("-"), segment),
         "role": role}, "role", "name")
-    return t, target, batches
+    return batches
