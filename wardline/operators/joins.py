@@ -59,3 +59,20 @@ def in_keys(column: str, keys: Keys) -> Column | None:
     if isinstance(keys, str):
         return F.col(column) == F.lit(keys)
     return F.col(column).isin(list(keys))
+
+
+def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` for a right side with hot keys.
+
+    AQE can split a skewed partition only on the preserved side of an outer
+    join, so a right-side key holding a third of all rows would land in one
+    task. Written as an inner join (both sides splittable) plus the left rows
+    without any match (anti join against the right's distinct keys, which
+    collapse map-side), the result is the same rows.
+    """
+    matched = left.join(right, key)
+    right_only = [f for f in right.schema.fields if f.name != key]
+    unmatched = left.join(right.select(key).distinct(), key, "left_anti").select(
+        *[F.col(c) for c in left.columns],
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in right_only])
+    return matched.select(unmatched.columns).unionByName(unmatched)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.columns import WARD_FORM_ROLE_FALLBACK, yes_no
 from wardline.operators.aggregates import latest_by
-from wardline.operators.joins import Keys, restrict
+from wardline.operators.joins import Keys, left_join_hot_right, restrict
 from wardline.operators.roles import with_role_label
 from wardline.sources.catalog import Tables
 
@@ -68,7 +68,8 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
     """Patients of a ward, one row per treatment record (NULL doctor when none).
 
     The reference labels the treating doctor "Consultant_Name"; it is any
-    doctor on the patient's records.
+    doctor on the patient's records. One patient may own a large share of
+    all records, so the record join runs as inner + anti join.
     """
     units = restrict(t.dim("care_unit"), "ward_name", ward_names).select(
         "care_unit_no", "ward_name")
@@ -76,10 +77,11 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
         t.doctor.select(F.col("staff_no").alias("doctor_staff_no"),
                         F.col("name").alias("consultant_name")),
         "doctor_staff_no", "left")
+    in_ward = t.patient.select(
+        "patient_no", "patient_name", "care_unit_no", "bed_no", "date_admitted"
+    ).join(units, "care_unit_no")
     return (
-        t.patient.select("patient_no", "patient_name", "care_unit_no", "bed_no", "date_admitted")
-        .join(units, "care_unit_no")
-        .join(treating, "patient_no", "left")
+        left_join_hot_right(in_ward, treating, "patient_no")
         .select("ward_name", "patient_no", "patient_name", "care_unit_no", "bed_no",
                 "date_admitted", "consultant_name")
         .orderBy("ward_name", "patient_no", "consultant_name"))

@@ -18,7 +18,7 @@ from wardline.functions.columns import (
     POSITION_COUNT_LABELS,
     yes_no,
 )
-from wardline.operators.joins import Keys, bounded_broadcast, restrict
+from wardline.operators.joins import Keys, bounded_broadcast, left_join_hot_right, restrict
 from wardline.operators.roles import role_rows
 from wardline.sources.catalog import Tables
 
@@ -148,6 +148,8 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
     The fact is reduced to distinct (complaint, treatment, doctor) keys with
     map-side partial aggregation before any dimension join, and the
     description-level distinct runs before the one-to-many experience join.
+    The experience join is a left join whose right side may hold a hot
+    doctor, so it runs as inner join + anti join (``left_join_hot_right``).
     """
     keys = t.ptr.select("complaint_code", "treatment_code", "doctor_staff_no").distinct()
     complaints = t.dim("complaint").select(
@@ -164,7 +166,7 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
         F.col("staff_no").alias("doctor_no"), "exp_id", "from_date", "to_date", "establishment",
         F.col("position").alias("experience_position")).distinct()
     return (
-        combos.join(experience, "doctor_no", "left")
+        left_join_hot_right(combos, experience, "doctor_no")
         .select("complaint_code", "complaint", "treatment", "doctor_no", "doctor_name", "exp_id",
                 "from_date", "to_date", "establishment", "experience_position")
         .orderBy("complaint_code", "doctor_name", "from_date", "doctor_no", "treatment",
