@@ -76,3 +76,22 @@ def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFram
         *[F.col(c) for c in left.columns],
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in right_only])
     return matched.select(unmatched.columns).unionByName(unmatched)
+
+
+def expand_in_order(left: DataFrame, right: DataFrame, key: str, order_prefix: list[str],
+                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` for a one-to-many right side, when
+    the result is then sorted starting with ``order_prefix`` (left columns).
+
+    If a bounded count proves ``right`` small, the narrow left rows are
+    range-partitioned on ``order_prefix`` and ``right`` is broadcast: a
+    broadcast join keeps the left side's partitioning, and a range
+    partitioning on a prefix of the sort order already orders partitions,
+    so the final ``orderBy`` sorts each partition locally and the wide,
+    fanned-out rows are never shuffled. Otherwise it is the skew-safe shuffle
+    join of ``left_join_hot_right`` and the final sort shuffles as usual.
+    """
+    if row_count_at_most(right, max_rows):
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return left.repartitionByRange(parts, *order_prefix).join(F.broadcast(right), key, "left")
+    return left_join_hot_right(left, right, key)

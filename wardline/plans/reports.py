@@ -18,7 +18,7 @@ from wardline.functions.columns import (
     POSITION_COUNT_LABELS,
     yes_no,
 )
-from wardline.operators.joins import Keys, bounded_broadcast, left_join_hot_right, restrict
+from wardline.operators.joins import Keys, bounded_broadcast, expand_in_order, restrict
 from wardline.operators.roles import role_rows
 from wardline.sources.catalog import Tables
 
@@ -103,7 +103,9 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
     the patient's care unit (its STAFF_NURSE join is unused). ``strict=True``
     keeps only staff nurses, the stated intent. Distinct (doctor, patient)
     pairs are formed *before* the one-to-many nurse join, so the fan-out is
-    never followed by a distinct over the wide result.
+    never followed by a distinct over the wide result, and the nurse join
+    runs through ``expand_in_order`` (no shuffle of the fanned-out rows when
+    the nurse list is small).
     """
     juniors = t.doctor.where(F.col("position").isin(*JUNIOR_POSITIONS)).select(
         F.col("staff_no").alias("doctor_staff_no"), F.col("name").alias("junior_doctor"),
@@ -118,10 +120,11 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
         nurses = nurses.join(t.staff_nurse, "staff_no", "left_semi")
     unit_nurses = nurses.select(
         "care_unit_no", F.col("name").alias("staff_nurse_of_careunit")).distinct()
+    people = pairs.join(juniors, "doctor_staff_no").join(
+        t.patient.select("patient_no", "patient_name", "care_unit_no"), "patient_no")
     return (
-        pairs.join(juniors, "doctor_staff_no")
-        .join(t.patient.select("patient_no", "patient_name", "care_unit_no"), "patient_no")
-        .join(unit_nurses, "care_unit_no", "left")
+        expand_in_order(people, unit_nurses, "care_unit_no",
+                        ["junior_doctor", "patient_name", "doctor_staff_no", "patient_no"])
         .select(F.col("doctor_staff_no").alias("jh_no"), "junior_doctor", "position",
                 "patient_no", "patient_name", "care_unit_no", "staff_nurse_of_careunit")
         .orderBy("junior_doctor", "patient_name", "jh_no", "patient_no",
@@ -148,8 +151,9 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
     The fact is reduced to distinct (complaint, treatment, doctor) keys with
     map-side partial aggregation before any dimension join, and the
     description-level distinct runs before the one-to-many experience join.
-    The experience join is a left join whose right side may hold a hot
-    doctor, so it runs as inner join + anti join (``left_join_hot_right``).
+    The experience join runs through ``expand_in_order``: with a small
+    experience table the fanned-out rows need no shuffle for the ORDER BY;
+    otherwise a skew-safe shuffle join (a doctor may be hot).
     """
     keys = t.ptr.select("complaint_code", "treatment_code", "doctor_staff_no").distinct()
     complaints = t.dim("complaint").select(
@@ -166,7 +170,7 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
         F.col("staff_no").alias("doctor_no"), "exp_id", "from_date", "to_date", "establishment",
         F.col("position").alias("experience_position")).distinct()
     return (
-        left_join_hot_right(combos, experience, "doctor_no")
+        expand_in_order(combos, experience, "doctor_no", ["complaint_code", "doctor_name"])
         .select("complaint_code", "complaint", "treatment", "doctor_no", "doctor_name", "exp_id",
                 "from_date", "to_date", "establishment", "experience_position")
         .orderBy("complaint_code", "doctor_name", "from_date", "doctor_no", "treatment",

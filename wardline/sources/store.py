@@ -6,6 +6,8 @@ new one, so an input is never overwritten while it is being read.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,28 @@ from wardline.sources.schemas import SCHEMAS
 FACT_LAYOUT = {"ptr": ["date_started", "complaint_code"]}
 
 
-def save_tables(tables: Tables, path: str, files_per_table: int | None = None) -> None:
-    """Write every table to ``path/<name>`` (fails if a snapshot exists)."""
-    for name, df in tables.items():
+def save_tables(tables: Tables, path: str, files_per_table: int | None = None,
+                concurrent_jobs: int = 4) -> None:
+    """Write every table to ``path/<name>`` (fails if a snapshot exists).
+
+    The tables are independent, so their write jobs are submitted from a few
+    driver threads at once and share the executors instead of queueing.
+    """
+
+    def write(name: str) -> None:
+        df = tables[name]
         layout = FACT_LAYOUT.get(name)
         if layout:
             n = files_per_table or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             df = df.repartitionByRange(n, *layout).sortWithinPartitions(*layout)
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
 
+    # Largest first so the fact table does not start last.
+    order = sorted(tables, key=lambda n: n not in FACT_LAYOUT)
+    with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
+        for future in [pool.submit(write, name) for name in order]:
+            future.result()
+
 
 def load_tables(spark: SparkSession, path: str) -> Tables:
     """Read a snapshot written by ``save_tables`` with the declared schemas."""
