@@ -26,6 +26,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wardline-test-ckpt-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="wardline-test-wh-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
