@@ -46,7 +46,7 @@ def restrict(df: DataFrame, column: str, keys: Keys) -> DataFrame:
         return df
     if isinstance(keys, DataFrame):
         key_col = keys.columns[0]
-        return df.join(keys.select(F.col(key_col).alias(column)).distinct(), column, "left_semi")
+        return df.join(keys.select(F.col(key_col).alias(column)), column, "left_semi")
     if isinstance(keys, str):
         return df.where(F.col(column) == F.lit(keys))
     return df.where(F.col(column).isin(list(keys)))

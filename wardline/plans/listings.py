@@ -96,7 +96,7 @@ def list_doctors(t: Tables) -> DataFrame:
     The scalar self-lookup becomes a left join on staff_no, which must be
     unique (the reference's subquery would fail on a duplicate).
     """
-    flags = t.consultant.select("staff_no", F.col("staff_no").alias("__cons")).distinct()
+    flags = t.consultant.select("staff_no", F.col("staff_no").alias("__cons"))
     names = t.doctor.select(F.col("staff_no").alias("consultant_staff_no"),
                             F.col("name").alias("under_consultant"))
     return (

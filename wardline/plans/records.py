@@ -18,8 +18,11 @@ from wardline.sources.catalog import Tables
 
 
 def _consultant_flag(t: Tables) -> DataFrame:
-    """(staff_no, __cons) for the CONSULTANT table, for a Yes/No left join."""
-    return t.consultant.select("staff_no", F.col("staff_no").alias("__cons")).distinct()
+    """(staff_no, __cons) for the CONSULTANT table, for a Yes/No left join.
+
+    A plain LEFT JOIN like the reference's (CONSULTANT is keyed by staff_no).
+    """
+    return t.consultant.select("staff_no", F.col("staff_no").alias("__cons"))
 
 
 def rec_patient_header(t: Tables, patient_nos: Keys = None) -> DataFrame:

@@ -42,6 +42,24 @@ class Tables(Mapping[str, DataFrame]):
             self._dims[name] = bounded_broadcast(self._frames[name], max_rows)
         return self._dims[name]
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every table as a temp view so SQL text can query it.
+
+        Identifiers are case-insensitive in Spark SQL, so queries written
+        against PATIENT / Patient_No resolve; the fact table is also
+        registered under its long name PATIENT_TREATMENT_RECORD. Parameters
+        bind with ``spark.sql(text, args={...})`` (named ``:name`` markers),
+        never by string formatting.
+        """
+        names = []
+        for name, df in self._frames.items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        if "ptr" in self._frames:
+            self._frames["ptr"].createOrReplaceTempView(prefix + "patient_treatment_record")
+            names.append(prefix + "patient_treatment_record")
+        return names
+
     def replace(self, **frames: DataFrame) -> "Tables":
         merged = dict(self._frames)
         merged.update(frames)
