@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions.columns import WARD_FORM_ROLE_FALLBACK, yes_no
 from wardline.operators.aggregates import latest_by
-from wardline.operators.joins import Keys, left_join_hot_right, restrict
+from wardline.operators.joins import Keys, restrict
 from wardline.operators.roles import with_role_label
+from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
 
 
@@ -39,13 +40,15 @@ def rec_patient_history(t: Tables, patient_nos: Keys = None) -> DataFrame:
     doctors = t.doctor.join(_consultant_flag(t), "staff_no", "left").select(
         F.col("staff_no").alias("doctor_staff_no"), F.col("name").alias("doctor_name"),
         yes_no(F.col("__cons")).alias("is_consultant"))
+    facts = restrict(t.ptr, "patient_no", patient_nos)
+    # doctors is partitioned on staff_no by its flag join: hot doctors are
+    # salted explicitly (AQE cannot split that join).
     return (
-        restrict(t.ptr, "patient_no", patient_nos)
+        salted_join(facts, doctors, "doctor_staff_no")
         .join(t.dim("complaint").select("complaint_code", F.col("description").alias("complaint")),
               "complaint_code")
         .join(t.treatment.select("treatment_code", F.col("description").alias("treatment")),
               "treatment_code")
-        .join(doctors, "doctor_staff_no")
         .select("patient_no", "complaint_code", "complaint", "treatment_code", "treatment",
                 F.col("doctor_staff_no").alias("doctor_no"), "doctor_name", "is_consultant",
                 "date_started", "date_ended")
@@ -76,15 +79,21 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
     """
     units = restrict(t.dim("care_unit"), "ward_name", ward_names).select(
         "care_unit_no", "ward_name")
-    treating = t.ptr.select("patient_no", "doctor_staff_no").join(
-        t.doctor.select(F.col("staff_no").alias("doctor_staff_no"),
-                        F.col("name").alias("consultant_name")),
-        "doctor_staff_no", "left")
     in_ward = t.patient.select(
         "patient_no", "patient_name", "care_unit_no", "bed_no", "date_admitted"
     ).join(units, "care_unit_no")
+    doctors = t.doctor.select(F.col("staff_no").alias("doctor_staff_no"),
+                              F.col("name").alias("consultant_name"))
+    records = t.ptr.select("patient_no", "doctor_staff_no")
+    # Patients with records: one plain join of the fact on patient_no (AQE can
+    # split a hot patient), then the doctor name by a left join whose hot
+    # keys sit on the splittable left side. Patients without records: anti
+    # join against the distinct record keys (collapsed map-side).
+    treated = in_ward.join(records, "patient_no").join(doctors, "doctor_staff_no", "left")
+    untreated = in_ward.join(records.select("patient_no").distinct(), "patient_no", "left_anti")
+    untreated = untreated.select(*in_ward.columns, F.lit(None).cast("string").alias("consultant_name"))
     return (
-        left_join_hot_right(in_ward, treating, "patient_no")
+        treated.select(*in_ward.columns, "consultant_name").unionByName(untreated)
         .select("ward_name", "patient_no", "patient_name", "care_unit_no", "bed_no",
                 "date_admitted", "consultant_name")
         .orderBy("ward_name", "patient_no", "consultant_name"))

@@ -20,6 +20,7 @@ from wardline.functions.columns import (
 )
 from wardline.operators.joins import Keys, bounded_broadcast, expand_in_order, restrict
 from wardline.operators.roles import role_rows
+from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
 
 
@@ -180,21 +181,26 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
 def q7_multi_complaint(t: Tables, min_distinct: int = 2) -> DataFrame:
     """Treatments of patients with at least ``min_distinct`` complaints.
 
-    Distinct (patient, complaint) pairs collapse map-side, so a patient with
-    a third of all records still costs one small group; the qualifying
-    patients then filter the fact through a left-semi join on patient_no,
-    the same key as the following PATIENT join (one shuffle serves both).
+    (patient, complaint) groups collapse map-side, so a patient with a third
+    of all records still costs one small group; one aggregate chain yields
+    both the distinct-complaint count and the row count per patient.
     """
-    qualifying = (
-        t.ptr.select("patient_no", "complaint_code").distinct()
-        .groupBy("patient_no").count()
-        .where(F.col("count") >= min_distinct).select("patient_no"))
-    facts = t.ptr.join(qualifying, "patient_no", "left_semi")
+    per_complaint = t.ptr.groupBy("patient_no", "complaint_code").agg(
+        F.count(F.lit(1)).alias("__rows"))
+    per_patient = per_complaint.groupBy("patient_no").agg(
+        F.count(F.lit(1)).alias("__complaints"), F.sum("__rows").alias("__n"))
+    qualifying = per_patient.where(F.col("__complaints") >= min_distinct).select("patient_no")
+    # Qualifying patients filter PATIENT; that side is partitioned on
+    # patient_no already, so AQE cannot split a hot patient in the join with
+    # the fact: hot patients are salted explicitly (the per-patient row
+    # counts come from the same aggregate).
+    patients = t.patient.select("patient_no", "patient_name").join(
+        qualifying, "patient_no", "left_semi")
     complaints = t.dim("complaint").select(
         "complaint_code", F.col("description").alias("complaint"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     return (
-        facts.join(t.patient.select("patient_no", "patient_name"), "patient_no")
+        salted_join(t.ptr, patients, "patient_no", counts=per_patient.select("patient_no", "__n"))
         .join(complaints, "complaint_code").join(treatments, "treatment_code")
         .orderBy("patient_no", "complaint_code", "date_started", "treatment_code", "date_ended")
         .select("patient_no", "patient_name", "complaint", "treatment", "date_started",
@@ -230,9 +236,14 @@ def q9_doctor_performance(t: Tables, staff_nos: Keys = None) -> DataFrame:
 def q10_patient_full(t: Tables, patient_nos: Keys = None) -> DataFrame:
     """Full medical details per patient (inner on PTR: untreated patients drop out)."""
     patients = restrict(t.patient, "patient_no", patient_nos)
-    facts = restrict(t.ptr, "patient_no", patient_nos)
+    facts = restrict(t.ptr, "patient_no", patient_nos).select(
+        "patient_no", "doctor_staff_no", "complaint_code", "treatment_code", "date_started",
+        "date_ended")
     units = t.dim("care_unit").select("care_unit_no", "ward_name")
     wards = t.dim("ward").select("ward_name", "specialty_name")
+    # The doctor side carries its consultant flag from a join on staff_no, so
+    # it is already partitioned on the join key and AQE could not split a hot
+    # doctor: salted_join handles hot doctors explicitly.
     doctors = t.doctor.join(
         t.consultant.select("staff_no", F.col("staff_no").alias("__cons")), "staff_no", "left"
     ).select(F.col("staff_no").alias("doctor_staff_no"), F.col("name").alias("doctor_name"),
@@ -241,12 +252,10 @@ def q10_patient_full(t: Tables, patient_nos: Keys = None) -> DataFrame:
         "complaint_code", F.col("description").alias("complaint"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     return (
-        patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
-                        "care_unit_no", "bed_no")
-        .join(units, "care_unit_no").join(wards, "ward_name")
-        .join(facts.select("patient_no", "doctor_staff_no", "complaint_code", "treatment_code",
-                           "date_started", "date_ended"), "patient_no")
-        .join(doctors, "doctor_staff_no")
+        salted_join(facts, doctors, "doctor_staff_no")
+        .join(patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
+                              "care_unit_no", "bed_no")
+              .join(units, "care_unit_no").join(wards, "ward_name"), "patient_no")
         .join(complaints, "complaint_code").join(treatments, "treatment_code")
         .select("patient_no", "patient_name", "date_of_birth", "date_admitted", "ward_name",
                 "specialty_name", "care_unit_no", "bed_no",
