@@ -25,7 +25,9 @@ def _rows(df):
 def test_salted_join_equals_plain_join(spark):
     fact, dim = _fact(spark), _dim(spark)
     for how in ("inner", "left"):
-        assert _rows(salted_join(fact, dim, "k", how)) == _rows(fact.join(dim, "k", how))
+        want = _rows(fact.join(dim, "k", how))
+        assert _rows(salted_join(fact, dim, "k", how, max_broadcast_rows=0)) == want  # salted
+        assert _rows(salted_join(fact, dim, "k", how)) == want                        # broadcast
 
 
 def test_hot_keys_are_bounded_and_salted(spark):
@@ -40,7 +42,7 @@ def test_hot_keys_are_bounded_and_salted(spark):
 
 def test_hot_rows_spread_over_salts(spark):
     fact, dim = _fact(spark), _dim(spark)
-    joined = salted_join(fact, dim, "k")
+    joined = salted_join(fact, dim, "k", max_broadcast_rows=0)
     assert joined.where("k = 'H'").count() == 500
     spread = (fact.where("k = 'H'")
               .select(F.pmod(F.xxhash64("k", "v"), F.lit(4)).alias("s"))

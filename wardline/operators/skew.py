@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.joins import BROADCAST_MAX_ROWS, row_count_at_most
+
 MAX_HOT_KEYS = 1000
 _SALT, _SALTS, _N = "__salt", "__salts", "__n"
 
@@ -41,14 +43,20 @@ def hot_keys(counts: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
-                counts: DataFrame | None = None) -> DataFrame:
+                counts: DataFrame | None = None, dim_bound: DataFrame | None = None,
+                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``fact JOIN dim USING (key)`` (inner or left) with hot keys salted.
 
-    ``counts`` (key, __n) may be passed when the caller already aggregates
-    the fact per key; otherwise it is computed here.
+    When ``dim_bound`` (a table with at least as many rows as ``dim``,
+    default ``dim`` itself) provably has at most ``max_broadcast_rows`` rows,
+    ``dim`` is broadcast instead: a broadcast hash join streams the fact
+    without a shuffle, so hot keys cost nothing extra. ``counts`` (key, __n)
+    may be passed when the caller already aggregates the fact per key.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
+    if row_count_at_most(dim if dim_bound is None else dim_bound, max_broadcast_rows):
+        return fact.join(F.broadcast(dim), key, how)
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias(_N))

@@ -200,7 +200,8 @@ def q7_multi_complaint(t: Tables, min_distinct: int = 2) -> DataFrame:
         "complaint_code", F.col("description").alias("complaint"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     return (
-        salted_join(t.ptr, patients, "patient_no", counts=per_patient.select("patient_no", "__n"))
+        salted_join(t.ptr, patients, "patient_no", counts=per_patient.select("patient_no", "__n"),
+                    dim_bound=t.patient)
         .join(complaints, "complaint_code").join(treatments, "treatment_code")
         .orderBy("patient_no", "complaint_code", "date_started", "treatment_code", "date_ended")
         .select("patient_no", "patient_name", "complaint", "treatment", "date_started",
