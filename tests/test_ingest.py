@@ -115,3 +115,20 @@ def test_dense_index_and_assign_ids_across_partitions(spark):
     got = assign_ids(rows, existing, "patient_no", "PAT", ["arrival_seq"])
     keys = dict(collect(got, "arrival_seq", "patient_no"))
     assert keys[0] == "PAT-999" and keys[1] == "PAT-1000" and keys[999] == "PAT-1998"
+
+
+def test_classify_salted_path_matches_broadcast_path(make_tables, spark, monkeypatch):
+    import functools
+
+    from wardline.operators import skew
+
+    t = make_tables(specialty=[("Cardio",)])
+    rows = [(i, "Neuro" if i % 3 else f" S{i % 7} ") for i in range(300)] + [(999, "Cardio")]
+    cands = spark.createDataFrame(rows, "arrival_seq long, specialty_name string")
+    want = sorted(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
+    monkeypatch.setattr(I, "salted_join",
+                        functools.partial(skew.salted_join, max_broadcast_rows=0))
+    got = sorted(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
+    assert got == want
+    assert dict(want)[1] == "accepted" and dict(want)[2] == "duplicate_key"
+    assert dict(want)[999] == "duplicate_key"

@@ -35,6 +35,7 @@ from wardline.functions.columns import (
     php_intval,
 )
 from wardline.operators.joins import bounded_broadcast
+from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
 from wardline.sources.schemas import SCHEMAS
 
@@ -90,8 +91,11 @@ def classify(cleaned: DataFrame, target: DataFrame, key: str, required: list[str
     outcome = (F.when(F.col("__reject").isNotNull(), F.col("__reject"))
                .when(F.col("__win") == mine, F.lit("accepted"))
                .otherwise(F.lit("duplicate_key")))
-    return marked.join(winners, key, "left").withColumn("outcome", outcome).drop(
-        "__reject", "__win")
+    # winners is partitioned on the key by its aggregate, so AQE could not
+    # split a key repeated across a large share of the batch: salted_join
+    # (broadcast when the batch itself is provably small).
+    return salted_join(marked, winners, key, "left", dim_bound=marked).withColumn(
+        "outcome", outcome).drop("__reject", "__win")
 
 
 def _append(target: DataFrame, rows: DataFrame, name: str) -> DataFrame:
