@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 # this many rows. Dimension rows here are a few short strings (< 200 bytes),
 # so the broadcast stays under ~20 MB per executor.
 BROADCAST_MAX_ROWS = 100_000
+# Session override, e.g. 0 to plan every join as if all tables were large.
+CONF_BROADCAST_MAX_ROWS = "wardline.broadcast.maxRows"
+
+
+def broadcast_max_rows(df: DataFrame) -> int:
+    """The broadcast row bound: session setting or BROADCAST_MAX_ROWS."""
+    return int(df.sparkSession.conf.get(CONF_BROADCAST_MAX_ROWS, str(BROADCAST_MAX_ROWS)))
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -22,13 +29,14 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast only for a side whose size was checked.
 
     Above the bound the plain DataFrame is returned and the planner (with AQE
     measuring real shuffle sizes) picks a shuffle join instead.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    bound = broadcast_max_rows(df) if max_rows is None else max_rows
+    return F.broadcast(df) if row_count_at_most(df, bound) else df
 
 
 Keys = None | str | Iterable[str] | DataFrame
@@ -79,7 +87,7 @@ def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFram
 
 
 def expand_in_order(left: DataFrame, right: DataFrame, key: str, order_prefix: list[str],
-                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    max_rows: int | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` for a one-to-many right side, when
     the result is then sorted starting with ``order_prefix`` (left columns).
 
@@ -91,7 +99,7 @@ def expand_in_order(left: DataFrame, right: DataFrame, key: str, order_prefix: l
     fanned-out rows are never shuffled. Otherwise it is the skew-safe shuffle
     join of ``left_join_hot_right`` and the final sort shuffles as usual.
     """
-    if row_count_at_most(right, max_rows):
+    if row_count_at_most(right, broadcast_max_rows(right) if max_rows is None else max_rows):
         parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return left.repartitionByRange(parts, *order_prefix).join(F.broadcast(right), key, "left")
     return left_join_hot_right(left, right, key)

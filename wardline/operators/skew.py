@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.joins import BROADCAST_MAX_ROWS, row_count_at_most
+from wardline.operators.joins import broadcast_max_rows, row_count_at_most
 
 MAX_HOT_KEYS = 1000
 _SALT, _SALTS, _N = "__salt", "__salts", "__n"
@@ -44,7 +44,7 @@ def hot_keys(counts: DataFrame, key: str, parts: int) -> DataFrame:
 
 def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
                 counts: DataFrame | None = None, dim_bound: DataFrame | None = None,
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                max_broadcast_rows: int | None = None) -> DataFrame:
     """``fact JOIN dim USING (key)`` (inner or left) with hot keys salted.
 
     When ``dim_bound`` (a table with at least as many rows as ``dim``,
@@ -55,7 +55,9 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    if row_count_at_most(dim if dim_bound is None else dim_bound, max_broadcast_rows):
+    bound_df = dim if dim_bound is None else dim_bound
+    bound = broadcast_max_rows(fact) if max_broadcast_rows is None else max_broadcast_rows
+    if row_count_at_most(bound_df, bound):
         return fact.join(F.broadcast(dim), key, how)
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:

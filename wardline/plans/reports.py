@@ -113,7 +113,7 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
         "position")
     pairs = (
         t.ptr.select("doctor_staff_no", "patient_no")
-        .join(bounded_broadcast(juniors.select("doctor_staff_no"), 1_000_000),
+        .join(bounded_broadcast(juniors.select("doctor_staff_no")),
               "doctor_staff_no", "left_semi")
         .distinct())
     nurses = t.nurse
@@ -161,9 +161,12 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
         "complaint_code", F.col("description").alias("complaint"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     doctors = _doctor_cols(t, doctor_staff_no="staff_no", doctor_name="name")
+    # A doctor may own a large share of the combinations; the doctor join is
+    # salted (or broadcast when DOCTOR is provably small) so neither it nor
+    # the distinct and experience join after it keep a hot doctor in one task.
+    described = keys.join(complaints, "complaint_code").join(treatments, "treatment_code")
     combos = (
-        keys.join(complaints, "complaint_code").join(treatments, "treatment_code")
-        .join(doctors, "doctor_staff_no")
+        salted_join(described, doctors, "doctor_staff_no", dim_bound=t.doctor)
         .select("complaint_code", "complaint", "treatment",
                 F.col("doctor_staff_no").alias("doctor_no"), "doctor_name")
         .distinct())

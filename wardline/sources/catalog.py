@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
 
-from wardline.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
+from wardline.operators.joins import bounded_broadcast
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -37,7 +37,7 @@ class Tables(Mapping[str, DataFrame]):
         except KeyError as exc:
             raise AttributeError(name) from exc
 
-    def dim(self, name: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    def dim(self, name: str, max_rows: int | None = None) -> DataFrame:
         if name not in self._dims:
             self._dims[name] = bounded_broadcast(self._frames[name], max_rows)
         return self._dims[name]
