@@ -9,15 +9,8 @@ from pyspark.sql import functions as F
 # (space, tab, newline, carriage return, NUL, vertical tab).
 TRIM_CHARS = " \t\n\r\x00\x0b"
 
-# Doctor positions offered by the reference's doctor form,
-# plus the value forced by the consultant flag.
-DOCTOR_POSITIONS = (
-    "student(s)",
-    "junior houseman(jh)",
-    "senior houseman(sh)",
-    "assistant registrar(ar)",
-    "registrar(r)",
-)
+# The position forced by the consultant flag, and the
+# positions the junior-doctor report selects.
 CONSULTANT_POSITION = "consultant"
 JUNIOR_POSITIONS = ("junior houseman(jh)", "student(s)")
 
