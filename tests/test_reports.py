@@ -141,3 +141,12 @@ def test_q3_q8_row_per_record(make_tables):
     t = _care(make_tables)
     assert R.q3_patient_treatments(t).count() == 4
     assert R.q8_by_complaint_treatment(t).count() == 4
+
+
+def test_q7_null_complaint_code_is_not_a_complaint(make_tables):
+    t = _care(make_tables, ptr=[
+        ("P1", "C1", "T1", "D2", d("2024-01-02"), None),
+        ("P1", None, "T1", "D2", d("2024-01-03"), None),   # COUNT(DISTINCT) ignores NULL
+        ("P2", "C1", "T1", "D2", d("2024-01-02"), None),
+        ("P2", "C2", "T1", "D2", d("2024-01-03"), None)])
+    assert {r[0] for r in collect(R.q7_multi_complaint(t), "patient_no")} == {"P2"}

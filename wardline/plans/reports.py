@@ -191,7 +191,8 @@ def q7_multi_complaint(t: Tables, min_distinct: int = 2) -> DataFrame:
     per_complaint = t.ptr.groupBy("patient_no", "complaint_code").agg(
         F.count(F.lit(1)).alias("__rows"))
     per_patient = per_complaint.groupBy("patient_no").agg(
-        F.count(F.lit(1)).alias("__complaints"), F.sum("__rows").alias("__n"))
+        F.count("complaint_code").alias("__complaints"),  # NULL codes do not count
+        F.sum("__rows").alias("__n"))
     qualifying = per_patient.where(F.col("__complaints") >= min_distinct).select("patient_no")
     # Qualifying patients filter PATIENT; that side is partitioned on
     # patient_no already, so AQE cannot split a hot patient in the join with
