@@ -17,6 +17,9 @@ from wardline.sources.schemas import SCHEMAS
 # Files of the fact table are range-partitioned and sorted by start date, so
 # Parquet min/max statistics prune whole files / row groups for date ranges.
 FACT_LAYOUT = {"ptr": ["date_started", "complaint_code"]}
+# Upper bound on rows per output file (a few hundred MB of fact rows), so a
+# large range partition becomes several files instead of one huge one.
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def save_tables(tables: Tables, path: str, files_per_table: int | None = None,
@@ -33,7 +36,8 @@ def save_tables(tables: Tables, path: str, files_per_table: int | None = None,
         if layout:
             n = files_per_table or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             df = df.repartitionByRange(n, *layout).sortWithinPartitions(*layout)
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        df.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(
+            f"{path}/{name}")
 
     # Largest first so the fact table does not start last.
     order = sorted(tables, key=lambda n: n not in FACT_LAYOUT)
@@ -50,7 +54,7 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
 
 def write_snapshot(df: DataFrame, path: str) -> None:
     """A new Parquet snapshot directory; refuses to overwrite."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:
