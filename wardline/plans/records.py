@@ -65,7 +65,8 @@ def rec_ward_nurses(t: Tables, ward_names: Keys = None) -> DataFrame:
     """Nurses of a ward with one role label (Day > Night > Staff > Non-Reg, else 'Nurse')."""
     nurses = restrict(t.nurse, "ward_name", ward_names).select(
         "ward_name", "staff_no", "name", "care_unit_no")
-    return with_role_label(nurses, t, WARD_FORM_ROLE_FALLBACK).select(
+    return with_role_label(nurses, t, WARD_FORM_ROLE_FALLBACK,
+                           narrow=ward_names is not None).select(
         "ward_name", "staff_no", "name", "care_unit_no", "role"
     ).orderBy("ward_name", "role", "name", "staff_no")
 
@@ -91,7 +92,8 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
     # join against the distinct record keys (collapsed map-side).
     treated = in_ward.join(records, "patient_no").join(doctors, "doctor_staff_no", "left")
     untreated = in_ward.join(records.select("patient_no").distinct(), "patient_no", "left_anti")
-    untreated = untreated.select(*in_ward.columns, F.lit(None).cast("string").alias("consultant_name"))
+    untreated = untreated.select(*in_ward.columns,
+                                 F.lit(None).cast("string").alias("consultant_name"))
     return (
         treated.select(*in_ward.columns, "consultant_name").unionByName(untreated)
         .select("ward_name", "patient_no", "patient_name", "care_unit_no", "bed_no",
