@@ -61,6 +61,16 @@ class IngestResult:
         return self.outcome.where(F.col("outcome") != "accepted").withColumnRenamed(
             "outcome", "reason")
 
+    def write(self, path: str, mode: str = "errorifexists") -> dict[str, str]:
+        """Write ``path/_outcome`` and one new snapshot per table; returns
+        table -> snapshot path. The default mode never overwrites."""
+        self.outcome.write.mode(mode).parquet(f"{path}/_outcome")
+        paths = {}
+        for table, snapshot in self.snapshots.items():
+            snapshot.write.mode(mode).parquet(f"{path}/{table}")
+            paths[table] = f"{path}/{table}"
+        return paths
+
 
 def optional_date(c: Column | str) -> tuple[Column, Column]:
     """(value, invalid): blank -> NULL date; unparsable -> NULL and invalid."""

@@ -79,13 +79,8 @@ def batch_writer(entity: str, log: VersionLog) -> Callable[[DataFrame, int], Non
         if log.committed(batch_id):
             return  # retry of a committed micro-batch
         version = f"{log.state_dir}/v{batch_id:010d}"
-        result = ingest(log.tables(), batch)
-        result.outcome.write.mode("overwrite").parquet(f"{version}/_outcome")
-        paths = {}
-        for table, snapshot in result.snapshots.items():
-            path = f"{version}/{table}"
-            snapshot.write.mode("overwrite").parquet(path)
-            paths[table] = path
+        # An uncommitted version left by a failed attempt is rewritten.
+        paths = ingest(log.tables(), batch).write(version, mode="overwrite")
         log.commit(batch_id, paths)
 
     return apply
