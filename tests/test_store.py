@@ -67,6 +67,9 @@ def test_bucketed_layout_removes_fact_shuffle_on_patient(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Bucketed: true" in plan
+    stats = spark.sql("DESCRIBE TABLE EXTENDED wl_bucket_test.patient").where(
+        "col_name = 'Statistics'").collect()
+    assert stats and "rows" in stats[0]["data_type"]
     assert "hashpartitioning(patient_no" not in plan
     assert R.q7_multi_complaint(t).count() == R.q7_multi_complaint(build_tables(spark, SF)).count()
 

@@ -107,17 +107,25 @@ BUCKET_KEYS = {
 }
 
 
-def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
+def save_bucketed(tables: Tables, database: str, buckets: int, analyze: bool = True) -> None:
     """Save all tables into catalog ``database``; the BUCKET_KEYS tables
-    bucketed and sorted by their key into ``buckets`` buckets."""
+    bucketed and sorted by their key into ``buckets`` buckets.
+
+    With ``analyze`` the catalog also gets row counts and sizes (ANALYZE
+    TABLE), so static join planning (broadcast or not, join order with
+    ``spark.sql.cbo.enabled``) uses real statistics instead of file sizes.
+    """
     spark = next(iter(tables.values())).sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, df in tables.items():
-        writer = df.write.mode("errorifexists").format("parquet")
+        writer = df.write.mode("errorifexists").format("parquet").option(
+            "maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         key = BUCKET_KEYS.get(name)
         if key:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{database}.{name}")
+        if analyze:
+            spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS")
 
 
 def load_catalog(spark: SparkSession, database: str) -> Tables:
