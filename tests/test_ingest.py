@@ -19,8 +19,10 @@ def test_trim_matches_php(spark):
 
 
 def test_intval(spark):
-    df = spark.createDataFrame([(None,), (" 3",), ("4 units",), ("x",), ("-2",), ("",)], "s string")
-    assert [r[0] for r in collect(df.select(php_intval(F.col("s"), 2)))] == [2, 3, 4, 0, -2, 0]
+    vals = [None, " 3", "4 units", "x", "-2", "", "1e3", "3.9", "-2.5x", ".5", "\t7"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r[0] for r in collect(df.select(php_intval(F.col("s"), 2)))]
+    assert got == [2, 3, 4, 0, -2, 0, 1000, 3, -2, 0, 7]
 
 
 def test_patient_batch_first_wins_and_bed_update(make_tables, spark):

@@ -71,11 +71,15 @@ def key_number(key: Column, prefix: str) -> Column:
 
 
 def php_intval(c: Column, default: int) -> Column:
-    """PHP intval(): leading optional-sign digits after whitespace, else 0.
+    """PHP intval() of a form string: the leading numeric prefix after
+    whitespace (sign, digits, optional fraction and exponent) truncated
+    toward zero; no numeric prefix gives 0.
 
     A missing field (NULL) takes ``default`` like ``?? default`` in the form
     handler. Values outside the INT range become NULL.
     """
-    digits = F.regexp_extract(c, r"^[ \t\n\r\x0b\f]*([+-]?[0-9]+)", 1)
-    parsed = F.when(digits == F.lit(""), F.lit(0)).otherwise(digits.try_cast("int"))
+    number = F.regexp_extract(
+        c, r"^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
+    parsed = F.when(number == F.lit(""), F.lit(0)).otherwise(
+        number.try_cast("double").try_cast("int"))
     return F.when(c.isNull(), F.lit(default)).otherwise(parsed)

@@ -542,12 +542,14 @@ INGEST = ",\n".join([
 _SPEC = _classify_sql(
     "specialty", f"SELECT arrival_seq, {_tr('specialty_name')} AS specialty_name FROM c_specialty",
     "t_specialty", "specialty_name", ["specialty_name"], "FALSE", ["arrival_seq", "specialty_name"])
+_NUM = "'^\\s*([+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)'"
 _WARD = _classify_sql(
     "ward", f"""SELECT arrival_seq, {_tr('ward_name')} AS ward_name,
        {_tr('specialty_name')} AS specialty_name,
        CASE WHEN num_care_units IS NULL THEN 2
-            WHEN regexp_extract(num_care_units, '^\\s*([+-]?[0-9]+)', 1) = '' THEN 0
-            ELSE TRY_CAST(regexp_extract(num_care_units, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER)
+            WHEN regexp_extract(num_care_units, {_NUM}, 1) = '' THEN 0
+            ELSE TRY_CAST(trunc(TRY_CAST(regexp_extract(num_care_units, {_NUM}, 1) AS DOUBLE))
+                          AS INTEGER)
        END AS number_of_care_units FROM c_ward""",
     "t_ward", "ward_name", ["ward_name", "specialty_name"], "FALSE",
     ["arrival_seq", "ward_name", "specialty_name", "number_of_care_units"])
