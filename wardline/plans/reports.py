@@ -258,9 +258,10 @@ def q10_patient_full(t: Tables, patient_nos: Keys = None) -> DataFrame:
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     return (
         salted_join(facts, doctors, "doctor_staff_no")
-        .join(patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
-                              "care_unit_no", "bed_no")
-              .join(units, "care_unit_no").join(wards, "ward_name"), "patient_no")
+        .join(bounded_broadcast(   # a joined plan's size estimate is useless; count it
+            patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
+                            "care_unit_no", "bed_no")
+            .join(units, "care_unit_no").join(wards, "ward_name")), "patient_no")
         .join(complaints, "complaint_code").join(treatments, "treatment_code")
         .select("patient_no", "patient_name", "date_of_birth", "date_admitted", "ward_name",
                 "specialty_name", "care_unit_no", "bed_no",
