@@ -1,8 +1,8 @@
-"""Skew check: one patient and one doctor each hold a third of all records.
+"""Skew check: one patient and one junior doctor each hold a third of all records.
 
 Usage: python scripts/skew_check.py [sf_dir]   (default /root/testdata/sf0.01)
 
-Builds the tables, rewrites PTR so that PAT-001 and DOC-001 each own about a
+Builds the tables, rewrites PTR so that PAT-001 and DOC-004 each own about a
 third of the rows, then plans every fact job as if all tables were large
 (no broadcast; ``wardline.broadcast.maxRows`` = 0) with AQE skew thresholds
 scaled down to this data size. For each job it prints the joins split by AQE
@@ -71,12 +71,12 @@ def main() -> None:
     t = build_tables(spark, sf_dir)
     bucket = F.pmod(F.crc32(F.concat_ws("|", "treatment_code", "date_started")), F.lit(3))
     ptr = t.ptr.withColumn("patient_no", F.when(bucket == 0, F.lit("PAT-001")).otherwise(
-        F.col("patient_no"))).withColumn("doctor_staff_no", F.when(bucket == 1, F.lit("DOC-001"))
+        F.col("patient_no"))).withColumn("doctor_staff_no", F.when(bucket == 1, F.lit("DOC-004"))
                                          .otherwise(F.col("doctor_staff_no")))
     skewed = t.replace(ptr=ptr)
     shares = ptr.agg(F.avg((F.col("patient_no") == "PAT-001").cast("int")).alias("p"),
-                     F.avg((F.col("doctor_staff_no") == "DOC-001").cast("int")).alias("d")).first()
-    print(f"hot shares: PAT-001 {shares['p']:.2f}, DOC-001 {shares['d']:.2f}")
+                     F.avg((F.col("doctor_staff_no") == "DOC-004").cast("int")).alias("d")).first()
+    print(f"hot shares: PAT-001 {shares['p']:.2f}, DOC-004 {shares['d']:.2f}")
     for name, job in JOBS.items():
         want = canon(job(skewed))  # default settings
         for k, v in LARGE_TABLE_MODE.items():

@@ -18,7 +18,14 @@ from wardline.functions.columns import (
     POSITION_COUNT_LABELS,
     yes_no,
 )
-from wardline.operators.joins import Keys, bounded_broadcast, expand_in_order, restrict
+from wardline.operators.joins import (
+    Keys,
+    bounded_broadcast,
+    broadcast_max_rows,
+    expand_in_order,
+    restrict,
+    row_count_at_most,
+)
 from wardline.operators.roles import role_rows
 from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
@@ -111,11 +118,15 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
     juniors = t.doctor.where(F.col("position").isin(*JUNIOR_POSITIONS)).select(
         F.col("staff_no").alias("doctor_staff_no"), F.col("name").alias("junior_doctor"),
         "position")
-    pairs = (
-        t.ptr.select("doctor_staff_no", "patient_no")
-        .join(bounded_broadcast(juniors.select("doctor_staff_no")),
-              "doctor_staff_no", "left_semi")
-        .distinct())
+    junior_keys = juniors.select("doctor_staff_no")
+    visits = t.ptr.select("doctor_staff_no", "patient_no")
+    if row_count_at_most(junior_keys, broadcast_max_rows(junior_keys)):
+        # map-side filter, then distinct pairs (partial aggregation map-side)
+        pairs = visits.join(F.broadcast(junior_keys), "doctor_staff_no", "left_semi").distinct()
+    else:
+        # distinct pairs first (collapsed map-side), so the semi join sees
+        # plain shuffle stages and AQE can split a hot junior doctor
+        pairs = visits.distinct().join(junior_keys, "doctor_staff_no", "left_semi")
     nurses = t.nurse
     if strict:
         nurses = nurses.join(t.staff_nurse, "staff_no", "left_semi")
