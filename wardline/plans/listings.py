@@ -7,8 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.columns import CONSULTANT_POSITION, NURSE_LIST_ROLE_FALLBACK, yes_no
+from wardline.functions.columns import (
+    CONSULTANT_POSITION,
+    NURSE_LIST_ROLE_FALLBACK,
+    format_key,
+    yes_no,
+)
 from wardline.operators.aggregates import attach_counts, count_by
+from wardline.operators.ids import next_number
 from wardline.operators.joins import Keys, restrict
 from wardline.operators.roles import with_role_label
 from wardline.sources.catalog import Tables
@@ -22,6 +28,14 @@ DASHBOARD_TILES = (
     ("Beds", "bed"),
     ("Specialties", "specialty"),
 )
+# The four tables the reference pre-computes next IDs for
+# (label, table, key column, key prefix).
+NEXT_ID_TABLES = (
+    ("PATIENT", "patient", "patient_no", "PAT"),
+    ("DOCTOR", "doctor", "staff_no", "DOC"),
+    ("NURSE", "nurse", "staff_no", "NUR"),
+    ("BED", "bed", "bed_no", "BED"),
+)
 RECENT_ADMISSIONS = 5
 COMPLAINT_LABEL_CHARS = 40
 
@@ -162,3 +176,11 @@ def free_beds_by_unit(t: Tables, care_unit_nos: Keys = None) -> DataFrame:
     """Free beds (is_occupied = 0; NULL is not free) per care unit, one row per bed."""
     return restrict(t.bed, "care_unit_no", care_unit_nos).where(F.col("is_occupied") == 0).select(
         "care_unit_no", "bed_no").orderBy("care_unit_no", "bed_no")
+
+
+def next_ids(t: Tables) -> DataFrame:
+    """(table_name, next_id): MAX numeric suffix + 1 per numbered table."""
+    parts = [next_number(t[name], key, prefix).select(
+        F.lit(label).alias("table_name"), format_key(prefix, F.col("next_no")).alias("next_id"))
+        for label, name, key, prefix in NEXT_ID_TABLES]
+    return reduce(DataFrame.unionByName, parts)

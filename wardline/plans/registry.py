@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-
-from wardline.oracle import Q11_PARAMS
 from pyspark.sql import functions as F
 
-from wardline.operators.ids import assign_ids, next_number
+from wardline.functions.columns import NURSE_ROLES
+from wardline.operators.ids import assign_ids
+from wardline.oracle import Q11_PARAMS
 from wardline.plans import ingest as I
 from wardline.plans import listings as L
 from wardline.plans import records as C
 from wardline.plans import reports as R
 from wardline.session import tune
-from wardline.sources.catalog import Tables
 from wardline.sources.batches import scenario
+from wardline.sources.catalog import Tables
 from wardline.sources.fixtures import build_tables
 
 Job = Callable[[Tables], DataFrame]
@@ -64,38 +65,18 @@ JOBS: dict[str, Job] = {
     "lk_doctors": L.lk_doctors,
     "units_by_ward": L.units_by_ward,
     "free_beds_by_unit": L.free_beds_by_unit,
+    "next_ids": L.next_ids,
 }
 
 
-# The four tables the reference pre-computes next IDs for.
-NEXT_ID_TABLES = (("PATIENT", "patient", "patient_no", "PAT"),
-                  ("DOCTOR", "doctor", "staff_no", "DOC"),
-                  ("NURSE", "nurse", "staff_no", "NUR"),
-                  ("BED", "bed", "bed_no", "BED"))
-
-
-def next_ids(t: Tables) -> DataFrame:
-    """(table_name, next_id) for the four numbered tables."""
-    from functools import reduce
-
-    from wardline.functions.columns import format_key
-    parts = [next_number(t[name], key, prefix).select(
-        F.lit(label).alias("table_name"), format_key(prefix, F.col("next_no")).alias("next_id"))
-        for label, name, key, prefix in NEXT_ID_TABLES]
-    return reduce(DataFrame.unionByName, parts)
-
-
-JOBS["next_ids"] = next_ids
-
 ScenarioJob = Callable[[Tables, Tables, dict], DataFrame]
 
 
 def _nurse_roles(full: Tables, target: Tables, b: dict) -> DataFrame:
-    from functools import reduce
+    """New role-table snapshots after the nurse batch, tagged by table."""
     res = I.ingest_nurse(target, b["nurse"])
     return reduce(DataFrame.unionByName, [
-        res.snapshots[r].select(F.lit(r).alias("role_table"), "staff_no")
-        for r in ("day_sister", "night_sister", "staff_nurse", "non_reg_nurse")])
+        res.snapshots[r].select(F.lit(r).alias("role_table"), "staff_no") for r in NURSE_ROLES])
 
 
 def _assign_patient_ids(full: Tables, target: Tables, b: dict) -> DataFrame:
