@@ -40,3 +40,18 @@ def test_first_wins_equals_sequential_posts(spark, make_tables, existing, posts,
     cands = spark.createDataFrame(batch, "arrival_seq long, specialty_name string")
     got = dict(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
     assert got == sequential(existing, batch)
+
+
+@settings(max_examples=5, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(min_value=0, max_value=300), parts=st.integers(min_value=1, max_value=9),
+       seed=st.integers(min_value=0, max_value=10_000))
+def test_dense_index_is_the_sorted_position(spark, n, parts, seed):
+    import random
+
+    from wardline.operators.ids import dense_index
+
+    seqs = random.Random(seed).sample(range(10 * n + 1), n)
+    df = spark.createDataFrame([(s,) for s in seqs], "arrival_seq long").repartition(parts)
+    got = sorted((r["arrival_seq"], r["__idx"]) for r in dense_index(df, ["arrival_seq"]).collect())
+    assert got == [(s, i) for i, s in enumerate(sorted(seqs))]
