@@ -11,7 +11,8 @@ fact stays in one task. ``salted_join`` handles those joins:
    there are at most MAX_HOT_KEYS of them: a broadcast with a proven bound;
 3. a hot key's fact rows spread over ``salts`` buckets by a hash of the whole
    row (deterministic, so a recomputed task routes rows the same way), with
-   ``salts`` proportional to the key's share of the rows;
+   ``salts`` proportional to the key's share of the rows (rows identical in
+   every column share a bucket; results are unaffected either way);
 4. the matching dimension rows are replicated once per salt (at most
    MAX_HOT_KEYS x shuffle partitions extra rows);
 5. the join runs on (key, salt); every fact row meets exactly one replica,
