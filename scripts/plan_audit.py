@@ -32,6 +32,9 @@ PATTERNS = {
 }
 
 
+HEADLINE = ("q3_patient_treatments", "q7_multi_complaint", "q11_complaint_daterange")
+
+
 def plan_text(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
@@ -74,6 +77,14 @@ def main() -> None:
             a = " | ".join(str(small[c]) for c in cols)
             b = " | ".join(str(large[c]) for c in cols)
             fh.write(f"| `{name}` | {a} | {b} | {pushed} |\n")
+        fh.write("\n## Headline plans in large-table mode\n")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in HEADLINE:
+            text = plan_text(JOBS[name](tables))
+            lines = [ln.replace(f"file:{snap.rstrip('/')}", "<snapshot>")[:220]
+                     for ln in text.splitlines() if ln.strip()]
+            fh.write(f"\n### {name}\n\n```\n" + "\n".join(lines) + "\n```\n")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.stop()
 
 
