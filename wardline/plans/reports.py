@@ -75,7 +75,7 @@ def q2_ward_staffing(t: Tables) -> DataFrame:
         F.min("name").alias("staff_nurse_in_charge"))
     return (
         t.ward.select("ward_name", "specialty_name")
-        .join(t.care_unit.select("care_unit_no", "ward_name"), "ward_name")
+        .join(t.dim("care_unit").select("care_unit_no", "ward_name"), "ward_name")
         .join(sisters, "ward_name", "left")
         .join(unit_nurse, "care_unit_no", "left")
         .select("ward_name", "specialty_name", "day_sister", "night_sister", "care_unit_no",
