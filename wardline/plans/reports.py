@@ -73,6 +73,9 @@ def q2_ward_staffing(t: Tables) -> DataFrame:
         pick("day_sister").alias("day_sister"), pick("night_sister").alias("night_sister"))
     unit_nurse = staffed.where(F.col("role") == "staff_nurse").groupBy("care_unit_no").agg(
         F.min("name").alias("staff_nurse_in_charge"))
+    # Both lookups are grouped from NURSE rows, so NURSE's size bounds theirs.
+    if row_count_at_most(t.nurse, broadcast_max_rows(t.nurse)):
+        sisters, unit_nurse = F.broadcast(sisters), F.broadcast(unit_nurse)
     return (
         t.ward.select("ward_name", "specialty_name")
         .join(t.dim("care_unit").select("care_unit_no", "ward_name"), "ward_name")
