@@ -44,3 +44,22 @@ def test_private_folder_only_for_local_sessions():
     assert path and s.sparkContext.dir == path
     with pytest.raises(RuntimeError):
         checkpoint_dir(_Session("spark://cluster:7077"))
+
+
+def test_size_shuffles(spark):
+    from wardline.session import size_shuffles
+
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        # 100 TB at 256 MB per partition -> 409,600, capped at 200,000
+        assert size_shuffles(spark, 100 * 1024**4) == 200_000
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        assert size_shuffles(spark, 10 * 1024**3) == 200  # small input: the floor
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
