@@ -55,3 +55,25 @@ def test_dense_index_is_the_sorted_position(spark, n, parts, seed):
     df = spark.createDataFrame([(s,) for s in seqs], "arrival_seq long").repartition(parts)
     got = sorted((r["arrival_seq"], r["__idx"]) for r in dense_index(df, ["arrival_seq"]).collect())
     assert got == [(s, i) for i, s in enumerate(sorted(seqs))]
+
+
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["D1", "D2", "D3"]),
+                               st.one_of(st.none(), st.integers(min_value=1, max_value=4)),
+                               st.sampled_from(["A", "B", "C", "D", None])),
+                     min_size=1, max_size=15))
+def test_latest_grade_rule(spark, make_tables, rows):
+    import datetime as dt
+
+    from wardline.plans.records import latest_grades
+
+    progress = [(i, staff, "E", "p", None if day is None else dt.date(2024, 1, day), grade)
+                for i, (staff, day, grade) in enumerate(rows)]
+    got = dict(collect(latest_grades(make_tables(progress=progress))))
+    want = {}
+    for pid, staff, _, _, date, grade in progress:
+        rank = (date is not None, date or dt.date.min, pid)
+        if staff not in want or rank > want[staff][0]:
+            want[staff] = (rank, grade)
+    assert got == {staff: grade for staff, (_, grade) in want.items()}
