@@ -5,6 +5,7 @@
   run JOB --tables SNAP --out DIR        run a job over a snapshot and write the result
       [--format parquet|json|show] [--keys K1,K2,...]
       [--complaint C --date-from D --date-to D]   (q11)
+      [--input-bytes N]                      size shuffles for an input of N bytes
 
 Results are written as new directories (never overwriting); ``show`` prints
 the first rows instead.
@@ -19,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from wardline.plans import reports as R
 from wardline.plans.registry import JOBS
-from wardline.session import local_session
+from wardline.session import local_session, size_shuffles
 from wardline.sources.fixtures import build_tables
 from wardline.sources.store import export_text, load_tables, save_tables, write_json, write_snapshot
 
@@ -53,6 +54,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--complaint")
     r.add_argument("--date-from")
     r.add_argument("--date-to")
+    r.add_argument("--input-bytes", type=int)
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -62,6 +64,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.cmd == "prepare":
         save_tables(build_tables(spark, args.sf_dir), args.out)
         return
+    if args.input_bytes:
+        size_shuffles(spark, args.input_bytes)
     df = _job(args.job, args)(load_tables(spark, args.tables))
     if args.format == "show":
         export_text(df).show(20, truncate=False)
