@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.quality_classifier import op1_quality_classifier
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op4_jaccard_join": op4_jaccard_join,
     }
 
 
