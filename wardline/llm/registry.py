@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.quality_classifier import op1_quality_classifier
+from wardline.llm.token_file import op7_token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op4_jaccard_join": op4_jaccard_join,
+        "op7_token_file": op7_token_file,
     }
 
 
