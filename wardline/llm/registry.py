@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.jaccard_join import op4_jaccard_join
+from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
 from wardline.llm.token_file import op7_token_file
 
@@ -15,9 +16,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_source_mixing": op5_source_mixing,
         "op7_token_file": op7_token_file,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_source_mixing": mixing_sql(),
+    }
