@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_source_mixing": op5_source_mixing,
+        "op6_decontamination": op6_decontamination,
         "op7_token_file": op7_token_file,
     }
 
