@@ -10,6 +10,7 @@ from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
+from wardline.llm.suffix_dedup import op10_suffix_dedup
 from wardline.llm.token_file import op7_token_file
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
         "op7_token_file": op7_token_file,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
