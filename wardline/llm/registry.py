@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
+from wardline.llm.line_crf import op9_line_crf
 from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
 from wardline.llm.suffix_dedup import op10_suffix_dedup
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
         "op7_token_file": op7_token_file,
+        "op9_line_crf": op9_line_crf,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
