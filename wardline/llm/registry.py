@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.llm.chat_format import CHAT_SQL, op2_chat_formatting
 from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.line_crf import op9_line_crf
@@ -18,6 +19,7 @@ from wardline.llm.token_file import op7_token_file
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_chat_formatting": op2_chat_formatting,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
@@ -29,5 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_formatting": CHAT_SQL,
         "op5_source_mixing": mixing_sql(),
     }
