@@ -10,6 +10,7 @@ from wardline.llm.chat_format import CHAT_SQL, op2_chat_formatting
 from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.line_crf import op9_line_crf
+from wardline.llm.lm_scoring import op3_lm_scoring
 from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
 from wardline.llm.suffix_dedup import op10_suffix_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
