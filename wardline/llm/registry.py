@@ -10,6 +10,7 @@ from wardline.llm.chat_format import CHAT_SQL, op2_chat_formatting
 from wardline.llm.decontamination import op6_decontamination
 from wardline.llm.jaccard_join import op4_jaccard_join
 from wardline.llm.line_crf import op9_line_crf
+from wardline.llm.line_dedup import op8_line_dedup
 from wardline.llm.lm_scoring import op3_lm_scoring
 from wardline.llm.mixing import mixing_sql, op5_source_mixing
 from wardline.llm.quality_classifier import op1_quality_classifier
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
         "op7_token_file": op7_token_file,
+        "op8_line_dedup": op8_line_dedup,
         "op9_line_crf": op9_line_crf,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
