@@ -1,11 +1,12 @@
 """DuckDB twins of every registered job, for the correctness gate.
 
 The hospital tables are re-derived here in SQL from the raw test views
-(independently of ``wardline.sources.fixtures``), and each query is written
-in the reference's own shape: correlated subqueries, IN-subqueries and
-LEFT JOIN chains. Arbitrary choices of the reference are pinned the same
-way as in the Spark jobs (smallest name for an unordered TOP 1, latest
-progress by date then progress_id).
+(independently of ``wardline.sources.fixtures``). Each query is written from
+its result definition, over a few lookup relations (``who``, ``episode``,
+``placed``, ``role_of``): membership as EXISTS or IN, counts and picks as
+filtered aggregates. Arbitrary choices are pinned the same way as in the
+Spark jobs (smallest name for an unordered pick, latest progress by date,
+then progress_id). Results are compared without their order.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ nurse AS (
   SELECT printf('NUR-%03d', p_partkey) AS staff_no, p_name AS name,
          'WARD_' || CAST(p_partkey % 25 AS VARCHAR) AS ward_name,
          'CU-' || CAST(p_partkey % 25 AS VARCHAR) || '-' ||
-           (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_size] AS care_unit_no
-  FROM part WHERE p_size <= 5),
-day_sister AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_size <= 5 AND p_type = 'ECONOMY'),
-night_sister AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_size <= 5 AND p_type = 'LARGE'),
-staff_nurse AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_size <= 5 AND p_type IN ('MEDIUM', 'PROMO')),
-non_reg_nurse AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_size <= 5 AND p_type = 'SMALL'),
+           (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_size % 5 + 1] AS care_unit_no
+  FROM part),
+day_sister AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_type = 'ECONOMY'),
+night_sister AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_type = 'LARGE'),
+staff_nurse AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_type IN ('MEDIUM', 'PROMO')),
+non_reg_nurse AS (SELECT printf('NUR-%03d', p_partkey) AS staff_no FROM part WHERE p_type = 'SMALL'),
 treatment AS (SELECT printf('TRT-%03d', p_partkey) AS treatment_code, p_name AS description FROM part),
 ptr AS (
   SELECT printf('PAT-%03d', o.o_custkey) AS patient_no,
@@ -72,7 +73,7 @@ previous_experience AS (
          CAST(e.ts AS DATE) + CAST(floor(e.value) AS INTEGER) AS to_date,
          'EST-' || CAST(e.event_id % 7 AS VARCHAR) AS establishment, e.event_type AS position
   FROM events e
-  WHERE e.event_id % 10 = 0 AND e.user_id IN (SELECT s_suppkey FROM supplier)),
+  WHERE e.event_id % 10 = 0),
 progress AS (
   SELECT e.event_id AS progress_id, printf('DOC-%03d', e.user_id) AS staff_no,
          'EST-' || CAST(e.event_id % 7 AS VARCHAR) AS establishment, e.event_type AS position,
@@ -80,7 +81,27 @@ progress AS (
          CASE WHEN e.value >= 100 THEN 'A' WHEN e.value >= 50 THEN 'B'
               WHEN e.value >= 20 THEN 'C' ELSE 'D' END AS performance_grade
   FROM events e
-  WHERE e.event_id % 10 IN (1, 2, 3) AND e.user_id IN (SELECT s_suppkey FROM supplier))
+  WHERE e.event_id % 10 <> 0),
+who AS (
+  SELECT staff_no AS doctor_no, name AS doctor_name, position AS rank_held, specialty_name AS field,
+         date_joined_team, consultant_staff_no AS leader_no,
+         CASE WHEN staff_no IN (SELECT staff_no FROM consultant) THEN 'Yes' ELSE 'No' END AS is_consultant
+  FROM doctor),
+episode AS (
+  SELECT patient_no, complaint_code, complaint, treatment_code, treatment,
+         doctor_staff_no AS doctor_no, date_started, date_ended
+  FROM ptr
+    INNER JOIN (SELECT complaint_code, description AS complaint FROM complaint) USING (complaint_code)
+    INNER JOIN (SELECT treatment_code, description AS treatment FROM treatment) USING (treatment_code)),
+placed AS (
+  SELECT * FROM patient INNER JOIN care_unit USING (care_unit_no)
+    INNER JOIN (SELECT ward_name, specialty_name FROM ward) USING (ward_name)),
+role_row AS (
+  SELECT staff_no, 1 AS place, 'Day Sister' AS title FROM day_sister UNION ALL
+  SELECT staff_no, 2, 'Night Sister' FROM night_sister UNION ALL
+  SELECT staff_no, 3, 'Staff Nurse' FROM staff_nurse UNION ALL
+  SELECT staff_no, 4, 'Non-Reg Nurse' FROM non_reg_nurse),
+role_of AS (SELECT staff_no, arg_min(title, place) AS title FROM role_row GROUP BY staff_no)
 """
 
 Q11_PARAMS = {"complaint_code": "CMP-007", "date_from": "1996-01-01", "date_to": "1996-12-31"}
@@ -88,331 +109,280 @@ Q11_PARAMS = {"complaint_code": "CMP-007", "date_from": "1996-01-01", "date_to":
 QUERIES: dict[str, str] = {}
 
 QUERIES["q1_consultant_teams"] = """
-SELECT c.staff_no AS consultant_no, c.name AS consultant_name, c.specialty_name,
-       d.staff_no AS doctor_no, d.name AS doctor_name, d.position, d.date_joined_team
-FROM consultant cons
-JOIN doctor c ON cons.staff_no = c.staff_no
-LEFT JOIN doctor d ON d.consultant_staff_no = c.staff_no
-WHERE d.staff_no IS NOT NULL AND d.staff_no != c.staff_no
-ORDER BY c.name, d.position, d.name
+SELECT lead.doctor_no AS consultant_no, lead.doctor_name AS consultant_name, lead.field AS specialty_name,
+       member.doctor_no, member.doctor_name, member.rank_held AS position, member.date_joined_team
+FROM who AS member, who AS lead
+WHERE lead.is_consultant = 'Yes' AND member.leader_no = lead.doctor_no
+  AND member.doctor_no <> lead.doctor_no
 """
 
 QUERIES["q2_ward_staffing"] = """
-SELECT DISTINCT w.ward_name, w.specialty_name,
-  (SELECT min(n.name) FROM nurse n JOIN day_sister ds ON n.staff_no = ds.staff_no
-    WHERE n.ward_name = w.ward_name) AS day_sister,
-  (SELECT min(n.name) FROM nurse n JOIN night_sister ns ON n.staff_no = ns.staff_no
-    WHERE n.ward_name = w.ward_name) AS night_sister,
-  cu.care_unit_no,
-  (SELECT min(n.name) FROM nurse n JOIN staff_nurse sn ON n.staff_no = sn.staff_no
-    WHERE n.care_unit_no = cu.care_unit_no) AS staff_nurse_in_charge
-FROM ward w JOIN care_unit cu ON cu.ward_name = w.ward_name
-ORDER BY w.ward_name, cu.care_unit_no
+, titled AS (SELECT * FROM nurse INNER JOIN role_row USING (staff_no)),
+of_ward AS (
+  SELECT ward_name, min(name) FILTER (title = 'Day Sister') AS day_sister,
+         min(name) FILTER (title = 'Night Sister') AS night_sister
+  FROM titled GROUP BY ward_name),
+of_unit AS (
+  SELECT care_unit_no, min(name) AS staff_nurse_in_charge
+  FROM titled WHERE title = 'Staff Nurse' GROUP BY care_unit_no)
+SELECT DISTINCT ward_name, specialty_name, day_sister, night_sister, care_unit_no, staff_nurse_in_charge
+FROM care_unit INNER JOIN ward USING (ward_name)
+  LEFT OUTER JOIN of_ward USING (ward_name) LEFT OUTER JOIN of_unit USING (care_unit_no)
 """
 
 QUERIES["q3_patient_treatments"] = """
-SELECT p.patient_no, p.patient_name, c.complaint_code, c.description AS complaint,
-       t.treatment_code, t.description AS treatment, d.name AS doctor_name,
-       ptr.date_started, ptr.date_ended
-FROM patient p
-JOIN ptr ON p.patient_no = ptr.patient_no
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-ORDER BY p.patient_name
+SELECT patient_no, patient_name, complaint_code, complaint, treatment_code, treatment,
+       doctor_name, date_started, date_ended
+FROM episode INNER JOIN patient USING (patient_no) INNER JOIN who USING (doctor_no)
 """
 
 _Q4 = """
-SELECT DISTINCT d.staff_no AS jh_no, d.name AS junior_doctor, d.position, p.patient_no,
-       p.patient_name, p.care_unit_no, sn.name AS staff_nurse_of_careunit
-FROM doctor d
-JOIN ptr ON d.staff_no = ptr.doctor_staff_no
-JOIN patient p ON ptr.patient_no = p.patient_no
-LEFT JOIN {nurses} sn ON sn.care_unit_no = p.care_unit_no
-WHERE d.position IN ('junior houseman(jh)', 'student(s)')
-ORDER BY d.name, p.patient_name
-"""
-QUERIES["q4_junior_patients"] = _Q4.format(nurses="nurse")
+, seen AS (
+  SELECT DISTINCT doctor_staff_no AS doctor_no, patient_no FROM ptr
+  WHERE doctor_staff_no IN (
+    SELECT doctor_no FROM who WHERE starts_with(rank_held, 'junior houseman') OR starts_with(rank_held, 'student'))),
+unit_nurse AS (SELECT DISTINCT care_unit_no, name AS staff_nurse_of_careunit FROM nurse {only})
+SELECT doctor_no AS jh_no, doctor_name AS junior_doctor, rank_held AS position, patient_no, patient_name,
+       care_unit_no, staff_nurse_of_careunit
+FROM seen INNER JOIN who USING (doctor_no) INNER JOIN patient USING (patient_no)
+  LEFT OUTER JOIN unit_nurse USING (care_unit_no)
+"""
+QUERIES["q4_junior_patients"] = _Q4.format(only="")
 QUERIES["q4_junior_patients_strict"] = _Q4.format(
-    nurses="(SELECT * FROM nurse WHERE staff_no IN (SELECT staff_no FROM staff_nurse))")
+    only="WHERE EXISTS (FROM staff_nurse WHERE staff_nurse.staff_no = nurse.staff_no)")
 
 QUERIES["q5_unique_specialty"] = """
-SELECT d.staff_no, d.name AS consultant_name, d.specialty_name
-FROM consultant c JOIN doctor d ON c.staff_no = d.staff_no
-WHERE d.specialty_name IN (
-  SELECT d2.specialty_name FROM consultant c2 JOIN doctor d2 ON c2.staff_no = d2.staff_no
-  GROUP BY d2.specialty_name HAVING COUNT(*) = 1)
-ORDER BY d.specialty_name
+SELECT any_value(doctor_no) AS staff_no, any_value(doctor_name) AS consultant_name, field AS specialty_name
+FROM who WHERE is_consultant = 'Yes' AND field IS NOT NULL
+GROUP BY field HAVING count(doctor_no) < 2
 """
 
 QUERIES["q6_treatment_experience"] = """
-SELECT DISTINCT c.complaint_code, c.description AS complaint, t.description AS treatment,
-       d.staff_no AS doctor_no, d.name AS doctor_name, pe.exp_id, pe.from_date, pe.to_date,
-       pe.establishment, pe.position AS experience_position
-FROM ptr
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-LEFT JOIN previous_experience pe ON d.staff_no = pe.staff_no
-ORDER BY c.complaint_code, d.name, pe.from_date
+, history AS (
+  SELECT staff_no AS doctor_no, exp_id, from_date, to_date, establishment, position AS experience_position
+  FROM previous_experience),
+combination AS (SELECT DISTINCT complaint_code, complaint, treatment, doctor_no, doctor_name
+                FROM episode INNER JOIN who USING (doctor_no))
+SELECT * FROM combination LEFT OUTER JOIN history USING (doctor_no)
 """
 
 _Q7 = """
-SELECT p.patient_no, p.patient_name, c.description AS complaint, t.description AS treatment,
-       ptr.date_started, ptr.date_ended
-FROM patient p
-JOIN ptr ON p.patient_no = ptr.patient_no
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-WHERE p.patient_no IN (
-  SELECT patient_no FROM ptr GROUP BY patient_no HAVING COUNT(DISTINCT complaint_code) > {gt})
-ORDER BY p.patient_no, c.complaint_code
-"""
-QUERIES["q7_multi_complaint"] = _Q7.format(gt=1)
-QUERIES["q7_multi_complaint_10"] = _Q7.format(gt=9)
+, variety AS (SELECT patient_no, count(DISTINCT complaint_code) AS n FROM ptr GROUP BY patient_no)
+SELECT patient_no, patient_name, complaint, treatment, date_started, date_ended
+FROM variety INNER JOIN patient USING (patient_no) INNER JOIN episode USING (patient_no)
+WHERE n >= {least}
+"""
+QUERIES["q7_multi_complaint"] = _Q7.format(least=2)
+QUERIES["q7_multi_complaint_10"] = _Q7.format(least=10)
 
 QUERIES["q8_by_complaint_treatment"] = """
-SELECT c.complaint_code, c.description AS complaint, t.treatment_code, t.description AS treatment,
-       p.patient_no, p.patient_name
-FROM ptr
-JOIN patient p ON ptr.patient_no = p.patient_no
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-ORDER BY c.description, t.description, p.patient_name
+SELECT complaint_code, complaint, treatment_code, treatment, patient_no, patient_name
+FROM patient INNER JOIN episode USING (patient_no)
 """
 
 QUERIES["q9_doctor_performance"] = """
-SELECT d.staff_no, d.name AS doctor_name, d.position AS current_position, d.specialty_name,
-       pr.establishment, pr.position AS role_at_establishment, pr.date, pr.performance_grade
-FROM doctor d JOIN progress pr ON d.staff_no = pr.staff_no
-ORDER BY d.staff_no, pr.date
+SELECT doctor_no AS staff_no, doctor_name, rank_held AS current_position, field AS specialty_name,
+       establishment, progress.position AS role_at_establishment, date, performance_grade
+FROM progress, who WHERE doctor_no = staff_no
 """
 
 QUERIES["q10_patient_full"] = """
-SELECT p.patient_no, p.patient_name, p.date_of_birth, p.date_admitted, w.ward_name,
-       w.specialty_name, p.care_unit_no, p.bed_no, d.staff_no AS doctor_no, d.name AS doctor_name,
-       CASE WHEN con.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant,
-       c.complaint_code, c.description AS complaint, t.treatment_code, t.description AS treatment,
-       ptr.date_started, ptr.date_ended
-FROM patient p
-JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
-JOIN ward w ON cu.ward_name = w.ward_name
-JOIN ptr ON p.patient_no = ptr.patient_no
-JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-LEFT JOIN consultant con ON d.staff_no = con.staff_no
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-ORDER BY p.patient_no, ptr.date_started
+SELECT patient_no, patient_name, date_of_birth, date_admitted, ward_name, specialty_name, care_unit_no,
+       bed_no, doctor_no, doctor_name, is_consultant, complaint_code, complaint, treatment_code, treatment,
+       date_started, date_ended
+FROM episode INNER JOIN who USING (doctor_no) INNER JOIN placed USING (patient_no)
 """
 
 QUERIES["q11_complaint_daterange"] = """
-SELECT t.treatment_code, t.description AS treatment, c.description AS complaint, p.patient_no,
-       p.patient_name, d.name AS doctor_name, ptr.date_started, ptr.date_ended
-FROM ptr
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN patient p ON ptr.patient_no = p.patient_no
-JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-WHERE ptr.complaint_code = '{complaint_code}'
-  AND ptr.date_started >= DATE '{date_from}' AND ptr.date_started <= DATE '{date_to}'
-ORDER BY t.description
+SELECT treatment_code, treatment, complaint, patient_no, patient_name, doctor_name, date_started, date_ended
+FROM episode INNER JOIN who USING (doctor_no) INNER JOIN patient USING (patient_no)
+WHERE complaint_code = '{complaint_code}' AND date_started BETWEEN DATE '{date_from}' AND DATE '{date_to}'
 """.format(**Q11_PARAMS)
 
 QUERIES["q12_position_counts"] = """
-SELECT position, COUNT(*) AS staff_count FROM doctor GROUP BY position
-UNION ALL SELECT 'Day Sister', COUNT(*) FROM day_sister
-UNION ALL SELECT 'Night Sister', COUNT(*) FROM night_sister
-UNION ALL SELECT 'Staff Nurse', COUNT(*) FROM staff_nurse
-UNION ALL SELECT 'Non-Registered Nurse', COUNT(*) FROM non_reg_nurse
-ORDER BY position
+, spelled AS (
+  SELECT * FROM (VALUES ('Day Sister', 'Day Sister'), ('Night Sister', 'Night Sister'),
+    ('Staff Nurse', 'Staff Nurse'), ('Non-Reg Nurse', 'Non-Registered Nurse')) v(title, position))
+SELECT rank_held AS position, count(doctor_no) AS staff_count FROM who GROUP BY rank_held
+UNION ALL
+SELECT position, count(staff_no) FROM spelled LEFT OUTER JOIN role_row USING (title) GROUP BY position
 """
 
 
 # --- record forms (batch: every key, key column carried) -------------------
 
 QUERIES["rec_patient_header"] = """
-SELECT p.patient_no, p.patient_name, p.date_of_birth, p.date_admitted, p.care_unit_no, p.bed_no,
-       cu.ward_name, w.specialty_name
-FROM patient p
-JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
-JOIN ward w ON cu.ward_name = w.ward_name
-ORDER BY p.patient_no
+SELECT patient_no, patient_name, date_of_birth, date_admitted, care_unit_no, bed_no, ward_name, specialty_name
+FROM placed
 """
 
 QUERIES["rec_patient_history"] = """
-SELECT ptr.patient_no, ptr.complaint_code, c.description AS complaint, ptr.treatment_code,
-       t.description AS treatment, d.staff_no AS doctor_no, d.name AS doctor_name,
-       CASE WHEN con.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant,
-       ptr.date_started, ptr.date_ended
-FROM ptr
-JOIN complaint c ON ptr.complaint_code = c.complaint_code
-JOIN treatment t ON ptr.treatment_code = t.treatment_code
-JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-LEFT JOIN consultant con ON d.staff_no = con.staff_no
-ORDER BY ptr.patient_no, ptr.date_started
-"""
-
-QUERIES["rec_ward_header"] = """
-SELECT ward_name, specialty_name, number_of_care_units FROM ward ORDER BY ward_name
-"""
-
-_NURSE_ROLE = """
-SELECT n.ward_name, n.staff_no, n.name, n.care_unit_no,
-       CASE WHEN ds.staff_no IS NOT NULL THEN 'Day Sister'
-            WHEN ns.staff_no IS NOT NULL THEN 'Night Sister'
-            WHEN sn.staff_no IS NOT NULL THEN 'Staff Nurse'
-            WHEN nr.staff_no IS NOT NULL THEN 'Non-Reg Nurse'
-            ELSE '{fallback}' END AS role
-FROM nurse n
-LEFT JOIN day_sister ds ON n.staff_no = ds.staff_no
-LEFT JOIN night_sister ns ON n.staff_no = ns.staff_no
-LEFT JOIN staff_nurse sn ON n.staff_no = sn.staff_no
-LEFT JOIN non_reg_nurse nr ON n.staff_no = nr.staff_no
-ORDER BY n.ward_name, role, n.name
-"""
-QUERIES["rec_ward_nurses"] = _NURSE_ROLE.format(fallback="Nurse")
+SELECT patient_no, complaint_code, complaint, treatment_code, treatment, doctor_no, doctor_name,
+       is_consultant, date_started, date_ended
+FROM who INNER JOIN episode USING (doctor_no)
+"""
+
+QUERIES["rec_ward_header"] = "SELECT ward_name, specialty_name, number_of_care_units FROM ward"
+
+_NURSES = """
+SELECT staff_no, name, ward_name, care_unit_no, coalesce(title, '{without}') AS role
+FROM nurse LEFT OUTER JOIN role_of USING (staff_no)
+"""
+QUERIES["rec_ward_nurses"] = _NURSES.format(without="Nurse")
 
 QUERIES["rec_ward_patients"] = """
-SELECT cu.ward_name, p.patient_no, p.patient_name, p.care_unit_no, p.bed_no, p.date_admitted,
-       d.name AS consultant_name
-FROM patient p
-JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
-LEFT JOIN ptr ON p.patient_no = ptr.patient_no
-LEFT JOIN doctor d ON ptr.doctor_staff_no = d.staff_no
-ORDER BY cu.ward_name, p.patient_no
+, treating AS (
+  SELECT patient_no, (SELECT doctor_name FROM who WHERE doctor_no = doctor_staff_no) AS consultant_name FROM ptr)
+SELECT ward_name, patient_no, patient_name, care_unit_no, bed_no, date_admitted, consultant_name
+FROM (SELECT * FROM patient INNER JOIN care_unit USING (care_unit_no)) LEFT OUTER JOIN treating USING (patient_no)
 """
 
 QUERIES["rec_doctor_header"] = """
-SELECT d.staff_no, d.name, d.position, d.date_joined_team, d.specialty_name,
-       CASE WHEN c.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant
-FROM doctor d LEFT JOIN consultant c ON d.staff_no = c.staff_no
-ORDER BY d.staff_no
+SELECT doctor_no AS staff_no, doctor_name AS name, rank_held AS position, date_joined_team,
+       field AS specialty_name, is_consultant
+FROM who
 """
 
 QUERIES["rec_doctor_experience"] = """
-SELECT pe.staff_no, pe.exp_id, pe.from_date, pe.to_date, pe.establishment, pe.position
-FROM previous_experience pe
-WHERE EXISTS (SELECT 1 FROM doctor d WHERE d.staff_no = pe.staff_no)
-ORDER BY pe.staff_no, pe.from_date
+SELECT staff_no, exp_id, from_date, to_date, establishment, position
+FROM previous_experience WHERE staff_no IN (SELECT doctor_no FROM who)
 """
 
 QUERIES["rec_doctor_progress"] = """
-SELECT pr.staff_no, pr.progress_id, pr.establishment, pr.position, pr.date, pr.performance_grade
-FROM progress pr
-WHERE EXISTS (SELECT 1 FROM doctor d WHERE d.staff_no = pr.staff_no)
-ORDER BY pr.staff_no, pr.date
+SELECT staff_no, progress_id, establishment, position, date, performance_grade
+FROM progress WHERE staff_no IN (SELECT doctor_no FROM who)
 """
 
 QUERIES["rec_team_latest_grade"] = """
-SELECT d.consultant_staff_no AS consultant_no, d.staff_no, d.name, d.position,
-       d.date_joined_team, d.specialty_name,
-       (SELECT pr.performance_grade FROM progress pr WHERE pr.staff_no = d.staff_no
-        ORDER BY pr.date DESC NULLS LAST, pr.progress_id DESC LIMIT 1) AS latest_grade
-FROM doctor d
-WHERE d.consultant_staff_no IN (
-        SELECT c.staff_no FROM doctor c LEFT JOIN consultant con ON c.staff_no = con.staff_no
-        WHERE con.staff_no IS NOT NULL)
-  AND d.staff_no != d.consultant_staff_no
-ORDER BY d.consultant_staff_no, d.position, d.name
+, newest AS (
+  SELECT staff_no, performance_grade AS latest_grade FROM progress
+  QUALIFY row_number() OVER (PARTITION BY staff_no ORDER BY date DESC NULLS LAST, progress_id DESC) = 1),
+member AS (
+  SELECT leader_no AS consultant_no, doctor_no AS staff_no, doctor_name AS name, rank_held AS position,
+         date_joined_team, field AS specialty_name
+  FROM who WHERE doctor_no <> leader_no
+    AND leader_no IN (SELECT doctor_no FROM who WHERE is_consultant = 'Yes'))
+SELECT member.*, latest_grade FROM member LEFT OUTER JOIN newest USING (staff_no)
 """
 
 # --- dashboard, listings, lookups ------------------------------------------
 
 QUERIES["dash_totals"] = """
-SELECT 'Patients' AS label, COUNT(*) AS n FROM patient
-UNION ALL SELECT 'Doctors', COUNT(*) FROM doctor
-UNION ALL SELECT 'Nurses', COUNT(*) FROM nurse
-UNION ALL SELECT 'Wards', COUNT(*) FROM ward
-UNION ALL SELECT 'Beds', COUNT(*) FROM bed
-UNION ALL SELECT 'Specialties', COUNT(*) FROM specialty
+SELECT unnest(['Patients', 'Doctors', 'Nurses', 'Wards', 'Beds', 'Specialties']) AS label,
+       unnest([(SELECT count(*) FROM patient), (SELECT count(*) FROM doctor), (SELECT count(*) FROM nurse),
+               (SELECT count(*) FROM ward), (SELECT count(*) FROM bed), (SELECT count(*) FROM specialty)]) AS n
 """
 
 QUERIES["dash_recent_admissions"] = """
 SELECT patient_no, patient_name, date_admitted FROM patient
-ORDER BY date_admitted DESC NULLS LAST, patient_no LIMIT 5
+QUALIFY row_number() OVER (ORDER BY date_admitted DESC NULLS LAST, patient_no) <= 5
 """
 
 QUERIES["dash_specialty_overview"] = """
-SELECT s.specialty_name,
-       (SELECT COUNT(*) FROM ward w WHERE w.specialty_name = s.specialty_name) AS wards,
-       (SELECT COUNT(*) FROM doctor d WHERE d.specialty_name = s.specialty_name) AS doctors
-FROM specialty s ORDER BY s.specialty_name
+, tally AS (
+  SELECT specialty_name, 1 AS is_ward FROM ward UNION ALL SELECT specialty_name, 0 FROM doctor)
+SELECT specialty_name, count(*) FILTER (is_ward = 1) AS wards, count(*) FILTER (is_ward = 0) AS doctors
+FROM specialty LEFT OUTER JOIN tally USING (specialty_name) GROUP BY specialty_name
 """
 
-QUERIES["list_specialties"] = "SELECT specialty_name FROM specialty ORDER BY specialty_name"
+QUERIES["list_specialties"] = "FROM specialty"
 
 QUERIES["list_ward_units"] = """
-SELECT w.ward_name, w.specialty_name, w.number_of_care_units,
-       (SELECT COUNT(*) FROM care_unit cu WHERE cu.ward_name = w.ward_name) AS actual_care_units
-FROM ward w ORDER BY w.ward_name
+SELECT ward_name, specialty_name, number_of_care_units, count(care_unit_no) AS actual_care_units
+FROM ward LEFT OUTER JOIN care_unit USING (ward_name) GROUP BY ALL
 """
 
 QUERIES["list_unit_beds"] = """
-SELECT cu.care_unit_no, cu.ward_name,
-       (SELECT COUNT(*) FROM bed b WHERE b.care_unit_no = cu.care_unit_no) AS total_beds,
-       (SELECT COUNT(*) FROM bed b WHERE b.care_unit_no = cu.care_unit_no AND b.is_occupied = 0)
-         AS available_beds
-FROM care_unit cu ORDER BY cu.care_unit_no
+SELECT care_unit_no, ward_name, count(bed_no) AS total_beds,
+       count(bed_no) FILTER (is_occupied = 0) AS available_beds
+FROM care_unit LEFT OUTER JOIN bed USING (care_unit_no) GROUP BY ALL
 """
 
 QUERIES["list_beds"] = """
-SELECT b.bed_no, b.care_unit_no, cu.ward_name,
-       CASE WHEN b.is_occupied = 1 THEN 'Occupied' ELSE 'Available' END AS status
-FROM bed b JOIN care_unit cu ON b.care_unit_no = cu.care_unit_no
-ORDER BY b.bed_no
+SELECT bed_no, care_unit_no, ward_name, if(is_occupied = 1, 'Occupied', 'Available') AS status
+FROM care_unit INNER JOIN bed USING (care_unit_no)
 """
 
 QUERIES["list_patients"] = """
-SELECT p.patient_no, p.patient_name, p.date_of_birth, p.date_admitted, cu.ward_name,
-       p.care_unit_no, p.bed_no
-FROM patient p JOIN care_unit cu ON p.care_unit_no = cu.care_unit_no
-ORDER BY p.date_admitted DESC
+SELECT patient_no, patient_name, date_of_birth, date_admitted, ward_name, care_unit_no, bed_no
+FROM care_unit INNER JOIN patient USING (care_unit_no)
 """
 
 QUERIES["list_doctors"] = """
-SELECT d.staff_no, d.name, d.position, d.specialty_name, d.date_joined_team,
-       CASE WHEN c.staff_no IS NOT NULL THEN 'Yes' ELSE 'No' END AS is_consultant,
-       (SELECT x.name FROM doctor x WHERE x.staff_no = d.consultant_staff_no) AS under_consultant
-FROM doctor d LEFT JOIN consultant c ON d.staff_no = c.staff_no
-ORDER BY d.name
+SELECT own.doctor_no AS staff_no, own.doctor_name AS name, own.rank_held AS position,
+       own.field AS specialty_name, own.date_joined_team, own.is_consultant,
+       lead.doctor_name AS under_consultant
+FROM who AS own LEFT OUTER JOIN who AS lead ON lead.doctor_no = own.leader_no
 """
 
-QUERIES["list_nurses"] = """
-SELECT staff_no, name, ward_name, care_unit_no, role FROM (
-""" + _NURSE_ROLE.format(fallback="Unassigned").replace("ORDER BY n.ward_name, role, n.name", "") + """
-) x ORDER BY ward_name, role, name
-"""
+QUERIES["list_nurses"] = _NURSES.format(without="Unassigned")
 
-QUERIES["lk_wards"] = "SELECT ward_name, number_of_care_units FROM ward ORDER BY ward_name"
+QUERIES["lk_wards"] = "SELECT ward_name, number_of_care_units FROM ward"
 QUERIES["lk_consultants"] = """
-SELECT staff_no, name FROM doctor WHERE position = 'consultant' ORDER BY name
+SELECT doctor_no AS staff_no, doctor_name AS name FROM who WHERE rank_held = 'consultant'
 """
-QUERIES["lk_patients"] = "SELECT patient_no, patient_name FROM patient ORDER BY patient_no"
+QUERIES["lk_patients"] = "SELECT patient_no, patient_name FROM patient"
 QUERIES["lk_complaints"] = """
-SELECT complaint_code, description,
-       complaint_code || ' - ' || substring(description, 1, 40) || '...' AS label
-FROM complaint ORDER BY complaint_code
+SELECT complaint_code, description, concat(complaint_code, ' - ', description[:40], '...') AS label
+FROM complaint
 """
 QUERIES["lk_care_units"] = """
-SELECT care_unit_no, ward_name, care_unit_no || ' (' || ward_name || ')' AS label
-FROM care_unit ORDER BY care_unit_no
+SELECT care_unit_no, ward_name, concat(care_unit_no, ' (', ward_name, ')') AS label FROM care_unit
 """
 QUERIES["lk_doctors"] = """
-SELECT staff_no, name, staff_no || ' - ' || name AS label FROM doctor ORDER BY name
+SELECT doctor_no AS staff_no, doctor_name AS name, concat(doctor_no, ' - ', doctor_name) AS label FROM who
+"""
+QUERIES["units_by_ward"] = "SELECT ward_name, care_unit_no FROM care_unit"
+QUERIES["free_beds_by_unit"] = "SELECT care_unit_no, bed_no FROM bed WHERE is_occupied = 0"
+
+# --- one key, a table of keys, JSON and date text --------------------------
+
+_KEYED = {
+    "q9_doctor_performance": "staff_no = 'DOC-007'",
+    "q10_patient_full": "patient_no = 'PAT-011'",
+    "rec_patient_header": "patient_no = 'PAT-011'",
+    "rec_patient_history": "patient_no = 'PAT-011'",
+    "rec_ward_header": "ward_name = 'WARD_7'",
+    "rec_ward_nurses": "ward_name = 'WARD_7'",
+    "rec_ward_patients": "ward_name = 'WARD_7'",
+    "rec_doctor_header": "staff_no = 'DOC-007'",
+    "rec_doctor_experience": "staff_no = 'DOC-007'",
+    "rec_doctor_progress": "staff_no = 'DOC-007'",
+    "rec_team_latest_grade": "consultant_no = 'DOC-006'",
+}
+
+
+def _where(name: str, condition: str) -> str:
+    """The query's rows that satisfy ``condition``; its own lookups stay in front."""
+    text = QUERIES[name].strip()
+    at = text.rfind("\nSELECT") if text.startswith(",") else 0
+    return f"{text[:at]}\nSELECT * FROM ({text[at:]}) AS answer WHERE {condition}"
+
+
+for _name, _condition in _KEYED.items():
+    QUERIES[f"{_name}_one"] = _where(_name, _condition)
+QUERIES["q9_doctor_performance_of_registrars"] = _where(
+    "q9_doctor_performance", "current_position = 'registrar(r)'")
+QUERIES["q10_patient_full_of_ward"] = _where("q10_patient_full", "ward_name = 'WARD_7'")
+QUERIES["units_by_ward_json"] = """
+SELECT ward_name, json_object('ward_name', ward_name, 'care_unit_no', care_unit_no)::VARCHAR AS json
+FROM care_unit
 """
-QUERIES["units_by_ward"] = """
-SELECT ward_name, care_unit_no FROM care_unit ORDER BY ward_name, care_unit_no
+QUERIES["free_beds_by_unit_json"] = """
+SELECT care_unit_no, json_object('care_unit_no', care_unit_no, 'bed_no', bed_no)::VARCHAR AS json
+FROM bed WHERE is_occupied = 0
 """
-QUERIES["free_beds_by_unit"] = """
-SELECT care_unit_no, bed_no FROM bed WHERE is_occupied = 0 ORDER BY care_unit_no, bed_no
+QUERIES["list_patients_text"] = """
+SELECT patient_no, patient_name, strftime(date_of_birth, '%Y-%m-%d') AS date_of_birth,
+       strftime(date_admitted, '%Y-%m-%d') AS date_admitted, ward_name, care_unit_no, bed_no
+FROM care_unit INNER JOIN patient USING (care_unit_no)
 """
 
 
 # --- ingestion scenarios ----------------------------------------------------
 # Candidate batches follow wardline.sources.batches (input generation); the
-# classification is written the reference's way: one post at a time, i.e. a
-# row is a duplicate when the key is in the target or an earlier valid row
-# of the batch has it.
+# classification ranks the valid rows of a key: only the first one can be
+# accepted, and only if the target lacks the key.
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _BLANK = "' ' || chr(9) || ' '"
@@ -423,20 +393,23 @@ def _tr(expr: str) -> str:
 
 
 def _batch_sql(src: str, k: str, key: str, fields: dict[str, str], blank_field: str,
-               dup_field: str | None, where: str = "TRUE") -> str:
+               dup_field: str | None) -> str:
     padded = f"CASE WHEN {k} % 3 = 0 THEN ' ' || {fields[key]} || chr(9) ELSE {fields[key]} END"
 
     def rows(cond: str, seq: str, over: dict[str, str]) -> str:
         cols = {**fields, key: padded, **over}
         sel = ", ".join(f"{v} AS {n}" for n, v in cols.items())
         return (f"SELECT CAST({seq} AS BIGINT) AS arrival_seq, {sel} FROM {src} "
-                f"WHERE {where} AND {k} % 10 >= 7 AND {cond}")
+                f"WHERE {k} % 10 >= 7 AND {cond}")
 
     late = {} if dup_field is None else {dup_field: f"{fields[dup_field]} || ' II'"}
     return " UNION ALL ".join([
         rows("TRUE", f"{k} * 3 + 1", {}),
         rows(f"{k} % 10 = 9", f"{k} * 3", {blank_field: _BLANK}),
         rows(f"{k} % 10 = 8", f"{k} * 3 + 2", late),
+        rows(f"{k} % 30 = 29", f"{k} * 3 + 1", {}),
+        rows(f"{k} % 30 = 19", f"{k} * 3 + 1", late),
+        rows(f"{k} % 20 = 9", "NULL", {}),
     ])
 
 
@@ -457,25 +430,29 @@ def _bad_date(col: str) -> str:
 def _classify_sql(name: str, cleaned: str, target: str, key: str, required: list[str],
                   bad: str, out_cols: list[str]) -> str:
     missing = " OR ".join(f"{c} IS NULL OR {c} = ''" for c in required)
-    cols = ", ".join(f"f.{c}" for c in out_cols)
+    order = ", ".join(f"{c} NULLS FIRST" for c in out_cols)
     return f""",
 {name}_clean AS ({cleaned}),
 {name}_flag AS (SELECT *, ({missing}) AS missing, {bad} AS bad FROM {name}_clean),
+{name}_turn AS (
+  SELECT *, NOT missing AND NOT bad AND arrival_seq IS NOT NULL AS valid,
+    row_number() OVER (PARTITION BY {key}, NOT missing AND NOT bad AND arrival_seq IS NOT NULL
+                       ORDER BY {order}) AS turn
+  FROM {name}_flag),
 {name}_outcome AS (
-  SELECT {cols},
-    CASE WHEN f.missing THEN 'missing_required'
-         WHEN f.bad THEN 'invalid_value'
-         WHEN EXISTS (SELECT 1 FROM {target} x WHERE x.{key} = f.{key}) THEN 'duplicate_key'
-         WHEN EXISTS (SELECT 1 FROM {name}_flag g WHERE g.{key} = f.{key} AND NOT g.missing
-                      AND NOT g.bad AND g.arrival_seq < f.arrival_seq) THEN 'duplicate_key'
+  SELECT {", ".join(out_cols)},
+    CASE WHEN missing THEN 'missing_required'
+         WHEN arrival_seq IS NULL THEN 'missing_sequence'
+         WHEN bad THEN 'invalid_value'
+         WHEN turn > 1 OR {key} IN (SELECT {key} FROM {target}) THEN 'duplicate_key'
          ELSE 'accepted' END AS outcome
-  FROM {name}_flag f)
+  FROM {name}_turn)
 """
 
 
 def _target_sql(table: str, key: str, prefix: str | None) -> str:
-    num = (f"TRY_CAST(regexp_extract({key}, '(\\d+)$', 1) AS INTEGER)" if prefix is None
-           else f"TRY_CAST(substring({key}, {len(prefix) + 2}, 99) AS INTEGER)")
+    num = (f"TRY_CAST(regexp_extract({key}, '(\\d+)$', 1) AS BIGINT)" if prefix is None
+           else f"TRY_CAST(substring({key}, {len(prefix) + 2}, 99) AS BIGINT)")
     return f"t_{table} AS (SELECT * FROM {table} WHERE {num} % 10 < 8)"
 
 
@@ -502,8 +479,8 @@ INGEST = ",\n".join([
     "c_ward AS (" + _batch_sql("nation", "n_nationkey", "ward_name", {
         "ward_name": "'WARD_' || CAST(n_nationkey AS VARCHAR)",
         "specialty_name": "n_name",
-        "num_care_units": "CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' 3' "
-                          "WHEN 2 THEN '4 units' ELSE 'x' END"},
+        "num_care_units": "CASE WHEN n_nationkey % 25 = 18 THEN '99999999999' ELSE CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' 3' "
+                          "WHEN 2 THEN '4 units' ELSE 'x' END END"},
         "specialty_name", "specialty_name") + ")",
     "c_bed AS (" + _batch_sql("customer", "c_custkey", "bed_no", {
         "bed_no": "printf('BED-%03d', c_custkey)", "care_unit_no": _UNIT},
@@ -532,11 +509,11 @@ INGEST = ",\n".join([
         "name": "p_name",
         "ward_name": "'WARD_' || CAST(p_partkey % 25 AS VARCHAR)",
         "care_unit_no": "'CU-' || CAST(p_partkey % 25 AS VARCHAR) || '-' || "
-                        "(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_size]",
+                        "(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_size % 5 + 1]",
         "role": "CASE p_type WHEN 'ECONOMY' THEN 'day_sister' WHEN 'LARGE' THEN 'night_sister' "
                 "WHEN 'MEDIUM' THEN 'staff_nurse' WHEN 'PROMO' THEN 'staff_nurse' "
                 "WHEN 'SMALL' THEN 'non_reg' ELSE 'matron' END"},
-        "role", "name", where="p_size <= 5") + ")",
+        "role", "name") + ")",
 ])
 
 _SPEC = _classify_sql(
@@ -551,7 +528,7 @@ _WARD = _classify_sql(
             ELSE TRY_CAST(trunc(TRY_CAST(regexp_extract(num_care_units, {_NUM}, 1) AS DOUBLE))
                           AS INTEGER)
        END AS number_of_care_units FROM c_ward""",
-    "t_ward", "ward_name", ["ward_name", "specialty_name"], "FALSE",
+    "t_ward", "ward_name", ["ward_name", "specialty_name"], "number_of_care_units IS NULL",
     ["arrival_seq", "ward_name", "specialty_name", "number_of_care_units"])
 _BED = _classify_sql(
     "bed", f"SELECT arrival_seq, {_tr('bed_no')} AS bed_no, {_tr('care_unit_no')} AS care_unit_no,"
@@ -617,22 +594,22 @@ WHERE outcome = 'accepted' AND role_table = '{r}' AND staff_no NOT IN (SELECT st
 """ for r in ("day_sister", "night_sister", "staff_nurse", "non_reg_nurse"))
 QUERIES["assign_ids"] = _INGEST_PREFIX + """
 SELECT c_custkey AS arrival_seq, c_name AS patient_name,
-       printf('PAT-%03d', (SELECT COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS INTEGER)), 0)
+       printf('PAT-%03d', (SELECT COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS BIGINT)), 0)
                            FROM t_patient) + row_number() OVER (ORDER BY c_custkey)) AS patient_no
 FROM customer WHERE c_custkey % 10 >= 8
 """
 QUERIES["next_ids"] = MAPPING + """
 SELECT 'PATIENT' AS table_name,
-       printf('PAT-%03d', COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS INTEGER)), 0) + 1)
+       printf('PAT-%03d', COALESCE(MAX(TRY_CAST(substring(patient_no, 5, 99) AS BIGINT)), 0) + 1)
          AS next_id FROM patient
 UNION ALL
-SELECT 'DOCTOR', printf('DOC-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS INTEGER)), 0) + 1)
+SELECT 'DOCTOR', printf('DOC-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS BIGINT)), 0) + 1)
 FROM doctor
 UNION ALL
-SELECT 'NURSE', printf('NUR-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS INTEGER)), 0) + 1)
+SELECT 'NURSE', printf('NUR-%03d', COALESCE(MAX(TRY_CAST(substring(staff_no, 5, 99) AS BIGINT)), 0) + 1)
 FROM nurse
 UNION ALL
-SELECT 'BED', printf('BED-%03d', COALESCE(MAX(TRY_CAST(substring(bed_no, 5, 99) AS INTEGER)), 0) + 1)
+SELECT 'BED', printf('BED-%03d', COALESCE(MAX(TRY_CAST(substring(bed_no, 5, 99) AS BIGINT)), 0) + 1)
 FROM bed
 """
 
