@@ -1,6 +1,6 @@
 """Summarise the physical plan of every registered job (writes PLANS.md).
 
-Usage: python scripts/plan_audit.py <snapshot dir written by store.save_tables> [out.md]
+Usage: python scripts/plan_audit.py <snapshot dir written by store.save_tables> <sf dir> [out.md]
 
 Two settings per job: the default (small dimensions broadcast at this scale)
 and "large tables" (spark.sql.autoBroadcastJoinThreshold = -1, so only the
@@ -18,8 +18,10 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wardline.plans.registry import JOBS  # noqa: E402
+from wardline.plans.registry import JOBS, SCENARIO_JOBS  # noqa: E402
 from wardline.session import local_session  # noqa: E402
+from wardline.sources.batches import candidate_batches, target_tables  # noqa: E402
+from wardline.sources.fixtures import read_sources  # noqa: E402
 from wardline.sources.store import load_tables  # noqa: E402
 
 PATTERNS = {
@@ -48,11 +50,17 @@ def summary(text: str) -> dict[str, int]:
 
 def main() -> None:
     snap = sys.argv[1]
-    out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
+    sf_dir = sys.argv[2]
+    out = sys.argv[3] if len(sys.argv) > 3 else "PLANS.md"
     spark = local_session(shuffle_partitions=16)
     tables = load_tables(spark, snap)
+    src = read_sources(spark, sf_dir)
+    target, batches = target_tables(tables, src["nation"]), candidate_batches(src)
+    jobs = dict(JOBS)
+    for name, scenario_job in SCENARIO_JOBS.items():
+        jobs[name] = lambda t, run=scenario_job: run(t, target, batches)
     rows = []
-    for name, job in JOBS.items():
+    for name, job in jobs.items():
         small = summary(plan_text(job(tables)))
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         large_text = plan_text(job(tables))

@@ -1,13 +1,15 @@
-"""Skew check: one patient and one junior doctor each hold a third of all records.
+"""Skew check: a patient, a junior doctor and a consultant each hold a third of the rows.
 
 Usage: python scripts/skew_check.py [sf_dir]   (default /root/testdata/sf0.01)
 
 Builds the tables, rewrites PTR so that PAT-001 and DOC-004 each own about a
-third of the rows, then plans every fact job as if all tables were large
-(no broadcast; ``wardline.broadcast.maxRows`` = 0) with AQE skew thresholds
-scaled down to this data size. For each job it prints the joins split by AQE
-(``skew=true``), the joins on a salted key, and whether the rows equal the
-result under default settings.
+third of the records and DOCTOR so that DOC-006 leads a third of the doctors,
+then runs every job that meets them twice: under default settings, and planned
+as if all tables were large (no broadcast; ``wardline.broadcast.maxBytes`` = 0),
+both with AQE skew thresholds scaled down to this data size. For each it prints
+the joins split by AQE (``skew=true``), the joins on a salted key, the largest
+partition's share of the result, and whether both results are equal, by count
+and sum of row hashes; only one row per partition reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ from wardline.sources.fixtures import build_tables  # noqa: E402
 LARGE_TABLE_MODE = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "wardline.broadcast.maxRows": "0",
+    "wardline.broadcast.maxBytes": "0",
+}
+SMALL_PARTITIONS = {
+    "spark.sql.shuffle.partitions": "64",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
@@ -42,6 +47,9 @@ LARGE_TABLE_MODE = {
 }
 
 JOBS = {
+    "q1_consultant_teams": R.q1_consultant_teams,
+    "q5_unique_specialty": R.q5_unique_specialty,
+    "rec_team_latest_grade": C.rec_team_latest_grade,
     "q3_patient_treatments": R.q3_patient_treatments,
     "q4_junior_patients": R.q4_junior_patients,
     "q6_treatment_experience": R.q6_treatment_experience,
@@ -55,16 +63,34 @@ JOBS = {
 }
 
 
-def plan_after_run(df) -> str:
-    df.collect()  # executes this DataFrame's own plan, so explain shows the final AQE plan
+def run(df) -> tuple[str, list]:
+    """(executed plan, (rows, sum of row hashes) per partition)."""
+    parts = df.select(F.spark_partition_id().alias("p"), F.xxhash64(*df.columns).alias("h")).groupBy(
+        "p").agg(F.count("h").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+    rows = [(r.n, r.h) for r in parts.collect()]
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain()
-    return buf.getvalue().split("== Initial Plan ==")[0]
+        parts.explain()
+    return buf.getvalue().split("== Initial Plan ==")[0], rows
 
 
-def canon(df) -> list:
-    return sorted(tuple("" if v is None else str(v) for v in r) for r in df.collect())
+def check(spark, name: str, job) -> None:
+    digests = []
+    for mode, settings in (("default", SMALL_PARTITIONS), ("large", SMALL_PARTITIONS | LARGE_TABLE_MODE)):
+        old = {k: spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        started = time.time()
+        plan, rows = run(job())
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        total = sum(n for n, _ in rows)
+        digests.append((total, sum(h for _, h in rows)))
+        split = [ln.split("[", 1)[1].split("]")[0] for ln in plan.splitlines() if "Join(skew=true)" in ln]
+        salted = sum(1 for ln in plan.splitlines() if "Join" in ln and "__salt" in ln)
+        print(f"{name:24s} {mode:8s} rows={total:>7} same={digests[0] == digests[-1]} aqe_split={split} "
+              f"salted_joins={salted} largest_partition={max((n for n, _ in rows), default=0) / max(total, 1):.3f} "
+              f"{time.time() - started:5.1f}s", flush=True)
 
 
 def main() -> None:
@@ -75,46 +101,23 @@ def main() -> None:
     ptr = t.ptr.withColumn("patient_no", F.when(bucket == 0, F.lit("PAT-001")).otherwise(
         F.col("patient_no"))).withColumn("doctor_staff_no", F.when(bucket == 1, F.lit("DOC-004"))
                                          .otherwise(F.col("doctor_staff_no")))
-    skewed = t.replace(ptr=ptr)
-    shares = ptr.agg(F.avg((F.col("patient_no") == "PAT-001").cast("int")).alias("p"),
-                     F.avg((F.col("doctor_staff_no") == "DOC-004").cast("int")).alias("d")).first()
-    print(f"hot shares: PAT-001 {shares['p']:.2f}, DOC-004 {shares['d']:.2f}")
+    third = F.pmod(F.crc32("staff_no"), F.lit(3)) == 0
+    doctor = t.doctor.withColumn("consultant_staff_no", F.when(third, F.lit("DOC-006")).otherwise(
+        F.col("consultant_staff_no")))
+    skewed = t.replace(ptr=ptr, doctor=doctor)
     for name, job in JOBS.items():
-        want = canon(job(skewed))  # default settings
-        for k, v in LARGE_TABLE_MODE.items():
-            spark.conf.set(k, v)
-        t0 = time.time()
-        df = job(skewed)
-        plan = plan_after_run(df)
-        got = canon(df)
-        el = time.time() - t0
-        for k in LARGE_TABLE_MODE:
-            spark.conf.unset(k)
-        split = [ln.split("[", 1)[1].split("]")[0] for ln in plan.splitlines()
-                 if "Join(skew=true)" in ln]
-        salted = sum(1 for ln in plan.splitlines() if "Join" in ln and "__salt" in ln)
-        print(f"{name:26s} rows={len(got):>7} same={got == want} aqe_split={split} "
-              f"salted_joins={salted} {el:5.1f}s")
+        check(spark, name, lambda job=job: job(skewed))
 
     # Ingestion: a third of the patient candidates repeat one key (a storm of
-    # re-posts); the join back to the per-key winners must stay splittable.
+    # re-posts), part of them word for word and with the same arrival number.
     _, target, batches = scenario(spark, sf_dir)
-    cands = batches["patient"]
-    cands = cands.withColumn("patient_no", F.when(F.col("arrival_seq") % 9 == 1, F.lit("PAT-NEW"))
-                             .otherwise(F.col("patient_no")))
-    want = canon(I.ingest_patient(target, cands).outcome)
-    for k, v in LARGE_TABLE_MODE.items():
-        spark.conf.set(k, v)
-    df = I.ingest_patient(target, cands).outcome
-    plan = plan_after_run(df)
-    got = canon(df)
-    for k in LARGE_TABLE_MODE:
-        spark.conf.unset(k)
-    salted = sum(1 for ln in plan.splitlines() if "Join" in ln and "__salt" in ln)
-    key_i, out_i = df.columns.index("patient_no"), df.columns.index("outcome")
-    accepted = sum(1 for r in got if r[key_i] == "PAT-NEW" and r[out_i] == "accepted")
-    print(f"{'ingest_patient (hot key)':26s} rows={len(got):>7} same={got == want} "
-          f"salted_joins={salted} PAT-NEW accepted once={accepted == 1}")
+    again = F.col("arrival_seq") % 9 == 1
+    cands = batches["patient"].withColumn("patient_no", F.when(again, F.lit("PAT-NEW")).otherwise(
+        F.col("patient_no"))).withColumn("arrival_seq", F.when(again, F.col("arrival_seq") % 100).otherwise(
+            F.col("arrival_seq")))
+    check(spark, "ingest_patient", lambda: I.ingest_patient(target, cands).outcome)
+    accepted = I.ingest_patient(target, cands).accepted.where("patient_no = 'PAT-NEW'").count()
+    print(f"PAT-NEW accepted once: {accepted == 1}")
     spark.stop()
 
 

@@ -106,6 +106,36 @@ def test_next_number_rules(spark):
     assert nxt([]) == 1
     assert nxt(["PAT-999", "PAT-007"]) == 1000
     assert nxt(["PAT-x", "PAT-002"]) == 3
+    assert nxt(["PAT-3000000000", "PAT-007"]) == 3000000001  # beyond a 32-bit integer
+
+
+def test_one_winner_among_ties_and_no_turn_without_sequence(make_tables, spark):
+    t = make_tables(ward=[("W0", "S", 1)])
+    rows = [(5, "W1", "B", None), (5, "W1", "A", None), (5, " W1", "A", None),  # tied, two of them equal
+            (None, "W2", "A", None), (None, "W2", "A", None), (7, "W2", "B", None),
+            (1, "W3", "A", "99999999999"), (2, "W3", "A", "2"), (3, "W0", "A", None)]
+    res = I.ingest_ward(t, spark.createDataFrame(
+        rows, "arrival_seq long, ward_name string, specialty_name string, num_care_units string"))
+    got = sorted(collect(res.outcome, "ward_name", "specialty_name", "outcome"))
+    assert got == [("W0", "A", "duplicate_key"), ("W1", "A", "accepted"), ("W1", "A", "duplicate_key"),
+                   ("W1", "B", "duplicate_key"), ("W2", "A", "missing_sequence"),
+                   ("W2", "A", "missing_sequence"), ("W2", "B", "accepted"),
+                   ("W3", "A", "accepted"), ("W3", "A", "invalid_value")]
+    assert sorted(collect(res.snapshots["ward"], "ward_name")) == [("W0",), ("W1",), ("W2",), ("W3",)]
+
+
+def test_write_classifies_once(make_tables, spark, monkeypatch, tmp_path):
+    t = make_tables()
+    batch = spark.createDataFrame([(1, "N1", "Ann", "W", "U", "day_sister"), (2, "N2", "Bob", "W", "U", "x")],
+                                  "arrival_seq long, staff_no string, name string, ward_name string,"
+                                  " care_unit_no string, role string")
+    paths = I.ingest_nurse(t, batch).write(str(tmp_path / "v1"))
+    assert set(paths) == {"nurse", "day_sister", "night_sister", "staff_nurse", "non_reg_nurse"}
+    assert collect(spark.read.parquet(paths["day_sister"])) == [("N1",)]
+    seen = []
+    builders = {"nurse": lambda rows: seen.append(rows) or rows.select("staff_no")}
+    I.IngestResult(I.ingest_nurse(t, batch).outcome, builders).write(str(tmp_path / "v2"))
+    assert "_outcome" in seen[0].inputFiles()[0]  # the snapshot reads what was written
 
 
 def test_dense_index_and_assign_ids_across_partitions(spark):
@@ -129,7 +159,7 @@ def test_classify_salted_path_matches_broadcast_path(make_tables, spark, monkeyp
     cands = spark.createDataFrame(rows, "arrival_seq long, specialty_name string")
     want = sorted(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
     monkeypatch.setattr(I, "salted_join",
-                        functools.partial(skew.salted_join, max_broadcast_rows=0))
+                        functools.partial(skew.salted_join, max_bytes=0))
     got = sorted(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
     assert got == want
     assert dict(want)[1] == "accepted" and dict(want)[2] == "duplicate_key"

@@ -12,34 +12,38 @@ TRIM = " \t\n\r\x00\x0b"
 names = st.sampled_from(["Cardio", " Cardio", "Neuro\t", "Derm", "", "  ", "\n", "Onco"])
 
 
-def sequential(existing: set[str], posts: list[tuple[int, str]]) -> dict[int, str]:
-    """The reference's per-post flow: trim, required check, key check, insert."""
-    table, out = set(existing), {}
-    for seq, raw in sorted(posts):
+def sequential(existing: set[str], posts: list[tuple[int | None, str]]) -> list[tuple]:
+    """One post at a time: trim, required check, key check, insert."""
+    table, out = set(existing), []
+    for seq, raw in sorted(posts, key=lambda p: (p[0] is None, p[0] or 0)):
         name = raw.strip(TRIM)
         if name == "":
-            out[seq] = "missing_required"
+            outcome = "missing_required"
+        elif seq is None:
+            outcome = "missing_sequence"
         elif name in table:
-            out[seq] = "duplicate_key"
+            outcome = "duplicate_key"
         else:
             table.add(name)
-            out[seq] = "accepted"
-    return out
+            outcome = "accepted"
+        out.append((seq, name, outcome))
+    return sorted(out, key=str)
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=12, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(existing=st.sets(st.sampled_from(["Cardio", "Derm"]), max_size=2),
-       posts=st.lists(names, min_size=1, max_size=12),
-       order=st.randoms(use_true_random=False))
-def test_first_wins_equals_sequential_posts(spark, make_tables, existing, posts, order):
-    seqs = list(range(len(posts)))
-    order.shuffle(seqs)  # arrival order differs from list order
-    batch = list(zip(seqs, posts))
+       batch=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), names),
+                      min_size=1, max_size=12))
+def test_first_wins_equals_sequential_posts(spark, make_tables, existing, batch):
+    """Also with tied and missing arrival numbers: one winner per key."""
     t = make_tables(specialty=[(n,) for n in existing])
     cands = spark.createDataFrame(batch, "arrival_seq long, specialty_name string")
-    got = dict(collect(I.ingest_specialty(t, cands).outcome, "arrival_seq", "outcome"))
-    assert got == sequential(existing, batch)
+    res = I.ingest_specialty(t, cands)
+    got = collect(res.outcome, "arrival_seq", "specialty_name", "outcome")
+    assert sorted(got, key=str) == sequential(existing, batch)
+    keys = collect(res.snapshots["specialty"], "specialty_name")
+    assert len(keys) == len(set(keys))
 
 
 @settings(max_examples=5, deadline=None,

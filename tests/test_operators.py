@@ -8,8 +8,9 @@ from wardline.operators.joins import (
     bounded_broadcast,
     expand_in_order,
     left_join_hot_right,
+    provably_small,
     restrict,
-    row_count_at_most,
+    stored_bytes,
 )
 
 
@@ -33,7 +34,7 @@ def test_expand_in_order_both_paths(spark):
     left, right = _sides(spark)
     order = ["name", "n", "v"]
     small = expand_in_order(left, right, "k", ["name"]).orderBy(*order)
-    large = expand_in_order(left, right, "k", ["name"], max_rows=0).orderBy(*order)
+    large = expand_in_order(left, right, "k", ["name"], max_bytes=0).orderBy(*order)
     assert collect(small.select("name", "v")) == collect(large.select("name", "v"))
     assert collect(small.select("name", "v")) == [
         ("a", 10), ("a", 11), ("b", 20), ("c", None), ("d", 10), ("d", 11)]
@@ -41,8 +42,10 @@ def test_expand_in_order_both_paths(spark):
 
 def test_bounded_checks(spark):
     df = spark.range(10)
-    assert row_count_at_most(df, 10) and not row_count_at_most(df, 9)
-    assert bounded_broadcast(df, 5).count() == 10 and bounded_broadcast(df, 50).count() == 10
+    assert stored_bytes(df) == 80
+    assert provably_small(df, 80) and not provably_small(df, 79) and not provably_small(df, 0)
+    assert bounded_broadcast(df, 5).count() == 10 and bounded_broadcast(df, 500).count() == 10
+    assert stored_bytes(df.where("id > 8").select((df.id + 1).alias("x"))) == 80  # the whole table
     keys = spark.createDataFrame([("x",)], "k string")
     left, _ = _sides(spark)
     assert collect(restrict(left, "k", keys), "name") == collect(restrict(left, "k", ["x"]), "name")

@@ -70,3 +70,21 @@ def test_small_dimension_is_broadcast_after_check(stored):
     text = plan(R.q3_patient_treatments(stored), "formatted")
     assert "BroadcastExchange" in text
     assert scan_lines(text, "complaint")
+
+
+def test_building_a_job_starts_no_spark_job(spark):
+    """Every registered DataFrame is lazy; assign_ids alone writes its checkpoint."""
+    from wardline.plans.registry import queries
+
+    started = []
+    for name, job in queries().items():
+        if name == "assign_ids":
+            continue
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        try:
+            job(spark, SF)
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        if spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}"):
+            started.append(name)
+    assert started == []

@@ -49,14 +49,12 @@ def test_private_folder_only_for_local_sessions():
 def test_size_shuffles(spark):
     from wardline.session import size_shuffles
 
-    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    keys = ["spark.sql.shuffle.partitions"]
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
-        # 100 TB at 256 MB per partition -> 409,600, capped at 200,000
-        assert size_shuffles(spark, 100 * 1024**4) == 200_000
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
-        assert size_shuffles(spark, 10 * 1024**3) == 200  # small input: the floor
+        assert size_shuffles(spark, 1024**3) == 8  # small input: the session's own count stays
+        assert size_shuffles(spark, 100 * 1024**4) == 409_600  # 100 TB at 256 MB per partition
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "409600"
     finally:
         for k, v in old.items():
             if v is None:

@@ -36,3 +36,17 @@ def test_stream_applies_batches_in_order(spark):
     out = spark.read.parquet(log.latest_paths()["bed"].rsplit("/", 1)[0] + "/_outcome")
     assert dict(collect(out, "bed_no", "outcome")) == {"B2": "duplicate_key", "B3": "accepted"}
     assert log.entries().where("batch_id = 7").count() == 1
+
+
+def test_two_entities_share_a_state_folder(spark):
+    root = tempfile.mkdtemp(prefix="wardline-stream-")
+    initial = {}
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(f"{root}/init/{name}")
+        initial[name] = f"{root}/init/{name}"
+    log = VersionLog(spark, f"{root}/state", initial)
+    batch_writer("specialty", log)(
+        spark.createDataFrame([(1, "Cardio")], "arrival_seq long, specialty_name string"), 0)
+    batch_writer("bed", log)(spark.createDataFrame([(1, "B1", "U1")], CAND), 0)
+    assert collect(log.tables().specialty) == [("Cardio",)]
+    assert collect(log.tables().bed, "bed_no") == [("B1",)]

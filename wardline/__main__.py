@@ -3,7 +3,7 @@
   prepare --sf-dir DIR --out SNAP        derive the 17 tables from test data, save a snapshot
   list                                   registered job names
   run JOB --tables SNAP --out DIR        run a job over a snapshot and write the result
-      [--format parquet|json|show] [--keys K1,K2,...]
+      --format parquet|json|show [--keys K1,K2,...]
       [--complaint C --date-from D --date-to D]   (q11)
       [--input-bytes N]                      size shuffles for an input of N bytes
 
@@ -14,27 +14,31 @@ the first rows instead.
 from __future__ import annotations
 
 import argparse
-import inspect
 
 from pyspark.sql import SparkSession
 
 from wardline.plans import reports as R
-from wardline.plans.registry import JOBS
+from wardline.plans.registry import JOBS, KEYED_JOBS
 from wardline.session import local_session, size_shuffles
 from wardline.sources.fixtures import build_tables
 from wardline.sources.store import export_text, load_tables, save_tables, write_json, write_snapshot
 
 
 def _job(name: str, args: argparse.Namespace):
-    if name == "q11_complaint_daterange" and args.complaint:
-        return lambda t: R.q11_complaint_daterange(t, args.complaint, args.date_from, args.date_to)
+    if name == "q11_complaint_daterange":
+        given = [args.complaint, args.date_from, args.date_to]
+        if any(given) and not all(given):
+            raise SystemExit("q11 needs --complaint, --date-from and --date-to")
+        if all(given):
+            return lambda t: R.q11_complaint_daterange(t, *given)
+    elif args.complaint or args.date_from or args.date_to:
+        raise SystemExit(f"{name} takes no complaint or dates")
     job = JOBS[name]
     if args.keys:
         keys = [k.strip() for k in args.keys.split(",") if k.strip()]
-        params = [p for p in inspect.signature(job).parameters.values()][1:]
-        if not params:
+        if name not in KEYED_JOBS:
             raise SystemExit(f"{name} takes no keys")
-        return lambda t: job(t, keys)
+        return lambda t: job(t, **{KEYED_JOBS[name]: keys})
     return job
 
 
@@ -49,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("job", choices=sorted(JOBS))
     r.add_argument("--tables", required=True)
     r.add_argument("--out")
-    r.add_argument("--format", choices=["parquet", "json", "show"], default="show")
+    r.add_argument("--format", choices=["parquet", "json", "show"], required=True)
     r.add_argument("--keys")
     r.add_argument("--complaint")
     r.add_argument("--date-from")

@@ -67,7 +67,7 @@ def format_key(prefix: str, number: Column) -> Column:
 
 def key_number(key: Column, prefix: str) -> Column:
     """Numeric suffix after 'PREFIX-', NULL when it is not a number."""
-    return F.substring(key, len(prefix) + 2, 99).try_cast("int")
+    return F.substring(key, len(prefix) + 2, 99).try_cast("long")
 
 
 def php_intval(c: Column, default: int) -> Column:
@@ -76,7 +76,8 @@ def php_intval(c: Column, default: int) -> Column:
     toward zero; no numeric prefix gives 0.
 
     A missing field (NULL) takes ``default`` like ``?? default`` in the form
-    handler. Values outside the INT range become NULL.
+    handler. A value outside the INT range gives NULL, which the ward insert
+    refuses as ``invalid_value``.
     """
     number = F.regexp_extract(
         c, r"^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)

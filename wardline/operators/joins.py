@@ -7,36 +7,41 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only after a bounded count shows it holds at most
-# this many rows. Dimension rows here are a few short strings (< 200 bytes),
-# so the broadcast stays under ~20 MB per executor.
-BROADCAST_MAX_ROWS = 100_000
+# A dimension is broadcast only when the statistics of its files or catalog entry
+# put it below this many stored bytes (a few times as much in memory).
+BROADCAST_MAX_BYTES = 8 * 1024 * 1024
 # Session override, e.g. 0 to plan every join as if all tables were large.
-CONF_BROADCAST_MAX_ROWS = "wardline.broadcast.maxRows"
+CONF_BROADCAST_MAX_BYTES = "wardline.broadcast.maxBytes"
 
 
-def broadcast_max_rows(df: DataFrame) -> int:
-    """The broadcast row bound: session setting or BROADCAST_MAX_ROWS."""
-    return int(df.sparkSession.conf.get(CONF_BROADCAST_MAX_ROWS, str(BROADCAST_MAX_ROWS)))
+def stored_bytes(df: DataFrame) -> int:
+    """Size of ``df`` from file or catalog statistics; starts no Spark job.
 
+    A plan over one table counts as the whole table, whatever it filters or
+    projects. Over several tables Catalyst's estimate is taken, which for joins
+    is the product of the sides and so errs on the large side.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1:
+        plan = leaves.head()
+    return int(plan.stats().sizeInBytes())
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
 
-    Runs ``limit(max_rows + 1).count()``: the scan stops after max_rows + 1
-    rows, so the check costs O(max_rows) whatever the table size.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+def provably_small(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """True when statistics bound ``df`` by the session's broadcast limit."""
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get(CONF_BROADCAST_MAX_BYTES, str(BROADCAST_MAX_BYTES)))
+    return max_bytes > 0 and stored_bytes(df) <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only for a side whose size was checked.
+def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Hint a broadcast only for a side whose stored size is known to be small.
 
     Above the bound the plain DataFrame is returned and the planner (with AQE
-    measuring real shuffle sizes) picks a shuffle join instead.
+    measuring real shuffle sizes) picks the join.
     """
-    bound = broadcast_max_rows(df) if max_rows is None else max_rows
-    return F.broadcast(df) if row_count_at_most(df, bound) else df
+    return F.broadcast(df) if provably_small(df, max_bytes) else df
 
 
 Keys = None | str | Iterable[str] | DataFrame
@@ -78,19 +83,20 @@ def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFram
 
 
 def expand_in_order(left: DataFrame, right: DataFrame, key: str, order_prefix: list[str],
-                    max_rows: int | None = None) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` for a one-to-many right side, when
     the result is then sorted starting with ``order_prefix`` (left columns).
 
-    If a bounded count proves ``right`` small, the narrow left rows are
-    range-partitioned on ``order_prefix`` and ``right`` is broadcast: a
+    ``order_prefix`` must identify a left row, so that no range holds more than
+    one row's fan-out beyond its share. If statistics prove ``right`` small, the
+    narrow left rows are range-partitioned on ``order_prefix`` and ``right`` is broadcast: a
     broadcast join keeps the left side's partitioning, and a range
     partitioning on a prefix of the sort order already orders partitions,
     so the final ``orderBy`` sorts each partition locally and the wide,
     fanned-out rows are never shuffled. Otherwise it is the skew-safe shuffle
     join of ``left_join_hot_right`` and the final sort shuffles as usual.
     """
-    if row_count_at_most(right, broadcast_max_rows(right) if max_rows is None else max_rows):
+    if provably_small(right, max_bytes):
         parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return left.repartitionByRange(parts, *order_prefix).join(F.broadcast(right), key, "left")
     return left_join_hot_right(left, right, key)

@@ -6,20 +6,25 @@ classified at once with the same outcome the posts would have had when
 applied one by one in ``arrival_seq`` order:
 
 * ``missing_required`` - a required field is blank after trimming;
-* ``invalid_value``    - a date that the database would refuse;
+* ``missing_sequence`` - the row has no ``arrival_seq``, so its turn is unknown;
+* ``invalid_value``    - a date or number that the database would refuse;
 * ``duplicate_key``    - the key exists in the target or an earlier valid
   candidate of the batch claimed it (first wins);
 * ``accepted``.
 
-Rejected rows never claim a key. First-wins is one keyed ``min`` aggregate
-over the union of target keys and valid candidate keys (map-side partials,
-so a key repeated in a third of the batch is still one small group), then a
-join back on the key. Results are new snapshots; the input tables are never
+Rejected rows never claim a key. Candidates that share an ``arrival_seq`` are
+taken in the order of their cleaned columns (NULL first), and of rows equal in
+all of them one is accepted, so a key has exactly one winner. First-wins is
+one keyed ``min`` aggregate over the union of target keys and valid candidate
+keys (map-side partials, so a key repeated in a third of the batch is still
+one small group), then a join back on the key. Equal rows are counted first
+and spread out again at the end. Results are new snapshots; the input tables are never
 overwritten.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -34,7 +39,6 @@ from wardline.functions.columns import (
     is_blank,
     php_intval,
 )
-from wardline.operators.joins import bounded_broadcast
 from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
 from wardline.sources.schemas import SCHEMAS
@@ -44,13 +48,16 @@ DATE_FORMAT = "yyyy-MM-dd"  # what the forms' date inputs post
 DEFAULT_CARE_UNITS = 2
 
 
+Build = Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class IngestResult:
-    """``outcome``: every candidate, cleaned, with its outcome; ``snapshots``:
-    new versions of the target tables (name -> DataFrame)."""
+    """``outcome``: every candidate, cleaned, with its outcome; ``builders``: the
+    new versions of the target tables, as functions of the accepted rows."""
 
     outcome: DataFrame
-    snapshots: dict[str, DataFrame] = field(default_factory=dict)
+    builders: dict[str, Build] = field(default_factory=dict)
 
     @property
     def accepted(self) -> DataFrame:
@@ -61,12 +68,19 @@ class IngestResult:
         return self.outcome.where(F.col("outcome") != "accepted").withColumnRenamed(
             "outcome", "reason")
 
+    @property
+    def snapshots(self) -> dict[str, DataFrame]:
+        """The new versions (table -> DataFrame), each from its own classification;
+        ``write`` classifies once for all of them."""
+        return {table: build(self.accepted) for table, build in self.builders.items()}
+
     def write(self, path: str, mode: str = "errorifexists") -> dict[str, str]:
-        """Write ``path/_outcome`` and one new snapshot per table; returns
-        table -> snapshot path. The default mode never overwrites."""
+        """Write ``path/_outcome``, then, from what was written, one new snapshot
+        per table; returns table -> snapshot path. The default mode never overwrites."""
         self.outcome.write.mode(mode).parquet(f"{path}/_outcome")
+        stored = self.outcome.sparkSession.read.schema(self.outcome.schema).parquet(f"{path}/_outcome")
         paths = {}
-        for table, snapshot in self.snapshots.items():
+        for table, snapshot in IngestResult(stored, self.builders).snapshots.items():
             snapshot.write.mode(mode).parquet(f"{path}/{table}")
             paths[table] = f"{path}/{table}"
         return paths
@@ -83,29 +97,34 @@ def classify(cleaned: DataFrame, target: DataFrame, key: str, required: list[str
              invalid: Column | None = None) -> DataFrame:
     """Add ``outcome`` to cleaned candidates (see module doc)."""
     missing = reduce(lambda a, b: a | b, [is_blank(F.col(c)) for c in required])
-    reject = F.when(missing, F.lit("missing_required"))
+    reject = F.when(missing, F.lit("missing_required")).when(
+        F.col(SEQ).isNull(), F.lit("missing_sequence"))
     if invalid is not None:
         reject = reject.when(invalid, F.lit("invalid_value"))
-    marked = cleaned.withColumn("__reject", reject)
-
-    valid = marked.where(F.col("__reject").isNull()).select(
-        key, F.struct(F.lit(1).alias("src"), F.col(SEQ).cast("long").alias("seq")).alias("__rank"))
-    # Only target keys that some candidate uses matter; the candidate key set
-    # is broadcast when a bounded count proves it small, else semi-joined.
-    wanted = bounded_broadcast(valid.select(key).distinct())
-    existing = target.select(key).join(wanted, key, "left_semi").select(
-        key, F.struct(F.lit(0).alias("src"), F.lit(None).cast("long").alias("seq")).alias("__rank"))
+    columns = cleaned.columns
+    marked = cleaned.withColumn("__reject", reject).groupBy(*columns, "__reject").agg(
+        F.count(F.lit(1)).alias("__copies"))
+
+    rank = F.struct(F.lit(1).alias("src"), F.col(SEQ).cast("long").alias("seq"),
+                    F.struct(*[c for c in columns if c != SEQ]).alias("row"))
+    valid = marked.where(F.col("__reject").isNull()).select(key, rank.alias("__rank"))
+    # only target keys that some candidate uses matter
+    existing = target.select(key).join(valid.select(key).distinct(), key, "left_semi").select(
+        key, F.struct(F.lit(0).alias("src"), F.lit(None).cast("long").alias("seq"),
+                      F.lit(None).cast(valid.schema["__rank"].dataType["row"].dataType).alias("row"))
+        .alias("__rank"))
     winners = valid.unionByName(existing).groupBy(key).agg(F.min("__rank").alias("__win"))
 
-    mine = F.struct(F.lit(1).alias("src"), F.col(SEQ).cast("long").alias("seq"))
-    outcome = (F.when(F.col("__reject").isNotNull(), F.col("__reject"))
-               .when(F.col("__win") == mine, F.lit("accepted"))
-               .otherwise(F.lit("duplicate_key")))
     # winners is partitioned on the key by its aggregate, so AQE could not
     # split a key repeated across a large share of the batch: salted_join
     # (broadcast when the batch itself is provably small).
-    return salted_join(marked, winners, key, "left", dim_bound=marked).withColumn(
-        "outcome", outcome).drop("__reject", "__win")
+    joined = salted_join(marked, winners, key, "left", dim_bound=cleaned).withColumn(
+        "__wins", F.col("__reject").isNull() & F.col("__win").eqNullSafe(rank))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    outcome = (F.when(F.col("__reject").isNotNull(), F.col("__reject"))
+               .when(F.col("__wins") & (F.col("__copy") == 1), F.lit("accepted"))
+               .otherwise(F.lit("duplicate_key")))
+    return joined.withColumn("__copy", copy).withColumn("outcome", outcome).select(*columns, "outcome")
 
 
 def _append(target: DataFrame, rows: DataFrame, name: str) -> DataFrame:
@@ -113,12 +132,16 @@ def _append(target: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return target.select(cols).unionByName(rows.select(cols))
 
 
+def _add_keys(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """A subtype table with the staff numbers of ``rows`` that it lacks."""
+    return keys.select("staff_no").unionByName(
+        rows.select("staff_no").join(keys, "staff_no", "left_anti"))
+
+
 def ingest_specialty(t: Tables, candidates: DataFrame) -> IngestResult:
     cleaned = candidates.select(SEQ, clean_text("specialty_name").alias("specialty_name"))
     out = classify(cleaned, t.specialty, "specialty_name", ["specialty_name"])
-    res = IngestResult(out)
-    res.snapshots["specialty"] = _append(t.specialty, res.accepted, "specialty")
-    return res
+    return IngestResult(out, {"specialty": lambda rows: _append(t.specialty, rows, "specialty")})
 
 
 def ingest_ward(t: Tables, candidates: DataFrame) -> IngestResult:
@@ -130,10 +153,10 @@ def ingest_ward(t: Tables, candidates: DataFrame) -> IngestResult:
         SEQ, clean_text("ward_name").alias("ward_name"),
         clean_text("specialty_name").alias("specialty_name"),
         php_intval(F.col("num_care_units"), DEFAULT_CARE_UNITS).alias("number_of_care_units"))
-    out = classify(cleaned, t.ward, "ward_name", ["ward_name", "specialty_name"])
-    res = IngestResult(out)
-    res.snapshots["ward"] = _append(t.ward, res.accepted, "ward")
-    return res
+    # a number that no INT column takes is NULL here
+    out = classify(cleaned, t.ward, "ward_name", ["ward_name", "specialty_name"],
+                   invalid=F.col("number_of_care_units").isNull())
+    return IngestResult(out, {"ward": lambda rows: _append(t.ward, rows, "ward")})
 
 
 def ingest_bed(t: Tables, candidates: DataFrame) -> IngestResult:
@@ -142,9 +165,7 @@ def ingest_bed(t: Tables, candidates: DataFrame) -> IngestResult:
         clean_text("care_unit_no").alias("care_unit_no"),
         F.lit(0).alias("is_occupied"))
     out = classify(cleaned, t.bed, "bed_no", ["bed_no", "care_unit_no"])
-    res = IngestResult(out)
-    res.snapshots["bed"] = _append(t.bed, res.accepted, "bed")
-    return res
+    return IngestResult(out, {"bed": lambda rows: _append(t.bed, rows, "bed")})
 
 
 def bed_occupancy_update(beds: DataFrame, occupied_bed_nos: DataFrame) -> DataFrame:
@@ -178,10 +199,9 @@ def ingest_patient(t: Tables, candidates: DataFrame) -> IngestResult:
     out = classify(cleaned, t.patient, "patient_no",
                    ["patient_no", "patient_name", "care_unit_no", "bed_no"],
                    invalid=F.col("__bad")).drop("__bad")
-    res = IngestResult(out)
-    res.snapshots["patient"] = _append(t.patient, res.accepted, "patient")
-    res.snapshots["bed"] = bed_occupancy_update(t.bed, res.accepted.select("bed_no"))
-    return res
+    return IngestResult(out, {
+        "patient": lambda rows: _append(t.patient, rows, "patient"),
+        "bed": lambda rows: bed_occupancy_update(t.bed, rows.select("bed_no"))})
 
 
 def ingest_doctor(t: Tables, candidates: DataFrame) -> IngestResult:
@@ -199,13 +219,9 @@ def ingest_doctor(t: Tables, candidates: DataFrame) -> IngestResult:
         flag.alias("is_consultant"), joined_bad.alias("__bad"))
     out = classify(cleaned, t.doctor, "staff_no", ["staff_no", "name", "specialty_name"],
                    invalid=F.col("__bad")).drop("__bad")
-    res = IngestResult(out)
-    acc = res.accepted
-    res.snapshots["doctor"] = _append(t.doctor, acc, "doctor")
-    new_consultants = acc.where("is_consultant").select("staff_no").join(
-        t.consultant, "staff_no", "left_anti")
-    res.snapshots["consultant"] = t.consultant.select("staff_no").unionByName(new_consultants)
-    return res
+    return IngestResult(out, {
+        "doctor": lambda rows: _append(t.doctor, rows, "doctor"),
+        "consultant": lambda rows: _add_keys(t.consultant, rows.where("is_consultant"))})
 
 
 def ingest_nurse(t: Tables, candidates: DataFrame) -> IngestResult:
@@ -225,11 +241,8 @@ def ingest_nurse(t: Tables, candidates: DataFrame) -> IngestResult:
         role_code.alias("role"), table.alias("role_table"))
     out = classify(cleaned, t.nurse, "staff_no",
                    ["staff_no", "name", "ward_name", "care_unit_no", "role"])
-    res = IngestResult(out)
-    acc = res.accepted
-    res.snapshots["nurse"] = _append(t.nurse, acc, "nurse")
+    builders: dict[str, Build] = {"nurse": lambda rows: _append(t.nurse, rows, "nurse")}
     for role_table in ROLE_FORM_CODES.values():
-        new_rows = acc.where(F.col("role_table") == role_table).select("staff_no").join(
-            t[role_table], "staff_no", "left_anti")
-        res.snapshots[role_table] = t[role_table].select("staff_no").unionByName(new_rows)
-    return res
+        builders[role_table] = lambda rows, role=role_table: _add_keys(
+            t[role], rows.where(F.col("role_table") == role))
+    return IngestResult(out, builders)

@@ -85,20 +85,27 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
     ).join(units, "care_unit_no")
     doctors = t.doctor.select(F.col("staff_no").alias("doctor_staff_no"),
                               F.col("name").alias("consultant_name"))
-    records = t.ptr.select("patient_no", "doctor_staff_no")
+    # The record's other columns only break ties in the sort, so that the rows of a
+    # hot patient and doctor can go to several ranges.
+    ties = ["date_started", "treatment_code", "complaint_code", "date_ended"]
+    records = t.ptr.select("patient_no", "doctor_staff_no", *ties)
+    if ward_names is not None:  # only the ward's patients matter, also for the anti join
+        records = records.join(in_ward.select("patient_no").distinct(), "patient_no", "left_semi")
     # Patients with records: one plain join of the fact on patient_no (AQE can
     # split a hot patient), then the doctor name by a left join whose hot
     # keys sit on the splittable left side. Patients without records: anti
     # join against the distinct record keys (collapsed map-side).
     treated = in_ward.join(records, "patient_no").join(doctors, "doctor_staff_no", "left")
     untreated = in_ward.join(records.select("patient_no").distinct(), "patient_no", "left_anti")
-    untreated = untreated.select(*in_ward.columns,
-                                 F.lit(None).cast("string").alias("consultant_name"))
+    untreated = untreated.select(*in_ward.columns, *[
+        F.lit(None).cast(f.dataType).alias(f.name)
+        for f in treated.schema.fields if f.name in ("consultant_name", *ties)])
+    columns = ["ward_name", "patient_no", "patient_name", "care_unit_no", "bed_no",
+               "date_admitted", "consultant_name"]
     return (
-        treated.select(*in_ward.columns, "consultant_name").unionByName(untreated)
-        .select("ward_name", "patient_no", "patient_name", "care_unit_no", "bed_no",
-                "date_admitted", "consultant_name")
-        .orderBy("ward_name", "patient_no", "consultant_name"))
+        treated.select(*columns, *ties).unionByName(untreated)
+        .orderBy("ward_name", "patient_no", "consultant_name", *ties)
+        .select(*columns))
 
 
 def rec_doctor_header(t: Tables, staff_nos: Keys = None) -> DataFrame:
@@ -147,8 +154,9 @@ def rec_team_latest_grade(t: Tables, consultant_nos: Keys = None) -> DataFrame:
     members = (
         t.doctor.where(F.col("consultant_staff_no").isNotNull()
                        & (F.col("staff_no") != F.col("consultant_staff_no")))
-        .withColumnRenamed("consultant_staff_no", "consultant_no")
-        .join(consultants, "consultant_no", "left_semi"))
+        .withColumnRenamed("consultant_staff_no", "consultant_no"))
+    # a consultant may lead a large share of the doctors: salted (staff_no is unique)
+    members = salted_join(members, consultants.distinct(), "consultant_no", dim_bound=t.doctor)
     return (
         members.join(latest_grades(t), "staff_no", "left")
         .select("consultant_no", "staff_no", "name", "position", "date_joined_team",

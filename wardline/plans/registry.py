@@ -15,10 +15,12 @@ from wardline.plans import ingest as I
 from wardline.plans import listings as L
 from wardline.plans import records as C
 from wardline.plans import reports as R
-from wardline.session import tune
+from wardline.operators.joins import stored_bytes
+from wardline.session import size_shuffles, tune
 from wardline.sources.batches import scenario
 from wardline.sources.catalog import Tables
-from wardline.sources.fixtures import build_tables
+from wardline.sources.fixtures import build_tables, read_sources
+from wardline.sources.store import export_text, json_rows
 
 Job = Callable[[Tables], DataFrame]
 
@@ -68,6 +70,41 @@ JOBS: dict[str, Job] = {
     "next_ids": L.next_ids,
 }
 
+# Jobs for a set of keys, with the name of that parameter (None: every key).
+KEYED_JOBS: dict[str, str] = {
+    "q9_doctor_performance": "staff_nos",
+    "q10_patient_full": "patient_nos",
+    "rec_patient_header": "patient_nos",
+    "rec_patient_history": "patient_nos",
+    "rec_ward_header": "ward_names",
+    "rec_ward_nurses": "ward_names",
+    "rec_ward_patients": "ward_names",
+    "rec_doctor_header": "staff_nos",
+    "rec_doctor_experience": "staff_nos",
+    "rec_doctor_progress": "staff_nos",
+    "rec_team_latest_grade": "consultant_nos",
+}
+# One key each, as the reference's pages ask for, and a table of keys.
+ONE_KEY = {"staff_nos": "DOC-007", "patient_nos": "PAT-011", "ward_names": "WARD_7",
+           "consultant_nos": "DOC-006"}
+
+
+def _one(name: str) -> Job:
+    key = ONE_KEY[KEYED_JOBS[name]]
+    return lambda t: JOBS[name](t, **{KEYED_JOBS[name]: key})
+
+
+JOBS.update({f"{name}_one": _one(name) for name in list(KEYED_JOBS)})
+JOBS.update({
+    "q9_doctor_performance_of_registrars": lambda t: R.q9_doctor_performance(
+        t, t.doctor.where("position = 'registrar(r)'").select("staff_no")),
+    "q10_patient_full_of_ward": lambda t: R.q10_patient_full(
+        t, t.patient.join(t.care_unit.where("ward_name = 'WARD_7'"), "care_unit_no").select("patient_no")),
+    "units_by_ward_json": lambda t: json_rows(L.units_by_ward(t), "ward_name"),
+    "free_beds_by_unit_json": lambda t: json_rows(L.free_beds_by_unit(t), "care_unit_no"),
+    "list_patients_text": lambda t: export_text(L.list_patients(t)),
+})
+
 
 ScenarioJob = Callable[[Tables, Tables, dict], DataFrame]
 
@@ -102,9 +139,16 @@ SCENARIO_JOBS: dict[str, ScenarioJob] = {
 }
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """The session with its settings, and shuffles sized for the source files."""
+    tune(spark)
+    size_shuffles(spark, sum(stored_bytes(df) for df in read_sources(spark, sf_dir).values()))
+    return spark
+
+
 def _bind_scenario(job: ScenarioJob) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        full, target, batches = scenario(tune(spark), sf_dir)
+        full, target, batches = scenario(_sized(spark, sf_dir), sf_dir)
         return job(full, target, batches)
 
     return run
@@ -112,7 +156,7 @@ def _bind_scenario(job: ScenarioJob) -> Callable[[SparkSession, str], DataFrame]
 
 def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return job(build_tables(tune(spark), sf_dir))
+        return job(build_tables(_sized(spark, sf_dir), sf_dir))
 
     run.__doc__ = job.__doc__
     return run

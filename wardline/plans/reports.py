@@ -21,10 +21,10 @@ from wardline.functions.columns import (
 from wardline.operators.joins import (
     Keys,
     bounded_broadcast,
-    broadcast_max_rows,
     expand_in_order,
+    left_join_hot_right,
+    provably_small,
     restrict,
-    row_count_at_most,
 )
 from wardline.operators.roles import role_rows
 from wardline.operators.skew import salted_join
@@ -40,6 +40,8 @@ def q1_consultant_teams(t: Tables) -> DataFrame:
 
     The reference's LEFT JOIN is null-rejected by its WHERE, so it is an
     inner join; the self-join pairs each consultant with its team members.
+    The consultant side is partitioned on the key by its own join, so a
+    consultant with a large team is salted.
     """
     consultants = t.consultant.join(t.doctor, "staff_no").select(
         F.col("staff_no").alias("consultant_no"),
@@ -48,7 +50,7 @@ def q1_consultant_teams(t: Tables) -> DataFrame:
     members = _doctor_cols(t, doctor_no="staff_no", doctor_name="name", position="position",
                            date_joined_team="date_joined_team", consultant_no="consultant_staff_no")
     return (
-        consultants.join(members, "consultant_no")
+        salted_join(members, consultants, "consultant_no", dim_bound=t.doctor)
         .where(F.col("doctor_no") != F.col("consultant_no"))
         .select("consultant_no", "consultant_name", "specialty_name", "doctor_no",
                 "doctor_name", "position", "date_joined_team")
@@ -74,7 +76,7 @@ def q2_ward_staffing(t: Tables) -> DataFrame:
     unit_nurse = staffed.where(F.col("role") == "staff_nurse").groupBy("care_unit_no").agg(
         F.min("name").alias("staff_nurse_in_charge"))
     # Both lookups are grouped from NURSE rows, so NURSE's size bounds theirs.
-    if row_count_at_most(t.nurse, broadcast_max_rows(t.nurse)):
+    if provably_small(t.nurse):
         sisters, unit_nurse = F.broadcast(sisters), F.broadcast(unit_nurse)
     return (
         t.ward.select("ward_name", "specialty_name")
@@ -123,7 +125,7 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
         "position")
     junior_keys = juniors.select("doctor_staff_no")
     visits = t.ptr.select("doctor_staff_no", "patient_no")
-    if row_count_at_most(junior_keys, broadcast_max_rows(junior_keys)):
+    if provably_small(t.doctor):
         # map-side filter, then distinct pairs (partial aggregation map-side)
         pairs = visits.join(F.broadcast(junior_keys), "doctor_staff_no", "left_semi").distinct()
     else:
@@ -149,15 +151,20 @@ def q4_junior_patients(t: Tables, strict: bool = False) -> DataFrame:
 def q5_unique_specialty(t: Tables) -> DataFrame:
     """Consultants whose specialty has exactly one consultant.
 
-    ``IN (... GROUP BY ... HAVING COUNT(*) = 1)`` is a grouped count and a
-    left-semi join; a NULL specialty never matches, as with IN.
+    ``IN (... GROUP BY ... HAVING COUNT(*) = 1)`` is one grouped aggregate that
+    also carries the group's only row: no self-join, and a specialty with most
+    of the consultants collapses map-side. A NULL specialty never matches, as
+    with IN.
     """
     consultants = t.consultant.join(t.doctor, "staff_no").select(
         "staff_no", F.col("name").alias("consultant_name"), "specialty_name")
-    unique = (consultants.groupBy("specialty_name").count()
-              .where(F.col("count") == 1).select("specialty_name"))
-    return consultants.join(unique, "specialty_name", "left_semi").select(
-        "staff_no", "consultant_name", "specialty_name").orderBy("specialty_name", "staff_no")
+    return (
+        consultants.where(F.col("specialty_name").isNotNull()).groupBy("specialty_name")
+        .agg(F.count(F.lit(1)).alias("__n"),
+             F.min(F.struct("staff_no", "consultant_name")).alias("__only"))
+        .where("__n = 1")
+        .select("__only.staff_no", "__only.consultant_name", "specialty_name")
+        .orderBy("specialty_name", "staff_no"))
 
 
 def q6_treatment_experience(t: Tables) -> DataFrame:
@@ -166,9 +173,8 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
     The fact is reduced to distinct (complaint, treatment, doctor) keys with
     map-side partial aggregation before any dimension join, and the
     description-level distinct runs before the one-to-many experience join.
-    The experience join runs through ``expand_in_order``: with a small
-    experience table the fanned-out rows need no shuffle for the ORDER BY;
-    otherwise a skew-safe shuffle join (a doctor may be hot).
+    A doctor may be hot on either side of the experience join, so it runs as
+    inner plus anti join, and the ORDER BY shuffles single result rows.
     """
     keys = t.ptr.select("complaint_code", "treatment_code", "doctor_staff_no").distinct()
     complaints = t.dim("complaint").select(
@@ -188,7 +194,7 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
         F.col("staff_no").alias("doctor_no"), "exp_id", "from_date", "to_date", "establishment",
         F.col("position").alias("experience_position")).distinct()
     return (
-        expand_in_order(combos, experience, "doctor_no", ["complaint_code", "doctor_name"])
+        left_join_hot_right(combos, experience, "doctor_no")
         .select("complaint_code", "complaint", "treatment", "doctor_no", "doctor_name", "exp_id",
                 "from_date", "to_date", "establishment", "experience_position")
         .orderBy("complaint_code", "doctor_name", "from_date", "doctor_no", "treatment",
@@ -272,7 +278,7 @@ def q10_patient_full(t: Tables, patient_nos: Keys = None) -> DataFrame:
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     return (
         salted_join(facts, doctors, "doctor_staff_no")
-        .join(bounded_broadcast(   # a joined plan's size estimate is useless; count it
+        .join(bounded_broadcast(
             patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
                             "care_unit_no", "bed_no")
             .join(units, "care_unit_no").join(wards, "ward_name")), "patient_no")

@@ -34,25 +34,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int,
-                  partition_bytes: int = 256 * 1024 * 1024,
-                  min_partitions: int = 200, max_partitions: int = 200_000) -> int:
+                  partition_bytes: int = 256 * 1024 * 1024) -> int:
     """Size shuffles for an input of ``input_bytes`` (e.g. the snapshot size).
 
-    Sets the initial shuffle partition count so that a full shuffle of the
-    input gives partitions of about ``partition_bytes`` (they must fit in an
-    executor task's memory without heavy spill), and lets AQE coalesce
-    smaller shuffles towards the same size. A value already set by the
-    cluster for the initial partition number wins. Returns the count used.
+    Raises the shuffle partition count until a full shuffle of the input gives
+    partitions of at most about ``partition_bytes`` (they must fit in an
+    executor task's memory without heavy spill); a larger count the session
+    already has stays. Returns the count used.
     """
-    wanted = -(-input_bytes // partition_bytes)  # ceiling
-    parts = int(min(max_partitions, max(min_partitions, wanted)))
-    conf = spark.conf
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    if conf.get(key, None) in (None, ""):
+    conf, key = spark.conf, "spark.sql.shuffle.partitions"
+    parts = max(int(conf.get(key)), -(-input_bytes // partition_bytes))
+    if parts > int(conf.get(key)):
         conf.set(key, str(parts))
-        conf.set("spark.sql.shuffle.partitions", str(parts))
-    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
-    return int(conf.get("spark.sql.shuffle.partitions"))
+    return parts
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -11,8 +11,14 @@ every source row takes part and all outcomes occur:
   rows never claim a key); with k % 7 == 0 a bad date makes that valid
   copy invalid_value as well.
 
+* k % 30 == 29: an identical second copy with the same arrival_seq, and
+* k % 30 == 19: another copy with the same arrival_seq but a changed field ->
+  exactly one of each is accepted;
+* k % 20 == 9: a further copy without arrival_seq -> missing_sequence.
+
 Keys with k % 3 == 0 arrive padded with a space and a tab, to be trimmed.
-arrival_seq = 3k (early blank copy), 3k + 1 (main), 3k + 2 (late copy).
+arrival_seq = 3k (early blank copy), 3k + 1 (main), 3k + 2 (late copy). Wards
+with k % 25 == 18 ask for more care units than an integer holds.
 """
 
 from __future__ import annotations
@@ -25,10 +31,9 @@ from pyspark.sql import functions as F
 from wardline.functions.columns import format_key, key_number
 from wardline.sources.catalog import Tables
 from wardline.sources.fixtures import (
-    MARKET_SEGMENTS,
-    NURSE_MAX_PART_SIZE,
     POSITION_BY_SUPPKEY_MOD6,
     build_tables,
+    nurse_segment,
     read_sources,
 )
 
@@ -63,7 +68,10 @@ def _batch(src: DataFrame, k: Column, key: str, fields: dict[str, Column], blank
     late_over = {} if dup_field is None else {
         dup_field: F.concat(fields[dup_field], F.lit(DUP_SUFFIX))}
     late = rows(k % 10 == 8, k * 3 + 2, **late_over)
-    return reduce(DataFrame.unionByName, [main, early, late])
+    tied = rows(k % 30 == 29, k * 3 + 1)
+    changed = rows(k % 30 == 19, k * 3 + 1, **late_over)
+    unordered = rows(k % 20 == 9, F.lit(None))
+    return reduce(DataFrame.unionByName, [main, early, late, tied, changed, unordered])
 
 
 def _date_text(d: Column, blank_when: Column, bad_when: Column) -> Column:
@@ -113,7 +121,7 @@ def candidate_batches(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     nk = F.col("n_nationkey")
     batches["specialty"] = _batch(nation, nk, "specialty_name",
                                   {"specialty_name": F.col("n_name")}, "specialty_name", None)
-    units = F.when(nk % 4 == 0, F.lit(None)).when(nk % 4 == 1, F.lit(" 3")).when(
+    units = F.when(nk % 25 == 18, F.lit("99999999999")).when(nk % 4 == 0, F.lit(None)).when(nk % 4 == 1, F.lit(" 3")).when(
         nk % 4 == 2, F.lit("4 units")).otherwise(F.lit("x"))
     batches["ward"] = _batch(nation, nk, "ward_name", {
         "ward_name": F.concat(F.lit("WARD_"), nk.cast("string")),
@@ -154,11 +162,10 @@ def candidate_batches(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     role = F.lit(UNKNOWN_ROLE)
     for ptype, code in ROLE_CODE_BY_PART_TYPE.items():
         role = F.when(F.col("p_type") == ptype, F.lit(code)).otherwise(role)
-    segment = F.element_at(F.array(*[F.lit(s) for s in MARKET_SEGMENTS]), F.col("p_size"))
-    batches["nurse"] = _batch(part.where(F.col("p_size") <= NURSE_MAX_PART_SIZE), pk, "staff_no", {
+    batches["nurse"] = _batch(part, pk, "staff_no", {
         "staff_no": format_key("NUR", pk),
         "name": F.col("p_name"),
         "ward_name": F.concat(F.lit("WARD_"), (pk % 25).cast("string")),
-        "care_unit_no": F.concat(F.lit("CU-"), (pk % 25).cast("string"), F.lit("-"), segment),
+        "care_unit_no": F.concat(F.lit("CU-"), (pk % 25).cast("string"), F.lit("-"), nurse_segment()),
         "role": role}, "role", "name")
     return batches

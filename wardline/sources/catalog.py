@@ -14,8 +14,8 @@ class Tables(Mapping[str, DataFrame]):
 
     Jobs take a ``Tables`` so that they run unchanged on Parquet snapshots,
     a JDBC source or hand-made test rows. ``dim(name)`` returns a table
-    with a broadcast hint when a bounded count proves it small; the result
-    of that check is remembered per table.
+    with a broadcast hint when file or catalog statistics prove it small; the
+    result of that check is remembered per table.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame]):
@@ -37,9 +37,9 @@ class Tables(Mapping[str, DataFrame]):
         except KeyError as exc:
             raise AttributeError(name) from exc
 
-    def dim(self, name: str, max_rows: int | None = None) -> DataFrame:
+    def dim(self, name: str, max_bytes: int | None = None) -> DataFrame:
         if name not in self._dims:
-            self._dims[name] = bounded_broadcast(self._frames[name], max_rows)
+            self._dims[name] = bounded_broadcast(self._frames[name], max_bytes)
         return self._dims[name]
 
     def register_views(self, prefix: str = "") -> list[str]:

@@ -36,13 +36,34 @@ ROLE_BY_PART_TYPE = {
 }
 DOB_BASE, JOINED_BASE = "1940-01-01", "2010-01-01"
 GRADE_FLOORS = (("A", 100.0), ("B", 50.0), ("C", 20.0))  # else 'D'
-NURSE_MAX_PART_SIZE = 5
-EXPERIENCE_EVENT_MOD10 = (0,)
-PROGRESS_EVENT_MOD10 = (1, 2, 3)
+# Every tenth event is an employment, the others are progress reports.
+EXPERIENCE_EVERY = 10
+
+# Declared, so that reading the sources starts no schema-inference job.
+SOURCE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int,"
+            " p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                " l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+                " l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
+              " props string",
+}
 
 
 def read_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCE_TABLES}
+    return {name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+            for name in SOURCE_TABLES}
+
+
+def nurse_segment() -> F.Column:
+    """The market segment that names a nurse's care unit: by part size modulo 5."""
+    return F.element_at(F.array(*[F.lit(s) for s in MARKET_SEGMENTS]), F.col("p_size") % 5 + 1)
 
 
 def _unit_no(nation_key, segment) -> F.Column:
@@ -113,16 +134,14 @@ def build_tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(k % 12 == 6, F.lit(None)).otherwise(format_key("DOC", k - k % 6)).alias("consultant_staff_no"))
     t["consultant"] = supplier.where(k % 6 == 0).select(format_key("DOC", k).alias("staff_no"))
 
-    nurse_parts = part.where(F.col("p_size") <= NURSE_MAX_PART_SIZE)
     pk = F.col("p_partkey")
-    segment = F.element_at(F.array(*[F.lit(s) for s in MARKET_SEGMENTS]), F.col("p_size"))
-    t["nurse"] = nurse_parts.select(
+    t["nurse"] = part.select(
         format_key("NUR", pk).alias("staff_no"),
         F.col("p_name").alias("name"),
         _ward_name(pk % 25).alias("ward_name"),
-        _unit_no(pk % 25, segment).alias("care_unit_no"))
+        _unit_no(pk % 25, nurse_segment()).alias("care_unit_no"))
     for role, types in ROLE_BY_PART_TYPE.items():
-        t[role] = nurse_parts.where(F.col("p_type").isin(*types)).select(
+        t[role] = part.where(F.col("p_type").isin(*types)).select(
             format_key("NUR", pk).alias("staff_no"))
 
     t["treatment"] = part.select(format_key("TRT", pk).alias("treatment_code"),
@@ -140,13 +159,10 @@ def build_tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(F.col("l_linestatus") == "O", F.lit(None)).otherwise(
             F.date_add(started, F.col("l_quantity").cast("int"))).alias("date_ended"))
 
-    staff_events = events.join(
-        supplier.select(F.col("s_suppkey").alias("user_id")), "user_id", "left_semi")
     ev_date = F.col("ts").cast("date")
     establishment = F.concat(F.lit("EST-"), (F.col("event_id") % 7).cast("string"))
-    t["previous_experience"] = staff_events.where(
-        (F.col("event_id") % 10).isin(*EXPERIENCE_EVENT_MOD10)
-    ).select(
+    # Events of users who are no doctors stay: the queries look the doctor up.
+    t["previous_experience"] = events.where(F.col("event_id") % EXPERIENCE_EVERY == 0).select(
         F.col("event_id").alias("exp_id"),
         format_key("DOC", F.col("user_id")).alias("staff_no"),
         ev_date.alias("from_date"),
@@ -157,9 +173,7 @@ def build_tables(spark: SparkSession, sf_dir: str) -> Tables:
     grade = F.lit("D")
     for letter, floor in reversed(GRADE_FLOORS):
         grade = F.when(F.col("value") >= floor, F.lit(letter)).otherwise(grade)
-    t["progress"] = staff_events.where(
-        (F.col("event_id") % 10).isin(*PROGRESS_EVENT_MOD10)
-    ).select(
+    t["progress"] = events.where(F.col("event_id") % EXPERIENCE_EVERY != 0).select(
         F.col("event_id").alias("progress_id"),
         format_key("DOC", F.col("user_id")).alias("staff_no"),
         establishment.alias("establishment"),

@@ -16,7 +16,8 @@ from wardline.sources.schemas import SCHEMAS
 
 # Files of the fact table are range-partitioned and sorted by start date, so
 # Parquet min/max statistics prune whole files / row groups for date ranges.
-FACT_LAYOUT = {"ptr": ["date_started", "complaint_code"]}
+# The patient number lets a range split a day with very many equal complaints.
+FACT_LAYOUT = {"ptr": ["date_started", "complaint_code", "patient_no"]}
 # Upper bound on rows per output file (a few hundred MB of fact rows), so a
 # large range partition becomes several files instead of one huge one.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -65,6 +66,11 @@ def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> Non
     writer.json(path)
 
 
+def json_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, json): each row as one JSON object; the rows of a key are not gathered."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd"}).alias("json"))
+
+
 def export_text(df: DataFrame) -> DataFrame:
     """Dates rendered as yyyy-MM-dd strings, as the reference prints them."""
     return df.select([
@@ -74,11 +80,15 @@ def export_text(df: DataFrame) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
-              table_names: dict[str, str] | None = None) -> Tables:
+              table_names: dict[str, str] | None = None,
+              partitioning: dict[str, tuple[str, str, str, int]] | None = None) -> Tables:
     """Load the 17 tables through Spark's JDBC source (driver jar required).
 
     ``table_names`` maps our table names to the database's (default: upper
-    case, PATIENT_TREATMENT_RECORD for ptr). Columns are lower-cased and cast
+    case, PATIENT_TREATMENT_RECORD for ptr). ``partitioning`` gives, per table,
+    (column, lower bound, upper bound, partitions) of a numeric or date column,
+    so that a large table is read by that many tasks and connections at once;
+    a table without an entry is read by one. Columns are lower-cased and cast
     to the declared schema.
     """
     names = {n: n.upper() for n in SCHEMAS}
@@ -86,7 +96,12 @@ def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
     names.update(table_names or {})
     frames = {}
     for name, schema in SCHEMAS.items():
-        raw = spark.read.jdbc(url, names[name], properties=properties)
+        reader = spark.read.format("jdbc").options(url=url, dbtable=names[name], **properties)
+        if name in (partitioning or {}):
+            column, lower, upper, parts = partitioning[name]
+            reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper,
+                                    numPartitions=str(parts))
+        raw = reader.load()
         raw = raw.toDF(*[c.lower() for c in raw.columns])
         frames[name] = raw.select([F.col(f.name).cast(f.dataType).alias(f.name)
                                    for f in schema.fields])
@@ -118,9 +133,11 @@ def save_bucketed(tables: Tables, database: str, buckets: int, analyze: bool = T
     spark = next(iter(tables.values())).sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, df in tables.items():
+        key = BUCKET_KEYS.get(name)
+        if key:  # one task per bucket, so a bucket is not scattered over one file per task
+            df = df.repartition(buckets, key)
         writer = df.write.mode("errorifexists").format("parquet").option(
             "maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        key = BUCKET_KEYS.get(name)
         if key:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{database}.{name}")

@@ -3,10 +3,12 @@
 Candidate rows arrive as files; each micro-batch is classified by the same
 job as a batch load (``wardline.plans.ingest``) against the latest committed
 snapshot of the tables it writes, and the new snapshots are written as a new
-version. A small Parquet log of (batch_id, table, path) is the commit record:
-it is appended only after the snapshots are written, so a retried micro-batch
-whose id is already logged is skipped, and one that failed halfway rewrites
-its own uncommitted version directory. Later batches see the keys accepted by
+version. A small Parquet log of (seq, entity, batch_id, table, path) is the
+commit record: it is appended only after the snapshots are written, so a
+retried micro-batch whose entity and id are already logged is skipped, and one
+that failed halfway rewrites its own uncommitted version directory. Streams of
+several entities may share one state folder, one at a time; ``seq`` orders
+their versions. Later batches see the keys accepted by
 earlier ones (first wins across batches too).
 """
 
@@ -17,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from wardline.plans import ingest as I
 from wardline.sources.catalog import Tables
@@ -32,7 +33,7 @@ INGESTERS: dict[str, Callable[[Tables, DataFrame], I.IngestResult]] = {
     "nurse": I.ingest_nurse,
 }
 
-LOG_SCHEMA = "batch_id long, table string, path string"
+LOG_SCHEMA = "seq long, entity string, batch_id long, table string, path string"
 
 
 class VersionLog:
@@ -45,25 +46,29 @@ class VersionLog:
     def path(self) -> str:
         return f"{self.state_dir}/_log"
 
+    def _exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def entries(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        if not self._exists():
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
 
-    def committed(self, batch_id: int) -> bool:
-        return not self.entries().where(F.col("batch_id") == batch_id).isEmpty()
+    def committed(self, entity: str, batch_id: int) -> bool:
+        return not self.entries().where(
+            (F.col("entity") == entity) & (F.col("batch_id") == batch_id)).isEmpty()
 
     def latest_paths(self) -> dict[str, str]:
         """table -> path of its newest committed version (one row per table)."""
-        latest = self.entries().groupBy("table").agg(
-            F.max_by("path", "batch_id").alias("path"))
+        latest = self.entries().groupBy("table").agg(F.max_by("path", "seq").alias("path"))
         paths = dict(self.initial)
         paths.update({r["table"]: r["path"] for r in latest.collect()})
         return paths
 
-    def commit(self, batch_id: int, paths: dict[str, str]) -> None:
-        rows = [(batch_id, table, path) for table, path in paths.items()]
+    def commit(self, entity: str, batch_id: int, paths: dict[str, str]) -> None:
+        seq = self.entries().agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        rows = [(seq, entity, batch_id, table, path) for table, path in paths.items()]
         self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(
             self.path)
 
@@ -76,22 +81,26 @@ def batch_writer(entity: str, log: VersionLog) -> Callable[[DataFrame, int], Non
     ingest = INGESTERS[entity]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if log.committed(batch_id):
+        if log.committed(entity, batch_id):
             return  # retry of a committed micro-batch
-        version = f"{log.state_dir}/v{batch_id:010d}"
+        version = f"{log.state_dir}/{entity}/v{batch_id:010d}"
         # An uncommitted version left by a failed attempt is rewritten.
         paths = ingest(log.tables(), batch).write(version, mode="overwrite")
-        log.commit(batch_id, paths)
+        log.commit(entity, batch_id, paths)
 
     return apply
 
 
 def start(spark: SparkSession, entity: str, source_dir: str, candidate_schema: str,
           state_dir: str, initial_paths: dict[str, str], checkpoint_location: str,
-          available_now: bool = True) -> StreamingQuery:
-    """Start the stream; ``initial_paths`` maps every table name to its snapshot."""
+          available_now: bool = True, files_per_trigger: int = 1000) -> StreamingQuery:
+    """Start the stream; ``initial_paths`` maps every table name to its snapshot.
+
+    Each micro-batch rewrites the snapshots it changes, so it should take many
+    files at a time (``files_per_trigger``).
+    """
     log = VersionLog(spark, state_dir, initial_paths)
-    stream = spark.readStream.schema(candidate_schema).option("maxFilesPerTrigger", 1).parquet(
+    stream = spark.readStream.schema(candidate_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(
         source_dir)
     writer = stream.writeStream.foreachBatch(batch_writer(entity, log)).option(
         "checkpointLocation", checkpoint_location)
