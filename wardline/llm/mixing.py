@@ -35,6 +35,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.deploy import written
+
 LEVELS = ["domain", "lang", "source"]
 
 
@@ -149,7 +151,7 @@ def stock_of(docs: DataFrame) -> DataFrame:
 def select_mix(docs: DataFrame, params: MixParams = PRODUCTION) -> DataFrame:
     """One row per selected document and epoch: doc_id, domain, lang, source, epoch,
     n_tokens, taken (the last document of a leaf may give only its first ones)."""
-    stock = stock_of(docs)
+    stock = written(stock_of(docs), "stock")  # words are counted once, for four readers
     budgets = leaf_budgets(stock, params).where("budget > 0")
     digest = F.md5(F.concat_ws(":", F.lit(params.seed).cast("string"), F.col("epoch").cast("string"),
                                F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
