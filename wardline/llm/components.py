@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import written
@@ -53,70 +55,171 @@ def shared_signatures(postings: DataFrame) -> DataFrame:
             .drop("again", "low", "high"))
 
 
-Verify = Callable[[DataFrame], DataFrame]
+Step = Callable[[DataFrame], DataFrame]
+Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+BLOCK_IDS, BLOCK_SIZE = 1024, 1_000_000  # members and tokens (or bytes) of a block of a family
 
 
-def link_by_signatures(postings: DataFrame, promising: Verify, possible: Verify,
-                       verify: Verify) -> DataFrame:
-    """Links (a, b) whose components equal those of all true links among the ids
-    that share a signature.
+def link_by_signatures(postings: DataFrame, promising: Step, possible: Step,
+                       fits: Callable[[], Column], fetch: Step, similar: Step, decode: Decode,
+                       least: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of a Jaccard similarity of ``least`` (a fraction) or more, enough to
+    give the components of all such links among the ids that share a signature.
 
-    ``postings`` (sig, id, ...) comes from ``shared_signatures``. Two rounds
-    compare, within a signature, each id (then each component) with one
-    representative only; the pairs that ``promising`` lets through are
-    verified. A closing round covers, exactly, what is still apart: pairs of
-    one signature in different components, less those ``possible`` rules out
-    and those verified before. A group of copies therefore costs its size,
-    not its square: only ids that no link connects meet pair by pair.
+    ``postings`` (sig, id, ...) comes from ``shared_signatures``; ``fetch`` turns a
+    table of ids into (id, content), ``decode`` the contents of a task into their
+    sets (all tokens, and the offsets of each set), and ``similar`` keeps the pairs
+    (a, b, content_a, content_b) that are similar enough. First, an id is compared
+    with one representative per signature, the member that shares most postings
+    with others (the original of a group of edited copies); of these pairs,
+    ``promising`` ones are verified. Then all that is still apart is covered
+    exactly. Even signatures are single tokens that few ids have: their pairs in
+    different components are formed, if they fit (``fits``, a condition on the
+    columns ``..._a`` and ``..._b``), counted (``shared``), and verified where
+    ``possible``. Odd signatures are combinations, of which similar ids share
+    hundreds: ids connected by them form families, and the members of a family
+    are compared block by block, without forming their pairs.
     """
-    keys = ["a", "b"]
-    checked, links, labels = None, None, None
-    for close in (False, False, True):
-        rows = postings
-        if labels is None:
-            rows = rows.withColumn("comp", F.col("id"))
-        else:
-            rows = rows.join(labels, "id", "left").withColumn(
-                "comp", F.coalesce("label", "id")).drop("label")
-        if close:
-            of_sig = Window.partitionBy("sig")
-            rows = rows.withColumn("low", F.min("comp").over(of_sig)).withColumn(
-                "high", F.max("comp").over(of_sig)).where("low < high").drop("low", "high")
-            left = rows.select("sig", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "sig"])
-            right = rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "sig"])
-            pairs = left.join(right, "sig").where("id_a < id_b and comp_a <> comp_b")
-        else:
-            one = Window.partitionBy("sig", "comp").orderBy("id")
-            first = Window.partitionBy("sig").orderBy("comp", "id")
-            names = [c for c in postings.columns if c != "sig"] + ["comp"]
-            # after the first round one member stands for its component
-            rows = rows if labels is None else rows.withColumn(
-                "rank", F.row_number().over(one)).where("rank = 1").drop("rank")
-            head = F.first(F.struct(*names)).over(first)
-            pairs = rows.withColumn("head", head).select(
-                "sig", *[F.col(f"head.{c}").alias(f"{c}_a") for c in names],
-                *[F.col(c).alias(f"{c}_b") for c in names]).where("comp_a <> comp_b")
-        extra = [c for c in postings.columns if c not in ("sig", "id")]
-        lower = F.col("id_a") <= F.col("id_b")
-        pairs = pairs.groupBy(
-            F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
-            F.count(F.lit(1)).alias("shared"),
-            F.bool_or(F.col("sig").bitwiseAND(1) == 1).alias("combined"),
-            *[F.max(F.when(lower, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))).alias(f"{c}_a")
-              for c in extra],
-            *[F.max(F.when(lower, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))).alias(f"{c}_b")
-              for c in extra])
-        pairs = (possible if close else promising)(pairs)
-        if checked is not None:
-            pairs = pairs.join(checked, keys, "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        if not close:
-            done = pairs.select(*keys)
-            checked = done if checked is None else checked.unionByName(done)
-            if links.isEmpty():
-                labels = None
-            else:
-                labels = connected_components(links)
-    return links
+    of_sig, by_id = Window.partitionBy("sig"), Window.partitionBy("id")
+    postings = written(postings.withColumn("crowd", F.count(F.lit(1)).over(of_sig)).withColumn(
+        "weight", F.sum("crowd").over(by_id)).drop("crowd"), "postings")
+    names = [c for c in postings.columns if c not in ("sig", "weight")]
+
+    def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+        left = contents.select(F.col("id").alias("a"), F.col("content").alias("content_a"))
+        right = contents.select(F.col("id").alias("b"), F.col("content").alias("content_b"))
+        return similar(pairs.select("a", "b").join(left, "a").join(right, "b")).select("a", "b")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct(), "wanted")
+        return written(fetch(ids).groupBy("id").agg(F.any_value("content").alias("content")), "contents")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    head = F.first(F.struct(*names)).over(of_sig.orderBy(F.desc("weight"), "id"))
+    stars = postings.withColumn("head", head).where("head.id <> id").select(
+        "sig", *[F.col(f"head.{c}").alias(f"{c}_a") for c in names],
+        *[F.col(c).alias(f"{c}_b") for c in names])
+    stars = written(promising(_counted(stars, names)), "stars")
+    links = written(verified(stars, sets(ends(stars))), "links")
+
+    comp = F.coalesce("label", "id") if not links.isEmpty() else F.col("id")
+    rows = postings.drop("weight")
+    if not links.isEmpty():
+        rows = rows.join(connected_components(links), "id", "left")
+    rows = rows.withColumn("comp", comp).drop("label")
+    apart = written(rows.withColumn("low", F.min("comp").over(of_sig)).withColumn(
+        "high", F.max("comp").over(of_sig)).where("low < high").drop("low", "high"), "apart")
+
+    single = apart.where(F.col("sig").bitwiseAND(1) == 0)
+    names = [*names, "comp"]
+    left = single.select("sig", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = single.select(F.col("sig").alias("sig_b"), *[F.col(c).alias(f"{c}_b") for c in names])
+    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("id_a") < F.col("id_b"))
+                      & (F.col("comp_a") != F.col("comp_b")) & fits())
+    pairs = possible(_counted(pairs, names)).select("a", "b", "comp_a", "comp_b")
+    pairs = written(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    combined = apart.where(F.col("sig").bitwiseAND(1) == 1)
+    bonds = combined.select(F.first("id").over(of_sig.orderBy("id")).alias("a"), F.col("id").alias("b"))
+    members = connected_components(bonds).withColumnRenamed("label", "family").join(
+        combined.groupBy("id").agg(F.first("comp").alias("comp")), "id")
+    members = written(members, "members")
+    contents = sets(ends(pairs).unionByName(members.select("id")))
+    return links.unionByName(written(verified(pairs, contents), "links")).unionByName(
+        written(_family_links(members.join(contents, "id"), decode, least), "links"))
+
+
+def _counted(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """One row per pair a < b: ``shared`` single and any ``combined`` signatures, and
+    both sides' columns."""
+    swap = F.col("id_a") > F.col("id_b")
+    extra = [c for c in names if c != "id"]
+    return pairs.groupBy(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
+        F.count_if(F.col("sig").bitwiseAND(1) == 0).alias("shared"),
+        F.bool_or(F.col("sig").bitwiseAND(1) == 1).alias("combined"),
+        *[F.max(F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))).alias(f"{c}_a") for c in extra],
+        *[F.max(F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))).alias(f"{c}_b") for c in extra])
+
+
+def _family_links(members: DataFrame, decode: Decode, least: tuple[int, int]) -> DataFrame:
+    """Links between components inside families; ``members``: id, family, comp, content.
+
+    A family beyond ``BLOCK_IDS`` members or ``BLOCK_SIZE`` of content is dealt into
+    blocks, and every two blocks meet in one task; small families share tasks. Of
+    the links that a task finds, it returns those that join components.
+    """
+    is_list = members.schema["content"].dataType.typeName() == "array"
+    size = F.size("content") if is_list else F.octet_length("content")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = members.groupBy("family").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_IDS), F.ceil(F.sum(size) / BLOCK_SIZE))
+        .cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j"))))
+    rows = members.join(blocks, "family").withColumn("own", own).withColumn("cell", cell)
+    alone = F.col("blocks") == 1
+    rows = rows.select(
+        F.when(alone, F.pmod(F.xxhash64("family"), F.lit(4 * parts))).otherwise(F.col("family")).alias("task"),
+        F.when(alone, -1).otherwise(F.col("cell.i")).alias("i"), F.col("cell.j").alias("j"),
+        "family", "id", "comp", "content")
+
+    def compare(table):
+        order = np.argsort(table.column("family").to_numpy(), kind="stable")
+        table = table.combine_chunks()
+        family, ids, comps = (table.column(c).to_numpy()[order] for c in ("family", "id", "comp"))
+        values, offsets = decode(table.column("content").combine_chunks().take(pa.array(order)))
+        out_a, out_b = [], []
+        edges = np.append(np.flatnonzero(np.append(True, family[1:] != family[:-1])), len(family))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            a, b = similar_pairs(values[offsets[lo]:offsets[hi]], np.diff(offsets[lo:hi + 1]),
+                                 comps[lo:hi], *least)
+            out_a.append(ids[lo:hi][a])
+            out_b.append(ids[lo:hi][b])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def similar_pairs(values: np.ndarray, sizes: np.ndarray, comps: np.ndarray, similar: int, of: int):
+    """Positions of similar sets in different components, a spanning choice of them.
+
+    Overlaps are counted as a product of 0/1 matrices, a chunk of tokens at a time,
+    over the tokens that two sets have.
+    """
+    n = len(sizes)
+    _, token, crowd = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    live = crowd[token] > 1
+    number = np.cumsum(crowd > 1) - 1
+    owner, token = owner[live], number[token[live]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    overlap = np.zeros((n, n), np.float32)
+    width = 4096
+    total = int(token[-1]) + 1 if len(token) else 0
+    for begin in range(0, total, width):
+        lo, hi = np.searchsorted(token, (begin, begin + width))
+        chunk = np.zeros((n, width), np.float32)
+        chunk[owner[lo:hi], token[lo:hi] - begin] = 1
+        overlap += chunk @ chunk.T
+    union = sizes[:, None] + sizes[None, :] - overlap
+    a, b = np.nonzero(np.triu(overlap * of >= union * similar, 1) & (comps[:, None] != comps[None, :]))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    chosen = []
+    for k, (x, y) in enumerate(zip(comps[a].tolist(), comps[b].tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            chosen.append(k)
+    return a[chosen], b[chosen]

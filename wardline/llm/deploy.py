@@ -33,6 +33,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ Two documents link when the Jaccard similarity of their sets of distinct
 five-word shingles is at least 3/4. The join is exact:
 
 1. Every document's set is hashed (64 bits per shingle); documents with equal
-   sets share one set id from here on. The same scan counts shingles in 2**20
+   sets share one set id from here on. The same scan counts shingles in 2**21
    hash cells, a table of fixed size, and cells that stand out of the ordinary
    load mark their shingles as frequent.
 2. Shingles are ordered rare before frequent, then by hash. A set of n
@@ -17,8 +17,9 @@ five-word shingles is at least 3/4. The join is exact:
    size level (partners are at most one level apart, and a set is indexed at
    its own level and the one below).
 3. Sets that share a signature are linked by representatives first and
-   exhaustively where still apart (``link_by_signatures``), pairs are dropped
-   early only by an upper bound on their overlap, and verified on whole sets.
+   exhaustively where still apart (``link_by_signatures``); pairs are dropped
+   early only by their sizes or an upper bound on their overlap, and links are
+   verified on whole sets.
 
 Shingle and set hashes are 64-bit; equal hashes count as equal items.
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.components import connected_components, link_by_signatures, shared_signatures
@@ -45,7 +46,7 @@ from wardline.llm.textblocks import binary_array, mix, shingles, text_blocks, wo
 
 WIDTH = 5
 SIMILAR, OF = 75, 100           # link when OF * |intersection| >= SIMILAR * |union|
-CELL_BITS, CELL_BLOCK = 20, 4096
+CELL_BITS, CELL_BLOCK = 21, 4096
 FILTER_BITS = 23                # size of the id filter sent to the verifying scan
 
 
@@ -79,7 +80,7 @@ def measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["doc_id", "n", "id", "block", "counts"]
         for batch in batches:
             sizes, ids = np.zeros(len(batch), np.int64), [None] * len(batch)
@@ -118,27 +119,27 @@ def _arrow(data_type) -> pa.DataType:
 
 def _cell_counts(sets: list[np.ndarray]) -> np.ndarray:
     cells = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    return np.bincount(cells, minlength=1 << CELL_BITS)
+    return np.bincount(cells, minlength=1 << CELL_BITS).astype(np.uint32)
 
 
 def frequent_cells(cells: DataFrame) -> np.ndarray:
-    """Boolean per cell: its count stands 8 deviations and 16 above the ordinary load.
+    """Boolean per cell: its count stands 4 deviations and 8 above the ordinary load.
 
     Partial counts are summed per block of cells in two levels, so no task
     adds more than a share of the partial rows; the driver receives one bit
-    per cell (128 KB).
+    per cell (256 KB).
     """
 
     def add(rows):
         total = np.zeros(CELL_BLOCK, np.int64)
         for part in rows["counts"]:
-            total += np.frombuffer(part, np.int64)
+            total += np.frombuffer(part, np.uint32 if len(part) == 4 * CELL_BLOCK else np.int64)
         return rows[["block"]].head(1).assign(counts=[total.tobytes()])
 
     def mark(rows):
         total = np.frombuffer(rows["counts"].iloc[0], np.int64)
         load = float(np.median(total))
-        high = total > load + 8.0 * np.sqrt(load) + 16.0
+        high = total > load + 4.0 * np.sqrt(load) + 8.0
         return rows[["block"]].assign(counts=[np.packbits(high).tobytes()])
 
     schema = "block int, counts binary"
@@ -242,7 +243,7 @@ def id_filter(ids: DataFrame) -> bytes:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, tokens) of the wanted sets, recomputed from the texts in one scan; the
+    """(id, content) of the wanted sets, recomputed from the texts in one scan; the
     fixed-size filter keeps other sets out of the shuffle."""
     bits = id_filter(ids)
 
@@ -256,7 +257,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate(parts).view(np.int64))
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                ["id", "tokens"])
+                ["id", "content"])
 
         for batch in batches:
             for _, tokens in _document_sets(batch.column("text")):
@@ -277,46 +278,41 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         if keys:
             yield emit()
 
-    found = docs.select("text").mapInArrow(run, "id long, tokens array<long>")
+    found = docs.select("text").mapInArrow(run, "id long, content array<long>")
     return found.join(ids, "id", "left_semi")
 
 
 def link(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between set ids; see ``link_by_signatures``."""
-    postings = written(shared_signatures(index(docs, frequent)), "postings")
     sizes = sets.where("n > 0").groupBy("id").agg(F.max("n").alias("n"))
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a")
-                .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b"))
+    postings = shared_signatures(index(docs, frequent)).join(sizes, "id")
 
     # |A & B| >= t |A | B| is OF+SIMILAR times the overlap >= SIMILAR times both sizes
     required = F.expr(f"({SIMILAR} * (n_a + n_b) + {OF + SIMILAR - 1}) div {OF + SIMILAR}")
 
-    def sizes_fit(pairs: DataFrame) -> DataFrame:
-        return with_sizes(pairs).where(F.least("n_a", "n_b") >= required)
+    def fits() -> Column:
+        return F.least("n_a", "n_b") >= required
 
     def promising(pairs: DataFrame) -> DataFrame:
         need = F.expr("least(n_a, n_b) div 4 + 1")
-        return sizes_fit(pairs).where(F.col("combined") | (F.col("shared") * 4 >= need))
+        return pairs.where(fits() & (F.col("combined") | (F.col("shared") * 4 >= need)))
 
     def possible(pairs: DataFrame) -> DataFrame:
         # all shared rare shingles of the shorter prefix are counted in `shared`
         rest = F.expr("greatest(n_a - (n_a div 4 + 1) + deficit_a,"
                       " n_b - (n_b div 4 + 1) + deficit_b)")
-        return sizes_fit(pairs).where(F.col("combined") | (F.col("shared") + rest >= required))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        tokens = written(sets_of(docs, ids).groupBy("id").agg(
-            F.any_value("tokens").alias("tokens")), "tokens")
-        left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
-        right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
-        return (pairs.join(left, "a").join(right, "b")
-                .where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= required)
-                .select("a", "b"))
-
-    return link_by_signatures(postings, promising, possible, verify)
+        return pairs.where(F.col("shared") + rest >= required)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        common = F.size(F.array_intersect("content_a", "content_b"))
+        union = F.size("content_a") + F.size("content_b") - common
+        return pairs.where(common * OF >= union * SIMILAR)
+
+    def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return column.values.to_numpy(), column.offsets.to_numpy()
+
+    return link_by_signatures(postings, promising, possible, fits, lambda ids: sets_of(docs, ids),
+                              similar, decode, (SIMILAR, OF))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
