@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.deploy import ship_package, written
+from wardline.llm.deploy import free_name, ship_package, written
 from wardline.llm.textblocks import TextBlock, mix, text_blocks, window_hashes
 
 WIDTH = 10
@@ -256,10 +256,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Semi or anti join in which null keys are equal."""
-    right = right.select(*[F.col(k).alias(f"{k}__r") for k in keys])
+    names = {k: free_name(left, f"{k}_right") for k in keys}
+    right = right.select(*[F.col(k).alias(n) for k, n in names.items()])
     on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"{k}__r"))
+    for k, n in names.items():
+        same = F.col(k).eqNullSafe(F.col(n))
         on = same if on is None else on & same
     return left.join(right, on, how)
 

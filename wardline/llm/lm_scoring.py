@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import ship_package
-from wardline.llm.textblocks import text_blocks, window_hashes, word_hashes
+from wardline.llm.textblocks import (pack_integers, text_blocks, unpack_integers, window_hashes,
+                                      word_hashes)
 
 ORDER = 3
 BACKOFF = 0.4
@@ -59,20 +59,6 @@ def ngrams(hashes: np.ndarray, word_offsets: np.ndarray, order: int) -> list[np.
     return out
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted or small integers as compressed byte planes of their differences."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack(data: bytes, dtype) -> np.ndarray:
-    kind = np.dtype(dtype)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    steps = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
-    return np.cumsum(steps, dtype=kind)
-
-
 def _block_grams(column: pa.Array, order: int):
     """(hashes of all n-grams of a block, per length; words per text)."""
     parts: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -105,9 +91,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         found, n = np.unique(every[every > 0], return_counts=True)
         part = ((found >> np.uint64(shift)).astype(np.int64) * ranges) >> 20
         cuts = np.searchsorted(part, np.arange(1, ranges))
-        rows = [(key[0].as_py(), p, _pack(h), _pack(c.astype(np.uint32)))
+        rows = [(key[0].as_py(), p, pack_integers(h), pack_integers(c.astype(np.uint32)))
                 for p, (h, c) in enumerate(zip(np.split(found, cuts), np.split(n, cuts))) if len(h)]
-        rows.append((key[0].as_py(), -1, b"", _pack(np.array([counts.sum()], np.uint64))))
+        rows.append((key[0].as_py(), -1, b"", pack_integers(np.array([counts.sum()], np.uint64))))
         names = ["block", "part", "hashes", "counts"]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)})
@@ -115,25 +101,25 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     def answer(table):
         blocks_, part = table.column("block").to_pylist(), table.column("part").to_pylist()
         if part[0] == -1:  # one number per block: the corpus size, for everybody
-            total = sum(int(_unpack(c, np.uint64)[0]) for c in table.column("counts").to_pylist())
+            total = sum(int(unpack_integers(c, np.uint64)[0]) for c in table.column("counts").to_pylist())
             return pa.table({"block": pa.array(blocks_, pa.int32()), "part": pa.array(part, pa.int32()),
-                             "counts": pa.array([_pack(np.array([total], np.uint64))] * len(part), pa.binary())})
-        hashes = [_unpack(h, np.uint64) for h in table.column("hashes").to_pylist()]
-        counts = [_unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
+                             "counts": pa.array([pack_integers(np.array([total], np.uint64))] * len(part), pa.binary())})
+        hashes = [unpack_integers(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        counts = [unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]
         known, at = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.uint32)
         replies = np.split(totals[at], np.cumsum([len(h) for h in hashes])[:-1])
         return pa.table({"block": pa.array(blocks_, pa.int32()), "part": pa.array(part, pa.int32()),
-                         "counts": pa.array([_pack(r) for r in replies], pa.binary())})
+                         "counts": pa.array([pack_integers(r) for r in replies], pa.binary())})
 
     def score(texts, replies):
         grams, n_words = _block_grams(texts.column("text"), order)
         order_of = np.argsort(replies.column("part").to_numpy())
         answers = [replies.column("counts")[int(i)].as_py() for i in order_of]
-        total = int(_unpack(answers[0], np.uint64)[0])
+        total = int(unpack_integers(answers[0], np.uint64)[0])
         every = np.concatenate(grams)
         known = np.unique(every[every > 0])
-        count_of = (np.concatenate([_unpack(a, np.uint32) for a in answers[1:]]).astype(np.int64)
+        count_of = (np.concatenate([unpack_integers(a, np.uint32) for a in answers[1:]]).astype(np.int64)
                     if len(answers) > 1 else np.zeros(0, np.int64))
         doc = np.repeat(np.arange(len(n_words)), n_words)
         outside = [_outside(g, doc, known, count_of) for g in grams]

@@ -35,7 +35,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.deploy import written
+from wardline.llm.deploy import free_name, written
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -176,8 +176,9 @@ def keep_mix(docs: DataFrame, params: MixParams = PIPELINE) -> DataFrame:
     """The rows of ``docs`` (all columns) that the mix selects, once each (``epochs``
     is 1); a document that would be cut is kept whole."""
     taken = select_mix(docs, params).select("doc_id", "text_key").distinct()
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    hit = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    owner, key = free_name(docs, "owner"), free_name(docs, "key")
+    taken = taken.select(F.col("doc_id").alias(owner), F.col("text_key").alias(key))
+    hit = F.col("doc_id").eqNullSafe(F.col(owner)) & (F.xxhash64("text") == F.col(key))
     return docs.join(taken, hit, "left_semi")
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 4 << 20
 
@@ -160,3 +161,17 @@ def shingles(hashes: np.ndarray, word_offsets: np.ndarray, width: int) -> Iterat
 
 def binary_array(parts: list[np.ndarray | bytes]) -> pa.Array:
     return pa.array([p if isinstance(p, bytes) else p.tobytes() for p in parts], pa.binary())
+
+
+def pack_integers(values: np.ndarray) -> bytes:
+    """Sorted or small integers as compressed byte planes of their differences."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_integers(data: bytes, dtype) -> np.ndarray:
+    kind = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    steps = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(steps, dtype=kind)
