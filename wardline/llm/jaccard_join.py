@@ -316,21 +316,19 @@ def link(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of the row's set)."""
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
     sets, cells = measure(docs)
     links = written(link(docs, sets, frequent_cells(cells)), "links")
     firsts = sets.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_links"))
     labels = connected_components(links)
-    named = firsts.join(labels, "id", "left").join(degree, "id", "left").withColumn(
+    named = firsts.join(labels, "id", "left").withColumn(
         "label", F.coalesce("label", "id"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "label").select("id", "component_id", "n_links")
+    named = named.join(lowest, "label").select("id", "component_id")
     return sets.join(named, "id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        .alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
@@ -344,3 +342,25 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+JACCARD_SQL = r"""
+with recursive said as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingle as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from said, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pair as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c
+  from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (
+  select x, y from pair join size p on p.doc_id = x join size q on q.doc_id = y
+  where 100 * c >= 75 * (p.n + q.n - c)),
+both_ways as (select x, y from link union all select y, x from link),
+reach as (
+  select doc_id, doc_id as other from said
+  union select r.doc_id, b.y from reach r join both_ways b on b.x = r.other)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, min(other) as component_id
+from reach left join size using (doc_id) group by doc_id, n"""

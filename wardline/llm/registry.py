@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.chat_format import CHAT_SQL, op2_chat_formatting
 from wardline.llm.decontamination import op6_decontamination
-from wardline.llm.jaccard_join import op4_jaccard_join
+from wardline.llm.jaccard_join import JACCARD_SQL, op4_jaccard_join
 from wardline.llm.line_crf import op9_line_crf
 from wardline.llm.line_dedup import op8_line_dedup
 from wardline.llm.lm_scoring import op3_lm_scoring
@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": CHAT_SQL,
+        "op4_jaccard_join": JACCARD_SQL,
         "op5_source_mixing": mixing_sql(),
     }
