@@ -15,10 +15,10 @@ and a lost task is simply run again. Decoding reads control bytes through a
 256-row table of lengths, places all data bytes with numpy, and maps ranks
 back to ids.
 
-Texts are split at spaces and line feeds, which the tokenizer drops, and each
-distinct piece is encoded once per worker; that equals encoding whole texts
-for any tokenizer that drops white space before its model (checked when the
-tokenizer is loaded, else whole texts are encoded).
+Texts are cut into pieces that the tokenizer keeps apart anyway (at white space
+and between letters, digits and marks), and a worker encodes a distinct piece
+once; the ids equal those of whole texts. That holds for tokenizers whose file
+says so (checked when it is loaded); with any other, whole texts are encoded.
 
 Defined results: null and empty texts hold the end id alone. Rows that repeat
 a doc_id are separate documents, ordered by text. Null doc_ids come first. An
@@ -36,23 +36,83 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import shared_path, ship_package
-from wardline.llm.textblocks import TextBlock, text_blocks
+from wardline.llm.textblocks import TextBlock, mix, text_blocks
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_500_000  # pieces a worker remembers: about 100 bytes each
+WORDS_AT_ONCE = 500
 
 # Fixed values of the format: data bytes per id of a control byte (four 2-bit codes).
 LENGTH_TABLE = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+class PieceTable:
+    """Token ids by piece: an open-addressing table in numpy arrays, looked up for a
+    whole block at once. A piece is known by its 64-bit hash and its first eight bytes."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys = np.zeros(slots, np.uint64)  # 0: free
+        self.heads = np.zeros(slots, np.uint64)
+        self.firsts = np.zeros(slots, np.int64)
+        self.lengths = np.zeros(slots, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = self.size = 0
+
+    def find(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Slot of every piece, -1 for unknown ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        slots = (keys & mask).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = slots[todo]
+            found = (self.keys[at] == keys[todo]) & (self.heads[at] == heads[todo])
+            out[todo[found]] = at[found]
+            todo = todo[~found & (self.keys[at] != 0)]
+            slots[todo] = (slots[todo] + 1) & int(mask)
+        return out
+
+    def add(self, keys: np.ndarray, heads: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add distinct unknown pieces; ``ids`` holds their token ids one after another."""
+        while (self.size + len(keys)) * 2 > len(self.keys):
+            self._grow()
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self._place(keys, heads, self.used + np.cumsum(lengths) - lengths, lengths)
+        self.used += len(ids)
+        self.size += len(keys)
+
+    def _place(self, keys, heads, firsts, lengths) -> None:
+        mask = len(self.keys) - 1
+        slots = (keys & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = slots[todo]
+            free = np.flatnonzero(self.keys[at] == 0)
+            won = free[np.unique(at[free], return_index=True)[1]]  # one piece per free slot
+            place, piece = at[won], todo[won]
+            self.keys[place], self.heads[place] = keys[piece], heads[piece]
+            self.firsts[place], self.lengths[place] = firsts[piece], lengths[piece]
+            todo = np.delete(todo, won)
+            slots[todo] = (slots[todo] + 1) & mask
+
+    def _grow(self) -> None:
+        live = np.flatnonzero(self.keys)
+        old = self.keys[live], self.heads[live], self.firsts[live], self.lengths[live]
+        slots = 2 * len(self.keys)
+        self.keys, self.heads = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.firsts, self.lengths = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self._place(*old)
+
+
 class PieceEncoder:
-    """Token ids of texts, from a cache of encoded pieces."""
+    """Token ids of texts, from a table of encoded pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,34 +120,46 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.by_piece = _drops_white_space(spec)
+        self.by_piece = _separates_pieces(spec)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.forget()
-
-    def forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.offsets = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _encode_new(self, pieces: list[bytes]) -> None:
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece &= bool(suffix)
+        self.closes = np.zeros(self.size, bool)  # ids that end a word
+        self.closes[[i for token, i in spec["model"]["vocab"].items()
+                     if suffix and token.endswith(suffix)]] = True
+        self.table = PieceTable()
+
+    def _encode_pieces(self, pieces: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids per piece); ``plain`` marks runs of letters, which
+        are one word each and so can be encoded many to a text."""
+        lengths = np.zeros(len(pieces), np.int64)
+        parts: list[list[int]] = [[]] * len(pieces)
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        for e, i in zip(self.tokenizer.encode_batch_fast(
+                [pieces[i] for i in others.tolist()], add_special_tokens=False), others.tolist()):
+            parts[i] = e.ids
+            lengths[i] = len(e.ids)
+        groups = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
         found = self.tokenizer.encode_batch_fast(
-            [p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        first = len(self.rows)
-        lists = [e.ids for e in found]
-        counts = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while first + len(pieces) > len(self.lengths):
-            self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.lengths[first:first + len(pieces)] = counts
-        self.offsets[first:first + len(pieces)] = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
-        self.rows.update(zip(pieces, range(first, first + len(pieces))))
+            [" ".join(pieces[i] for i in g.tolist()) for g in groups], add_special_tokens=False)
+        runs = []
+        for e, g in zip(found, groups):
+            run = np.array(e.ids, np.uint32)
+            closing = np.flatnonzero(self.closes[run]) + 1
+            if len(closing) != len(g):  # a word that the vocabulary does not close
+                lists = [x.ids for x in self.tokenizer.encode_batch_fast(
+                    [pieces[i] for i in g.tolist()], add_special_tokens=False)]
+                run = np.array([i for x in lists for i in x], np.uint32)
+                closing = np.cumsum([len(x) for x in lists])
+            lengths[g] = np.diff(closing, prepend=0)
+            runs.append(run)
+        ends = np.cumsum(lengths)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        inside = np.repeat(plain, lengths)
+        flat[inside] = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
+        for i in others.tolist():
+            flat[ends[i] - lengths[i]:ends[i]] = parts[i]
+        return flat, lengths
 
     def encode(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed with the end id; ids per text)."""
@@ -98,12 +170,24 @@ class PieceEncoder:
                 add_special_tokens=False)]
             return (np.concatenate([np.array(x + [END_ID], np.uint32) for x in lists]),
                     np.array([len(x) + 1 for x in lists], np.int64))
-        starts, ends, first = _pieces(block)
-        if len(self.rows) > CACHE_PIECES:
-            self.forget()
-        rows = self._lookup(block.data, starts, ends)
-        lengths = np.insert(self.lengths[rows], first[1:], 1)  # the end ids
-        sources = np.insert(self.offsets[rows], first[1:], -1)
+        if self.table.size > CACHE_PIECES:
+            self.table = PieceTable()
+        pieces = Pieces(block)
+        keys, heads = pieces.keys(), pieces.heads()
+        slots = self.table.find(keys, heads)
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            order = unknown[np.lexsort((heads[unknown], keys[unknown]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (heads[order[1:]] != heads[order[:-1]])
+            one = order[new]
+            ids, lengths = self._encode_pieces(pieces.texts(one), pieces.plain[one])
+            places = len(self.table.keys)
+            self.table.add(keys[one], heads[one], ids, lengths)
+            again = unknown if len(self.table.keys) == places else slice(None)  # all moved
+            slots[again] = self.table.find(keys[again], heads[again])
+        lengths = np.insert(self.table.lengths[slots].astype(np.int64), pieces.first[1:], 1)  # the end ids
+        sources = np.insert(self.table.firsts[slots], pieces.first[1:], -1)
         total = int(lengths.sum())
         at = np.cumsum(lengths) - lengths
         is_end = sources < 0
@@ -114,72 +198,102 @@ class PieceEncoder:
         step[at[live]] = jump
         gather = np.cumsum(step)
         gather[at[is_end]] = 0
-        ids = self.ids[gather]
+        ids = self.table.ids[gather]
         ids[at[is_end]] = END_ID
         closed = np.cumsum(lengths)[is_end]
         return ids, np.diff(np.concatenate(([0], closed)))
 
-    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.int64)
-        lengths = ends - starts
-        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        joined = data[_inside(len(data), starts, ends)]
-        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [
-            None, pa.py_buffer(offsets), pa.py_buffer(joined.tobytes())])
-        coded = pc.dictionary_encode(pieces)
-        known = coded.dictionary.to_pylist()
-        rows = self.rows
-        new = [p for p in known if p not in rows]
-        if new:
-            self._encode_new(new)
-        table = np.fromiter((rows[p] for p in known), np.int64, len(known))
-        return table[coded.indices.to_numpy()]
-
-
-def _drops_white_space(spec: dict) -> bool:
-    """White space becomes one space and is then left out between pieces."""
+
+def _separates_pieces(spec: dict) -> bool:
+    """The tokenizer lower-cases, drops white space, and keeps runs of letters, single
+    digits and runs of other characters apart (with the usual contractions)."""
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    kinds = [s.get("type") for s in steps]
     collapses = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"}
                     and s.get("content") == " " for s in steps)
     splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    drops = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")
-                and "[^\\s" in s["pattern"].get("Regex", "") for s in splits)
+    drops = [s for s in splits if s.get("type") == "Split"]
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    runs = (len(drops) == 1 and drops[0].get("behavior") == "Removed" and drops[0].get("invert")
+            and drops[0]["pattern"] == {"Regex": pattern})
     added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"]
-                and " " not in t["content"] and "\n" not in t["content"]
+                and t["content"].startswith("<|") and not set(t["content"]) & {" ", "\n"}
                 for t in spec.get("added_tokens", []))
-    return collapses and drops and added and not spec.get("post_processor")
+    return (collapses and runs and added and set(kinds) == {"NFC", "Replace", "Lowercase"}
+            and not spec.get("post_processor"))
 
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, 10]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = _LETTER[65:91] = True
-_STOP = np.zeros(256, bool)
-_STOP[[46, 44]] = True
-
-
-def _pieces(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece spans, with a single closing '.' or ',' after an ASCII letter as a
-    piece of its own (the tokenizer separates letters from punctuation too)."""
-    data = block.data
-    starts, ends, _ = block.spans(~_GAP[data])
-    longer = ends - starts > 1
-    tail = longer & _STOP[data[ends - 1]] & _LETTER[data[np.maximum(ends - 2, 0)]]
-    at = np.flatnonzero(tail)
-    cut = ends[at] - 1
-    ends = ends.copy()
-    ends[at] = cut
-    starts = np.insert(starts, at + 1, cut)
-    ends = np.insert(ends, at + 1, cut + 1)
-    return starts, ends, np.searchsorted(starts, block.offsets)
-
-
-def _inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    depth = np.zeros(n + 1, np.int8)
-    depth[starts] += 1  # starts differ from each other, and so do ends
-    depth[ends] -= 1
-    return np.cumsum(depth[:n]).astype(bool)
+_OTHER, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.full(256, _OTHER, np.int8)  # white space, control and non-ASCII bytes: not told apart
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[33:48] = _CLASS[58:65] = _CLASS[91:97] = _CLASS[123:127] = _MARK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Pieces:
+    """The pieces of a block: what lies between spaces and line feeds, cut where letters
+    (ASCII or U+00C0 to U+00FF), digits and ASCII marks meet, lower-cased. Words with
+    ``<|``, the start of an added token, stay whole and as they are; an apostrophe is
+    not cut from a letter after it, as contractions are one token."""
+
+    def __init__(self, block: TextBlock):
+        raw, n = block.data, len(block.data)
+        kind, data = _CLASS[raw], _LOWER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        latin = lead[~np.isin(raw[lead + 1], (0x97, 0xB7))]  # not the signs times and divided-by
+        kind[latin] = kind[latin + 1] = _LETTER
+        capital = latin[raw[latin + 1] < 0x9F] + 1
+        data[capital] += 32
+        inside = ~_GAP[raw]
+        cut = np.zeros(n + 1, bool)
+        cut[block.offsets] = True  # where a text begins
+        cut = cut[:n]
+        if n:
+            before = kind[:-1]
+            cut[1:] |= ((kind[1:] != before) & (kind[1:] != _OTHER) & (before != _OTHER)
+                        & ~((raw[:-1] == 39) & (kind[1:] == _LETTER)))
+            special = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+            if len(special):
+                starts, ends, _ = block.spans(inside)
+                words = np.unique(np.searchsorted(starts, special, "right") - 1)
+                for a, b in zip(starts[words].tolist(), ends[words].tolist()):
+                    cut[a + 1:b] = False
+                    kind[a:b] = _OTHER
+                    data[a:b] = raw[a:b]
+        gap_before = np.concatenate(([True], ~inside[:-1])) if n else inside
+        gap_after = np.concatenate((~inside[1:], [True])) if n else inside
+        cut_after = np.concatenate((cut[1:], [True])) if n else cut
+        self.block = TextBlock(data, block.offsets)
+        self.starts = np.flatnonzero(inside & (gap_before | cut))
+        self.ends = np.flatnonzero(inside & (gap_after | cut_after)) + 1
+        self.first = np.searchsorted(self.starts, block.offsets)
+        letters = np.concatenate(([0], np.cumsum(kind == _LETTER)))
+        self.plain = letters[self.ends] - letters[self.starts] == self.ends - self.starts
+
+    def keys(self) -> np.ndarray:
+        """A hash of each piece, never 0."""
+        h = self.block.span_hash(self.block.prefix_hash(), self.starts, self.ends)
+        length = (self.ends - self.starts).astype(np.uint64)
+        return mix(h + length * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1 << 63)
+
+    def heads(self) -> np.ndarray:
+        """The first eight bytes of each piece as a number."""
+        out = np.zeros(len(self.starts), np.uint64)
+        length = self.ends - self.starts
+        padded = np.concatenate((self.block.data, np.zeros(8, np.uint8)))
+        for k in range(8):
+            byte = padded[self.starts + k].astype(np.uint64)
+            out |= np.where(length > k, byte, np.uint64(0)) << np.uint64(8 * k)
+        return out
+
+    def texts(self, chosen: np.ndarray) -> list[str]:
+        data = self.block.data.tobytes()
+        return [data[a:b].decode("utf-8") for a, b in zip(
+            self.starts[chosen].tolist(), self.ends[chosen].tolist())]
 
 
 @lru_cache(maxsize=1)
