@@ -4,22 +4,23 @@ A byte goes if a ``WINDOW``-byte string that covers it also starts in a
 document with a smaller doc_id. The job never sorts the suffixes that cannot
 matter:
 
-1. Anchors: every window owns the 16-byte gram of least hash inside it, so
+1. Anchors: every window owns the 20-byte gram of least hash inside it, so
    equal windows own equal anchors. A first scan sends each task's distinct
    anchor hashes, packed by hash range; anchors of two documents are marked in
    a bitmap of fixed size (16 MB; should it fill up, more windows are
    examined, none is lost).
-2. Runs of neighbouring windows with one marked anchor are shipped once per
-   task as *contents* (at most 84 bytes, with their smallest and largest
-   document) and as *occurrences* (hashes and a position).
-3. Per anchor, the suffixes that start at the windows of its contents are
+2. The *content* of an anchor's run of neighbouring windows is at most 80 bytes.
+   A second scan sends the hashes of each task's distinct contents at marked
+   anchors with their smallest and largest document. Where an anchor has one
+   content only, as inside long copies, that settles its windows.
+3. For the others the contents themselves are sent. Per anchor, the suffixes that start at the windows of its contents are
    sorted: a bottom-up mergesort whose comparisons find the longest common
    extension by binary search over prefix polynomial hashes (logarithmic in
    its length), and neighbours that agree over a whole window are compared
    byte by byte, so a hash collision cannot join them. Each class of equal
    windows gets its smallest document. Only distinct contents are sorted: a
    passage in a third of all documents is a few of them.
-4. Occurrences meet these verdicts in a hash join, and the removed spans meet
+4. The occurrences of marked anchors meet these verdicts in a hash join, and the removed spans meet
    the texts by document.
 
 Defined results: null or empty texts have no bytes, keep the empty string.
@@ -31,7 +32,6 @@ empty result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.deploy import ship_package
-from wardline.llm.textblocks import TextBlock, binary_array, mix, text_blocks
+from wardline.llm.deploy import ship_package, written
+from wardline.llm.textblocks import (TextBlock, binary_array, mix, pack_integers, text_blocks,
+                                      unpack_integers)
 
 WINDOW = 50
-GRAM = 16
+GRAM = 20
 SPAN = WINDOW - GRAM + 1        # grams in a window
 MAP_BITS = 27
+RANGE_BITS = 6
+RANGES = 1 << RANGE_BITS        # tasks that merge anchors, by the top bits of the hash
 SORT_ROWS = 400_000             # suffixes sorted at a time
 
 
@@ -84,8 +87,6 @@ def owned_runs(block: TextBlock):
 
 def anchor_map(docs: DataFrame) -> bytes:
     """Bitmap (by the top bits) of the anchors that two documents have."""
-    buckets = 64
-    shift = np.uint64(64 - MAP_BITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -101,7 +102,7 @@ def anchor_map(docs: DataFrame) -> bytes:
                 keep[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
                 found.append(gram[keep])
                 held += int(keep.sum())
-                if held >= 1 << 21:
+                if held >= 1 << 22:
                     yield from emit(found)
                     found, held = [], 0
         if held:
@@ -109,30 +110,122 @@ def anchor_map(docs: DataFrame) -> bytes:
 
     def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.unique(np.concatenate(found), return_counts=True)
-        cuts = np.searchsorted(grams, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(58)))
-        parts = list(zip(np.split(grams, cuts), np.split(counts > 1, cuts)))
+        cuts = _range_cuts(grams)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(buckets, dtype=np.int32)), binary_array([g for g, _ in parts]),
-             binary_array([np.packbits(c) for _, c in parts])], ["bucket", "grams", "again"])
+            [pa.array(np.arange(RANGES, dtype=np.int32)),
+             binary_array([pack_integers(g) for g in np.split(grams, cuts)]),
+             binary_array([np.packbits(c) for c in np.split(counts > 1, cuts)])],
+            ["range", "grams", "again"])
 
     def merge(rows):
-        grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        grams = [unpack_integers(g, np.uint64) for g in rows["grams"]]
         again = [g[np.unpackbits(np.frombuffer(a, np.uint8))[:len(g)].astype(bool)]
                  for g, a in zip(grams, rows["again"])]
         merged = np.sort(np.concatenate(grams))
         repeated = np.concatenate([merged[1:][merged[1:] == merged[:-1]], *again])
-        bits = np.zeros((1 << MAP_BITS) // buckets, bool)
-        bits[(repeated >> shift).astype(np.int64) % len(bits)] = True
-        return rows[["bucket"]].head(1).assign(bits=[np.packbits(bits).tobytes()])
+        return rows[["range"]].head(1).assign(bits=[_cell_bits(repeated)])
 
-    parts = docs.select("text").mapInArrow(scan, "bucket int, grams binary, again binary")
+    parts = docs.select("text").mapInArrow(scan, "range int, grams binary, again binary")
+    return _bitmap(parts.groupBy("range").applyInPandas(merge, "range int, bits binary"))
+
+
+def _range_cuts(grams: np.ndarray) -> np.ndarray:
+    """Where the RANGES equal ranges of the hash begin in a sorted array (but the first)."""
+    return np.searchsorted(grams, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
+
+
+def _cell_bits(grams: np.ndarray) -> bytes:
+    """The part of a bitmap that belongs to one hash range, with these hashes marked."""
+    bits = np.zeros((1 << MAP_BITS) // RANGES, bool)
+    bits[(grams >> np.uint64(64 - MAP_BITS)).astype(np.int64) % len(bits)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _bitmap(parts: DataFrame) -> bytes:
+    """The whole bitmap from its RANGES parts (16 MB, whatever the input)."""
     out = bytearray(1 << (MAP_BITS - 3))
-    size = len(out) // buckets
-    for row in parts.groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").collect():
-        out[row.bucket * size:(row.bucket + 1) * size] = row.bits  # 64 rows, 16 MB in all
+    size = len(out) // RANGES
+    for row in parts.collect():
+        out[row.range * size:(row.range + 1) * size] = row.bits
     return bytes(out)
 
 
+def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
+    """(verdicts of anchors with one content, bitmap of the anchors with several)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for block, row, starts, stops, _, gram, content in _marked_runs(batch, bits):
+                windows = (stops - starts - WINDOW + 1).astype(np.uint8)
+                held.append((gram, content, ids[row + block.first], windows))
+                rows += len(gram)
+                if rows >= 1 << 21:
+                    yield emit(held)
+                    held, rows = [], 0
+        if rows:
+            yield emit(held)
+
+    def emit(held: list[tuple]) -> pa.RecordBatch:
+        gram, content, ids, windows = (np.concatenate(x) for x in zip(*held))
+        gram, content, low, high, pick = _distinct(gram, content, ids, ids)
+        cuts = _range_cuts(gram)
+
+        def parts(values: np.ndarray, pack) -> pa.Array:
+            return binary_array([pack(v) for v in np.split(values, cuts)])
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(RANGES, dtype=np.int32)), parts(gram, pack_integers),
+             parts(content, lambda v: v), parts(low, pack_integers), parts(high - low, pack_integers),
+             parts(windows[pick], lambda v: v)], ["range", "grams", "contents", "low", "span", "windows"])
+
+    def merge(table):
+        def column(name: str, read) -> np.ndarray:
+            return np.concatenate([read(v) for v in table.column(name).to_pylist()])
+
+        low = column("low", lambda v: unpack_integers(v, np.int64))
+        span = column("span", lambda v: unpack_integers(v, np.int64))
+        gram, content, low, high, pick = _distinct(
+            column("grams", lambda v: unpack_integers(v, np.uint64)),
+            column("contents", lambda v: np.frombuffer(v, np.uint64)), low, low + span)
+        windows = column("windows", lambda v: np.frombuffer(v, np.uint8))[pick]
+        new = np.append(True, gram[1:] != gram[:-1]) if len(gram) else np.zeros(0, bool)
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(gram) else new
+        done = ~several & (low < high)
+        n = int(done.sum())
+        where = table.column("range")[0].as_py()
+        return pa.table({
+            "range": pa.array([where] * (n + 1), pa.int32()),
+            "bits": pa.array([_cell_bits(gram[several]), *[None] * n], pa.binary()),
+            "anchor": pa.array([0, *gram[done].view(np.int64).tolist()], pa.int64()),
+            "content": pa.array([0, *content[done].view(np.int64).tolist()], pa.int64()),
+            "from": pa.array([0] * (n + 1), pa.int32()),
+            "to": pa.array([0, *windows[done].tolist()], pa.int32()),
+            "least": pa.array([0, *low[done].tolist()], pa.int64())})
+
+    sent = docs.mapInArrow(
+        scan, "range int, grams binary, contents binary, low binary, span binary, windows binary")
+    merged = written(sent.groupBy("range").applyInArrow(
+        merge, "range int, bits binary, anchor long, content long, `from` int, `to` int, least long"),
+        "settled")
+    told = merged.where("bits is null").select("anchor", "content", "from", "to", "least")
+    return told, _bitmap(merged.where("bits is not null").select("range", "bits"))
+
+
+def _distinct(gram, content, low, high):
+    """Distinct (gram, content), sorted, with their extreme documents and a row of each."""
+    order = np.lexsort((low, content, gram))
+    g, c = gram[order], content[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    heads = np.flatnonzero(head)
+    top = np.maximum.reduceat(high[order], heads) if len(heads) else high[:0]
+    return g[heads], c[heads], low[order][heads], top, order[heads]
+
+
 def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
     """Per block: (block, row of each run, position in its text, hashes ...) of marked anchors."""
     for block in text_blocks(batch.column("text")):
@@ -165,7 +258,7 @@ def occurrences(docs: DataFrame, bitmap) -> DataFrame:
                      pa.array((starts - block.offsets[row]).astype(np.int32))],
                     ["anchor", "content", "doc_id", "text_key", "at"])
 
-    return docs.mapInArrow(run, "anchor long, content long, doc_id long, text_key long, at int")
+    return docs.mapInArrow(run, "anchor long, content long, doc_id long, text_key int, at int")
 
 
 def contents(docs: DataFrame, bitmap) -> DataFrame:
@@ -180,17 +273,10 @@ def contents(docs: DataFrame, bitmap) -> DataFrame:
         def emit() -> pa.RecordBatch:
             gram, content, ids, place, length, pieces = (np.concatenate(x) for x in zip(*held))
             begins = np.cumsum(length) - length
-            order = np.lexsort((ids, content, gram))
-            first = np.ones(len(order), bool)
-            g, c = gram[order], content[order]
-            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            heads = np.flatnonzero(first)
-            tails = np.append(heads[1:], len(order)) - 1
-            pick = order[heads]
+            gram, content, low, high, pick = _distinct(gram, content, ids, ids)
             taken = [pieces[b:b + n].tobytes() for b, n in zip(begins[pick].tolist(), length[pick].tolist())]
             return pa.RecordBatch.from_arrays(
-                [pa.array(gram[pick].view(np.int64)), pa.array(content[pick].view(np.int64)),
-                 pa.array(ids[pick]), pa.array(ids[order[tails]]),
+                [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(low), pa.array(high),
                  pa.array(place[pick].astype(np.int32)), pa.array(taken, pa.binary())],
                 ["anchor", "content", "low", "high", "place", "bytes"])
 
@@ -351,14 +437,8 @@ def verdicts(found: DataFrame, parts: int) -> DataFrame:
         anchor, content, low, high, place = (
             table.column(c).to_numpy() for c in ("anchor", "content", "low", "high", "place"))
         # the same content from several tasks: one row, with its extreme documents
-        order = np.lexsort((low, content, anchor))
-        a, c = anchor[order], content[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        heads = np.flatnonzero(head)
-        top = np.maximum.reduceat(high[order], heads)
-        pick = order[heads]
-        anchor, content, low, place = a[heads], c[heads], low[pick], place[pick]
+        anchor, content, low, top, pick = _distinct(anchor, content, low, high)
+        place = place[pick]
         pieces = table.column("bytes").take(pa.array(pick)).to_pylist()
         row, window, least = least_documents(anchor, place, low, pieces)
         useful = least < top[row]
@@ -382,11 +462,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, from, to): byte ranges to remove; they may overlap or touch."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    bitmap = spark.sparkContext.broadcast(anchor_map(rows))
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_key"))
+    context = spark.sparkContext
+    marked = context.broadcast(anchor_map(rows))
+    told, several = settle(rows, marked)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = verdicts(contents(rows, bitmap), parts)
-    hits = occurrences(rows, bitmap).join(told, ["anchor", "content"]).where("least < doc_id")
+    told = told.unionByName(verdicts(contents(rows, context.broadcast(several)), parts))
+    hits = occurrences(rows, marked).join(told, ["anchor", "content"]).where("least < doc_id")
     return hits.select("doc_id", "text_key", (F.col("at") + F.col("from")).alias("from"),
                        (F.col("at") + F.col("to") + (WINDOW - 1)).alias("to"))
 
@@ -436,8 +518,8 @@ def dedup_text(docs: DataFrame) -> DataFrame:
                      pa.array(kept_out, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        squeeze, f"doc_id {doc_type}, text_key long, packed binary")
+    texts = docs.select("doc_id", "text", F.hash("text").alias("text_key")).mapInArrow(
+        squeeze, f"doc_id {doc_type}, text_key int, packed binary")
     return texts.join(per_doc, ["doc_id", "text_key"], "left").mapInArrow(
         cut, f"doc_id {doc_type}, n_bytes long, removed array<struct<`from`: int, `to`: int>>, kept binary")
 
