@@ -51,3 +51,16 @@ def test_nulls_repeats_and_empty_tables(make_docs, spark, words):
     kept = D.keep_clean(make_docs(rows), bench)
     assert kept.columns == make_docs([]).columns
     assert sorted(r.doc_id for r in kept.collect()) == [10 + i for i in range(len(ODD_TEXTS))]
+
+
+POOR = ["What is 12 + 7 * 3 - 4 / 2 ?", "1 1 2 3 5 8 13 21 34 55 89 144", "Anna Meyer Paul Weber Ida Lang Otto Kern",
+        "The Old King Of The North Sea And His Seven Sons Of Iron", "size 4 mm 12 kg 30 cm 7 g 15 mm 9 t 2 km"]
+
+
+def test_items_poor_in_literals(make_docs, spark, words):
+    rows = [(i, words(30, i) + " " + item + " " + words(30, 90 + i)) for i, item in enumerate(POOR)]
+    other = {0: "What is 13 + 8 * 5 - 9 / 6 ?", 1: "2 4 6 8 10 12 14 16 18 20 22 24", 2: "Eva Braun Max Holz Lea Wolf Tim Berg"}
+    rows += [(100 + i, words(30, i) + " " + t + " " + words(30, 90 + i)) for i, t in other.items()]
+    found = leaks(make_docs, spark, rows, list(enumerate(POOR)))
+    assert set(found) == {(i, i) for i in range(len(POOR))}
+    assert all(r.n_covered == r.n_tokens for r in found.values())

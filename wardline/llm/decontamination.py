@@ -4,10 +4,17 @@ Words are turned into template tokens: numbers become ``NUM`` (with an
 attached or following unit as ``UNIT``), capitalised words that do not open a
 sentence become ``NAME``, every other word is its lower-cased letters and
 digits. The value behind a placeholder is its slot value. Windows of ``width``
-template tokens are hashed (items with fewer tokens are one window) and
-joined: document windows that pass a fixed-size filter of benchmark hashes
-meet the benchmark's windows in a hash join. Windows with fewer literal
-tokens than half their width say nothing about a question and are left out.
+tokens are hashed (items with fewer tokens are one window) and joined:
+document windows that pass a fixed-size filter of benchmark hashes meet the
+benchmark's windows in a hash join. Every window of an item is sought in the
+readings that can say something about it:
+
+- plain: only numbers are placeholders. What stands before the window, and
+  the case of its letters, do not matter;
+- raw: the words themselves, for windows of which more than half are numbers,
+  so that these match with equal values only;
+- template: names and units are placeholders too, if at least half of the
+  window is literal.
 
 Matched windows of one document and item with the same shift form an
 alignment. In an alignment every slot value of the item must stand for one
@@ -71,9 +78,13 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+_MARKS = mix(np.arange(4, dtype=np.uint64) + np.uint64(77))  # tokens of the placeholders
+
+
 class Templates:
-    """Template tokens of a block: ``token`` hashes (literals, or placeholders), the
-    hash of the word behind each (``value``), ``slot`` kinds and token offsets per text."""
+    """Tokens of a block: the hash of every word (``value``), the template's ``token``
+    (literals, or placeholders) and ``slot`` kinds, the ``plain`` tokens in which only
+    a ``number`` is a placeholder, and token offsets per text."""
 
     def __init__(self, block: TextBlock, unit_hashes: np.ndarray):
         data = block.data
@@ -103,31 +114,35 @@ class Templates:
         number_only = is_number & (digits[hi] - digits[lo] == hi - lo)
         attached = is_number & ~number_only  # 12km: a number with its unit
         after_number = np.concatenate(([False], number_only[:-1])) if len(lo) else number_only
+        self.number = is_number
         is_unit = after_number & np.isin(word, unit_hashes)
         is_name = capital & ~opens & ~is_number & ~is_unit
         self.slot = np.where(number_only | attached, _KIND["NUM"], np.where(
             is_unit, _KIND["UNIT"], np.where(is_name, _KIND["NAME"], 0))).astype(np.int8)
         self.value = word
-        marks = mix(np.arange(4, dtype=np.uint64) + np.uint64(77))
-        self.token = np.where(self.slot > 0, marks[self.slot], word)
+        self.token = np.where(self.slot > 0, _MARKS[self.slot], word)
+        self.plain = np.where(is_number, _MARKS[_KIND["NUM"]], word)
         self.offsets = offsets
 
 
-def template_windows(block: TextBlock, width: int, units: np.ndarray):
-    """Yields (text, hashes, starts, sizes, slot, value) for the texts with windows."""
+def item_readings(block: TextBlock, width: int, units: np.ndarray):
+    """Yields (text, hash, at, size, tokens of the text, slots) for all readings of all
+    windows of the texts (see the module)."""
     t = Templates(block, units)
-    all_windows = window_hashes(t.token, width)
-    literal = np.concatenate(([0], np.cumsum(t.slot == 0)))
-    for i, (lo, hi) in enumerate(zip(t.offsets[:-1], t.offsets[1:])):
-        n = hi - lo
-        if n >= width:
-            hashes, starts, size = all_windows[lo:hi - width + 1], np.arange(lo, hi - width + 1), width
-        elif n >= MIN_ITEM:
-            hashes, starts, size = window_hashes(t.token[lo:hi], int(n)), np.array([lo]), int(n)
-        else:
+    for i, (lo, hi) in enumerate(zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist())):
+        size = min(hi - lo, width)
+        if size < MIN_ITEM:
             continue
-        enough = 2 * (literal[starts + size] - literal[starts]) >= size
-        yield i, hashes[enough], starts[enough] - lo, size, t.slot[lo:hi], t.value[lo:hi]
+        plain, raw = window_hashes(t.plain[lo:hi], size), window_hashes(t.value[lo:hi], size)
+        for at in range(hi - lo - size + 1):
+            here = slice(lo + at, lo + at + size)
+            number = t.number[here]
+            poor = 2 * number.sum() > size
+            yield i, (raw if poor else plain)[at], at, size, hi - lo, _slots(number, t.value[here])
+            slot = t.slot[here]
+            if (slot > _KIND["NUM"]).any() and 2 * (slot > 0).sum() <= size:
+                template = window_hashes(t.token[here], size)[0]
+                yield i, template, at, size, hi - lo, _slots(slot, t.value[here])
 
 
 WINDOW_SCHEMA = "hash long, at int, size int, n_tokens int, slots array<long>"
@@ -137,15 +152,15 @@ def _unit_hashes() -> np.ndarray:
     return np.array([_hash_of(u) for u in UNITS], np.uint64)
 
 
-def _slots(slot: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
+def _slots(slot: np.ndarray, value: np.ndarray) -> list[int]:
     """Slot values of a window as place, value, place, value, ..."""
-    places = np.flatnonzero(slot[at:at + size])
-    values = value[at:at + size][places].view(np.int64)
+    places = np.flatnonzero(slot)
+    values = value[places].view(np.int64)
     return np.column_stack((places, values)).reshape(-1).tolist()
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """All template windows of the items: item_id, hash, at, size, n_tokens, slots."""
+    """All readings of the items' windows: item_id, hash, at, size, n_tokens, slots."""
     item_type = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +168,9 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for block in text_blocks(batch.column("text")):
                 items, rows = [], []
-                for i, hashes, starts, size, slot, value in template_windows(block, width, units):
-                    for h, at in zip(hashes.view(np.int64).tolist(), starts.tolist()):
-                        items.append(block.first + i)
-                        rows.append((h, at, size, len(slot), _slots(slot, value, at, size)))
+                for i, h, at, size, n_tokens, slots in item_readings(block, width, units):
+                    items.append(block.first + i)
+                    rows.append((int(h.astype(np.int64)), at, size, n_tokens, slots))
                 if rows:
                     names = ["hash", "at", "size", "n_tokens", "slots"]
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
@@ -194,16 +208,21 @@ def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFram
             for block in text_blocks(batch.column("text")):
                 t = Templates(block, units)
                 for size in sizes:
-                    windows = window_hashes(t.token, size)
-                    hit = np.flatnonzero(wanted[(windows >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                    text = np.searchsorted(t.offsets, hit, "right") - 1
-                    inside = hit + size <= t.offsets[text + 1]
-                    for w, i in zip(hit[inside].tolist(), text[inside].tolist()):
-                        owners.append(block.first + i)
-                        hashes_out.append(int(windows[w].astype(np.int64)))
-                        at_out.append(w - int(t.offsets[i]))
-                        size_out.append(size)
-                        slots_out.append(_slots(t.slot, t.value, w, size))
+                    plain = window_hashes(t.plain, size)
+                    for tokens, slot in ((t.plain, t.number), (t.token, t.slot), (t.value, t.number)):
+                        windows = plain if tokens is t.plain else window_hashes(tokens, size)
+                        hit = wanted[(windows >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                        if tokens is not t.plain:
+                            hit &= windows != plain
+                        hit = np.flatnonzero(hit)
+                        text = np.searchsorted(t.offsets, hit, "right") - 1
+                        inside = hit + size <= t.offsets[text + 1]
+                        for w, i in zip(hit[inside].tolist(), text[inside].tolist()):
+                            owners.append(block.first + i)
+                            hashes_out.append(int(windows[w].astype(np.int64)))
+                            at_out.append(w - int(t.offsets[i]))
+                            size_out.append(size)
+                            slots_out.append(_slots(slot[w:w + size], t.value[w:w + size]))
             if owners:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(owners)), pa.array(hashes_out, pa.int64()),
@@ -228,13 +247,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
         "doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "size", "n_tokens",
         "slots", "doc_slots").distinct()
     pairs = written(pairs, "windows")
-    # one row per slot of a matched window; the places agree, as the templates do
+    # one row per slot of a matched window, in however many readings it matched; the
+    # places agree, as the tokens do
     place = F.sequence(F.lit(0), (F.size("slots") / 2 - 1).cast("int"))
     slots = pairs.where(F.size("slots") > 0).select(
         "doc_id", "item_id", "shift", "at", F.explode(place).alias("k"), "slots", "doc_slots").select(
-        "doc_id", "item_id", "shift", "at",
+        "doc_id", "item_id", "shift", "at", F.element_at("slots", F.col("k") * 2 + 1).alias("place"),
         F.element_at("slots", F.col("k") * 2 + 2).alias("item_value"),
-        F.element_at("doc_slots", F.col("k") * 2 + 2).alias("doc_value"))
+        F.element_at("doc_slots", F.col("k") * 2 + 2).alias("doc_value")).distinct()
     key = ["doc_id", "item_id", "shift"]
     bound = slots.groupBy(*key, "item_value", "doc_value").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(*key, "item_value").orderBy(F.col("n").desc(), "doc_value")
