@@ -64,3 +64,27 @@ def test_items_poor_in_literals(make_docs, spark, words):
     found = leaks(make_docs, spark, rows, list(enumerate(POOR)))
     assert set(found) == {(i, i) for i in range(len(POOR))}
     assert all(r.n_covered == r.n_tokens for r in found.values())
+
+
+QUESTION = "What city did the old King Louis visit first when Anna was 12 years"
+
+
+@pytest.mark.parametrize("length", range(5, 15))
+def test_copies_wherever_they_stand(make_docs, spark, words, length):
+    item = " ".join(QUESTION.split()[:length]) + " ?"
+    a, b = words(20, 1), words(20, 2)
+    copies = [item, f"{a}. {item} {b}", f"{a} {item} {b}", f"{a}, {item} {b}", f"{a} - {item} {b}",
+              f"{a} - \"{item}\" {b}", f"{a}—{item}—{b}", f"{a} “{item[:-2]}?” {b}",
+              f"({a}.) {item} {b}", f"{a} 12 {item} {b}", f"{a} {item.lower()} {b}", f"{a} {item.upper()} {b}"]
+    rows = [*enumerate(copies), (50, a + " " + b)]
+    found = leaks(make_docs, spark, rows, [(1, item)])
+    assert set(found) == {(i, 1) for i in range(len(copies))}
+    assert all(r.n_covered == r.n_tokens for r in found.values())
+
+
+def test_first_words_of_a_long_item(make_docs, spark, words):
+    """Thirteen words are enough, from the first one on and with other names and numbers too."""
+    passage, other = " ".join(ITEM.split()[:16]), " ".join(OTHER.split()[:16])
+    rows = [(1, words(20, 1) + ", " + passage + " " + words(20, 2)), (2, words(20, 3) + ", " + other + " " + words(20, 4))]
+    found = leaks(make_docs, spark, rows, [(7, ITEM + " " + words(30, 9))])
+    assert {k: r.n_covered for k, r in found.items()} == {(1, 7): 15, (2, 7): 15}

@@ -14,7 +14,8 @@ readings that can say something about it:
 - raw: the words themselves, for windows of which more than half are numbers,
   so that these match with equal values only;
 - template: names and units are placeholders too, if at least half of the
-  window is literal.
+  window is literal. Whether the first word is a name or a unit depends on
+  what stands before it, so an item's window has both readings of that word.
 
 Matched windows of one document and item with the same shift form an
 alignment. In an alignment every slot value of the item must stand for one
@@ -73,7 +74,9 @@ _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _CLOSES = np.zeros(256, bool)  # bytes that end a sentence
-_CLOSES[[33, 46, 63, 10, 58]] = True
+_CLOSES[[33, 46, 63, 58]] = True
+_ENDS = _SPACE.copy()  # bytes that may follow such a mark: spaces, quotes, brackets, marks
+_ENDS[[33, 34, 39, 41, 46, 58, 63, 93, 125]] = _ENDS[128:] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -81,21 +84,44 @@ _FOLD[65:91] += 32
 _MARKS = mix(np.arange(4, dtype=np.uint64) + np.uint64(77))  # tokens of the placeholders
 
 
+def _core(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of words' cores, bytes that part words as a space does: dashes, hard
+    spaces). Quotes and other punctuation beyond ASCII are no letters."""
+    core, parts = _CORE[data], np.zeros(len(data), bool)
+    second, third = data[1:-1], data[2:]
+    mark = np.flatnonzero((data[:-2] == 0xE2) & ((second == 0x80) | ((second == 0x81) & (third < 0xB0))))
+    dash = mark[(data[mark + 1] == 0x80) & (data[mark + 2] >= 0x93) & (data[mark + 2] <= 0x95)]
+    for k in range(3):
+        core[mark + k] = False
+        parts[dash + k] = True
+    mark = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], (0xA0, 0xA1, 0xAB, 0xAD, 0xBB, 0xBF)))
+    hard = mark[data[mark + 1] == 0xA0]
+    for k in range(2):
+        core[mark + k] = False
+        parts[hard + k] = True
+    return core, parts
+
+
 class Templates:
     """Tokens of a block: the hash of every word (``value``), the template's ``token``
     (literals, or placeholders) and ``slot`` kinds, the ``plain`` tokens in which only
-    a ``number`` is a placeholder, and token offsets per text."""
+    a ``number`` is a placeholder, words that may be names (``capital``) or units
+    (``unit``) by themselves, and token offsets per text."""
 
     def __init__(self, block: TextBlock, unit_hashes: np.ndarray):
         data = block.data
-        starts, ends, _ = block.words()
-        core = _CORE[data]
+        core, parts = _core(data)
+        starts, ends, _ = block.spans(~_SPACE[data] & ~parts)
         positions = np.concatenate(([0], np.cumsum(core)))
         has = positions[ends] > positions[starts]
         starts, ends = starts[has], ends[has]
         # hash of the core bytes only, lower-cased: punctuation does not matter
         kept = np.flatnonzero(core)
-        folded = TextBlock(_FOLD[data[kept]], np.array([0, len(kept)]))
+        letters = _FOLD[data[kept]]
+        wide = np.flatnonzero((letters[:-1] == 0xC3) & (letters[1:] >= 0x80) & (letters[1:] <= 0x9E)
+                              & (letters[1:] != 0x97)) + 1
+        letters[wide] += 32  # the capitals of Latin-1
+        folded = TextBlock(letters, np.array([0, len(kept)]))
         lo, hi = positions[starts], positions[ends]
         word = mix(folded.span_hash(folded.prefix_hash(), lo, hi))
         first_core = data[kept[lo]] if len(lo) else np.zeros(0, np.uint8)
@@ -103,9 +129,10 @@ class Templates:
         opens = np.zeros(len(starts), bool)  # the word opens a text or a sentence
         if len(starts):
             opens[offsets[:-1][offsets[:-1] < len(starts)]] = True
-            closing = np.concatenate(([0], np.cumsum(_CLOSES[data])))
-            # a closing mark in the word before, or a line end between them
-            opens[1:] |= closing[starts[1:]] > closing[np.maximum(ends[:-1] - 1, 0)]
+            marks = (data == 10) | (_CLOSES[data] & _ENDS[np.append(data[1:], 32)])
+            closing = np.concatenate(([0], np.cumsum(marks)))
+            # a closing mark after the letters of the word before, or a line end between them
+            opens[1:] |= closing[starts[1:]] > closing[kept[hi[:-1] - 1] + 1]
         digits = np.concatenate(([0], np.cumsum(_DIGIT[data[kept]] if len(kept) else kept)))
         # a multi-byte capital (0xC3 0x80..0x9E) is a capital too
         second = data[np.minimum(kept[lo] + 1, len(data) - 1)] if len(lo) else first_core
@@ -114,9 +141,11 @@ class Templates:
         number_only = is_number & (digits[hi] - digits[lo] == hi - lo)
         attached = is_number & ~number_only  # 12km: a number with its unit
         after_number = np.concatenate(([False], number_only[:-1])) if len(lo) else number_only
-        self.number = is_number
-        is_unit = after_number & np.isin(word, unit_hashes)
-        is_name = capital & ~opens & ~is_number & ~is_unit
+        after_number[offsets[:-1][offsets[:-1] < len(starts)]] = False
+        self.number, self.unit = is_number, np.isin(word, unit_hashes)
+        self.capital = capital & ~is_number
+        is_unit = after_number & self.unit
+        is_name = self.capital & ~opens & ~is_unit
         self.slot = np.where(number_only | attached, _KIND["NUM"], np.where(
             is_unit, _KIND["UNIT"], np.where(is_name, _KIND["NAME"], 0))).astype(np.int8)
         self.value = word
@@ -139,10 +168,19 @@ def item_readings(block: TextBlock, width: int, units: np.ndarray):
             number = t.number[here]
             poor = 2 * number.sum() > size
             yield i, (raw if poor else plain)[at], at, size, hi - lo, _slots(number, t.value[here])
-            slot = t.slot[here]
-            if (slot > _KIND["NUM"]).any() and 2 * (slot > 0).sum() <= size:
-                template = window_hashes(t.token[here], size)[0]
-                yield i, template, at, size, hi - lo, _slots(slot, t.value[here])
+            first = {int(t.slot[lo + at])}
+            if not number[0]:
+                first.add(0)
+                if t.capital[lo + at]:
+                    first.add(_KIND["NAME"])
+                if t.unit[lo + at]:
+                    first.add(_KIND["UNIT"])
+            for kind in sorted(first):
+                slot = t.slot[here].copy()
+                slot[0] = kind
+                if (slot > _KIND["NUM"]).any() and 2 * (slot > 0).sum() <= size:
+                    token = np.where(slot > 0, _MARKS[slot], t.value[here])
+                    yield i, window_hashes(token, size)[0], at, size, hi - lo, _slots(slot, t.value[here])
 
 
 WINDOW_SCHEMA = "hash long, at int, size int, n_tokens int, slots array<long>"
