@@ -2,10 +2,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD_TEXTS
 from wardline.llm import lm_scoring as S
+from wardline.llm.textblocks import pack_integers, unpack_integers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -54,3 +56,10 @@ def test_nulls_repeats_and_empty_tables(make_docs):
     alone = S.score_documents(make_docs([(1, "x y")])).collect()[0]
     assert abs(alone.log_score - (math.log(0.4) + 2 * math.log(0.4))) < 1e-9
     assert S.score_documents(make_docs([])).collect() == []
+
+
+def test_totals_beyond_32_bits():
+    hashes = [np.array(h, np.uint64) for h in ([3, 5, 9], [5, 9], [5])]
+    counts = [np.array(c, np.uint32) for c in ([1, 3_000_000_000, 7], [3_000_000_000, 4_294_967_295], [2])]
+    replies = [unpack_integers(pack_integers(r), np.int64).tolist() for r in S.range_totals(hashes, counts)]
+    assert replies == [[1, 6_000_000_002, 4_294_967_302], [6_000_000_002, 4_294_967_302], [6_000_000_002]]

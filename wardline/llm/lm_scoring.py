@@ -73,6 +73,13 @@ def _block_grams(column: pa.Array, order: int):
             np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
 
+def range_totals(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For the n-grams of every block, their occurrences in all blocks (int64)."""
+    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
+    return np.split(totals[at], np.cumsum([len(h) for h in hashes])[:-1])
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score for every row of ``docs``."""
     spark = docs.sparkSession
@@ -106,9 +113,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
                              "counts": pa.array([pack_integers(np.array([total], np.uint64))] * len(part), pa.binary())})
         hashes = [unpack_integers(h, np.uint64) for h in table.column("hashes").to_pylist()]
         counts = [unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]
-        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.uint32)
-        replies = np.split(totals[at], np.cumsum([len(h) for h in hashes])[:-1])
+        replies = range_totals(hashes, counts)
         return pa.table({"block": pa.array(blocks_, pa.int32()), "part": pa.array(part, pa.int32()),
                          "counts": pa.array([pack_integers(r) for r in replies], pa.binary())})
 
@@ -119,7 +124,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         total = int(unpack_integers(answers[0], np.uint64)[0])
         every = np.concatenate(grams)
         known = np.unique(every[every > 0])
-        count_of = (np.concatenate([unpack_integers(a, np.uint32) for a in answers[1:]]).astype(np.int64)
+        count_of = (np.concatenate([unpack_integers(a, np.int64) for a in answers[1:]])
                     if len(answers) > 1 else np.zeros(0, np.int64))
         doc = np.repeat(np.arange(len(n_words)), n_words)
         outside = [_outside(g, doc, known, count_of) for g in grams]
