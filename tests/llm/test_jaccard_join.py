@@ -106,3 +106,16 @@ def test_one_document_of_each_group_stays(make_docs, words):
     assert kept.columns == make_docs([]).columns
     want = [d for d, n, c in brute(rows) if d == c]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(make_docs, words):
+    a, b, c, d = (words(40, k) for k in range(4))
+    rows = [(5, a), (5, a), (5, a), (None, a), (9, a.upper()),      # repeats, a null id, a copy
+            (7, a + " tail"), (7, b),                               # one id, two texts
+            (None, c), (None, c), (None, d), (None, d + " tail"),   # only null ids
+            (8, ""), (8, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in J.keep_one_per_component(make_docs(rows)).collect()]
+    last = [t for i, t in kept if i is None and t in (d, d + " tail")]
+    assert len(last) == 1
+    want = [(5, a), (7, b), (None, c), (None, last[0]), (8, ""), (8, ""), (None, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)

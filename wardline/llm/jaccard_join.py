@@ -37,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import connected_components, link_by_signatures, shared_signatures
-from wardline.llm.deploy import ship_package, written
+from wardline.llm.deploy import free_name, ship_package, written
 from wardline.llm.textblocks import binary_array, mix, shingles, text_blocks, word_hashes
 
 WIDTH = 5
@@ -332,11 +332,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that open their component: the smallest
-    doc_id of each, and every row whose doc_id is null or text is empty."""
-    found = jaccard_components(docs).where("n_shingles > 0 and component_id <> doc_id")
-    dropped = found.select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` (all columns) per component: that of the smallest doc_id (null
+    comes last), then text hash; and every row whose text is empty. Rows that repeat a
+    doc_id and text count as one, rows of one doc_id with other texts stand for themselves."""
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("text_key"))
+    rows = jaccard_components(docs.select(place.alias("doc_id"), "text")).where("n_shingles > 0")
+    keys = rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    owner, key, first = (free_name(docs, c) for c in ("owner", "text_key", "first"))
+    gone = written(keys.withColumn("opens", F.col("component_id") == F.col("doc_id")).where(
+        "n > 1 or not opens").select(F.col("doc_id.doc_id").alias(owner), F.col("doc_id.text_key").alias(key),
+                                     "opens"), "gone")
+    hit = F.col("doc_id").eqNullSafe(F.col(owner)) & (F.xxhash64("text") == F.col(key))
+    single = docs.join(gone.drop("opens"), hit, "left_anti")
+    repeated = gone.where("opens").drop("opens")
+    if repeated.isEmpty():
+        return single.select(*docs.columns)
+    order = [c.name for c in docs.schema if c.dataType.typeName() not in ("map", "variant")]
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*order))
+    one = docs.join(repeated, hit, "left_semi").withColumn(first, F.row_number().over(copies)).where(
+        F.col(first) == 1)
+    return single.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
