@@ -33,6 +33,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file to every worker through Spark's own file service, once per
+    application; returns the name by which a worker asks ``SparkFiles.get`` for it."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+    return os.path.basename(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:
