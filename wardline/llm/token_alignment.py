@@ -13,8 +13,8 @@ The work runs in Arrow, a few megabytes of text at a time:
   documents' end offsets;
 * a hash join of the two token tables on (document, end) finds the cuts, and
   cumulative counts of cuts number the groups;
-* tokens are counted per (group, id), and the two sides joined on the group: a pair
-  comes out once per group, however often its tokens repeat there.
+* every A token is paired with the B tokens of its group (in large groups each id
+  once, with its count), and ``Table.group_by`` sums the pairs of a document.
 
 Spark adds up what blocks of documents find. The first pass stores one row per
 document with its distinct pairs. ``Table.group_by`` counts the pairs of a block,
@@ -40,9 +40,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,10 @@ from wardline.operators.joins import stored_bytes
 from wardline.session import size_shuffles
 
 BLOCK_PAIRS = 1 << 20     # distinct (document, pair) rows of a block
-CACHE_PIECES = 400_000    # pieces a worker remembers
-LONG_PIECE = 256          # bytes; longer pieces are not remembered
+SLICE_BYTES = 1 << 20     # text aligned at a time
+CACHE_PIECES, CACHE_IDS = 300_000, 2_000_000  # pieces a worker remembers, and their A ids
+PIECES_AT_ONCE = 10_000
+LARGE_GROUP = 1000        # links beyond which a group's tokens are counted by id first
 WORD_MARK = "\u2581"  # sentencepiece's space
 
 
@@ -140,15 +144,15 @@ class _Lists:
     """Growing lists of ids, stored one after another."""
 
     def __init__(self):
-        self.values, self.ends = [], [0]
+        self.values, self.ends = array("i"), array("i", [0])
 
     def add(self, lists: list[list[int]]) -> None:
-        for ids in lists:
-            self.values.extend(ids)
-            self.ends.append(len(self.values))
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int32, len(lists)), dtype=np.int32)
+        self.ends.frombytes((ends + np.int32(len(self.values))).tobytes())
+        self.values.extend(chain.from_iterable(lists))
 
     def array(self) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.values, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.array(self.ends)), pa.array(np.array(self.values)))
 
 
 class Encoder:
@@ -169,27 +173,29 @@ class Encoder:
         data = block.data
         if not self.splits or len(data) < 3:
             return block.offsets[:-1]
-        inner = np.flatnonzero((data[1:-1] == 32) & (data[:-2] != 32)
-                               & (data[2:] > 32) & (data[2:] < 127)) + 1
-        return np.union1d(inner, block.offsets[:-1])
+        begins = np.zeros(len(data), bool)
+        begins[1:-1] = (data[1:-1] == 32) & (data[:-2] != 32) & (data[2:] > 32) & (data[2:] < 127)
+        begins[block.offsets[:-1]] = True
+        return np.flatnonzero(begins)
 
     def encode(self, block: TextBlock) -> tuple[pa.ListArray, pa.ListArray]:
         """One list of ids per text, for A and for B."""
+        if len(self.known) > CACHE_PIECES or len(self.lists[0].values) > CACHE_IDS:
+            self._clear()
         cuts = self._cuts(block)
-        ends = np.append(cuts[1:], len(block.data))
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts), [
             None, pa.py_buffer(np.append(cuts, len(block.data)).astype(np.int64)),
             pa.py_buffer(np.ascontiguousarray(block.data))]).dictionary_encode()
-        if len(self.known) > CACHE_PIECES:
-            self._clear()
         distinct = pieces.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            for side, lists in zip((self.a, self.b), self.lists):
-                lists.add(side.encode(new))
+            for first in range(0, len(new), PIECES_AT_ONCE):
+                some = new[first:first + PIECES_AT_ONCE]
+                self.lists[0].add(self.a.encode(some))
+                self.lists[1].add(self.b.encode(some))
             self.arrays = self.lists[0].array(), self.lists[1].array()
-        at = pa.array(np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct)))
+        at = pa.array(np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct)))
         at = at.take(pieces.indices)
         first = np.searchsorted(cuts, block.offsets)
         out = []
@@ -198,8 +204,6 @@ class Encoder:
             n = np.concatenate(([0], np.cumsum(pc.list_value_length(of_piece).to_numpy())))
             out.append(pa.ListArray.from_arrays(pa.array(n[first].astype(np.int32)),
                                                 pc.list_flatten(of_piece)))
-        if (ends - cuts).max(initial=0) > LONG_PIECE * 64 or len(self.lists[0].values) > 16 * CACHE_PIECES:
-            self._clear()  # very long pieces are not kept
         return out[0], out[1]
 
 
@@ -242,36 +246,67 @@ def _faithful(block: TextBlock, sides: tuple[_Side, _Side],
 
 
 def _tokens(lists: pa.ListArray, side: _Side, name: str) -> pa.Table:
-    """One row per token: document, end offset in it, place among all tokens, id."""
+    """One row per token: its document and end offset there as one key, its place
+    among all tokens. Every document has tokens."""
     ids = pc.list_flatten(lists)
     doc = pc.list_parent_indices(lists)
-    ends = pc.cumulative_sum(side.lengths.take(ids))
-    before = pc.subtract(ends, side.lengths.take(ids))
-    first = lists.offsets.to_numpy()[:-1]
-    start = before.take(pa.array(first))  # every document kept here has tokens
-    return pa.table({"doc": doc, "end": pc.subtract(ends, start.take(doc)),
-                     name: pa.array(np.arange(len(ids), dtype=np.int64)), "id_" + name: ids})
-
-
-def _groups(n: int, cuts: np.ndarray) -> pa.Array:
+    lengths = side.lengths.take(ids)
+    ends = pc.cumulative_sum(lengths)
+    start = pc.subtract(ends, lengths).take(lists.offsets[:-1])
+    return pa.table({"key": pc.add(pc.shift_left(doc, 40), pc.subtract(ends, start.take(doc))),
+                     name: pa.array(np.arange(len(ids)))})
+
+
+def _distinct(ids: np.ndarray, group: np.ndarray, n_groups: int,
+              large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, groups, counts, first of each group): the tokens by group; in large groups
+    an id comes once, with its count."""
+    many = large[group]
+    counts = np.ones(len(ids), np.int64)
+    if many.any():
+        found = pa.table({"group": group[many], "id": ids[many]}).group_by(
+            ["group", "id"], use_threads=False).aggregate([([], "count_all")])
+        ids = np.concatenate((ids[~many], found.column("id").to_numpy()))
+        group = np.concatenate((group[~many], found.column("group").to_numpy()))
+        counts = np.concatenate((counts[~many], found.column("count_all").to_numpy()))
+        order = np.argsort(group, kind="stable")
+        ids, group, counts = ids[order], group[order], counts[order]
+    return ids, group, counts, np.searchsorted(group, np.arange(n_groups + 1))
+
+
+def _links(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray,
+           doc_of: np.ndarray) -> pa.Table:
+    """(doc, pair, times): every pair of ids of a group, summed per document."""
+    n = len(doc_of)
+    large = np.bincount(group_a, minlength=n) * np.bincount(group_b, minlength=n) > LARGE_GROUP
+    a, group, count_a, _ = _distinct(a, group_a, n, large)
+    b, _, count_b, first_b = _distinct(b, group_b, n, large)
+    fan = np.diff(first_b)[group]  # every A token meets the B tokens of its group
+    left = np.repeat(np.arange(len(a)), fan)
+    right = np.arange(len(left)) + np.repeat(first_b[group] - np.cumsum(fan) + fan, fan)
+    links = pa.table({"doc": doc_of[group[left]], "times": count_a[left] * count_b[right],
+                      "pair": (a[left].astype(np.int64) << 32) + b[right]})
+    return links.group_by(["doc", "pair"], use_threads=False).aggregate([("times", "sum")])
+
+
+def _groups(n: int, cuts: np.ndarray) -> np.ndarray:
     """Group number of each of n tokens; ``cuts`` are the last tokens of the groups."""
     last = np.zeros(n, np.int64)
     last[cuts] = 1
-    return pc.subtract(pc.cumulative_sum(pa.array(last)), pa.array(last))
+    return pc.cumulative_sum(pa.array(last)).to_numpy() - last
 
 
-def _digests(a: pa.Array, group_a: np.ndarray, b: pa.Array, group_b: np.ndarray, n_groups: int,
+def _digests(ids: list[np.ndarray], groups: list[np.ndarray], n_groups: int,
              doc_groups: np.ndarray, sides: tuple[_Side, _Side]) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2,b3`` per document; ``doc_groups``: groups before each."""
-    ends_a = np.searchsorted(group_a, np.arange(n_groups), "right")
-    ends_b = np.searchsorted(group_b, np.arange(n_groups), "right")
-    place_a = np.arange(len(a)) + np.concatenate(([0], ends_b))[group_a]
-    place_b = np.arange(len(b)) + ends_a[group_b]
-    pieces = np.zeros(len(a) + len(b), np.int64)
-    mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    ends_a, ends_b = (np.cumsum(np.bincount(g, minlength=n_groups)) for g in groups)
+    place_a = np.arange(len(ids[0])) + np.concatenate(([0], ends_b))[groups[0]]
+    place_b = np.arange(len(ids[1])) + ends_a[groups[1]]
+    mark_a, mark_b = np.zeros(len(ids[0]), np.int64), np.zeros(len(ids[1]), np.int64)
     mark_a[ends_a - 1], mark_b[ends_b - 1] = 1, 2
-    pieces[place_a] = a.to_numpy() + mark_a * sides[0].size
-    pieces[place_b] = b.to_numpy() + mark_b * sides[1].size + len(sides[0].printed)
+    pieces = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+    pieces[place_a] = ids[0] + mark_a * sides[0].size
+    pieces[place_b] = ids[1] + mark_b * sides[1].size + len(sides[0].printed)
     printed = pa.concat_arrays([sides[0].printed, sides[1].printed]).take(pa.array(pieces))
     offsets = np.frombuffer(printed.buffers()[1], np.int32)[printed.offset:]
     text = memoryview(printed.buffers()[2]) if len(printed) else memoryview(b"")
@@ -296,35 +331,20 @@ def align(block: TextBlock, enc: Encoder) -> dict[str, list | np.ndarray | pa.Ar
     if len(kept):
         lists = [t.filter(pa.array(good)) for t in tokens]
         a, b = _tokens(lists[0], enc.a, "a"), _tokens(lists[1], enc.b, "b")
-        cuts = a.select(["doc", "end", "a"]).join(
-            b.select(["doc", "end", "b"]), ["doc", "end"], join_type="inner",
-            use_threads=False).sort_by("a")
-        group_a, group_b = (_groups(len(t), cuts.column(c).to_numpy())
-                            for t, c in ((a, "a"), (b, "b")))
-        counted = [
-            pa.table({"group": group, "id_" + c: t.column("id_" + c)})
-            .group_by(["group", "id_" + c], use_threads=False)
-            .aggregate([([], "count_all")]).rename_columns({"count_all": "n_" + c})
-            for group, t, c in ((group_a, a, "a"), (group_b, b, "b"))]
-        linked = counted[0].join(counted[1], "group", join_type="inner", use_threads=False)
-        doc_of = cuts.column("doc")
-        linked = pa.table({
-            "doc": doc_of.take(linked.column("group")),
-            "pair": pc.add(pc.shift_left(linked.column("id_a").cast(pa.int64()), 32),
-                           linked.column("id_b").cast(pa.int64())),
-            "times": pc.multiply(linked.column("n_a"), linked.column("n_b"))})
-        linked = linked.group_by(["doc", "pair"], use_threads=False).aggregate([("times", "sum")])
-        per_doc = linked.sort_by([("doc", "ascending"), ("pair", "ascending")])
-        pairs = {"doc": kept[per_doc.column("doc").to_numpy()],
-                 "pair": per_doc.column("pair").to_numpy(),
-                 "times": per_doc.column("times_sum").to_numpy()}
-        for name, t in (("n_a", a), ("n_b", b), ("n_groups", cuts)):
-            numbers[name][kept] = np.bincount(t.column("doc").to_numpy(), minlength=len(kept))
+        cuts = a.join(b, "key", join_type="inner", use_threads=False).sort_by("key")
+        doc_of = cuts.column("key").to_numpy() >> 40
+        ids = [pc.list_flatten(t).to_numpy() for t in lists]
+        groups = [_groups(len(i), cuts.column(c).to_numpy()) for i, c in zip(ids, "ab")]
+        linked = _links(ids[0], groups[0], ids[1], groups[1], doc_of).sort_by(
+            [("doc", "ascending"), ("pair", "ascending")])
+        pairs = {"doc": kept[linked.column("doc").to_numpy()],
+                 "pair": linked.column("pair").to_numpy(), "times": linked.column("times_sum").to_numpy()}
+        for name, t in zip(NUMBERS, lists):
+            numbers[name][kept] = pc.list_value_length(t).to_numpy()
+        numbers["n_groups"][kept] = np.bincount(doc_of, minlength=len(kept))
         numbers["n_links"] = np.bincount(pairs["doc"], pairs["times"], n).astype(np.int64)
         doc_groups = np.concatenate(([0], np.cumsum(numbers["n_groups"][kept])))
-        digests[kept] = _digests(pc.list_flatten(lists[0]), group_a.to_numpy(),
-                                 pc.list_flatten(lists[1]), group_b.to_numpy(), len(cuts),
-                                 doc_groups, sides)
+        digests[kept] = _digests(ids, groups, len(cuts), doc_groups, sides)
     offsets = pa.array(np.searchsorted(pairs["doc"], np.arange(n + 1)).astype(np.int32))
     return {**numbers, "groups_sha256": digests.tolist(),
             "pair": pa.ListArray.from_arrays(offsets, pa.array(pairs["pair"], pa.int64())),
@@ -341,7 +361,7 @@ def aligned(docs: DataFrame, files: Tokenizers) -> DataFrame:
         for batch in batches:
             spaced = pc.binary_join_element_wise(
                 pa.scalar(" "), pc.fill_null(batch.column("text"), ""), pa.scalar(""))
-            for part in text_blocks(spaced):
+            for part in text_blocks(spaced, SLICE_BYTES):
                 found = align(part, enc)
                 if held and held + len(found["pair"].values) > BLOCK_PAIRS:
                     block, held = block + 1, 0
