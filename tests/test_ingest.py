@@ -129,12 +129,13 @@ def test_write_classifies_once(make_tables, spark, monkeypatch, tmp_path):
     batch = spark.createDataFrame([(1, "N1", "Ann", "W", "U", "day_sister"), (2, "N2", "Bob", "W", "U", "x")],
                                   "arrival_seq long, staff_no string, name string, ward_name string,"
                                   " care_unit_no string, role string")
-    paths = I.ingest_nurse(t, batch).write(str(tmp_path / "v1"))
+    paths = I.ingest_nurse(t, batch).write(str(tmp_path / "v1")).paths
     assert set(paths) == {"nurse", "day_sister", "night_sister", "staff_nurse", "non_reg_nurse"}
     assert collect(spark.read.parquet(paths["day_sister"])) == [("N1",)]
     seen = []
-    builders = {"nurse": lambda rows: seen.append(rows) or rows.select("staff_no")}
-    I.IngestResult(I.ingest_nurse(t, batch).outcome, builders).write(str(tmp_path / "v2"))
+    change = I.TableChange(t.nurse, "staff_no", lambda rows: rows.select("staff_no"),
+                           lambda target, rows: seen.append(rows) or rows.select("staff_no"))
+    I.IngestResult(I.ingest_nurse(t, batch).outcome, {"nurse": change}).write(str(tmp_path / "v2"))
     assert "_outcome" in seen[0].inputFiles()[0]  # the snapshot reads what was written
 
 

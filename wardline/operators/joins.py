@@ -65,15 +65,21 @@ def restrict(df: DataFrame, column: str, keys: Keys) -> DataFrame:
     return df.where(F.col(column).isin(list(keys)))
 
 
-def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_hot_right(left: DataFrame, right: DataFrame, key: str,
+                        bound: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` for a right side with hot keys.
 
+    When statistics prove ``bound`` (a table with at least as many rows as
+    ``right``) small, ``right`` is broadcast and ``left`` is not shuffled.
+
     AQE can split a skewed partition only on the preserved side of an outer
     join, so a right-side key holding a third of all rows would land in one
     task. Written as an inner join (both sides splittable) plus the left rows
     without any match (anti join against the right's distinct keys, which
     collapse map-side), the result is the same rows.
     """
+    if bound is not None and provably_small(bound):
+        return left.join(F.broadcast(right), key, "left")
     matched = left.join(right, key)
     right_only = [f for f in right.schema.fields if f.name != key]
     unmatched = left.join(right.select(key).distinct(), key, "left_anti").select(

@@ -11,6 +11,8 @@ then progress_id). Results are compared without their order.
 
 from __future__ import annotations
 
+from wardline.sources.schemas import KEYS, OPTIONAL_REFERENCES, REFERENCES
+
 MAPPING = """
 WITH
 specialty AS (SELECT n_name AS specialty_name FROM nation),
@@ -427,8 +429,13 @@ def _bad_date(col: str) -> str:
     return (f"COALESCE({_tr(col)} <> '' AND try_strptime({_tr(col)}, '%Y-%m-%d') IS NULL, FALSE)")
 
 
+def _same(key: str) -> str:
+    """Equal for keys that differ in letter case and trailing spaces alone."""
+    return f"lower(rtrim({key}, ' '))"
+
+
 def _classify_sql(name: str, cleaned: str, target: str, key: str, required: list[str],
-                  bad: str, out_cols: list[str]) -> str:
+                  bad: str, out_cols: list[str], same=str) -> str:
     missing = " OR ".join(f"{c} IS NULL OR {c} = ''" for c in required)
     order = ", ".join(f"{c} NULLS FIRST" for c in out_cols)
     return f""",
@@ -436,7 +443,7 @@ def _classify_sql(name: str, cleaned: str, target: str, key: str, required: list
 {name}_flag AS (SELECT *, ({missing}) AS missing, {bad} AS bad FROM {name}_clean),
 {name}_turn AS (
   SELECT *, NOT missing AND NOT bad AND arrival_seq IS NOT NULL AS valid,
-    row_number() OVER (PARTITION BY {key}, NOT missing AND NOT bad AND arrival_seq IS NOT NULL
+    row_number() OVER (PARTITION BY {same(key)}, NOT missing AND NOT bad AND arrival_seq IS NOT NULL
                        ORDER BY {order}) AS turn
   FROM {name}_flag),
 {name}_outcome AS (
@@ -444,7 +451,7 @@ def _classify_sql(name: str, cleaned: str, target: str, key: str, required: list
     CASE WHEN missing THEN 'missing_required'
          WHEN arrival_seq IS NULL THEN 'missing_sequence'
          WHEN bad THEN 'invalid_value'
-         WHEN turn > 1 OR {key} IN (SELECT {key} FROM {target}) THEN 'duplicate_key'
+         WHEN turn > 1 OR {same(key)} IN (SELECT {same(key)} FROM {target}) THEN 'duplicate_key'
          ELSE 'accepted' END AS outcome
   FROM {name}_turn)
 """
@@ -614,6 +621,133 @@ FROM bed
 """
 
 
+# Jobs that store their tables in another layout give the rows of the plain ones.
+for _copy, _of in {
+        "dash_totals_counted": "dash_totals", "q7_multi_complaint_bucketed": "q7_multi_complaint",
+        "q10_patient_full_catalog": "q10_patient_full", "q9_doctor_performance_sql": "q9_doctor_performance_one",
+        "q11_complaint_daterange_monthly": "q11_complaint_daterange",
+        "q11_complaint_daterange_sql": "q11_complaint_daterange",
+        "bed_occupancy_partitioned": "bed_occupancy_update"}.items():
+    QUERIES[_copy] = QUERIES[_of]
+
+QUERIES["team_activity_sql"] = f"""
+SELECT doctor_no AS staff_no, doctor_name AS name,
+       (SELECT count(*) FROM ptr WHERE doctor_staff_no = doctor_no
+          AND date_started >= DATE '{Q11_PARAMS["date_from"]}'
+          AND date_started <= DATE '{Q11_PARAMS["date_to"]}') AS n_treatments
+FROM who WHERE leader_no = 'DOC-006' AND doctor_no <> 'DOC-006'
+"""
+
+QUERIES["ingest_outcome_counts"] = _INGEST_PREFIX + "".join((_SPEC, _WARD, _BED, _PAT, _DOC, _NUR)) + (
+    " UNION ALL ".join(f"SELECT '{e}' AS entity, outcome, count(*) AS n FROM {e}_outcome GROUP BY outcome"
+                       for e in ("specialty", "ward", "bed", "patient", "doctor", "nurse")))
+
+
+def _respelled(key: str, number: str) -> str:
+    return f"CASE ({number}) % 3 WHEN 1 THEN lower({key}) WHEN 2 THEN {key} || ' ' ELSE {key} END"
+
+
+_DOCTOR_COLLATED = _classify_sql(
+    "doctor", f"""SELECT arrival_seq, {_tr(_respelled('staff_no', 'arrival_seq'))} AS staff_no, {_tr('name')} AS name,
+       CASE WHEN is_consultant THEN 'consultant' ELSE COALESCE({_tr('position')}, '') END AS position,
+       {_opt_date('date_joined')} AS date_joined_team, {_tr('specialty_name')} AS specialty_name,
+       NULLIF({_tr('consultant_staff_no')}, '') AS consultant_staff_no,
+       COALESCE(is_consultant, FALSE) AS is_consultant, {_bad_date('date_joined')} AS is_bad
+       FROM c_doctor""",
+    "s_doctor", "staff_no", ["staff_no", "name", "specialty_name"], "is_bad",
+    ["arrival_seq", "staff_no", "name", "position", "date_joined_team", "specialty_name",
+     "consultant_staff_no", "is_consultant"], _same)
+QUERIES["ingest_doctor_collated"] = _INGEST_PREFIX + f""",
+s_doctor AS (
+  SELECT {_respelled('staff_no', "TRY_CAST(substring(staff_no, 5, 99) AS BIGINT)")} AS staff_no FROM t_doctor)
+""" + _DOCTOR_COLLATED + "SELECT * FROM doctor_outcome"
+
+_MIXED = f""",
+m_ptr AS (SELECT * REPLACE ({_respelled('patient_no', 'day(date_started)')} AS patient_no) FROM ptr),
+m_progress AS (SELECT * REPLACE ({_respelled('staff_no', 'progress_id')} AS staff_no) FROM progress)
+"""
+QUERIES["q3_patient_treatments_collated"] = _MIXED + f"""
+SELECT f.patient_no, p.patient_name, f.complaint_code, c.description AS complaint, f.treatment_code,
+       t.description AS treatment, d.name AS doctor_name, f.date_started, f.date_ended
+FROM m_ptr f, patient p, complaint c, treatment t, doctor d
+WHERE {_same('f.patient_no')} = {_same('p.patient_no')} AND f.complaint_code = c.complaint_code
+  AND f.treatment_code = t.treatment_code AND f.doctor_staff_no = d.staff_no
+"""
+QUERIES["q9_doctor_performance_collated"] = _MIXED + f"""
+SELECT doctor_no AS staff_no, doctor_name, rank_held AS current_position, field AS specialty_name,
+       p.establishment, p.position AS role_at_establishment, p.date, p.performance_grade
+FROM m_progress p, who WHERE {_same('p.staff_no')} = {_same('doctor_no')}
+"""
+
+_PAT_K = "TRY_CAST(substring(patient_no, 5, 99) AS BIGINT)"
+_FAULTS = _MIXED + f""",
+more AS (
+  SELECT * FROM patient UNION ALL
+  SELECT * FROM patient WHERE {_PAT_K} % 50 = 3 UNION ALL
+  SELECT * REPLACE (lower(patient_no) AS patient_no) FROM patient WHERE {_PAT_K} % 50 = 7 UNION ALL
+  SELECT * REPLACE (CAST(NULL AS VARCHAR) AS patient_no) FROM patient WHERE {_PAT_K} % 50 = 11),
+f_patient AS (
+  SELECT * REPLACE (CASE WHEN {_PAT_K} % 20 = 9 THEN NULL
+                         WHEN {_PAT_K} % 20 = 13 THEN printf('BED-%03d', {_PAT_K} - 1)
+                         ELSE bed_no END AS bed_no) FROM more),
+f_bed AS (
+  SELECT * REPLACE (CASE WHEN TRY_CAST(substring(bed_no, 5, 99) AS BIGINT) % 40 = 5 THEN 'CU-?'
+                         ELSE care_unit_no END AS care_unit_no) FROM bed),
+f_nurse AS (
+  SELECT * REPLACE (CASE WHEN TRY_CAST(substring(staff_no, 5, 99) AS BIGINT) % 30 = 4 THEN 'WARD_0'
+                         ELSE ward_name END AS ward_name) FROM nurse),
+f_ptr AS (
+  SELECT * REPLACE (CASE day(date_started) WHEN 13 THEN 'DOC-X' || right(treatment_code, 1)
+                         WHEN 28 THEN NULL ELSE doctor_staff_no END AS doctor_staff_no) FROM m_ptr)
+"""
+
+
+def _audit_sql(at: dict[str, str], same=str) -> str:
+    """One SELECT per rule; ``at`` names the relations that stand for tables."""
+
+    def rows(table: str, column: str, rule: str, values: str, keys: str = "count(DISTINCT k)",
+             n: str = "count(k)", example: str = "min(k)") -> str:
+        return (f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{rule}' AS rule,"
+                f" CAST(coalesce({n}, 0) AS BIGINT) AS n_rows, CAST({keys} AS BIGINT) AS n_keys,"
+                f" {example} AS example_key FROM ({values})")
+
+    def value(column: str) -> str:
+        return same(f"CAST({column} AS VARCHAR)")
+
+    parts = []
+    for table, key in KEYS.items():
+        name = at.get(table, table)
+        parts.append(rows(table, key, "duplicate_key", f"SELECT {value(key)} AS k, count(*) AS n FROM {name}"
+                          f" WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+                          keys="count(*)", n="sum(n) - count(*)"))
+        parts.append(rows(table, key, "null_key", f"SELECT 1 AS k FROM {name} WHERE {key} IS NULL",
+                          keys="0", example="CAST(NULL AS VARCHAR)"))
+    for table, column, parent in REFERENCES:
+        name, other = at.get(table, table), at.get(parent, parent)
+        parts.append(rows(table, column, "orphan", f"SELECT {value('c.' + column)} AS k FROM {name} c"
+                          f" WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {other} o"
+                          f" WHERE {value('o.' + KEYS[parent])} = {value('c.' + column)})"))
+        if (table, column) not in OPTIONAL_REFERENCES:
+            parts.append(rows(table, column, "null_reference", f"SELECT 1 AS k FROM {name}"
+                              f" WHERE {column} IS NULL", keys="0", example="CAST(NULL AS VARCHAR)"))
+    nurse, unit, patient, bed = (at.get(x, x) for x in ("nurse", "care_unit", "patient", "bed"))
+    parts.append(rows("nurse", "care_unit_no", "unit_of_other_ward",
+                      f"SELECT {value('n.care_unit_no')} AS k FROM {nurse} n JOIN {unit} u"
+                      f" ON {value('u.care_unit_no')} = {value('n.care_unit_no')}"
+                      f" WHERE {value('u.ward_name')} <> {value('n.ward_name')}"))
+    parts.append(rows("patient", "bed_no", "bed_of_other_unit",
+                      f"SELECT {value('p.bed_no')} AS k FROM {patient} p JOIN {bed} b"
+                      f" ON {value('b.bed_no')} = {value('p.bed_no')}"
+                      f" WHERE {value('b.care_unit_no')} <> {value('p.care_unit_no')}"))
+    return "\nUNION ALL ".join(parts)
+
+
+_FAULTY = {"patient": "f_patient", "bed": "f_bed", "nurse": "f_nurse", "ptr": "f_ptr", "progress": "m_progress"}
+QUERIES["audit_integrity"] = _audit_sql({})
+QUERIES["audit_integrity_faults"] = _FAULTS + _audit_sql(_FAULTY)
+QUERIES["audit_integrity_collated"] = _FAULTS + _audit_sql(_FAULTY, _same)
+
+
 _FULL = {name for name in QUERIES if name.startswith(("ingest_", "bed_occupancy", "assign_ids",
                                                        "next_ids"))}
 

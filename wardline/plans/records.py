@@ -44,7 +44,7 @@ def rec_patient_history(t: Tables, patient_nos: Keys = None) -> DataFrame:
     # doctors is partitioned on staff_no by its flag join: hot doctors are
     # salted explicitly (AQE cannot split that join).
     return (
-        salted_join(facts, doctors, "doctor_staff_no")
+        salted_join(facts, doctors, "doctor_staff_no", dim_bound=t.doctor)
         .join(t.dim("complaint").select("complaint_code", F.col("description").alias("complaint")),
               "complaint_code")
         .join(t.treatment.select("treatment_code", F.col("description").alias("treatment")),

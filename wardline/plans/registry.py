@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.columns import NURSE_ROLES
+from wardline.functions.columns import key_number
 from wardline.operators.ids import assign_ids
+from wardline.operators.joins import stored_bytes
 from wardline.oracle import Q11_PARAMS
 from wardline.plans import ingest as I
 from wardline.plans import listings as L
 from wardline.plans import records as C
 from wardline.plans import reports as R
-from wardline.operators.joins import stored_bytes
-from wardline.session import size_shuffles, tune
+from wardline.plans.audit import audit_integrity
+from wardline.plans.sql_reports import run_sql, team_activity
+from wardline.session import scratch_path, size_shuffles, tune, use_statistics
 from wardline.sources.batches import scenario
-from wardline.sources.catalog import Tables
+from wardline.sources.catalog import Tables, plain
 from wardline.sources.fixtures import build_tables, read_sources
-from wardline.sources.store import export_text, json_rows
+from wardline.sources.partitioned import PartitionedTable
+from wardline.sources.schemas import SCHEMAS
+from wardline.sources.store import (
+    export_text,
+    json_rows,
+    load_catalog,
+    load_counted,
+    load_monthly_facts,
+    save_bucketed,
+    save_monthly_facts,
+    save_tables,
+)
+from wardline.sources.variants import faulty, mixed_spelling, respelled
 
 Job = Callable[[Tables], DataFrame]
 
@@ -106,14 +121,118 @@ JOBS.update({
 })
 
 
+COLLATION = "UTF8_LCASE_RTRIM"  # letter case and trailing spaces make no difference
+_Q11_DATES = {name: date.fromisoformat(Q11_PARAMS[name]) for name in ("date_from", "date_to")}
+
+# Integrity, other spellings of keys, and reports as SQL text.
+JOBS.update({
+    "audit_integrity": audit_integrity,
+    "audit_integrity_faults": lambda t: audit_integrity(faulty(t)),
+    "audit_integrity_collated": lambda t: audit_integrity(faulty(t), COLLATION),
+    "q3_patient_treatments_collated": lambda t: plain(
+        R.q3_patient_treatments(mixed_spelling(t).collated(COLLATION))),
+    "q9_doctor_performance_collated": lambda t: plain(
+        R.q9_doctor_performance(mixed_spelling(t).collated(COLLATION))),
+    "q9_doctor_performance_sql": lambda t: run_sql(t, "doctor_performance", staff_no=ONE_KEY["staff_nos"]),
+    "q11_complaint_daterange_sql": lambda t: run_sql(
+        t, "complaint_daterange", complaint_code=Q11_PARAMS["complaint_code"], **_Q11_DATES),
+    "team_activity_sql": lambda t: team_activity(
+        t, ONE_KEY["consultant_nos"], Q11_PARAMS["date_from"], Q11_PARAMS["date_to"]),
+})
+
+
+# Jobs that first store tables in a layout of their own: (tables, fresh path) -> result.
+StoredJob = Callable[[Tables, str], DataFrame]
+COUNTED = ("patient", "doctor", "nurse", "ward", "bed", "specialty")
+Q7_TABLES = ("ptr", "patient", "complaint", "treatment")
+Q10_TABLES = (*Q7_TABLES, "doctor", "consultant", "care_unit", "ward")
+
+
+def _only(t: Tables, names: Iterable[str]) -> Tables:
+    return Tables({name: t[name] for name in names})
+
+
+def _spark(t: Tables) -> SparkSession:
+    return t.ptr.sparkSession
+
+
+def dash_totals_counted(t: Tables, path: str) -> DataFrame:
+    """The dashboard's counts, answered from Parquet footers."""
+    save_tables(_only(t, COUNTED), path)
+    return L.dash_totals(load_counted(_spark(t), path, COUNTED))
+
+
+def q11_monthly(t: Tables, path: str) -> DataFrame:
+    """Q11 over facts stored by month."""
+    save_monthly_facts(t.ptr, path)
+    return JOBS["q11_complaint_daterange"](t.replace(ptr=load_monthly_facts(_spark(t), path)))
+
+
+def _catalog(t: Tables, names: Iterable[str], path: str) -> Tables:
+    database = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(_spark(t).conf.get("spark.sql.shuffle.partitions"))
+    save_bucketed(_only(t, names), database, buckets)
+    return load_catalog(_spark(t), database, names)
+
+
+def q7_bucketed(t: Tables, path: str) -> DataFrame:
+    """Q7 over catalog tables bucketed by patient: the facts are not shuffled to be counted."""
+    return R.q7_multi_complaint(_catalog(t, Q7_TABLES, path))
+
+
+def q10_catalog(t: Tables, path: str) -> DataFrame:
+    """Q10 as SQL text over catalog tables, its joins ordered by their statistics."""
+    use_statistics(_spark(t))
+    return run_sql(_catalog(t, Q10_TABLES, path), "patient_full", ward_name=None)
+
+
+STORED_JOBS: dict[str, StoredJob] = {
+    "dash_totals_counted": dash_totals_counted,
+    "q11_complaint_daterange_monthly": q11_monthly,
+    "q7_multi_complaint_bucketed": q7_bucketed,
+    "q10_patient_full_catalog": q10_catalog,
+}
+
+
 ScenarioJob = Callable[[Tables, Tables, dict], DataFrame]
 
 
 def _nurse_roles(full: Tables, target: Tables, b: dict) -> DataFrame:
     """New role-table snapshots after the nurse batch, tagged by table."""
-    res = I.ingest_nurse(target, b["nurse"])
+    return I.nurse_role_rows(target, I.ingest_nurse(target, b["nurse"]))
+
+
+def _outcome_counts(full: Tables, target: Tables, b: dict) -> DataFrame:
+    """entity, outcome, n: the messages of all six batches, counted."""
     return reduce(DataFrame.unionByName, [
-        res.snapshots[r].select(F.lit(r).alias("role_table"), "staff_no") for r in NURSE_ROLES])
+        ingest(target, b[entity]).outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(entity).alias("entity"), "outcome", "n") for entity, ingest in INGESTERS.items()])
+
+
+def _doctors_collated(full: Tables, target: Tables, b: dict) -> DataFrame:
+    """The doctor batch against a target and with candidates whose keys are spelled otherwise."""
+    stored = target.replace(doctor=target.doctor.withColumn("staff_no", respelled(
+        F.col("staff_no"), key_number(F.col("staff_no"), "DOC"))))
+    batch = b["doctor"].withColumn("staff_no", respelled(F.col("staff_no"), F.col("arrival_seq")))
+    return I.ingest_doctor(stored.collated(COLLATION), batch).outcome
+
+
+def _occupancy_partitioned(full: Tables, target: Tables, b: dict) -> DataFrame:
+    """BED after the patient batch, kept in partitions of which the batch rewrites some."""
+    spark = full.bed.sparkSession
+    path = scratch_path(spark, "beds")
+    store = PartitionedTable(f"{path}/bed", SCHEMAS["bed"], "bed_no",
+                             4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store.save(full.bed)
+    result = I.ingest_patient(target.replace(bed=full.bed), b["patient"])
+    result.update({"bed": store}, f"{path}/batch")
+    return store.read(spark)
+
+
+INGESTERS: dict[str, Callable[[Tables, DataFrame], I.IngestResult]] = {
+    "specialty": I.ingest_specialty, "ward": I.ingest_ward, "bed": I.ingest_bed,
+    "patient": I.ingest_patient, "doctor": I.ingest_doctor, "nurse": I.ingest_nurse,
+}
 
 
 def _assign_patient_ids(full: Tables, target: Tables, b: dict) -> DataFrame:
@@ -136,6 +255,9 @@ SCENARIO_JOBS: dict[str, ScenarioJob] = {
         t, b["doctor"]).snapshots["consultant"],
     "ingest_nurse_roles": _nurse_roles,
     "assign_ids": _assign_patient_ids,
+    "ingest_outcome_counts": _outcome_counts,
+    "ingest_doctor_collated": _doctors_collated,
+    "bed_occupancy_partitioned": _occupancy_partitioned,
 }
 
 
@@ -162,7 +284,16 @@ def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _bind_stored(name: str, job: StoredJob) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return job(build_tables(_sized(spark, sf_dir), sf_dir), scratch_path(spark, f"wardline-{name}"))
+
+    run.__doc__ = job.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _bind(job) for name, job in JOBS.items()}
     out.update({name: _bind_scenario(job) for name, job in SCENARIO_JOBS.items()})
+    out.update({name: _bind_stored(name, job) for name, job in STORED_JOBS.items()})
     return out

@@ -20,7 +20,6 @@ from wardline.functions.columns import (
 )
 from wardline.operators.joins import (
     Keys,
-    bounded_broadcast,
     expand_in_order,
     left_join_hot_right,
     provably_small,
@@ -29,6 +28,7 @@ from wardline.operators.joins import (
 from wardline.operators.roles import role_rows
 from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
+from wardline.sources.store import MONTH, month_of
 
 
 def _doctor_cols(t: Tables, **renames: str) -> DataFrame:
@@ -174,7 +174,8 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
     map-side partial aggregation before any dimension join, and the
     description-level distinct runs before the one-to-many experience join.
     A doctor may be hot on either side of the experience join, so it runs as
-    inner plus anti join, and the ORDER BY shuffles single result rows.
+    inner plus anti join (or against a broadcast, when EXPERIENCE is provably
+    small), and the ORDER BY shuffles single result rows.
     """
     keys = t.ptr.select("complaint_code", "treatment_code", "doctor_staff_no").distinct()
     complaints = t.dim("complaint").select(
@@ -194,7 +195,7 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
         F.col("staff_no").alias("doctor_no"), "exp_id", "from_date", "to_date", "establishment",
         F.col("position").alias("experience_position")).distinct()
     return (
-        left_join_hot_right(combos, experience, "doctor_no")
+        left_join_hot_right(combos, experience, "doctor_no", bound=t.previous_experience)
         .select("complaint_code", "complaint", "treatment", "doctor_no", "doctor_name", "exp_id",
                 "from_date", "to_date", "establishment", "experience_position")
         .orderBy("complaint_code", "doctor_name", "from_date", "doctor_no", "treatment",
@@ -276,12 +277,14 @@ def q10_patient_full(t: Tables, patient_nos: Keys = None) -> DataFrame:
     complaints = t.dim("complaint").select(
         "complaint_code", F.col("description").alias("complaint"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
+    placed = patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
+                             "care_unit_no", "bed_no").join(units, "care_unit_no").join(wards, "ward_name")
+    # both are joins on unique keys, so no larger than DOCTOR and PATIENT
+    if provably_small(t.patient):
+        placed = F.broadcast(placed)
     return (
-        salted_join(facts, doctors, "doctor_staff_no")
-        .join(bounded_broadcast(
-            patients.select("patient_no", "patient_name", "date_of_birth", "date_admitted",
-                            "care_unit_no", "bed_no")
-            .join(units, "care_unit_no").join(wards, "ward_name")), "patient_no")
+        salted_join(facts, doctors, "doctor_staff_no", dim_bound=t.doctor)
+        .join(placed, "patient_no")
         .join(complaints, "complaint_code").join(treatments, "treatment_code")
         .select("patient_no", "patient_name", "date_of_birth", "date_admitted", "ward_name",
                 "specialty_name", "care_unit_no", "bed_no",
@@ -297,11 +300,14 @@ def q11_complaint_daterange(t: Tables, complaint_codes: Keys, date_from: str,
     """Treatments for a complaint started within [date_from, date_to].
 
     Both bounds are inclusive and compared as dates, so the whole last day
-    counts; the equality and range predicates reach the Parquet scan.
+    counts; the equality and range predicates reach the Parquet scan. Facts stored
+    by month (``store.load_monthly_facts``) are read from the months of the range only.
     """
     lo, hi = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
     facts = restrict(t.ptr, "complaint_code", complaint_codes).where(
         F.col("date_started").between(lo, hi))
+    if MONTH in facts.columns:
+        facts = facts.where(F.col(MONTH).between(month_of(lo), month_of(hi))).drop(MONTH)
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     complaints = t.dim("complaint").select(
         "complaint_code", F.col("description").alias("complaint"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,14 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+# Cost-based planning from catalog statistics (``store.save_bucketed`` collects them).
+STATISTICS = {
+    "spark.sql.cbo.enabled": "true",
+    "spark.sql.cbo.joinReorder.enabled": "true",
+    "spark.sql.cbo.planStats.enabled": "true",
 }
 
 
@@ -33,6 +42,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_statistics(spark: SparkSession) -> SparkSession:
+    """Let Catalyst order inner joins by the catalog's row and distinct counts."""
+    for key, value in STATISTICS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int,
                   partition_bytes: int = 256 * 1024 * 1024) -> int:
     """Size shuffles for an input of ``input_bytes`` (e.g. the snapshot size).
@@ -70,6 +86,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder of ``checkpoint_dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "wardline") -> SparkSession:
     """A local session for tests and the benchmark (UI off, no ports opened)."""

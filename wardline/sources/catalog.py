@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardline.operators.joins import bounded_broadcast
+from wardline.sources.schemas import KEY_COLUMNS
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with plain string columns in place of collated ones."""
+    return df.select([F.col(f"`{f.name}`").cast("string").alias(f.name)
+                      if f.dataType.typeName() == "string" else F.col(f"`{f.name}`")
+                      for f in df.schema.fields])
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -60,6 +69,17 @@ class Tables(Mapping[str, DataFrame]):
             names.append(prefix + "patient_treatment_record")
         return names
 
+    def collated(self, collation: str) -> "Tables":
+        """The tables with key and reference columns under ``collation``, for example
+        UTF8_LCASE_RTRIM (upper and lower case and trailing spaces are alike).
+
+        Joins, groupings and key checks of every job then compare them so; a value
+        keeps its spelling. ``plain`` gives results plain string columns again.
+        """
+        return Tables({name: df.withColumns({
+            c: F.collate(c, collation) for c in KEY_COLUMNS if c in df.columns
+            and df.schema[c].dataType.typeName() == "string"}) for name, df in self._frames.items()})
+
     def replace(self, **frames: DataFrame) -> "Tables":
         merged = dict(self._frames)
         merged.update(frames)

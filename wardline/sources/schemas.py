@@ -48,3 +48,21 @@ KEYS: dict[str, str] = {
     "staff_nurse": "staff_no", "non_reg_nurse": "staff_no", "complaint": "complaint_code",
     "treatment": "treatment_code", "previous_experience": "exp_id", "progress": "progress_id",
 }
+
+# References: (table, column, table whose key it holds). The consultant of a doctor is
+# the only one that may be missing.
+REFERENCES: tuple[tuple[str, str, str], ...] = (
+    ("ward", "specialty_name", "specialty"), ("care_unit", "ward_name", "ward"),
+    ("bed", "care_unit_no", "care_unit"), ("patient", "care_unit_no", "care_unit"),
+    ("patient", "bed_no", "bed"), ("doctor", "specialty_name", "specialty"),
+    ("doctor", "consultant_staff_no", "doctor"), ("consultant", "staff_no", "doctor"),
+    ("nurse", "ward_name", "ward"), ("nurse", "care_unit_no", "care_unit"),
+    ("day_sister", "staff_no", "nurse"), ("night_sister", "staff_no", "nurse"),
+    ("staff_nurse", "staff_no", "nurse"), ("non_reg_nurse", "staff_no", "nurse"),
+    ("ptr", "patient_no", "patient"), ("ptr", "complaint_code", "complaint"),
+    ("ptr", "treatment_code", "treatment"), ("ptr", "doctor_staff_no", "doctor"),
+    ("previous_experience", "staff_no", "doctor"), ("progress", "staff_no", "doctor"),
+)
+OPTIONAL_REFERENCES = {("doctor", "consultant_staff_no")}
+# Every column that holds a key or a reference.
+KEY_COLUMNS = frozenset(KEYS.values()) | {column for _, column, _ in REFERENCES}

@@ -85,8 +85,8 @@ def batch_writer(entity: str, log: VersionLog) -> Callable[[DataFrame, int], Non
             return  # retry of a committed micro-batch
         version = f"{log.state_dir}/{entity}/v{batch_id:010d}"
         # An uncommitted version left by a failed attempt is rewritten.
-        paths = ingest(log.tables(), batch).write(version, mode="overwrite")
-        log.commit(entity, batch_id, paths)
+        written = ingest(log.tables(), batch).write(version, mode="overwrite")
+        log.commit(entity, batch_id, written.paths)
 
     return apply
 
