@@ -171,7 +171,7 @@ def q11_monthly(t: Tables, path: str) -> DataFrame:
 def _catalog(t: Tables, names: Iterable[str], path: str) -> Tables:
     database = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = int(_spark(t).conf.get("spark.sql.shuffle.partitions"))
-    save_bucketed(_only(t, names), database, buckets)
+    save_bucketed(_only(t, names), database, buckets, location=path)
     return load_catalog(_spark(t), database, names)
 
 

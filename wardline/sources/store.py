@@ -169,16 +169,19 @@ BUCKET_KEYS = {
 }
 
 
-def save_bucketed(tables: Tables, database: str, buckets: int, analyze: bool = True) -> None:
-    """Save all tables into catalog ``database``; the BUCKET_KEYS tables
-    bucketed and sorted by their key into ``buckets`` buckets.
+def save_bucketed(tables: Tables, database: str, buckets: int, analyze: bool = True,
+                  location: str | None = None) -> None:
+    """Save all tables into catalog ``database`` (below ``location``, default the
+    warehouse); the BUCKET_KEYS tables bucketed and sorted by their key into
+    ``buckets`` buckets.
 
     With ``analyze`` the catalog also gets row counts, sizes and, for the columns that
     jobs join and filter on, distinct counts and bounds (ANALYZE TABLE), so that
     ``session.use_statistics`` can plan joins and their order from them.
     """
     spark = next(iter(tables.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
     for name, df in tables.items():
         key = BUCKET_KEYS.get(name)
         if key:  # one task per bucket, so a bucket is not scattered over one file per task
