@@ -39,13 +39,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _values(t: Tables, table: str, uses: list[tuple[str, str]], collation: str | None) -> DataFrame:
-    """(table_name, column_name, parent, key, n): counts per value of the columns of
-    ``uses`` (column, parent), from one scan of the table."""
-    columns = [F.struct(F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
-                        F.col(column).cast("string").alias("key")) for column, parent in uses]
-    rows = t[table].select(F.lit(table).alias("table_name"), F.explode(F.array(*columns)).alias("v")).select(
-        "table_name", "v.column_name", "v.parent", "v.key")
+def _values(t: Tables, uses: dict[str, list[tuple[str, str]]], collation: str | None) -> DataFrame:
+    """(table_name, column_name, parent, key, n): counts per value of the columns in
+    ``uses`` (table -> (column, parent)), from one scan of each table and one shuffle."""
+    parts = []
+    for table, pairs in uses.items():
+        columns = [F.struct(F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
+                            F.col(column).cast("string").alias("key")) for column, parent in pairs]
+        parts.append(t[table].select(F.lit(table).alias("table_name"), F.inline(F.array(*columns))))
+    rows = _union(parts)
     if collation:
         rows = rows.withColumn("key", F.collate("key", collation))
     return rows.groupBy("table_name", "column_name", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -86,11 +88,11 @@ def audit_integrity(t: Tables, collation: str | None = None) -> DataFrame:
     """
     if collation:
         t = t.collated(collation)
-    keys = _union([_values(t, table, [(key, table)], collation) for table, key in KEYS.items()])
+    keys = _values(t, {table: [(key, table)] for table, key in KEYS.items()}, collation)
     by_child: dict[str, list[tuple[str, str]]] = {}
     for table, column, parent in REFERENCES:
         by_child.setdefault(table, []).append((column, parent))
-    uses = _union([_values(t, table, pairs, collation) for table, pairs in by_child.items()])
+    uses = _values(t, by_child, collation)
 
     known = keys.where(F.col("key").isNotNull())
     orphans = uses.where(F.col("key").isNotNull()).join(known.select("parent", "key"), ["parent", "key"],
