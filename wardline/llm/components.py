@@ -199,14 +199,14 @@ def similar_pairs(values: np.ndarray, sizes: np.ndarray, comps: np.ndarray, simi
     owner, token = owner[live], number[token[live]]
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    overlap = np.zeros((n, n), np.float32)
+    overlap = np.zeros((n, n), np.int64)
     width = 4096
     total = int(token[-1]) + 1 if len(token) else 0
     for begin in range(0, total, width):
         lo, hi = np.searchsorted(token, (begin, begin + width))
         chunk = np.zeros((n, width), np.float32)
         chunk[owner[lo:hi], token[lo:hi] - begin] = 1
-        overlap += chunk @ chunk.T
+        overlap += (chunk @ chunk.T).astype(np.int64)  # at most 4096 in a chunk: exact
     union = sizes[:, None] + sizes[None, :] - overlap
     a, b = np.nonzero(np.triu(overlap * of >= union * similar, 1) & (comps[:, None] != comps[None, :]))
     parent: dict[int, int] = {}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import ship_package
-from wardline.llm.textblocks import TextBlock, mix, text_blocks, window_hashes
+from wardline.llm.textblocks import TextBlock, text_blocks, window_hashes
 
 WIDTH = 5
 N_FEATURES = 12
@@ -71,8 +71,7 @@ class LineBlock:
     def __init__(self, block: TextBlock):
         data, n_docs = block.data, len(block)
         starts, ends, first = block.words()
-        prefix = block.prefix_hash()
-        words = mix(block.span_hash(prefix, starts, ends))
+        words = block.hashes(starts, ends)
         chars = np.concatenate(([0], np.cumsum(~_CONTINUES[data])))
         word_chars = chars[ends] - chars[starts]
         self.n_words = np.diff(first)
@@ -89,8 +88,7 @@ class LineBlock:
         live = w_hi > w_lo
         lo, hi, w_lo, w_hi = lo[live], hi[live], w_lo[live], w_hi[live]
         doc = np.searchsorted(block.offsets, lo, "right") - 1
-        line_hash = mix(block.span_hash(prefix, lo, hi) + (hi - lo).astype(np.uint64))
-        self.earlier = self._seen_before(doc, line_hash)
+        self.earlier = self._seen_before(doc, block.hashes(lo, hi))
         self.n_dup_lines = np.bincount(doc[self.earlier], minlength=n_docs)
         self.line_offsets = np.searchsorted(doc, np.arange(n_docs + 1))
         sums = {}

@@ -229,16 +229,14 @@ def _distinct(gram, content, low, high):
 def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
     """Per block: (block, row of each run, position in its text, hashes ...) of marked anchors."""
     for block in text_blocks(batch.column("text")):
-        starts, ends, anchors, gram, prefix = owned_runs(block)
+        starts, ends, anchors, gram, _ = owned_runs(block)
         cell = (gram >> np.uint64(64 - MAP_BITS)).astype(np.int64)
         hit = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
         starts, ends, anchors, gram = starts[hit], ends[hit], anchors[hit], gram[hit]
         if not len(starts):
             continue
         stops = ends + WINDOW - 1
-        content = mix(block.span_hash(prefix, starts, stops)
-                      + (stops - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                      + (anchors - starts).astype(np.uint64))
+        content = mix(block.hashes(starts, stops) + (anchors - starts).astype(np.uint64))
         row = np.searchsorted(block.offsets, starts, "right") - 1
         yield block, row, starts, stops, anchors, gram, content
 

@@ -2,13 +2,19 @@
 
 Texts are handled as UTF-8 bytes, a slice of a record batch at a time, so a
 task holds a few megabytes of working arrays whatever the batch size. Words
-are runs of bytes other than space and ``\\t \\n \\v \\f \\r``. Hashes are
-64-bit polynomial prefix hashes (modulo 2**64) that are mixed before use.
+are runs of bytes other than space and ``\\t \\n \\v \\f \\r``.
+
+Words, lines and other spans are known by 64-bit hashes: eight bytes at a time go
+through a mixing step, so strings with a regular structure collide no more often than
+random ones; long spans are hashed by BLAKE2b. Polynomial prefix hashes (modulo 2**64)
+serve short windows and comparisons that are verified: alone they collide on
+repetitive strings of a thousand bytes and more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +22,8 @@ import pyarrow.compute as pc
 import zstandard
 
 SLICE_BYTES = 4 << 20
+LONG_SPAN = 1024  # bytes; longer spans are hashed one by one
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -83,6 +91,24 @@ class TextBlock:
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Mixed 64-bit hashes of byte spans, the same wherever a span stands."""
+        length = ends - starts
+        out = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        eight = np.lib.stride_tricks.sliding_window_view(
+            np.concatenate((self.data, np.zeros(8, np.uint8))), 8)
+        todo, at = np.flatnonzero((length > 0) & (length <= LONG_SPAN)), 0
+        while len(todo):
+            lane = eight[starts[todo] + at].view(np.uint64).ravel()
+            lane &= _FIRST_BYTES[np.minimum(length[todo] - at, 8)]
+            out[todo] = mix((out[todo] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ lane)
+            at += 8
+            todo = todo[length[todo] > at]
+        for i in np.flatnonzero(length > LONG_SPAN):
+            digest = blake2b(self.data[starts[i]:ends[i]], digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
+
     def prefix_hash(self) -> np.ndarray:
         """P with P[i] = sum of (byte + 1) * base**position over the first i bytes."""
         n = len(self.data)
@@ -126,7 +152,7 @@ def text_blocks(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Te
 def word_hashes(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     """(mixed hash of every word, word_offsets)."""
     starts, ends, word_offsets = block.words()
-    return mix(block.span_hash(block.prefix_hash(), starts, ends)), word_offsets
+    return block.hashes(starts, ends), word_offsets
 
 
 _SEQUENCE = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, 33)], np.uint64)

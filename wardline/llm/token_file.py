@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import shared_path, ship_package
-from wardline.llm.textblocks import TextBlock, mix, text_blocks
+from wardline.llm.textblocks import TextBlock, text_blocks
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
@@ -276,9 +276,7 @@ class Pieces:
 
     def keys(self) -> np.ndarray:
         """A hash of each piece, never 0."""
-        h = self.block.span_hash(self.block.prefix_hash(), self.starts, self.ends)
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mix(h + length * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1 << 63)
+        return self.block.hashes(self.starts, self.ends) | np.uint64(1 << 63)
 
     def heads(self) -> np.ndarray:
         """The first eight bytes of each piece as a number."""
