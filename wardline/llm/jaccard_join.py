@@ -76,7 +76,8 @@ def _document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, cells): one row per document, and partial cell counts per task."""
+    """(sets, cells): one row per document, and per task the cells that it met, as
+    (place in the block, count) pairs."""
     doc_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +100,14 @@ def measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(ids, pa.int64()),
                  empty.cast(pa.int32()), empty.cast(pa.binary())], names)
-        if counts.any():
-            parts = counts.reshape(-1, CELL_BLOCK)
-            empty = pa.nulls(len(parts))
+        cells = np.flatnonzero(counts)  # as many as the task has shingles, at most
+        if len(cells):
+            pairs = np.column_stack((cells % CELL_BLOCK, counts[cells])).astype(np.uint32)
+            blocks, first = np.unique(cells // CELL_BLOCK, return_index=True)
+            empty = pa.nulls(len(blocks))
             yield pa.RecordBatch.from_arrays(
                 [empty.cast(_arrow(doc_type)), empty.cast(pa.int64()), empty.cast(pa.int64()),
-                 pa.array(np.arange(len(parts), dtype=np.int32)), binary_array(list(parts))], names)
+                 pa.array(blocks.astype(np.int32)), binary_array(np.split(pairs, first[1:]))], names)
 
     schema = f"doc_id {doc_type.simpleString()}, n long, id long, block int, counts binary"
     both = written(docs.select("doc_id", "text").mapInArrow(run, schema), "sets")
@@ -131,13 +134,12 @@ def frequent_cells(cells: DataFrame) -> np.ndarray:
     """
 
     def add(rows):
-        total = np.zeros(CELL_BLOCK, np.int64)
-        for part in rows["counts"]:
-            total += np.frombuffer(part, np.uint32 if len(part) == 4 * CELL_BLOCK else np.int64)
+        pairs = np.frombuffer(b"".join(rows["counts"]), np.uint32).reshape(-1, 2)
+        total = np.bincount(pairs[:, 0], pairs[:, 1], CELL_BLOCK).astype(np.int64)
         return rows[["block"]].head(1).assign(counts=[total.tobytes()])
 
     def mark(rows):
-        total = np.frombuffer(rows["counts"].iloc[0], np.int64)
+        total = np.sum([np.frombuffer(part, np.int64) for part in rows["counts"]], axis=0)
         load = float(np.median(total))
         high = total > load + 4.0 * np.sqrt(load) + 8.0
         return rows[["block"]].assign(counts=[np.packbits(high).tobytes()])
@@ -145,7 +147,6 @@ def frequent_cells(cells: DataFrame) -> np.ndarray:
     schema = "block int, counts binary"
     salted = cells.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(64)))
     sums = salted.groupBy("block", "salt").applyInPandas(add, schema)
-    sums = sums.groupBy("block").applyInPandas(add, schema)
     flags = np.zeros(1 << CELL_BITS, bool)
     for row in sums.groupBy("block").applyInPandas(mark, schema).collect():  # one row a block
         at = row.block * CELL_BLOCK
