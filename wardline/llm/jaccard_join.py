@@ -142,7 +142,7 @@ def frequent_cells(cells: DataFrame) -> np.ndarray:
         total = np.sum([np.frombuffer(part, np.int64) for part in rows["counts"]], axis=0)
         load = float(np.median(total))
         high = total > load + 4.0 * np.sqrt(load) + 8.0
-        return rows[["block"]].assign(counts=[np.packbits(high).tobytes()])
+        return rows[["block"]].head(1).assign(counts=[np.packbits(high).tobytes()])
 
     schema = "block int, counts binary"
     salted = cells.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(64)))
