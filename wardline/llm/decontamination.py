@@ -11,8 +11,10 @@ readings that can say something about it:
 
 - plain: only numbers are placeholders. What stands before the window, and
   the case of its letters, do not matter;
-- raw: the words themselves, for windows of which more than half are numbers,
-  so that these match with equal values only;
+- raw: the words themselves, for windows of which more than half are numbers;
+- sum: numbers are placeholders that name the operators before them, for windows
+  mostly of numbers that have two other words and an operator between numbers, so
+  that a calculation is found with other values but the same operators;
 - template: names and units are placeholders too, if at least half of the
   window is literal. Whether the first word is a name or a unit depends on
   what stands before it, so an item's window has both readings of that word.
@@ -24,8 +26,13 @@ value are dropped (slot consistency), the others cover the item. An item leaks
 into a document when one alignment covers at least half of the item's tokens,
 or ``min_tokens`` of them.
 
+An item of fewer than ``MIN_ITEM`` words, which ordinary text contains, is sought as
+whole sentences, lines or a whole text with the same words: its copy begins and
+ends where a sentence does.
+
 Defined results: null or empty texts, of documents or items, match nothing, and
-so do items of fewer than five words, which ordinary text contains. A
+so do items without a letter or digit. A text is read whole, however long (in one
+block of its own beyond 4 MB). A
 null doc_id or item_id can match and is returned as null. Repeated rows count
 once per doc_id and item_id. Empty tables give an empty result. Only
 ``doc_id`` and ``text`` (``item_id`` and ``text``) are read.
@@ -33,7 +40,6 @@ once per doc_id and item_id. Empty tables give an empty result. Only
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +61,6 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs
          " usd eur gbp dollars euros pounds cents meters metres miles liters litres hours minutes"
          " seconds").split()
 
-_NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*")
 _KIND = {"NUM": 1, "NAME": 2, "UNIT": 3}
 
 
@@ -77,6 +82,8 @@ _CLOSES = np.zeros(256, bool)  # bytes that end a sentence
 _CLOSES[[33, 46, 63, 58]] = True
 _ENDS = _SPACE.copy()  # bytes that may follow such a mark: spaces, quotes, brackets, marks
 _ENDS[[33, 34, 39, 41, 46, 58, 63, 93, 125]] = _ENDS[128:] = True
+_OPERATOR = np.zeros(256, bool)  # bytes of operators: % * + - / < = > ^
+_OPERATOR[[37, 42, 43, 45, 47, 60, 61, 62, 94]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -105,8 +112,10 @@ def _core(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Templates:
     """Tokens of a block: the hash of every word (``value``), the template's ``token``
     (literals, or placeholders) and ``slot`` kinds, the ``plain`` tokens in which only
-    a ``number`` is a placeholder, words that may be names (``capital``) or units
-    (``unit``) by themselves, and token offsets per text."""
+    a ``number`` is a placeholder, the ``sums`` tokens in which it names the operators
+    before it (``operator``: there are any, after another number), words that may be
+    names (``capital``) or units (``unit``) by themselves, words that open a sentence
+    (``opens``), and token offsets per text."""
 
     def __init__(self, block: TextBlock, unit_hashes: np.ndarray):
         data = block.data
@@ -151,7 +160,28 @@ class Templates:
         self.value = word
         self.token = np.where(self.slot > 0, _MARKS[self.slot], word)
         self.plain = np.where(is_number, _MARKS[_KIND["NUM"]], word)
-        self.offsets = offsets
+        self.offsets, self.opens = offsets, opens
+        # operators between the letters of a number and those of the number before it
+        marks = np.flatnonzero(_OPERATOR[data])
+        follows = np.zeros(len(starts), bool)
+        follows[1:] = is_number[1:] & is_number[:-1] & ~opens[1:]
+        names, self.operator = np.zeros(len(starts), np.uint64), np.zeros(len(starts), bool)
+        if len(starts):
+            owner = np.searchsorted(kept[lo], marks, "right")  # the word after the mark
+            after = np.concatenate(([0], kept[hi - 1] + 1))[owner]
+            between = (owner < len(starts)) & (marks >= after)
+            marks, owner = marks[between], owner[between]
+            marks, owner = marks[follows[owner]], owner[follows[owner]]
+            self.operator[owner] = True
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)  # 1st, 2nd, ... mark of its word
+            np.add.at(names, owner, mix((data[marks] + 256 * (rank + 1)).astype(np.uint64)))
+        self.sums = np.where(is_number, mix(_MARKS[_KIND["NUM"]] + names), word)
+
+    def whole(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Whether windows that begin ``at`` are whole sentences, lines or texts."""
+        after = at + size
+        ends = np.append(self.opens, True)[np.minimum(after, len(self.opens))]
+        return self.opens[at] & (ends | np.isin(after, self.offsets))
 
 
 def item_readings(block: TextBlock, width: int, units: np.ndarray):
@@ -160,14 +190,21 @@ def item_readings(block: TextBlock, width: int, units: np.ndarray):
     t = Templates(block, units)
     for i, (lo, hi) in enumerate(zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist())):
         size = min(hi - lo, width)
+        if not size:
+            continue
         if size < MIN_ITEM:
+            here = slice(lo, hi)
+            yield i, window_hashes(t.value[here], size)[0], 0, size, size, _slots(t.number[here], t.value[here])
             continue
+        sums = window_hashes(t.sums[lo:hi], size)
         plain, raw = window_hashes(t.plain[lo:hi], size), window_hashes(t.value[lo:hi], size)
         for at in range(hi - lo - size + 1):
             here = slice(lo + at, lo + at + size)
             number = t.number[here]
             poor = 2 * number.sum() > size
             yield i, (raw if poor else plain)[at], at, size, hi - lo, _slots(number, t.value[here])
+            if poor and size - number.sum() >= 2 and t.operator[here][1:].any():
+                yield i, sums[at], at, size, hi - lo, _slots(number, t.value[here])
             first = {int(t.slot[lo + at])}
             if not number[0]:
                 first.add(0)
@@ -247,12 +284,17 @@ def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFram
                 t = Templates(block, units)
                 for size in sizes:
                     plain = window_hashes(t.plain, size)
-                    for tokens, slot in ((t.plain, t.number), (t.token, t.slot), (t.value, t.number)):
+                    readings = ((t.plain, t.number), (t.token, t.slot), (t.value, t.number), (t.sums, t.number))
+                    if size < MIN_ITEM:
+                        readings = ((t.value, t.number),)
+                    for tokens, slot in readings:
                         windows = plain if tokens is t.plain else window_hashes(tokens, size)
                         hit = wanted[(windows >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                        if tokens is not t.plain:
+                        if tokens is not t.plain and size >= MIN_ITEM:
                             hit &= windows != plain
                         hit = np.flatnonzero(hit)
+                        if size < MIN_ITEM:
+                            hit = hit[t.whole(hit, size)]
                         text = np.searchsorted(t.offsets, hit, "right") - 1
                         inside = hit + size <= t.offsets[text + 1]
                         for w, i in zip(hit[inside].tolist(), text[inside].tolist()):
