@@ -56,3 +56,14 @@ def test_nulls_ties_repeats_and_empty_tables(spark):
     empty = spark.createDataFrame([], CONV)
     assert C.parse(C.render(C.fold(C.log_of(empty)))).collect() == []
     assert [r.conv_id for r in C.with_control_conversation(empty).collect()] == [-1, -1]
+
+
+def test_very_long_texts_and_many_turns(spark):
+    long = "é<s>\n" * 1_000_000  # 5 M characters
+    got = chats(spark, [(1, 0, "user", long), (1, 1, "assistant", long + "end")])[1]
+    assert [t.text == w for t, w in zip(got.turns, (long, long + "end"))] == [True, True]
+    assert got.loss_text == long + "end"
+    many = [(2, i, ("assistant", "user")[i % 2], f"t{i} [INST]") for i in range(4000)]
+    got = chats(spark, many)[2]
+    assert [t.text for t in got.turns] == [r[3] for r in many]
+    assert got.loss_text == "".join(r[3] for r in many if r[2] == "assistant")

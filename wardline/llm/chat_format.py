@@ -22,7 +22,8 @@ Defined results: a null text is empty, a null role is the empty role, an
 unknown or null kind counts as ``message``. Events of one message with the
 same seq are taken resets first, then by text. Null conv_id is a conversation
 of its own; a null turn sorts first; rows that share a turn are separate
-messages in the order of role and text. Empty tables give no conversations
+messages in the order of role and text. Very long texts are cut and read back in
+time that grows with their length; one conversation must fit a string. Empty tables give no conversations
 (the query still has conversation -1). Only the named columns are read.
 """
 
@@ -66,19 +67,16 @@ def log_of(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFram
         F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.row_number().over(tie))
     message = F.struct("turn", "tie")
     streamed = F.col("role") == "assistant"
-    pieces = F.ceil(F.length("text") / delta_chars).cast("int")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
     opens = rows.select(
         "conv_id", F.struct("turn", "tie", F.lit(0).alias("part")).alias("seq"),
         F.lit("message").alias("kind"), message.alias("message"), "role",
         F.when(streamed, F.lit("")).otherwise(F.col("text")).alias("text"))
-    parts = rows.where(streamed & (pieces > 0)).withColumn("piece", F.explode(F.transform(
-        F.sequence(F.lit(1), pieces), lambda k: F.struct(
-            k.alias("part"), F.substring(F.col("text"), (k - 1) * delta_chars + 1, F.lit(delta_chars))
-            .alias("text")))))
+    parts = rows.where(streamed).select("conv_id", "turn", "tie", F.posexplode(pieces).alias("part", "piece"))
     deltas = parts.select(
-        "conv_id", F.struct("turn", "tie", F.col("piece.part").alias("part")).alias("seq"),
+        "conv_id", F.struct("turn", "tie", (F.col("part") + 1).alias("part")).alias("seq"),
         F.lit("delta").alias("kind"), message.alias("message"),
-        F.lit(None).cast("string").alias("role"), F.col("piece.text").alias("text"))
+        F.lit(None).cast("string").alias("role"), F.col("piece").alias("text"))
     return opens.unionByName(deltas)
 
 
@@ -101,7 +99,9 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): one text per conversation and its loss mask."""
+    """(conv_id, formatted, loss_spans): one text per conversation and its loss mask, as
+    characters ``from`` to ``to`` of the text; ``turn`` (from 0) is the turn they are in,
+    ``at`` their first character's place in its segment."""
     own = F.col("role") == "assistant"
     head = F.concat(F.when(own, F.lit(OPEN_ASSISTANT)).otherwise(F.lit(OPEN_OTHER)),
                     escape_role(F.col("role")), F.lit("\n"))
@@ -111,20 +111,26 @@ def render(messages: DataFrame) -> DataFrame:
         "head", "body", F.when(F.col("own"), F.lit(CLOSE_ASSISTANT)).otherwise(F.lit(CLOSE_OTHER))))
     before = Window.partitionBy("conv_id").orderBy("first_seq", "message").rowsBetween(
         Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)))
-    piece = F.struct("start", "own", "segment", (F.col("start") + F.length("head")).alias("from"),
-                     (F.col("start") + F.length("head") + F.length("body")).alias("to"))
+    rows = rows.withColumns({
+        "start": F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)),
+        "turn": F.count(F.lit(1)).over(before)})
+    piece = F.struct("turn", "own", "segment", (F.col("start") + F.length("head")).alias("from"),
+                     (F.col("start") + F.length("head") + F.length("body")).alias("to"),
+                     F.length("head").alias("at"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     return whole.select(
         "conv_id", F.array_join(F.transform("pieces", lambda p: p["segment"]), "").alias("formatted"),
         F.transform(F.filter("pieces", lambda p: p["own"]),
-                    lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"))).alias("loss_spans"))
+                    lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"), p["turn"].alias("turn"),
+                                       p["at"].alias("at"))).alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted_chars) read from formatted conversations;
-    ``turns`` holds (role, text), ``loss_text`` what the loss mask covers, unescaped."""
-    segments = F.filter(F.split("formatted", _TURN_END, -1), lambda s: s != "")
+    ``turns`` holds (role, text), ``loss_text`` what the loss mask covers, unescaped.
+    The text is cut into its turns once; masked texts are taken from their turns."""
+    rows = formatted.withColumn("segments", F.filter(
+        F.split("formatted", _TURN_END, -1), lambda s: s != ""))
 
     def turn(segment: Column) -> Column:
         own = segment.startswith(OPEN_ASSISTANT)
@@ -136,9 +142,9 @@ def parse(formatted: DataFrame) -> DataFrame:
                         unescape(F.substring(inner, at + 1, F.length(inner))).alias("text"))
 
     masked = F.transform("loss_spans", lambda s: unescape(F.substring(
-        F.col("formatted"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
-    return formatted.select(
-        "conv_id", F.transform(segments, turn).alias("turns"), F.array_join(masked, "").alias("loss_text"),
+        F.get("segments", s["turn"].cast("int")), s["at"] + 1, (s["to"] - s["from"]).cast("int"))))
+    return rows.select(
+        "conv_id", F.transform("segments", turn).alias("turns"), F.array_join(masked, "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
