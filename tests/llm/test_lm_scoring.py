@@ -2,12 +2,11 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD_TEXTS
 from wardline.llm import lm_scoring as S
-from wardline.llm.textblocks import pack_integers, unpack_integers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -58,8 +57,28 @@ def test_nulls_repeats_and_empty_tables(make_docs):
     assert S.score_documents(make_docs([])).collect() == []
 
 
-def test_totals_beyond_32_bits():
-    hashes = [np.array(h, np.uint64) for h in ([3, 5, 9], [5, 9], [5])]
-    counts = [np.array(c, np.uint32) for c in ([1, 3_000_000_000, 7], [3_000_000_000, 4_294_967_295], [2])]
-    replies = [unpack_integers(pack_integers(r), np.int64).tolist() for r in S.range_totals(hashes, counts)]
-    assert replies == [[1, 6_000_000_002, 4_294_967_302], [6_000_000_002, 4_294_967_302], [6_000_000_002]]
+def test_totals_beyond_32_bits(spark):
+    rows = [(0, 3, 1), (0, 5, 3_000_000_000), (0, 9, 7), (1, 5, 3_000_000_000), (1, 9, 4_294_967_295),
+            (2, 5, 2), (2, S.CORPUS, 4)]
+    got = S.corpus_counts(spark.createDataFrame(rows, "block int, hash long, n long")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 5, 6_000_000_002), (0, 9, 4_294_967_302), (1, 5, 6_000_000_002),
+                                             (1, 9, 4_294_967_302), (2, S.CORPUS, 4), (2, 5, 6_000_000_002)]
+
+
+def test_ngrams_are_rows_shuffled_once(spark, make_docs):
+    """The count table and the rows it is joined to read one exchange."""
+    docs = make_docs([(1, "a b")]).withColumn("block", F.lit(0))
+    rows = S.explode_ngrams(docs, 3)
+    assert sorted(r.n for r in rows.collect()) == [1, 1, 1, 2]  # a, b, "a b" and two words
+    counts = S.corpus_counts(rows)
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "Join" in plan
+
+
+def test_very_long_text(make_docs, words):
+    text = " ".join(words(1000, s) for s in range(900))  # beyond one slice of 4 MB
+    rows = [(1, text), (2, "some words " + text[:2000]), (3, "no such")]
+    got = {r.doc_id: r for r in S.score_documents(make_docs(rows)).collect()}
+    for (doc_id, _), (n, want) in zip(rows, brute(rows, S.ORDER, S.BACKOFF)):
+        assert got[doc_id].n_words == n and abs(got[doc_id].log_score - want) < 1e-6 * abs(want)

@@ -6,13 +6,14 @@ c(context word) / c(context) if that n-gram occurs outside the document, else
 ``backoff**order / N``. All counts leave the scored document out, so a text
 does not confirm itself. A document's score is the sum of its words' logarithms.
 
-The work is a join of exploded n-grams with count tables, both partitioned by
-n-gram hash, with one reduction: documents are dealt into blocks (by doc_id),
-and a block asks once per distinct n-gram instead of once per occurrence. Per
-block and hash range it sends the sorted hashes with the block's counts; the
-range's task adds them up (the count table of that range) and answers in the
-same order; the block's documents meet the answers and sum their scores. Hot
-n-grams are one entry per block, and a task holds one hash range or one block.
+The work is relational. Documents are dealt into blocks and exploded into rows
+(block, n-gram hash, occurrences in the block), shuffled once by hash: one aggregate
+makes the count table, one join on the same partitioning gives every block the
+corpus-wide counts of its n-grams. An n-gram that stands in one block only has its
+count there already and is not sent back. A block's documents meet their counts in a
+cogroup by block and sum their words' scores. A hot n-gram is one row per block, and
+a task holds one block of about ``BLOCK_CHARS`` characters (a longer text is a block
+with the texts dealt to it), whatever the size of the corpus.
 
 Words are runs of bytes other than space and ``\\t``..``\\r``, ASCII
 lower-cased; n-grams do not cross documents and are compared by 64-bit hash.
@@ -21,7 +22,7 @@ Defined results: null or empty texts have no words: score 0, mean null. A
 null doc_id is scored like any other. Rows that repeat a doc_id are separate
 documents and do confirm each other. A corpus of one document scores every
 word as unseen (N counted as at least 1). An empty table gives an empty
-result. Only ``doc_id`` and ``text`` are read.
+result. Texts are read whole, however long. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.deploy import ship_package
-from wardline.llm.textblocks import (pack_integers, text_blocks, unpack_integers, window_hashes,
-                                      word_hashes)
+from wardline.llm.textblocks import text_blocks, window_hashes, word_hashes
+from wardline.session import size_shuffles
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 24_000_000
-RANGES = 64
+BLOCK_CHARS = 12_000_000
+ROW_BYTES = 10  # n-gram rows take about so many times the bytes of their text
+CORPUS = 0  # the hash of the row that counts a block's words; n-grams have odd hashes
 
 
 def ngrams(hashes: np.ndarray, word_offsets: np.ndarray, order: int) -> list[np.ndarray]:
@@ -73,59 +75,52 @@ def _block_grams(column: pa.Array, order: int):
             np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
 
-def range_totals(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    """For the n-grams of every block, their occurrences in all blocks (int64)."""
-    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-    return np.split(totals[at], np.cumsum([len(h) for h in hashes])[:-1])
+def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate(grams)
+    return np.unique(every[every > 0], return_counts=True)
+
+
+def explode_ngrams(blocks: DataFrame, order: int) -> DataFrame:
+    """(block, hash, n): every distinct n-gram of a block with its occurrences there, and
+    the block's words in the row of hash ``CORPUS``."""
+
+    def explode(key, table):
+        grams, n_words = _block_grams(table.column("text"), order)
+        hashes, n = _distinct(grams)
+        hashes = np.concatenate(([CORPUS], hashes.view(np.int64)))
+        n = np.concatenate(([n_words.sum()], n)).astype(np.int64)
+        block = pa.array(np.full(len(n), key[0].as_py(), np.int32))
+        return pa.table({"block": block, "hash": pa.array(hashes, pa.int64()), "n": pa.array(n)})
+
+    return blocks.groupBy("block").applyInArrow(explode, "block int, hash long, n long")
+
+
+def corpus_counts(ngrams_of_blocks: DataFrame) -> DataFrame:
+    """(block, hash, total): for the n-grams of every block that other blocks have too (and
+    for the corpus), their occurrences in all blocks."""
+    rows = ngrams_of_blocks.repartition("hash")
+    table = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("blocks"))
+    shared = table.where((F.col("blocks") > 1) | (F.col("hash") == CORPUS)).drop("blocks")
+    return rows.select("block", "hash").join(shared, "hash").select("block", "hash", "total")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score for every row of ``docs``."""
-    spark = docs.sparkSession
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    size_shuffles(docs.sparkSession, size * ROW_BYTES)
     blocks = max(1, -(-size // BLOCK_CHARS))
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shift = 64 - 20  # a range is decided by the hash's top 20 bits
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
                         .cast("int").alias("block"))
-    requested = dealt.select("block", "text")
-
-    def request(key, table):
-        grams, counts = _block_grams(table.column("text"), order)
-        every = np.concatenate(grams)
-        found, n = np.unique(every[every > 0], return_counts=True)
-        part = ((found >> np.uint64(shift)).astype(np.int64) * ranges) >> 20
-        cuts = np.searchsorted(part, np.arange(1, ranges))
-        rows = [(key[0].as_py(), p, pack_integers(h), pack_integers(c.astype(np.uint32)))
-                for p, (h, c) in enumerate(zip(np.split(found, cuts), np.split(n, cuts))) if len(h)]
-        rows.append((key[0].as_py(), -1, b"", pack_integers(np.array([counts.sum()], np.uint64))))
-        names = ["block", "part", "hashes", "counts"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)})
-
-    def answer(table):
-        blocks_, part = table.column("block").to_pylist(), table.column("part").to_pylist()
-        if part[0] == -1:  # one number per block: the corpus size, for everybody
-            total = sum(int(unpack_integers(c, np.uint64)[0]) for c in table.column("counts").to_pylist())
-            return pa.table({"block": pa.array(blocks_, pa.int32()), "part": pa.array(part, pa.int32()),
-                             "counts": pa.array([pack_integers(np.array([total], np.uint64))] * len(part), pa.binary())})
-        hashes = [unpack_integers(h, np.uint64) for h in table.column("hashes").to_pylist()]
-        counts = [unpack_integers(c, np.uint32) for c in table.column("counts").to_pylist()]
-        replies = range_totals(hashes, counts)
-        return pa.table({"block": pa.array(blocks_, pa.int32()), "part": pa.array(part, pa.int32()),
-                         "counts": pa.array([pack_integers(r) for r in replies], pa.binary())})
-
-    def score(texts, replies):
+
+    def score(texts, counts):
         grams, n_words = _block_grams(texts.column("text"), order)
-        order_of = np.argsort(replies.column("part").to_numpy())
-        answers = [replies.column("counts")[int(i)].as_py() for i in order_of]
-        total = int(unpack_integers(answers[0], np.uint64)[0])
-        every = np.concatenate(grams)
-        known = np.unique(every[every > 0])
-        count_of = (np.concatenate([unpack_integers(a, np.int64) for a in answers[1:]])
-                    if len(answers) > 1 else np.zeros(0, np.int64))
+        known, count_of = _distinct(grams)  # what no other block has is counted here
+        hashes = counts.column("hash").to_numpy().view(np.uint64)
+        totals = counts.column("total").to_numpy()
+        total = int(totals[hashes == CORPUS][0])
+        mine = hashes != CORPUS
+        count_of[np.searchsorted(known, hashes[mine])] = totals[mine]
         doc = np.repeat(np.arange(len(n_words)), n_words)
         outside = [_outside(g, doc, known, count_of) for g in grams]
         scores = stupid_backoff(outside, doc, total - n_words, n_words, backoff)
@@ -134,10 +129,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
                          "log_score": pa.array(sums, pa.float64()), "mean_log_score": mean})
 
-    asked = requested.groupBy("block").applyInArrow(
-        request, "block int, part int, hashes binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, counts binary")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+    counts = corpus_counts(explode_ngrams(dealt, order))
+    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
         score, f"doc_id {doc_type}, n_words long, log_score double, mean_log_score double")
 
 
