@@ -99,9 +99,11 @@ def corpus_counts(ngrams_of_blocks: DataFrame) -> DataFrame:
     """(block, hash, total): for the n-grams of every block that other blocks have too (and
     for the corpus), their occurrences in all blocks."""
     rows = ngrams_of_blocks.repartition("hash")
-    table = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("blocks"))
+    # both sides use all three columns, so that Spark reads one exchange for both
+    table = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.count("block").alias("blocks"))
     shared = table.where((F.col("blocks") > 1) | (F.col("hash") == CORPUS)).drop("blocks")
-    return rows.select("block", "hash").join(shared, "hash").select("block", "hash", "total")
+    return rows.join(shared, "hash").where(
+        (F.col("total") > F.col("n")) | (F.col("hash") == CORPUS)).select("block", "hash", "total")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
