@@ -73,10 +73,12 @@ def link_by_signatures(postings: DataFrame, promising: Step, possible: Step,
     with one representative per signature, the member that shares most postings
     with others (the original of a group of edited copies); of these pairs,
     ``promising`` ones are verified. Then all that is still apart is covered
-    exactly. Even signatures are single tokens that few ids have: their pairs in
-    different components are formed, if they fit (``fits``, a condition on the
-    columns ``..._a`` and ``..._b``), counted (``shared``), and verified where
-    ``possible``. Odd signatures are combinations, of which similar ids share
+    exactly. Even signatures are single tokens or bands: their pairs in different
+    components are formed, if they fit (``fits``, a condition on the columns
+    ``..._a`` and ``..._b``), counted (``shared``), and verified where ``possible``,
+    all pairs of a signature together (``_group_links``). Members of a signature's
+    largest component are met by the others only, so that a large group of copies
+    costs its size, not its square. Odd signatures are combinations, of which similar ids share
     hundreds: ids connected by them form families, and the members of a family
     are compared block by block, without forming their pairs.
     """
@@ -114,11 +116,14 @@ def link_by_signatures(postings: DataFrame, promising: Step, possible: Step,
 
     single = apart.where(F.col("sig").bitwiseAND(1) == 0)
     names = [*names, "comp"]
-    left = single.select("sig", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = single.select(F.col("sig").alias("sig_b"), *[F.col(c).alias(f"{c}_b") for c in names])
-    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("id_a") < F.col("id_b"))
+    single = single.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("sig", "comp")))
+    main = F.max(F.struct("members", "comp")).over(of_sig)["comp"]
+    single = single.withColumn("main", F.col("comp") == main).drop("members")
+    left = single.where("not main").select("sig", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = single.select(F.col("sig").alias("sig_b"), "main", *[F.col(c).alias(f"{c}_b") for c in names])
+    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("main") | (F.col("id_a") < F.col("id_b")))
                       & (F.col("comp_a") != F.col("comp_b")) & fits())
-    pairs = possible(_counted(pairs, names)).select("a", "b", "comp_a", "comp_b")
+    pairs = possible(_counted(pairs, names)).select("a", "b", "sig")
     pairs = written(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
     combined = apart.where(F.col("sig").bitwiseAND(1) == 1)
@@ -127,23 +132,90 @@ def link_by_signatures(postings: DataFrame, promising: Step, possible: Step,
         combined.groupBy("id").agg(F.first("comp").alias("comp")), "id")
     members = written(members, "members")
     contents = sets(ends(pairs).unionByName(members.select("id")))
-    return links.unionByName(written(verified(pairs, contents), "links")).unionByName(
+    return links.unionByName(written(_group_links(pairs, contents, decode, least), "links")).unionByName(
         written(_family_links(members.join(contents, "id"), decode, least), "links"))
 
 
 def _counted(pairs: DataFrame, names: list[str]) -> DataFrame:
-    """One row per pair a < b: ``shared`` single and any ``combined`` signatures, and
-    both sides' columns."""
+    """One row per pair a < b: ``shared`` single and any ``combined`` signatures, the
+    smallest signature, and both sides' columns."""
     swap = F.col("id_a") > F.col("id_b")
     extra = [c for c in names if c != "id"]
     return pairs.groupBy(
         F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
         F.count_if(F.col("sig").bitwiseAND(1) == 0).alias("shared"),
-        F.bool_or(F.col("sig").bitwiseAND(1) == 1).alias("combined"),
+        F.bool_or(F.col("sig").bitwiseAND(1) == 1).alias("combined"), F.min("sig").alias("sig"),
         *[F.max(F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))).alias(f"{c}_a") for c in extra],
         *[F.max(F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))).alias(f"{c}_b") for c in extra])
 
 
+def _group_links(pairs: DataFrame, contents: DataFrame, decode: Decode, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` (a, b, sig) that are similar enough.
+
+    The pairs of a signature are verified together, so a content is sent once per
+    signature, not once per pair. A signature beyond ``BLOCK_IDS`` ids or ``BLOCK_SIZE``
+    of content is dealt into blocks, and the pairs between two blocks are one task's;
+    small signatures share tasks.
+    """
+    is_list = contents.schema["content"].dataType.typeName() == "array"
+    size = F.size("content") if is_list else F.octet_length("content")
+    ends = pairs.select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
+    groups = ends.join(contents.select("id", size.cast("long").alias("size")), "id").groupBy("sig").agg(
+        F.sum("size").alias("size"), F.greatest(
+            F.ceil(F.count(F.lit(1)) / BLOCK_IDS), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    groups = written(groups, "groups")
+    small = groups.where("blocks <= 1").agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-small // BLOCK_SIZE))
+    alone = F.col("blocks") <= 1
+    cells = pairs.join(groups.select("sig", "blocks"), "sig").select(
+        F.when(alone, F.pmod(F.xxhash64("sig"), F.lit(tasks))).otherwise(F.col("sig")).alias("task"),
+        *[F.when(alone, F.lit(-1)).otherwise(F.pmod(F.xxhash64(end), F.col("blocks")).cast("int")).alias(at)
+          for end, at in (("a", "i"), ("b", "j"))], "a", "b")
+    key = ["task", "i", "j"]
+    to = [f"to_{c}" for c in key]
+    sent = cells.select(*[F.col(c).alias(t) for c, t in zip(key, to)], F.explode(F.array("a", "b")).alias("id"))
+    sent = sent.distinct().join(contents, "id")
+
+    def verify(wanted, table):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)
+        values, offsets = decode(table.column("content").combine_chunks().take(pa.array(order)))
+        a, b = (np.searchsorted(ids[order], wanted.column(c).to_numpy()) for c in ("a", "b"))
+        keep = similar_of(values, offsets, a, b, *least)
+        return wanted.select(["a", "b"]).filter(pa.array(keep))
+
+    return cells.groupBy(*key).cogroup(sent.groupBy(*to)).applyInArrow(verify, "a long, b long")
+
+
+def similar_of(values: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int, of: int):
+    """Which of the pairs of positions (a, b) are similar sets: the tokens of one set are
+    marked, and those of all its partners looked up, some at a time."""
+    _, token = np.unique(values, return_inverse=True)
+    sizes = np.diff(offsets)
+    keep = np.zeros(len(a), bool)
+    # sizes alone rule a pair out: the overlap is the smaller set at most
+    low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    todo = np.flatnonzero(low * of >= high * similar)
+    todo = todo[np.argsort(a[todo], kind="stable")]
+    marked = np.zeros(int(token.max()) + 1 if len(token) else 0, bool)
+    edges = np.flatnonzero(np.append(True, a[todo][1:] != a[todo][:-1])) if len(todo) else todo
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(todo)]):
+        own = token[offsets[a[todo[lo]]]:offsets[a[todo[lo]] + 1]]
+        marked[own] = True
+        while lo < hi:  # partners of about a million tokens, one at least
+            ends = np.cumsum(sizes[b[todo[lo:hi]]])
+            part = todo[lo:lo + max(1, int(np.searchsorted(ends, 1 << 20)))]
+            n = sizes[b[part]]
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(offsets[b[part]] - begin, n)
+            hits = np.concatenate(([0], np.cumsum(marked[token[at]])))
+            common = hits[begin + n] - hits[begin]
+            keep[part] = common * of >= (len(own) + n - common) * similar
+            lo += len(part)
+        marked[own] = False
+    return keep
+
+
 def _family_links(members: DataFrame, decode: Decode, least: tuple[int, int]) -> DataFrame:
     """Links between components inside families; ``members``: id, family, comp, content.
 
