@@ -51,3 +51,23 @@ def test_bounded_checks(spark):
     assert collect(restrict(left, "k", keys), "name") == collect(restrict(left, "k", ["x"]), "name")
     assert sorted(collect(restrict(left, "k", "x"), "name")) == [("a",), ("d",)]
     assert restrict(left, "k", None).count() == 4
+
+
+def test_expand_in_order_keeps_the_order_and_shuffles_no_expanded_row(spark):
+    """Small by statistics, small as measured, and neither: the same rows in the same order,
+    with repeated left rows and keys, missing keys and NULL entries."""
+    left = spark.createDataFrame(
+        [("b", 1, "x"), ("a", 2, "y"), ("a", 1, "x"), ("a", 2, "y"), ("c", 3, None), ("d", 4, "w"),
+         ("a", 2, "z")], "name string, n int, k string")
+    right = spark.createDataFrame(
+        [("x", "p"), ("x", None), ("y", "q"), ("y", "s"), ("z", "r"), (None, "t")], "k string, v string")
+    want = [("a", 1, "x", None), ("a", 1, "x", "p"), ("a", 2, "y", "q"), ("a", 2, "y", "q"), ("a", 2, "z", "r"),
+            ("a", 2, "y", "s"), ("a", 2, "y", "s"), ("b", 1, "x", None), ("b", 1, "x", "p"),
+            ("c", 3, None, None), ("d", 4, "w", None)]
+    for limit in (stored_bytes(right), 1000, 1, 0):
+        df = expand_in_order(left, right, "k", ["name", "n"], max_bytes=limit).select("name", "n", "k", "v")
+        assert df.collect() == want, limit
+        if limit >= 1000:  # the plan as it ran
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            moved = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
+            assert all("v#" not in line for line in moved), plan
