@@ -205,3 +205,14 @@ def test_parameterised_views(make_tables, spark):
     rows = spark.sql("SELECT count(*) FROM own_team_of(:c) WHERE position = 'sh'", args={"c": "D1"}).collect()
     assert rows[0][0] == 2
     assert collect(team_activity(t, "x' OR 'a'='a", "2024-01-01", "2024-01-31")) == []
+
+
+def test_spellings_are_counted_before_collated_values_are_sorted(make_tables):
+    """Rows of a table meet a hash aggregate of plain strings; a sort sees one row per spelling."""
+    t = make_tables(specialty=[("eye",)] * 3 + [("EYE",), ("ear ",), (None,), (None,)])
+    df = audit_integrity(t, "UTF8_LCASE_RTRIM")
+    found = {tuple(r)[1:] for r in df.where("table_name = 'specialty'").collect()}
+    assert found == {("specialty_name", "duplicate_key", 3, 1, "eye"), ("specialty_name", "null_key", 2, 0, None)}
+    counts = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines()
+              if "partial_count(1)" in line]
+    assert counts and all("HashAggregate(" in line for line in counts)

@@ -47,10 +47,22 @@ def _values(t: Tables, uses: dict[str, list[tuple[str, str]]], collation: str |
         columns = [F.struct(F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
                             F.col(column).cast("string").alias("key")) for column, parent in pairs]
         parts.append(t[table].select(F.lit(table).alias("table_name"), F.inline(F.array(*columns))))
-    rows = _union(parts)
-    if collation:
-        rows = rows.withColumn("key", F.collate("key", collation))
-    return rows.groupBy("table_name", "column_name", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    by = ["table_name", "column_name", "parent", "key"]
+    return _counted(_union(parts), by, {"key": collation} if collation else {})
+
+
+def _counted(rows: DataFrame, by: list[str], collations: dict[str, str]) -> DataFrame:
+    """Rows of ``rows`` per ``by``, as n, the columns of ``collations`` compared under theirs.
+
+    Spark groups collated strings by sorting the rows. The spellings are counted as
+    plain strings first, in a hash aggregate, so that only one row per spelling is sorted.
+    """
+    spelled = rows.withColumns({c: F.col(c).cast("string") for c in collations}) if collations else rows
+    counts = spelled.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    if not collations:
+        return counts
+    collated = counts.withColumns({c: F.collate(c, name) for c, name in collations.items()})
+    return collated.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def _example(collation: str | None) -> Column:
@@ -72,7 +84,7 @@ def _mismatched(child: DataFrame, parent: DataFrame, key: str, own: str, theirs:
 
     (key, own) pairs are counted first, so a key that many rows share is few rows.
     """
-    pairs = child.groupBy(key, own).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _counted(child, [key, own], {c: collation for c in (key, own)} if collation else {})
     parents = parent.select(F.col(key), F.col(theirs).alias("__theirs"))
     wrong = pairs.join(parents, key).where(F.col(own) != F.col("__theirs"))
     wrong = wrong.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("n"))
