@@ -10,6 +10,7 @@ from wardline.operators.joins import (
     left_join_hot_right,
     provably_small,
     restrict,
+    semi_join,
     stored_bytes,
 )
 
@@ -71,3 +72,18 @@ def test_expand_in_order_keeps_the_order_and_shuffles_no_expanded_row(spark):
             plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
             moved = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
             assert all("v#" not in line for line in moved), plan
+
+
+def test_few_keys_restrict_without_a_shuffle_of_the_rows(spark):
+    """Keys that statistics do not bound are measured as the query runs."""
+    left = spark.createDataFrame(
+        [("a", 1, "x"), ("b", 2, "y"), ("b", 2, "y"), ("c", 3, None), ("d", 4, "x")], "name string, n int, k string")
+    keys = spark.createDataFrame([("x",), ("x",), (None,), ("w",)], "key string")
+    df = restrict(left, "k", keys)
+    assert sorted(collect(df, "name", "n", "k")) == [("a", 1, "x"), ("d", 4, "x")]
+    for limit in (1000, 1, 0):  # broadcast, shuffle as measured, shuffle as planned
+        rows = semi_join(left, keys.select(keys.key.alias("k")), "k", max_bytes=limit).select("name", "n")
+        assert sorted(map(tuple, rows.collect())) == [("a", 1), ("d", 4)], limit
+        ran = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        if limit == 1000:  # a local read would mean that the rows were shuffled first
+            assert "LeftSemi, BuildRight" in ran and "AQEShuffleRead local" not in ran, ran

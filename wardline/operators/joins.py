@@ -66,12 +66,34 @@ def restrict(df: DataFrame, column: str, keys: Keys) -> DataFrame:
         return df
     if isinstance(keys, DataFrame):
         key_col = keys.columns[0]
-        return df.join(keys.select(F.col(key_col).alias(column)), column, "left_semi")
+        return semi_join(df, keys.select(F.col(key_col).alias(column)), column)
     if isinstance(keys, str):
         return df.where(F.col(column) == F.lit(keys))
     return df.where(F.col(column).isin(list(keys)))
 
 
+def semi_join(df: DataFrame, keys: DataFrame, column: str, max_bytes: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``keys`` (one column).
+
+    A shuffle join would move all rows of ``df`` to keep few. The distinct keys are
+    measured while the query runs, and a filter lets the rows into one of two branches:
+    a broadcast of keys that take up to ``LISTS_PER_STORED_BYTE`` times the broadcast
+    limit, or the shuffle join. A limit of 0 plans the shuffle join alone.
+    """
+    if max_bytes is None:
+        max_bytes = broadcast_limit(df)
+    if max_bytes <= 0:
+        return df.join(keys, column, "left_semi")
+    distinct = keys.where(F.col(column).isNotNull()).distinct()
+    # 32 bytes a key for what a hash table holds beside its text
+    measured = distinct.agg(F.coalesce(
+        F.sum(F.octet_length(F.col(column).cast("string")) + 32), F.lit(0))).scalar()
+    few = measured <= F.lit(max_bytes * LISTS_PER_STORED_BYTE)
+    return (
+        df.where(few).join(F.broadcast(distinct.where(few)), column, "left_semi")
+        .unionByName(df.where(~few).join(distinct.where(~few), column, "left_semi")))
+
+
 def left_join_hot_right(left: DataFrame, right: DataFrame, key: str,
                         bound: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` for a right side with hot keys.

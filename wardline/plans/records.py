@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.columns import WARD_FORM_ROLE_FALLBACK, yes_no
 from wardline.operators.aggregates import latest_by
-from wardline.operators.joins import Keys, restrict
+from wardline.operators.joins import Keys, restrict, semi_join
 from wardline.operators.roles import with_role_label
 from wardline.operators.skew import salted_join
 from wardline.sources.catalog import Tables
@@ -90,7 +90,7 @@ def rec_ward_patients(t: Tables, ward_names: Keys = None) -> DataFrame:
     ties = ["date_started", "treatment_code", "complaint_code", "date_ended"]
     records = t.ptr.select("patient_no", "doctor_staff_no", *ties)
     if ward_names is not None:  # only the ward's patients matter, also for the anti join
-        records = records.join(in_ward.select("patient_no").distinct(), "patient_no", "left_semi")
+        records = semi_join(records, in_ward.select("patient_no"), "patient_no")
     # Patients with records: one plain join of the fact on patient_no (AQE can
     # split a hot patient), then the doctor name by a left join whose hot
     # keys sit on the splittable left side. Patients without records: anti
