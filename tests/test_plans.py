@@ -161,3 +161,14 @@ def test_doctor_joins_are_bounded_by_doctor(stored):
     for df in (R.q10_patient_full(stored), C.rec_patient_history(stored), R.q6_treatment_experience(stored)):
         text = plan(df)
         assert "__salt" not in text and "SortMergeJoin" not in text
+
+
+def test_a_table_of_patients_is_measured_and_not_met_by_a_shuffle_of_the_facts(stored):
+    keys = stored.patient.join(stored.care_unit.where("ward_name = 'WARD_7'"), "care_unit_no").select("patient_no")
+    df = R.q10_patient_full(stored, keys)
+    listed = R.q10_patient_full(stored, [r.patient_no for r in keys.collect()])
+    rows = df.collect()
+    assert rows and rows == listed.collect()
+    ran = plan(df)
+    assert re.search(r"BroadcastHashJoin \[patient_no#\d+\], \[patient_no#\d+\], LeftSemi", ran)
+    assert "Subquery" in ran
