@@ -88,3 +88,62 @@ def test_nulls_repeats_and_empty_tables(make_docs, words):
     n = len(text)
     assert got == [("4", n, n), ("4", n + 2, n + 2), ("9", n, 0), ("None", n, n)]
     assert S.dedup_text(make_docs([])).collect() == []
+
+
+def test_a_scan_works_on_small_slices():
+    """Working arrays stay far below the size of a batch of texts (several hundred MB before)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wardline.llm.suffix_dedup import owned_runs
+    from wardline.llm.textblocks import text_blocks
+
+    letters = np.random.default_rng(5).integers(97, 123, 2000, dtype=np.uint8).tobytes().decode()
+    texts = pa.array([letters] * 4000)  # 8 MB
+    tracemalloc.start()
+    try:
+        runs = sum(len(owned_runs(block)[0]) for block in text_blocks(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert runs >= 4000 and peak < 150e6, peak
+
+
+def test_unlike_windows_of_an_anchor_are_not_sorted(monkeypatch):
+    import numpy as np
+
+    from wardline.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(300)]
+    pieces.append(pieces[7][:55] + b"?????")
+    sorted_rows = []
+    whole = S.merge_sort
+    monkeypatch.setattr(S, "merge_sort", lambda s, starts, segment: (
+        sorted_rows.append(len(starts)), whole(s, starts, segment))[1])
+    n = len(pieces)
+    row, window, least = S.least_documents(
+        np.ones(n, np.uint64), np.full(n, 20), np.arange(n, dtype=np.int64) + 100, pieces)
+    assert sum(sorted_rows) == 12  # six windows in common, twice
+    assert least[(row == n - 1)].tolist() == [107] * 6 + [100 + n - 1] * 5
+
+
+def test_settings_of_the_operators_leave_those_of_the_session(spark):
+    from wardline.llm import deploy
+
+    old = {k: spark.conf.get(k, None) for k in deploy.SETTINGS}
+    first = next(iter(deploy.SETTINGS))
+    try:
+        spark.conf.set(first, "12345")
+        deploy.ship_package(spark)
+        assert spark.conf.get(first).startswith("12345")
+        spark.conf.unset(first)
+        deploy.ship_package(spark)
+        assert {k: spark.conf.get(k) for k in deploy.SETTINGS} == deploy.SETTINGS
+        rows = spark.range(100).distinct()
+        assert sorted(rows.collect()) == sorted(rows.collect())  # its shuffle is made again
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -50,6 +50,7 @@ SPAN = WINDOW - GRAM + 1        # grams in a window
 MAP_BITS = 27
 RANGE_BITS = 6
 RANGES = 1 << RANGE_BITS        # tasks that merge anchors, by the top bits of the hash
+HELD_ROWS = 1 << 21           # rows a scan holds until it sends the distinct ones
 SORT_ROWS = 400_000             # suffixes sorted at a time
 
 
@@ -102,7 +103,7 @@ def anchor_map(docs: DataFrame) -> bytes:
                 keep[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
                 found.append(gram[keep])
                 held += int(keep.sum())
-                if held >= 1 << 22:
+                if held >= HELD_ROWS:
                     yield from emit(found)
                     found, held = [], 0
         if held:
@@ -163,7 +164,7 @@ def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
                 windows = (stops - starts - WINDOW + 1).astype(np.uint8)
                 held.append((gram, content, ids[row + block.first], windows))
                 rows += len(gram)
-                if rows >= 1 << 21:
+                if rows >= HELD_ROWS:
                     yield emit(held)
                     held, rows = [], 0
         if rows:
@@ -304,9 +305,15 @@ class Suffixes:
         self.block = TextBlock(data, np.array([0, len(data)]))
         self.prefix = self.block.prefix_hash()
 
+    def windows(self, a: np.ndarray) -> np.ndarray:
+        """Hashes of the whole windows at a."""
+        return self.block.span_hash(self.prefix, a, a + WINDOW)
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of suffixes a and b (by binary search)."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), WINDOW)
+        whole = self.windows(a) == self.windows(b)
+        low = np.where(whole, WINDOW, 0)
+        high = np.where(whole, WINDOW, WINDOW - 1)
         while True:
             open_ = low < high
             if not open_.any():
@@ -378,17 +385,18 @@ def least_documents(anchor: np.ndarray, place: np.ndarray, low: np.ndarray, piec
     row = np.repeat(np.arange(len(pieces)), windows)
     window = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     least = low[row].copy()
-    # equal windows have the same anchor at the same distance
-    distance = place[row] - window
-    order = np.lexsort((distance, anchor[row]))
-    a, d = anchor[row][order], distance[order]
+    # equal windows have the same anchor at the same distance, and the same hash: windows
+    # of other hashes need not be told apart by sorting them
+    suffixes = Suffixes(data)
+    distance, whole = place[row] - window, suffixes.windows(begins[row] + window)
+    order = np.lexsort((whole, distance, anchor[row]))
+    a, d, h = anchor[row][order], distance[order], whole[order]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     segment = np.cumsum(new)
     shared = np.bincount(segment)[segment] > 1  # windows alone in their segment stand
     todo, segment = order[shared], segment[shared]
     if len(todo):
-        suffixes = Suffixes(data)
         starts = begins[row[todo]] + window[todo]
         ranked = merge_sort(suffixes, starts, segment)
         s, g = starts[ranked], segment[ranked]
