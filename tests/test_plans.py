@@ -172,3 +172,13 @@ def test_a_table_of_patients_is_measured_and_not_met_by_a_shuffle_of_the_facts(s
     ran = plan(df)
     assert re.search(r"BroadcastHashJoin \[patient_no#\d+\], \[patient_no#\d+\], LeftSemi", ran)
     assert "Subquery" in ran
+
+
+def test_q10_catalog_leaves_the_settings_of_the_session(spark, stored):
+    before = {key: spark.conf.get(key, None) for key in STATISTICS}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    df = registry.q10_catalog(stored, tempfile.mkdtemp(prefix="wardline-cbo-") + "/wl_cbo_own")
+    assert {key: spark.conf.get(key, None) for key in STATISTICS} == before
+    assert df.sparkSession.conf.get("spark.sql.cbo.enabled") == "true"
+    assert df.sparkSession.conf.get("spark.sql.shuffle.partitions") == parts
+    assert df.collect() == R.q10_patient_full(stored).select(df.columns).collect()

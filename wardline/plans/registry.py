@@ -19,7 +19,7 @@ from wardline.plans import records as C
 from wardline.plans import reports as R
 from wardline.plans.audit import audit_integrity
 from wardline.plans.sql_reports import run_sql, team_activity
-from wardline.session import scratch_path, size_shuffles, tune, use_statistics
+from wardline.session import scratch_path, size_shuffles, statistics_session, tune
 from wardline.sources.batches import scenario
 from wardline.sources.catalog import Tables, plain
 from wardline.sources.fixtures import build_tables, read_sources
@@ -168,11 +168,11 @@ def q11_monthly(t: Tables, path: str) -> DataFrame:
     return JOBS["q11_complaint_daterange"](t.replace(ptr=load_monthly_facts(_spark(t), path)))
 
 
-def _catalog(t: Tables, names: Iterable[str], path: str) -> Tables:
+def _catalog(t: Tables, names: Iterable[str], path: str, reader: SparkSession | None = None) -> Tables:
     database = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = int(_spark(t).conf.get("spark.sql.shuffle.partitions"))
     save_bucketed(_only(t, names), database, buckets, location=path)
-    return load_catalog(_spark(t), database, names)
+    return load_catalog(reader or _spark(t), database, names)
 
 
 def q7_bucketed(t: Tables, path: str) -> DataFrame:
@@ -182,8 +182,7 @@ def q7_bucketed(t: Tables, path: str) -> DataFrame:
 
 def q10_catalog(t: Tables, path: str) -> DataFrame:
     """Q10 as SQL text over catalog tables, its joins ordered by their statistics."""
-    use_statistics(_spark(t))
-    return run_sql(_catalog(t, Q10_TABLES, path), "patient_full", ward_name=None)
+    return run_sql(_catalog(t, Q10_TABLES, path, statistics_session(_spark(t))), "patient_full", ward_name=None)
 
 
 STORED_JOBS: dict[str, StoredJob] = {
