@@ -147,3 +147,24 @@ def test_settings_of_the_operators_leave_those_of_the_session(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_only_occurrences_with_a_verdict_are_sent(make_docs, words):
+    """Short phrases in many documents mark anchors; only repeated windows are shuffled."""
+    from wardline.llm import suffix_dedup as S
+
+    phrase, passage = "the same thirty-two byte phrase", words(40, 1)
+    assert len(phrase) < S.WINDOW
+    rows = [(i, f"{words(15, 200 + i)} {phrase} {words(15, 400 + i)}") for i in range(60)]
+    rows += [(100 + i, f"{words(15, 600 + i)} {passage}") for i in range(3)]
+    docs = make_docs(rows).selectExpr("doc_id", "text", "hash(text) text_key")
+    context = docs.sparkSession.sparkContext
+    marked = context.broadcast(S.anchor_map(docs))
+    told, several = S.settle(docs, marked)
+    told = told.unionByName(S.verdicts(S.contents(docs, context.broadcast(several)), 4))
+    sent = S.occurrences(docs, marked, context.broadcast(S.content_map(told)))
+    every = S.occurrences(docs, marked, context.broadcast(b"\xff" * (1 << S.MAP_BITS - 3)))
+    met = every.join(told, ["anchor", "content"], "left_semi").count()
+    assert met == sent.count() < every.count() - 60
+    assert {r.doc_id for r in sent.collect()} == {100, 101, 102}
+    check(make_docs, rows)

@@ -20,8 +20,9 @@ matter:
    byte by byte, so a hash collision cannot join them. Each class of equal
    windows gets its smallest document. Only distinct contents are sorted: a
    passage in a third of all documents is a few of them.
-4. The occurrences of marked anchors meet these verdicts in a hash join, and the removed spans meet
-   the texts by document.
+4. The contents with a verdict are marked in a second bitmap of fixed size. Their occurrences,
+   and few others, meet the verdicts in a hash join, and the removed spans meet the texts by
+   document.
 
 Defined results: null or empty texts have no bytes, keep the empty string.
 Rows that repeat a doc_id are told apart by their text; they do not count as
@@ -151,6 +152,12 @@ def _bitmap(parts: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Are the hashes' cells marked?"""
+    cell = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
     """(verdicts of anchors with one content, bitmap of the anchors with several)."""
 
@@ -231,8 +238,7 @@ def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
     """Per block: (block, row of each run, position in its text, hashes ...) of marked anchors."""
     for block in text_blocks(batch.column("text")):
         starts, ends, anchors, gram, _ = owned_runs(block)
-        cell = (gram >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-        hit = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+        hit = _in_map(bits, gram)
         starts, ends, anchors, gram = starts[hit], ends[hit], anchors[hit], gram[hit]
         if not len(starts):
             continue
@@ -242,14 +248,29 @@ def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
         yield block, row, starts, stops, anchors, gram, content
 
 
-def occurrences(docs: DataFrame, bitmap) -> DataFrame:
-    """(anchor, content, doc_id, text_key, at) of every run with a marked anchor."""
+def content_map(told: DataFrame) -> bytes:
+    """Bitmap (by the top bits) of the contents that have a verdict."""
+
+    def merge(rows):
+        return rows[["range"]].head(1).assign(bits=[_cell_bits(rows["content"].to_numpy().view(np.uint64))])
+
+    # one content per cell is enough, so a range holds at most its share of the cells
+    cells = told.groupBy(F.shiftrightunsigned("content", 64 - MAP_BITS)).agg(F.first("content").alias("content"))
+    ranges = F.shiftrightunsigned("content", 64 - RANGE_BITS).cast("int").alias("range")
+    return _bitmap(cells.select(ranges, "content").groupBy("range").applyInPandas(merge, "range int, bits binary"))
+
+
+def occurrences(docs: DataFrame, bitmap, contents_bitmap) -> DataFrame:
+    """(anchor, content, doc_id, text_key, at) of every run with a marked anchor and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
+        wanted = np.frombuffer(contents_bitmap.value, np.uint8)
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_key")
             for block, row, starts, _, _, gram, content in _marked_runs(batch, bits):
+                hit = _in_map(wanted, content)
+                row, starts, gram, content = row[hit], starts[hit], gram[hit], content[hit]
                 of = pa.array(row + block.first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)),
@@ -473,8 +494,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     marked = context.broadcast(anchor_map(rows))
     told, several = settle(rows, marked)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = told.unionByName(verdicts(contents(rows, context.broadcast(several)), parts))
-    hits = occurrences(rows, marked).join(told, ["anchor", "content"]).where("least < doc_id")
+    told = written(told.unionByName(verdicts(contents(rows, context.broadcast(several)), parts)), "told")
+    wanted = context.broadcast(content_map(told))
+    hits = occurrences(rows, marked, wanted).join(told, ["anchor", "content"]).where("least < doc_id")
     return hits.select("doc_id", "text_key", (F.col("at") + F.col("from")).alias("from"),
                        (F.col("at") + F.col("to") + (WINDOW - 1)).alias("to"))
 
