@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from conftest import collect, d
+from pyspark.sql import functions as F
 
 from wardline.plans import reports as R
 
@@ -150,3 +151,26 @@ def test_q7_null_complaint_code_is_not_a_complaint(make_tables):
         ("P2", "C1", "T1", "D2", d("2024-01-02"), None),
         ("P2", "C2", "T1", "D2", d("2024-01-03"), None)])
     assert {r[0] for r in collect(R.q7_multi_complaint(t), "patient_no")} == {"P2"}
+
+
+def test_q6_sorts_lists_before_they_are_expanded(make_tables):
+    """Rows in the order of all six columns, though the expanded rows are not shuffled."""
+    t = _care(make_tables)
+    t = t.replace(
+        complaint=t.complaint.unionByName(t.complaint.withColumn("description", F.lit("another"))),
+        previous_experience=t.previous_experience.unionByName(t.previous_experience.withColumn(
+            "exp_id", F.col("exp_id") + 10)).unionByName(t.previous_experience.limit(1).withColumn(
+                "from_date", F.lit(None).cast("date"))))
+    df = R.q6_treatment_experience(t)
+    combos = t.ptr.join(t.complaint.withColumnRenamed("description", "complaint"), "complaint_code").join(
+        t.treatment.withColumnRenamed("description", "treatment"), "treatment_code").join(
+        t.doctor.selectExpr("staff_no doctor_staff_no", "name doctor_name"), "doctor_staff_no").selectExpr(
+        "complaint_code", "complaint", "treatment", "doctor_staff_no doctor_no", "doctor_name").distinct()
+    plain = combos.join(t.previous_experience.withColumnsRenamed(
+        {"staff_no": "doctor_no", "position": "experience_position"}).distinct(), "doctor_no", "left").select(df.columns)
+    by = ["complaint_code", "doctor_name", "from_date", "doctor_no", "treatment", "exp_id"]
+    rows = df.collect()
+    assert [[r[c] for c in by] for r in rows] == [[r[c] for c in by] for r in plain.orderBy(*by).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, plain.collect())) and len(rows) > 12
+    moved = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in moved and "exp_id" not in moved.split("rangepartitioning")[1].split("\n")[0]

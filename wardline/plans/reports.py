@@ -169,35 +169,45 @@ def q6_treatment_experience(t: Tables) -> DataFrame:
     """Complaint / treatment / doctor combinations with the doctor's history.
 
     The fact is reduced to distinct (complaint, treatment, doctor) keys with
-    map-side partial aggregation before any dimension join, and the
-    description-level distinct runs before the one-to-many experience join.
+    map-side partial aggregation before any dimension join. The fanned-out rows are
+    many times the inputs, so they are neither joined, shuffled nor sorted: what the
+    ORDER BY moves is one row per complaint, doctor and from_date, with the sorted lists
+    of the doctor's treatments for the complaint and of the employments from that date,
+    and these are expanded in order last. A list is as long as one doctor's distinct
+    treatments for a complaint, or employments from one day.
     A doctor may be hot on either side of the experience join, so it runs as
     inner plus anti join (or against a broadcast, when EXPERIENCE is provably
-    small), and the ORDER BY shuffles single result rows.
+    small).
     """
     keys = t.ptr.select("complaint_code", "treatment_code", "doctor_staff_no").distinct()
-    complaints = t.dim("complaint").select(
-        "complaint_code", F.col("description").alias("complaint"))
+    # a complaint's descriptions (one, where its code is unique)
+    complaints = t.complaint.where("complaint_code is not null").groupBy("complaint_code").agg(
+        F.sort_array(F.collect_set(F.struct(F.col("description").alias("complaint")))).alias("__complaints"))
     treatments = t.treatment.select("treatment_code", F.col("description").alias("treatment"))
     doctors = _doctor_cols(t, doctor_staff_no="staff_no", doctor_name="name")
     # A doctor may own a large share of the combinations; the doctor join is
     # salted (or broadcast when DOCTOR is provably small) so neither it nor
-    # the distinct and experience join after it keep a hot doctor in one task.
-    described = keys.join(complaints, "complaint_code").join(treatments, "treatment_code")
-    combos = (
+    # the grouping and experience join after it keep a hot doctor in one task.
+    described = keys.join(treatments, "treatment_code")
+    pairs = (
         salted_join(described, doctors, "doctor_staff_no", dim_bound=t.doctor)
-        .select("complaint_code", "complaint", "treatment",
-                F.col("doctor_staff_no").alias("doctor_no"), "doctor_name")
-        .distinct())
+        .groupBy("complaint_code", F.col("doctor_staff_no").alias("doctor_no"), "doctor_name")
+        .agg(F.sort_array(F.collect_set(F.struct("treatment"))).alias("__treatments")))
     experience = t.previous_experience.select(
         F.col("staff_no").alias("doctor_no"), "exp_id", "from_date", "to_date", "establishment",
         F.col("position").alias("experience_position")).distinct()
+    employments = experience.groupBy("doctor_no", "from_date").agg(F.sort_array(F.collect_list(
+        F.struct("exp_id", "to_date", "establishment", "experience_position"))).alias("__employments"))
+    listed = salted_join(
+        left_join_hot_right(pairs, employments, "doctor_no", bound=t.previous_experience),
+        complaints, "complaint_code", dim_bound=t.complaint)
     return (
-        left_join_hot_right(combos, experience, "doctor_no", bound=t.previous_experience)
+        listed.orderBy("complaint_code", "doctor_name", "from_date", "doctor_no")
+        .select("*", F.inline("__treatments"))
+        .select("*", F.inline_outer("__employments"))
+        .select("*", F.inline("__complaints"))
         .select("complaint_code", "complaint", "treatment", "doctor_no", "doctor_name", "exp_id",
-                "from_date", "to_date", "establishment", "experience_position")
-        .orderBy("complaint_code", "doctor_name", "from_date", "doctor_no", "treatment",
-                 "exp_id"))
+                "from_date", "to_date", "establishment", "experience_position"))
 
 
 def q7_multi_complaint(t: Tables, min_distinct: int = 2) -> DataFrame:
