@@ -184,3 +184,18 @@ def test_first_words_of_a_long_item(make_docs, spark, words):
     rows = [(1, words(20, 1) + ", " + passage + " " + words(20, 2)), (2, words(20, 3) + ", " + other + " " + words(20, 4))]
     found = leaks(make_docs, spark, rows, [(7, ITEM + " " + words(30, 9))])
     assert {k: r.n_covered for k, r in found.items()} == {(1, 7): 15, (2, 7): 15}
+
+
+def test_few_leaked_documents_are_broadcast(make_docs, spark, words):
+    """The clean documents' texts are not shuffled to be kept, by the stored size of the leaked ids."""
+    docs = make_docs([(1, words(40, 1) + ". " + ITEM + " " + words(40, 2)), (2, words(90, 3)), (None, words(50, 4))])
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        kept = D.keep_clean(docs, bench)
+        text = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+        assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
