@@ -168,3 +168,22 @@ def test_only_occurrences_with_a_verdict_are_sent(make_docs, words):
     assert met == sent.count() < every.count() - 60
     assert {r.doc_id for r in sent.collect()} == {100, 101, 102}
     check(make_docs, rows)
+
+
+def test_ranges_of_anchors_grow_with_the_input(make_docs, words, monkeypatch):
+    """One merge holds a bounded part of the anchors, whatever the size of the corpus."""
+    passage = words(60, 1)
+    rows = [(i, f"{words(60, 100 + i)} {passage if i % 3 else ''} {words(20, 300 + i)}") for i in range(40)]
+    docs = make_docs(rows).selectExpr("doc_id", "text", "hash(text) text_key")
+    assert S.range_bits(docs) == S.RANGE_BITS
+    monkeypatch.setattr(S, "RANGE_CHARS", 64)
+    cut = S.range_bits(docs)
+    assert 64 << cut > sum(len(t) for _, t in rows) and cut > S.RANGE_BITS
+    context = docs.sparkSession.sparkContext
+    marked = S.anchor_map(docs, cut)
+    assert marked == S.anchor_map(docs) and any(marked)
+    told, several = S.settle(docs, context.broadcast(marked), cut)
+    same, again = S.settle(docs, context.broadcast(marked))
+    assert several == again and sorted(told.collect()) == sorted(same.collect())
+    assert S.content_map(told, cut) == S.content_map(told)
+    check(make_docs, rows)

@@ -49,9 +49,10 @@ WINDOW = 50
 GRAM = 20
 SPAN = WINDOW - GRAM + 1        # grams in a window
 MAP_BITS = 27
-RANGE_BITS = 6
-RANGES = 1 << RANGE_BITS        # tasks that merge anchors, by the top bits of the hash
-HELD_ROWS = 1 << 21           # rows a scan holds until it sends the distinct ones
+RANGE_BITS = 6                  # least number of top bits of the hash by which anchors are merged
+RANGE_CHARS = 1 << 23           # texts whose anchors one range merges at a time, about
+BLOCK_BYTES = 1 << 18           # a scan's working arrays take up to a hundred times as much
+HELD_ROWS = 1 << 19             # rows a scan holds until it sends the distinct ones
 SORT_ROWS = 400_000             # suffixes sorted at a time
 
 
@@ -87,14 +88,22 @@ def owned_runs(block: TextBlock):
     return starts, ends, anchors, gram[anchors], prefix
 
 
-def anchor_map(docs: DataFrame) -> bytes:
-    """Bitmap (by the top bits) of the anchors that two documents have."""
+def range_bits(docs: DataFrame) -> int:
+    """Bits of the hash that cut the anchors of ``docs`` into ranges of bounded size, each of
+    them whole bytes of the bitmap."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return min(max(RANGE_BITS, (chars // RANGE_CHARS).bit_length()), MAP_BITS - 3)
+
+
+def anchor_map(docs: DataFrame, cut: int = RANGE_BITS) -> bytes:
+    """Bitmap (by the top bits) of the anchors that two documents have; ``cut``: see
+    ``range_bits``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 starts, _, _, gram, _ = owned_runs(block)
                 text = np.searchsorted(block.offsets, starts, "right").astype(np.uint64)
                 # distinct per text: sort by (gram, text) and drop repeats
@@ -112,9 +121,9 @@ def anchor_map(docs: DataFrame) -> bytes:
 
     def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.unique(np.concatenate(found), return_counts=True)
-        cuts = _range_cuts(grams)
+        cuts = _range_cuts(grams, cut)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(RANGES, dtype=np.int32)),
+            [pa.array(np.arange(1 << cut, dtype=np.int32)),
              binary_array([pack_integers(g) for g in np.split(grams, cuts)]),
              binary_array([np.packbits(c) for c in np.split(counts > 1, cuts)])],
             ["range", "grams", "again"])
@@ -125,28 +134,28 @@ def anchor_map(docs: DataFrame) -> bytes:
                  for g, a in zip(grams, rows["again"])]
         merged = np.sort(np.concatenate(grams))
         repeated = np.concatenate([merged[1:][merged[1:] == merged[:-1]], *again])
-        return rows[["range"]].head(1).assign(bits=[_cell_bits(repeated)])
+        return rows[["range"]].head(1).assign(bits=[_cell_bits(repeated, cut)])
 
     parts = docs.select("text").mapInArrow(scan, "range int, grams binary, again binary")
-    return _bitmap(parts.groupBy("range").applyInPandas(merge, "range int, bits binary"))
+    return _bitmap(parts.groupBy("range").applyInPandas(merge, "range int, bits binary"), cut)
 
 
-def _range_cuts(grams: np.ndarray) -> np.ndarray:
-    """Where the RANGES equal ranges of the hash begin in a sorted array (but the first)."""
-    return np.searchsorted(grams, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
+def _range_cuts(grams: np.ndarray, cut: int) -> np.ndarray:
+    """Where the 2^cut equal ranges of the hash begin in a sorted array (but the first)."""
+    return np.searchsorted(grams, np.arange(1, 1 << cut, dtype=np.uint64) << np.uint64(64 - cut))
 
 
-def _cell_bits(grams: np.ndarray) -> bytes:
+def _cell_bits(grams: np.ndarray, cut: int) -> bytes:
     """The part of a bitmap that belongs to one hash range, with these hashes marked."""
-    bits = np.zeros((1 << MAP_BITS) // RANGES, bool)
+    bits = np.zeros(1 << (MAP_BITS - cut), bool)
     bits[(grams >> np.uint64(64 - MAP_BITS)).astype(np.int64) % len(bits)] = True
     return np.packbits(bits).tobytes()
 
 
-def _bitmap(parts: DataFrame) -> bytes:
-    """The whole bitmap from its RANGES parts (16 MB, whatever the input)."""
+def _bitmap(parts: DataFrame, cut: int) -> bytes:
+    """The whole bitmap from the parts of its 2^cut ranges (16 MB, whatever the input)."""
     out = bytearray(1 << (MAP_BITS - 3))
-    size = len(out) // RANGES
+    size = len(out) >> cut
     for row in parts.collect():
         out[row.range * size:(row.range + 1) * size] = row.bits
     return bytes(out)
@@ -158,8 +167,9 @@ def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
-    """(verdicts of anchors with one content, bitmap of the anchors with several)."""
+def settle(docs: DataFrame, bitmap, cut: int = RANGE_BITS) -> tuple[DataFrame, bytes]:
+    """(verdicts of anchors with one content, bitmap of the anchors with several); ``cut``:
+    see ``range_bits``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -180,13 +190,13 @@ def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
     def emit(held: list[tuple]) -> pa.RecordBatch:
         gram, content, ids, windows = (np.concatenate(x) for x in zip(*held))
         gram, content, low, high, pick = _distinct(gram, content, ids, ids)
-        cuts = _range_cuts(gram)
+        cuts = _range_cuts(gram, cut)
 
         def parts(values: np.ndarray, pack) -> pa.Array:
             return binary_array([pack(v) for v in np.split(values, cuts)])
 
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(RANGES, dtype=np.int32)), parts(gram, pack_integers),
+            [pa.array(np.arange(1 << cut, dtype=np.int32)), parts(gram, pack_integers),
              parts(content, lambda v: v), parts(low, pack_integers), parts(high - low, pack_integers),
              parts(windows[pick], lambda v: v)], ["range", "grams", "contents", "low", "span", "windows"])
 
@@ -205,14 +215,19 @@ def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
         done = ~several & (low < high)
         n = int(done.sum())
         where = table.column("range")[0].as_py()
+
+        def after_bits(values: np.ndarray) -> pa.Array:  # the first row has the bits only
+            return pa.array(np.append(values.dtype.type(0), values))
+
         return pa.table({
-            "range": pa.array([where] * (n + 1), pa.int32()),
-            "bits": pa.array([_cell_bits(gram[several]), *[None] * n], pa.binary()),
-            "anchor": pa.array([0, *gram[done].view(np.int64).tolist()], pa.int64()),
-            "content": pa.array([0, *content[done].view(np.int64).tolist()], pa.int64()),
-            "from": pa.array([0] * (n + 1), pa.int32()),
-            "to": pa.array([0, *windows[done].tolist()], pa.int32()),
-            "least": pa.array([0, *low[done].tolist()], pa.int64())})
+            "range": pa.array(np.full(n + 1, where, np.int32)),
+            "bits": pa.concat_arrays([pa.array([_cell_bits(gram[several], cut)], pa.binary()),
+                                      pa.nulls(n, pa.binary())]),
+            "anchor": after_bits(gram[done].view(np.int64)),
+            "content": after_bits(content[done].view(np.int64)),
+            "from": pa.array(np.zeros(n + 1, np.int32)),
+            "to": after_bits(windows[done].astype(np.int32)),
+            "least": after_bits(low[done])})
 
     sent = docs.mapInArrow(
         scan, "range int, grams binary, contents binary, low binary, span binary, windows binary")
@@ -220,7 +235,7 @@ def settle(docs: DataFrame, bitmap) -> tuple[DataFrame, bytes]:
         merge, "range int, bits binary, anchor long, content long, `from` int, `to` int, least long"),
         "settled")
     told = merged.where("bits is null").select("anchor", "content", "from", "to", "least")
-    return told, _bitmap(merged.where("bits is not null").select("range", "bits"))
+    return told, _bitmap(merged.where("bits is not null").select("range", "bits"), cut)
 
 
 def _distinct(gram, content, low, high):
@@ -236,7 +251,7 @@ def _distinct(gram, content, low, high):
 
 def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
     """Per block: (block, row of each run, position in its text, hashes ...) of marked anchors."""
-    for block in text_blocks(batch.column("text")):
+    for block in text_blocks(batch.column("text"), BLOCK_BYTES):
         starts, ends, anchors, gram, _ = owned_runs(block)
         hit = _in_map(bits, gram)
         starts, ends, anchors, gram = starts[hit], ends[hit], anchors[hit], gram[hit]
@@ -248,16 +263,19 @@ def _marked_runs(batch: pa.RecordBatch, bits: np.ndarray):
         yield block, row, starts, stops, anchors, gram, content
 
 
-def content_map(told: DataFrame) -> bytes:
-    """Bitmap (by the top bits) of the contents that have a verdict."""
+def content_map(told: DataFrame, cut: int = RANGE_BITS) -> bytes:
+    """Bitmap (by the top bits) of the contents that have a verdict; ``cut``: see
+    ``range_bits``."""
 
     def merge(rows):
-        return rows[["range"]].head(1).assign(bits=[_cell_bits(rows["content"].to_numpy().view(np.uint64))])
+        return rows[["range"]].head(1).assign(
+            bits=[_cell_bits(rows["content"].to_numpy().view(np.uint64), cut)])
 
     # one content per cell is enough, so a range holds at most its share of the cells
     cells = told.groupBy(F.shiftrightunsigned("content", 64 - MAP_BITS)).agg(F.first("content").alias("content"))
-    ranges = F.shiftrightunsigned("content", 64 - RANGE_BITS).cast("int").alias("range")
-    return _bitmap(cells.select(ranges, "content").groupBy("range").applyInPandas(merge, "range int, bits binary"))
+    ranges = F.shiftrightunsigned("content", 64 - cut).cast("int").alias("range")
+    return _bitmap(cells.select(ranges, "content").groupBy("range").applyInPandas(
+        merge, "range int, bits binary"), cut)
 
 
 def occurrences(docs: DataFrame, bitmap, contents_bitmap) -> DataFrame:
@@ -491,11 +509,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_key"))
     context = spark.sparkContext
-    marked = context.broadcast(anchor_map(rows))
-    told, several = settle(rows, marked)
+    cut = range_bits(rows)
+    marked = context.broadcast(anchor_map(rows, cut))
+    told, several = settle(rows, marked, cut)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = written(told.unionByName(verdicts(contents(rows, context.broadcast(several)), parts)), "told")
-    wanted = context.broadcast(content_map(told))
+    wanted = context.broadcast(content_map(told, cut))
     hits = occurrences(rows, marked, wanted).join(told, ["anchor", "content"]).where("least < doc_id")
     return hits.select("doc_id", "text_key", (F.col("at") + F.col("from")).alias("from"),
                        (F.col("at") + F.col("to") + (WINDOW - 1)).alias("to"))
@@ -519,7 +538,7 @@ def dedup_text(docs: DataFrame) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 n = len(block)
                 texts = [pack.compress(block.text_bytes(i)) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
