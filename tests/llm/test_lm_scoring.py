@@ -83,3 +83,30 @@ def test_very_long_text(make_docs, words):
     got = {r.doc_id: r for r in S.score_documents(make_docs(rows)).collect()}
     for (doc_id, _), (n, want) in zip(rows, brute(rows, S.ORDER, S.BACKOFF)):
         assert got[doc_id].n_words == n and abs(got[doc_id].log_score - want) < 1e-6 * abs(want)
+
+
+def test_parts_are_counted_one_by_one_and_packed(make_docs, words, monkeypatch):
+    """Rows of one part of the n-grams at a time; together the parts are all of them."""
+    docs = make_docs([(i, words(50, i)) for i in range(6)]).withColumn("block", F.col("doc_id").cast("int"))
+    whole = {(r.block >> 32, r.hash): r.n for r in S.explode_ngrams(docs, 3).collect()}
+    parts = [S.explode_ngrams(docs, 3, part).collect() for part in range(S.PARTS)]
+    assert {(r.block >> 32, r.hash): r.n for p in parts for r in p} == whole
+    assert sum(map(len, parts)) == len(whole) and max(map(len, parts)) < 0.5 * len(whole)
+    sent = []
+    explode = S.explode_ngrams
+    monkeypatch.setattr(S, "explode_ngrams", lambda *a: (sent.append(a[2]), explode(*a))[1])
+    monkeypatch.setattr(S, "HELD_ROWS", 10)
+    monkeypatch.setattr(S, "BLOCK_CHARS", 300)
+    rows = [(i, words(50, i % 4)) for i in range(9)]
+    got = {r.doc_id: r for r in S.score_documents(make_docs(rows)).collect()}
+    assert sent == list(range(S.PARTS))
+    for (doc_id, _), (n, want) in zip(rows, brute(rows, S.ORDER, S.BACKOFF)):
+        assert got[doc_id].n_words == n and abs(got[doc_id].log_score - want) < 1e-8
+
+
+def test_packed_counts_keep_places_and_totals(spark):
+    rows = [(7 << 32, S.CORPUS, 9), ((7 << 32) + 5, 11, 6_000_000_002), ((7 << 32) + 3, 13, 2), (1 << 32, S.CORPUS, 9)]
+    counts = spark.createDataFrame(rows, "block long, hash long, total long").coalesce(1)
+    got = {r.block: [S.unpack_integers(bytes(c), "int64").tolist() for c in (r.places, r.totals)]
+           for r in S.packed_counts(counts, 2).collect()}
+    assert got == {7: [[0, 3, 5], [9, 11, 6_000_000_013]], 1: [[0], [9]]}

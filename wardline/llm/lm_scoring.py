@@ -10,9 +10,11 @@ The work is relational. Documents are dealt into blocks and exploded into rows
 (block, n-gram hash, occurrences in the block), shuffled once by hash: one aggregate
 makes the count table, one join on the same partitioning gives every block the
 corpus-wide counts of its n-grams. An n-gram that stands in one block only has its
-count there already and is not sent back. A block's documents meet their counts in a
-cogroup by block and sum their words' scores. A hot n-gram is one row per block, and
-a task holds one block of about ``BLOCK_CHARS`` characters (a longer text is a block
+count there already and is not sent back. This is done for one part of the hashes after
+another (``PARTS``), so that the rows of one part only are on disk; the counts of each part
+are stored packed, a row per block and batch of joined rows. A block's documents meet their
+counts in a cogroup by block and sum their words' scores. A hot n-gram is one row per block,
+and a task holds one block of about ``BLOCK_CHARS`` characters (a longer text is a block
 with the texts dealt to it), whatever the size of the corpus.
 
 Words are runs of bytes other than space and ``\\t``..``\\r``, ASCII
@@ -27,6 +29,7 @@ result. Texts are read whole, however long. Only ``doc_id`` and ``text`` are rea
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,14 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.deploy import ship_package
-from wardline.llm.textblocks import text_blocks, window_hashes, word_hashes
+from wardline.llm.deploy import ship_package, written
+from wardline.llm.textblocks import (binary_array, pack_integers, text_blocks, unpack_integers,
+                                      window_hashes, word_hashes)
 from wardline.session import size_shuffles
 
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_CHARS = 12_000_000
 ROW_BYTES = 10  # n-gram rows take about so many times the bytes of their text
+PART_BITS = 2
+PARTS = 1 << PART_BITS  # n-grams are counted in so many steps, by the top bits of the hash
+HELD_ROWS = 1 << 20  # joined rows packed at a time
 CORPUS = 0  # the hash of the row that counts a block's words; n-grams have odd hashes
 
 
@@ -80,19 +87,28 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every > 0], return_counts=True)
 
 
-def explode_ngrams(blocks: DataFrame, order: int) -> DataFrame:
-    """(block, hash, n): every distinct n-gram of a block with its occurrences there, and
-    the block's words in the row of hash ``CORPUS``."""
+def _of_part(grams: np.ndarray, part: int | None) -> np.ndarray:
+    """The n-grams of a part (None: all)."""
+    return grams if part is None else grams[grams >> np.uint64(64 - PART_BITS) == part]
+
+
+def explode_ngrams(blocks: DataFrame, order: int, part: int | None = None) -> DataFrame:
+    """(block, hash, n): every distinct n-gram of a block (of one part of the hashes, if given)
+    with its occurrences there, and, but for parts other than 0, the block's words in the row
+    of hash ``CORPUS``. ``block`` is the block's number << 32 plus the n-gram's among its
+    n-grams of the part in the order of their unsigned hashes, from 1 (``CORPUS``: 0)."""
 
     def explode(key, table):
         grams, n_words = _block_grams(table.column("text"), order)
-        hashes, n = _distinct(grams)
+        hashes, n = _distinct([_of_part(g, part) for g in grams])
         hashes = np.concatenate(([CORPUS], hashes.view(np.int64)))
         n = np.concatenate(([n_words.sum()], n)).astype(np.int64)
-        block = pa.array(np.full(len(n), key[0].as_py(), np.int32))
-        return pa.table({"block": block, "hash": pa.array(hashes, pa.int64()), "n": pa.array(n)})
+        block = (key[0].as_py() << 32) + np.arange(len(n), dtype=np.int64)
+        first = 1 if part else 0
+        return pa.table({"block": pa.array(block[first:]), "hash": pa.array(hashes[first:], pa.int64()),
+                         "n": pa.array(n[first:])})
 
-    return blocks.groupBy("block").applyInArrow(explode, "block int, hash long, n long")
+    return blocks.groupBy("block").applyInArrow(explode, "block long, hash long, n long")
 
 
 def corpus_counts(ngrams_of_blocks: DataFrame) -> DataFrame:
@@ -106,11 +122,53 @@ def corpus_counts(ngrams_of_blocks: DataFrame) -> DataFrame:
         (F.col("total") > F.col("n")) | (F.col("hash") == CORPUS)).select("block", "hash", "total")
 
 
+def packed_counts(counts: DataFrame, part: int) -> DataFrame:
+    """(block, part, places, totals): the rows of ``corpus_counts``, one packed row per block
+    and batch; ``places`` are the low halves of their ``block``, ascending, ``totals`` running
+    sums, as what is packed are differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append((batch.column("block").to_numpy(), batch.column("total").to_numpy()))
+            rows += len(batch)
+            if rows >= HELD_ROWS:
+                yield emit(held)
+                held, rows = [], 0
+        if rows:
+            yield emit(held)
+
+    def emit(held) -> pa.RecordBatch:
+        at, total = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(at)
+        at, total = at[order], total[order]
+        block = at >> 32
+        heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        places = np.split(at & 0xFFFFFFFF, heads[1:])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[heads].astype(np.int32)), pa.array(np.full(len(heads), part, np.int32)),
+             binary_array([pack_integers(p) for p in places]),
+             binary_array([pack_integers(np.cumsum(t)) for t in np.split(total, heads[1:])])],
+            ["block", "part", "places", "totals"])
+
+    return counts.select("block", "total").mapInArrow(
+        run, "block int, part int, places binary, totals binary")
+
+
+def _stored_counts(dealt: DataFrame, order: int) -> DataFrame:
+    """``packed_counts`` of all parts. Every part is stored before the next begins, which
+    frees its shuffle files."""
+    parts = [written(packed_counts(corpus_counts(explode_ngrams(dealt, order, part)), part), "counts")
+             for part in range(PARTS)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score for every row of ``docs``."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    size_shuffles(docs.sparkSession, size * ROW_BYTES)
+    size_shuffles(docs.sparkSession, size * ROW_BYTES // PARTS)
     blocks = max(1, -(-size // BLOCK_CHARS))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
                         .cast("int").alias("block"))
@@ -118,11 +176,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     def score(texts, counts):
         grams, n_words = _block_grams(texts.column("text"), order)
         known, count_of = _distinct(grams)  # what no other block has is counted here
-        hashes = counts.column("hash").to_numpy().view(np.uint64)
-        totals = counts.column("total").to_numpy()
-        total = int(totals[hashes == CORPUS][0])
-        mine = hashes != CORPUS
-        count_of[np.searchsorted(known, hashes[mine])] = totals[mine]
+        begins = np.searchsorted(known, np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - PART_BITS))
+        total = 0
+        for part, places, totals in zip(*(counts.column(c) for c in ("part", "places", "totals"))):
+            places, totals = (unpack_integers(v.as_py(), np.int64) for v in (places, totals))
+            totals = np.diff(totals, prepend=0)
+            if part.as_py() == 0 and places[0] == 0:
+                total, places, totals = int(totals[0]), places[1:], totals[1:]
+            count_of[begins[part.as_py()] + places - 1] = totals
         doc = np.repeat(np.arange(len(n_words)), n_words)
         outside = [_outside(g, doc, known, count_of) for g in grams]
         scores = stupid_backoff(outside, doc, total - n_words, n_words, backoff)
@@ -131,7 +192,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
                          "log_score": pa.array(sums, pa.float64()), "mean_log_score": mean})
 
-    counts = corpus_counts(explode_ngrams(dealt, order))
+    counts = _stored_counts(dealt, order)
     return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
         score, f"doc_id {doc_type}, n_words long, log_score double, mean_log_score double")
 
