@@ -49,6 +49,7 @@ BLOCK_CHARS = 12_000_000
 ROW_BYTES = 10  # n-gram rows take about so many times the bytes of their text
 PART_BITS = 2
 PARTS = 1 << PART_BITS  # n-grams are counted in so many steps, by the top bits of the hash
+PARTITION_BYTES = 64 << 20  # rows joined at a time, about
 HELD_ROWS = 1 << 20  # joined rows packed at a time
 CORPUS = 0  # the hash of the row that counts a block's words; n-grams have odd hashes
 
@@ -118,7 +119,8 @@ def corpus_counts(ngrams_of_blocks: DataFrame) -> DataFrame:
     # both sides use all three columns, so that Spark reads one exchange for both
     table = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.count("block").alias("blocks"))
     shared = table.where((F.col("blocks") > 1) | (F.col("hash") == CORPUS)).drop("blocks")
-    return rows.join(shared, "hash").where(
+    # few rows a partition (PARTITION_BYTES): a hash table of the counts, neither side is sorted
+    return rows.join(shared.hint("shuffle_hash"), "hash").where(
         (F.col("total") > F.col("n")) | (F.col("hash") == CORPUS)).select("block", "hash", "total")
 
 
@@ -168,14 +170,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     """doc_id, n_words, log_score, mean_log_score for every row of ``docs``."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    size_shuffles(docs.sparkSession, size * ROW_BYTES // PARTS)
+    size_shuffles(docs.sparkSession, size * ROW_BYTES // PARTS, PARTITION_BYTES)
     blocks = max(1, -(-size // BLOCK_CHARS))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
                         .cast("int").alias("block"))
 
     def score(texts, counts):
         grams, n_words = _block_grams(texts.column("text"), order)
-        known, count_of = _distinct(grams)  # what no other block has is counted here
+        order_of, known, count_of, own = _places(grams, n_words)  # what no other block has is counted here
+        sizes = count_of.copy()
         begins = np.searchsorted(known, np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - PART_BITS))
         total = 0
         for part, places, totals in zip(*(counts.column(c) for c in ("part", "places", "totals"))):
@@ -185,7 +188,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
                 total, places, totals = int(totals[0]), places[1:], totals[1:]
             count_of[begins[part.as_py()] + places - 1] = totals
         doc = np.repeat(np.arange(len(n_words)), n_words)
-        outside = [_outside(g, doc, known, count_of) for g in grams]
+        outside = np.full(len(grams) * len(doc), -1, np.int64)  # -1: no n-gram ends there
+        outside[order_of] = np.repeat(count_of, sizes) - own
+        outside = np.split(outside, len(grams))
         scores = stupid_backoff(outside, doc, total - n_words, n_words, backoff)
         sums = np.bincount(doc, weights=scores, minlength=len(n_words))
         mean = pa.array(sums / np.maximum(n_words, 1), mask=n_words == 0)
@@ -197,21 +202,20 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         score, f"doc_id {doc_type}, n_words long, log_score double, mean_log_score double")
 
 
-def _outside(grams: np.ndarray, doc: np.ndarray, known: np.ndarray, count_of: np.ndarray) -> np.ndarray:
-    """Occurrences of the n-gram at each word in other documents (-1: no n-gram there)."""
-    out = np.full(len(grams), -1, np.int64)
-    live = np.flatnonzero(grams > 0)
-    if not len(live):
-        return out
-    at = np.searchsorted(known, grams[live])
-    order = np.lexsort((at, doc[live]))
-    a, d = at[order], doc[live][order]
+def _places(grams: list[np.ndarray], n_words: np.ndarray):
+    """(places of the n-grams in ``grams`` end to end, in the order of their hashes; distinct
+    hashes; places of each; per sorted place, the n-gram's occurrences in its document)."""
+    every = np.concatenate(grams)
+    live = np.flatnonzero(every > 0)
+    order = live[np.argsort(every[live], kind="stable")]  # documents stay ascending
+    hashes = every[order]
+    doc = np.tile(np.repeat(np.arange(len(n_words), dtype=np.int32), n_words), len(grams))[order]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-    group = np.cumsum(new) - 1
-    own = np.bincount(group)[group]
-    out[live[order]] = count_of[a] - own
-    return out
+    new[1:] = hashes[1:] != hashes[:-1]
+    heads = np.flatnonzero(new)
+    new[1:] |= doc[1:] != doc[:-1]
+    own = np.diff(np.append(np.flatnonzero(new), len(order)))
+    return order, hashes[heads], np.diff(np.append(heads, len(order))), np.repeat(own, own)
 
 
 def stupid_backoff(outside: list[np.ndarray], doc: np.ndarray, total: np.ndarray, n_words: np.ndarray,
